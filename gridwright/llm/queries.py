@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat_format, exact_dedup, packing, sentence_pieces, sharding, url_filter
+from gridwright.llm import chat_format, exact_dedup, language_id, packing, quality, sentence_pieces, sharding, url_filter
 from gridwright.llm.common import documents
 
 
@@ -28,6 +28,15 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predictions(docs, language_id.fit(docs))
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -77,6 +86,8 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_language_id": op3_language_id,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
