@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat_format, exact_dedup, language_id, packing, quality, sentence_pieces, sharding, url_filter
+from gridwright.llm import chat_format, exact_dedup, language_id, packing, quality, sentence_pieces, sharding, topk_search, url_filter
 from gridwright.llm.common import documents
 
 
@@ -37,6 +37,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, language_id.fit(docs))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(rows, rows["vec_id"] % 50 == 0)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -88,10 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_topk_search": op4_topk_search,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_feistel_shards": op10_feistel_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL}
