@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat_format, exact_dedup, language_id, packing, quality, sentence_pieces, sharding, topk_search, url_filter
+from gridwright.llm import chat_format, exact_dedup, language_id, ngram_join, packing, quality, sentence_pieces, sharding, topk_search, url_filter
 from gridwright.llm.common import documents
 
 
@@ -90,6 +90,24 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, COUNT(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (an + bn - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT a, MIN(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
+"""
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -106,7 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_feistel_shards": op10_feistel_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
