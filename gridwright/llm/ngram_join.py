@@ -4,9 +4,10 @@ A document is its set of word shingles, and two documents link at a Jaccard simi
 ``percent`` / 100. Shingles have one global order: those that a first pass over all documents found
 often come last, by their counts; all others go by their hashes. Of n shingles, a partner must share
 o = ceil(n * percent / 100) at least, so in that order two linked documents share l of their first
-n - o + l shingles, for any l up to o. Each document picks the l for which the candidates that its
-prefix's counts foretell cost least, and a pair is a candidate if it shares as many prefix shingles
-as the smaller of its two l.
+n - o + l shingles, for any l up to o. The index holds every document's longest prefix; from the
+lengths of its posting lists each document picks the l whose candidates are estimated to cost least,
+and a pair is a candidate if it shares as many shingles of the l-prefixes as the smaller of its two
+l. Lists are kept apart by size, since linked documents are of like size.
 
 Only the classes are asked for, so links inside a class that is known already need no search. A few
 rounds check each document against the most similar leaders of its posting lists and join classes;
@@ -17,13 +18,14 @@ verified on whole sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
@@ -31,9 +33,9 @@ from gridwright.llm.common import maybe_broadcast, slices, words_of
 from gridwright.operators.components import connected_components
 
 #: Longest match count that a document may pick.
-MOST_MATCHES = 4
+MOST_MATCHES = 8
 #: Shingles counted together; of those, ones met LEAST_SEEN times or more tell how frequent a shingle is.
-COUNTED, LEAST_SEEN = 1 << 22, 3
+COUNTED, LEAST_SEEN = 1 << 22, 2
 #: Frequent shingles that are put last; the table of them is broadcast. Beyond it the order goes by hash, which costs time only.
 FREQUENT = 400_000
 #: Rounds of leaders before the full search across classes, and leaders that a document is checked against in each.
@@ -113,26 +115,21 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
     return tokens[order], table["n"].to_numpy()[order]
 
 
-def prefix(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """(the first shingles in the global order, how many of them a match count of 1 takes, the match count picked)."""
+def prefix(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(the shingles of the longest prefix in the global order, how many of them a match count of 1 takes)."""
     n = len(values)
     need = -(-percent * n // 100)
-    seen = np.ones(n, np.int64)
+    take = n - need + min(MOST_MATCHES, need)
+    order = np.arange(n)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         hit = frequent[at] == values
-        seen[hit] = counts[at[hit]]
-    most = min(MOST_MATCHES, need)
-    take = n - need + most
-    order = np.lexsort((values, seen)) if (seen > 1).any() else np.arange(n)
-    order = order[:take]
-    met = np.cumsum(seen[order] - 1)[n - need : take].astype(float)  # documents met in the lists, for each match count
-    cost = met + met / np.arange(1, most + 1) * (1 + n / 64)  # reading lists, and verifying at most a share of what they hold
-    picked = int(cost.argmin()) + 1
-    return values[order[: n - need + picked]], n - need + 1, picked
+        if hit.any():
+            order = np.lexsort((values, np.where(hit, counts[at], 1)))
+    return values[order[:take]], n - need + 1
 
 
-_SETS = "doc_id {kind}, fp long, sig binary, n long, base int, picked int, tokens array<long>"
+_SETS = "doc_id {kind}, fp long, sig binary, n long, base int, tokens array<long>"
 
 
 def _prefixes(shared, words: int, percent: int):
@@ -140,20 +137,20 @@ def _prefixes(shared, words: int, percent: int):
         frequent, counts = shared.value
         met: set[bytes] = set()
         for batch in slices(batches, "text"):
-            sigs, sizes, bases, picks, tokens = [], [], [], [], []
+            sigs, sizes, bases, tokens = [], [], [], []
             for values in shingles(batch.column("text"), words):
                 sig = hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
                 sigs.append(sig)
                 sizes.append(len(values))
                 if sig is None or sig in met:
-                    bases.append(0), picks.append(0), tokens.append(None)
+                    bases.append(0), tokens.append(None)
                     continue
                 if len(met) >= 1 << 20:
                     met.clear()
                 met.add(sig)
-                first, base, picked = prefix(values, frequent, counts, percent)
-                bases.append(base), picks.append(picked), tokens.append(first.view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bases, pa.int32()), pa.array(picks, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "n", "base", "picked", "tokens"])
+                first, base = prefix(values, frequent, counts, percent)
+                bases.append(base), tokens.append(first.view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bases, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "n", "base", "tokens"])
 
     return run
 
@@ -217,9 +214,9 @@ def _leader_pairs(postings: DataFrame, classes: DataFrame, turn: int, percent: i
     """For each document up to LEADERS documents of other classes that lead most of its lists."""
     rows = postings.join(classes, "node")
     rank = F.xxhash64("node", F.lit(turn))
-    lead = rows.groupBy("token").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("class").alias("their"))).alias("lead")).select("token", "lead.*")
+    lead = rows.groupBy("token", "size").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("picked").alias("l"), F.col("class").alias("their"))).alias("lead")).select("token", "size", "lead.*")
     like = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (F.col("class") != F.col("their"))
-    shared = rows.join(lead, "token").where(like).groupBy(F.col("node").alias("x"), "other").agg(F.count("*").alias("shared"))
+    shared = rows.join(lead, ["token", "size"]).where(like).groupBy(F.col("node").alias("x"), "other").agg(F.count("*").alias("shared"), F.min(F.least("picked", "l")).alias("asked")).where("shared >= asked")
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "other"))
     return shared.withColumn("at", best).where(F.col("at") <= LEADERS).select("x", "other")
 
@@ -257,17 +254,17 @@ def _candidates(percent: int):
 
 
 def _cross_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs across classes. In each list, documents outside its largest class ask all others."""
+    """All candidate pairs across classes. A document asks the lists of its token and of like sizes, but for its class's largest share."""
     rows = postings.join(classes, "node")
     per = rows.groupBy("token", "class").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("token").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("df")).where("kinds > 1").select("token", "main", "df")
+    mixed = per.groupBy("token").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     rows = cut(rows.join(mixed, "token"))
+    df = rows.groupBy("token", "size").agg(F.count("*").alias("df"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / LIST))
-    lists = rows.groupBy("token", part.alias("part")).agg(F.collect_list(F.struct("node", "n", "level", "picked", "class")).alias("list")).select("token", "list")
-    asks = rows.where(F.col("class") != F.col("main")).select("token", F.col("node").alias("x"), "n", "level", "picked", "class")
-    met = asks.join(lists, "token").repartition("x").sortWithinPartitions("x")
-    found = met.select("x", "n", "level", "picked", "class", "list").mapInArrow(_candidates(percent), "x long, other long")
-    return found
+    lists = rows.join(df, ["token", "size"]).groupBy("token", "size", part.alias("part")).agg(F.collect_list(F.struct("node", "n", "level", "picked", "class")).alias("list")).select("token", "size", "list")
+    asks = rows.where(F.col("class") != F.col("main")).select("token", F.col("node").alias("x"), "n", "level", "picked", "class", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    met = asks.join(lists, ["token", "size"]).repartition("x").sortWithinPartitions("x")
+    return met.select("x", "n", "level", "picked", "class", "list").mapInArrow(_candidates(percent), "x long, other long")
 
 
 def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,16 +294,40 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return sets.select("doc_id", "fp", "sig", "n").join(named, "sig", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _size(n: Column, percent: int) -> Column:
+    """Size class: documents that may link lie in the same one or in neighbours (the factor keeps rounding on the safe side)."""
+    return F.floor(F.log(n.cast("double")) / -math.log(percent / 100) * 0.999999).cast("int") if percent < 100 else n.cast("int")
+
+
+def _picked() -> Column:
+    """The match count of least cost: reading the lists of its prefix, and verifying at most their sum divided by the count."""
+    met = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) for k in range(1, MOST_MATCHES + 1)]
+    cost = [F.struct((m + m / k * (1 + F.max("n") / 64)).alias("c"), F.lit(k).alias("k")) for k, m in enumerate(met, 1)]
+    return F.array_min(F.array(*cost))["k"]
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, sig, fp, n, size, level, picked) of each distinct set's prefix, as far as a set of like size shares the token."""
+    one = sets.where("tokens is not null").groupBy("sig").agg(F.max(F.struct("n", "base", "fp", "tokens")).alias("s")).select("sig", "s.*")
+    spread = one.select("sig", "n", "base", "fp", F.posexplode("tokens").alias("at", "token"))
+    level = F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).cast("int")
+    per = spread.select("token", "sig", F.col("n").cast("int").alias("n"), "fp", level.alias("level"))
+    often = per.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    rows = cut(per.join(often, "token").withColumn("size", _size(F.col("n"), percent)))
+    near = rows.groupBy("token", "size").agg(F.count("*").alias("c")).select("token", "c", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    df = near.groupBy("token", "size").agg(F.sum("c").alias("df")).where("df > 1")
+    rows = rows.join(df, ["token", "size"])
+    # a set's match count, which is at most the number of shingles that it must share
+    most = F.ceil(F.lit(percent) * F.max("n") / 100)
+    picked = rows.groupBy("sig").agg(F.least(_picked(), most).cast("int").alias("picked"))
+    return rows.join(picked, "sig").where("level <= picked").drop("df")
+
+
 def _classes(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, class) of the sets that share a prefix shingle with another set."""
-    one = sets.where("tokens is not null").groupBy("sig").agg(F.max(F.struct("n", "base", "picked", "fp", "tokens")).alias("s")).select("sig", "s.*")
-    spread = one.select("sig", "n", "base", "picked", "fp", F.posexplode("tokens").alias("at", "token"))
-    level = F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).cast("int")
-    per = spread.select("token", "sig", "n", "picked", "fp", level.alias("level"))
-    df = per.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    kept = cut(per.join(df, "token"))
+    kept = cut(_postings(sets, percent))
     nodes = cut(cut(kept.groupBy("sig").agg(F.min("fp").alias("fp"))).withColumn("node", F.monotonically_increasing_id()))
-    postings = cut(kept.select("token", "sig", "n", "picked", "level").join(maybe_broadcast(nodes.select("sig", "node")), "sig").drop("sig"))
+    postings = cut(kept.select("token", "sig", "n", "size", "level", "picked").join(maybe_broadcast(nodes.select("sig", "node")), "sig").drop("sig"))
     texts = rows.join(maybe_broadcast(nodes.select("fp").distinct()), "fp", "left_semi").select("text")
     whole = texts.mapInArrow(_whole_sets(words), "sig binary, values array<long>").join(maybe_broadcast(nodes.select("sig", "node")), "sig")
     whole = cut(whole.groupBy("node").agg(F.first("values").alias("values")))
