@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridwright-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files, which outlive any executor."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from the files, which outlive any executor.
+
+    With ``release`` both garbage collectors run afterwards: Spark deletes shuffle and checkpoint files
+    only when the driver's objects for them are collected, and a long chain of steps would keep them all.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out

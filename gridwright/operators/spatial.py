@@ -166,12 +166,12 @@ def connect(points: DataFrame, ways: DataFrame, radius: float = 2000.0, least: f
     met = cut(met.withColumn("m", end))
     ends = ways.select("way_id", G.start_point(F.col("line")).alias("__a"), G.end_point(F.col("line")).alias("__b"))
     foot = F.when(F.col("m") == 0, F.col("__a")).when(F.col("m") == F.col("total"), F.col("__b")).otherwise(G.point(F.col("wx"), F.col("wy")))
-    lines = met.join(ends, "way_id").select(F.lit(None).cast("long").alias("way_id"), F.lit(110).alias("clazz"), F.array(G.point(F.col("x"), F.col("y")), foot).alias("line"), F.lit(1).alias("__k"), F.col("id").alias("__o"), F.lit(0).alias("__p"))
+    lines = met.join(ends, "way_id").select(F.lit(None).cast("long").alias("way_id"), F.lit(110).alias("clazz"), F.array(G.point(F.col("x"), F.col("y")), foot).alias("line"), F.lit(1).alias("__k"), F.lit(None).cast("long").alias("__w"), F.lit(0).alias("__p"), F.col("id").alias("__o"))
     touched = met.where("m > 0 and m < total").select("way_id", "m")
     parts = split_ways(segs.join(touched.select("way_id").distinct(), "way_id", "left_semi"), touched)
-    cut_ways = parts.select(F.lit(None).cast("long").alias("way_id"), F.lit(103).alias("clazz"), "line", F.lit(0).alias("__k"), F.col("way_id").alias("__o"), F.col("part").alias("__p"))
+    cut_ways = parts.select(F.lit(None).cast("long").alias("way_id"), F.lit(103).alias("clazz"), "line", F.lit(0).alias("__k"), F.col("way_id").cast("long").alias("__w"), F.col("part").alias("__p"), F.lit(None).cast(points.schema["id"].dataType).alias("__o"))
     kept = ways.join(touched.select("way_id").distinct(), "way_id", "left_anti").select(F.col("way_id").cast("long").alias("way_id"), "clazz", "line")
-    new = cut_ways.unionByName(lines).withColumn("__n", F.row_number().over(Window.orderBy("__k", "__o", "__p")))
+    new = cut_ways.unionByName(lines).withColumn("__n", F.row_number().over(Window.orderBy("__k", "__w", "__p", "__o")))
     top = ways.agg(F.max("way_id").alias("__top"))
     return kept.unionByName(new.crossJoin(F.broadcast(top)).select((F.col("__top") + F.col("__n")).alias("way_id"), "clazz", "line"))
 

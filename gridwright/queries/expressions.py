@@ -70,15 +70,15 @@ def settlement_score(v: Views) -> DataFrame:
 _KIND = "CASE o_orderkey%6 WHEN 0 THEN ' Radweg ' WHEN 1 THEN 'Gemeindestraße' WHEN 2 THEN 'Rad- und Fußweg' WHEN 3 THEN 'Kreisstraße' WHEN 4 THEN 'Pfad' END"
 
 
-@query(f"""WITH w AS (SELECT o_orderkey AS remote_id, {_KIND} AS kind FROM orders WHERE o_orderkey%50=0 UNION ALL SELECT o_orderkey+1000000, 'Fußweg' FROM orders WHERE o_orderkey%200=0),
+@query(f"""WITH w AS (SELECT o_orderkey AS remote_id, {_KIND} AS kind FROM orders UNION ALL SELECT c_custkey+100000000, 'Fußweg' FROM customer),
 c AS (SELECT remote_id, CASE TRIM(kind) WHEN 'Radweg' THEN 81 WHEN 'Gemeindestraße' THEN 41 WHEN 'Rad- und Fußweg' THEN 72 WHEN 'Kreisstraße' THEN 21 WHEN 'Fußweg' THEN 91 ELSE 99 END AS clazz FROM w)
 SELECT 500+ROW_NUMBER() OVER (ORDER BY remote_id) AS way_id, remote_id, clazz FROM c WHERE clazz<>72""")
 def way_class_map(v: Views) -> DataFrame:
     """Street classes of two sources (U01), without class 72, numbered on from the largest id."""
     from gridwright.operators.dml import numbered
 
-    one = v.orders.where("o_orderkey % 50 = 0").selectExpr("o_orderkey AS remote_id", f"{_KIND} AS kind")
-    two = v.orders.where("o_orderkey % 200 = 0").selectExpr("o_orderkey + 1000000 AS remote_id", "'Fußweg' AS kind")
+    one = v.orders.selectExpr("o_orderkey AS remote_id", f"{_KIND} AS kind")
+    two = v.customer.selectExpr("c_custkey + 100000000 AS remote_id", "'Fußweg' AS kind")
     ways = one.unionByName(two).select("remote_id", T.way_class(F.col("kind")).alias("clazz")).where("clazz <> 72")
     return numbered(ways, ["remote_id"], 501, "way_id").select("way_id", "remote_id", "clazz")
 

@@ -30,6 +30,7 @@ ADAPTERS = {
     "x_features": "SELECT p_partkey AS grid_result_id, CAST(p_size AS DOUBLE) AS f1, CAST(p_retailprice AS DOUBLE) AS f2, CAST(p_partkey%7 AS INT) AS ca, CAST((p_partkey*13)%5 AS INT) AS cb FROM part",
     "x_voltage": "SELECT event_id AS bus, user_id AS grid_result_id, ROUND(0.85+value/1000.0,6) AS vm_pu FROM events",
     "x_municipal": "SELECT plz,ags,regio7,pop,area,pop/area AS pop_den FROM x_register",
+    "x_streets": """SELECT plz, osm_id, r AS source, CAST(FLOOR((r-1)/2.0) AS BIGINT) AS target, CAST(10+(osm_id*37)%90 AS DOUBLE) AS cost FROM (SELECT plz, osm_id, ROW_NUMBER() OVER (PARTITION BY plz ORDER BY osm_id)-1 AS r FROM x_buildings) AS t""",
     "x_loads": """SELECT b.osm_id, b.plz, b.x, b.y, b.type, b.area, c.sim_factor,
  COALESCE(b.households_per_building, CASE WHEN b.type IN ('TH','Commercial','Public') THEN 1 WHEN b.type='SFH' THEN CASE WHEN b.area<160 THEN 1 ELSE 2 END ELSE CAST(FLOOR(b.area/50)*b.floors AS INT) END) AS homes,
  c.peak_load, c.peak_load_per_m2 FROM x_buildings b LEFT JOIN x_categories c ON b.type=c.definition""",

@@ -42,10 +42,10 @@ def small_keyed_reads(v: Views) -> DataFrame:
     return v.x_categories.select("definition", "sim_factor").orderBy("definition")
 
 
-@query("SELECT s_suppkey AS osm_id, b.x, b.y FROM supplier s JOIN x_transformers b ON b.osm_id=s.s_suppkey WHERE s_suppkey%10=0")
+@query("SELECT s_suppkey AS osm_id, b.x, b.y FROM supplier s JOIN x_transformers b ON b.osm_id=s.s_suppkey")
 def point_lookup(v: Views) -> DataFrame:
     """Coordinates of many vertices in one join."""
-    wanted = v.supplier.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("osm_id"))
+    wanted = v.supplier.select(F.col("s_suppkey").alias("osm_id"))
     return wanted.join(v.x_transformers, "osm_id").select("osm_id", "x", "y")
 
 
@@ -65,10 +65,10 @@ def missing_regions(v: Views) -> DataFrame:
 
 
 # --- joins -------------------------------------------------------------------------------------
-@query("SELECT b.osm_id, b.plz, t.osm_id AS trafo FROM x_buildings b JOIN x_transformers t ON b.plz=t.plz AND b.osm_id%3=t.osm_id%3 WHERE t.osm_id<40")
+@query("SELECT b.osm_id, b.plz, t.osm_id AS trafo FROM x_buildings b JOIN x_transformers t ON b.plz=t.plz AND b.osm_id%3=t.osm_id%3")
 def join_inner_composite(v: Views) -> DataFrame:
     """Inner join on several keys."""
-    t = v.x_transformers.where("osm_id < 40").selectExpr("osm_id AS trafo", "plz", "osm_id % 3 AS k")
+    t = v.x_transformers.selectExpr("osm_id AS trafo", "plz", "osm_id % 3 AS k")
     return v.x_buildings.withColumn("k", F.expr("osm_id % 3")).join(t, ["plz", "k"]).select("osm_id", "plz", "trafo")
 
 
@@ -79,11 +79,11 @@ def join_left_two_key(v: Views) -> DataFrame:
     return v.x_buildings.join(F.broadcast(c), ["type", "plz"], "left").select("osm_id", "sim_factor")
 
 
-@query("SELECT b.osm_id, CAST(b.plz AS BIGINT) AS plz, t.pos FROM (SELECT osm_id AS pos, plz FROM x_transformers WHERE osm_id<15) t RIGHT JOIN (SELECT osm_id, plz FROM x_buildings WHERE osm_id<300) b ON t.plz=b.plz")
+@query("SELECT b.osm_id, CAST(b.plz AS BIGINT) AS plz, t.pos FROM (SELECT osm_id AS pos, plz FROM x_transformers WHERE transformer_rated_power=630) t RIGHT JOIN x_buildings b ON t.plz=b.plz")
 def join_right_params(v: Views) -> DataFrame:
     """Right join that keeps every grid."""
-    t = v.x_transformers.where("osm_id < 15").selectExpr("osm_id AS pos", "plz")
-    return t.join(v.x_buildings.where("osm_id < 300").select("osm_id", "plz"), "plz", "right").select("osm_id", F.col("plz").cast("long").alias("plz"), "pos")
+    t = v.x_transformers.where("transformer_rated_power = 630").selectExpr("osm_id AS pos", "plz")
+    return t.join(v.x_buildings.select("osm_id", "plz"), "plz", "right").select("osm_id", F.col("plz").cast("long").alias("plz"), "pos")
 
 
 @query("SELECT r.plz, r.ags, m.regio7, ROUND(m.pop/m.area,6) AS pop_den, n.n_name AS name_city FROM x_register r JOIN x_municipal m ON r.plz=m.plz JOIN nation n ON n.n_nationkey=r.ags")
@@ -99,16 +99,16 @@ def semi_large_buildings(v: Views) -> DataFrame:
     return v.x_buildings.select("plz").distinct().join(peaks(v).where("homes > 60"), "plz", "left_semi")
 
 
-@query("SELECT MIN(plz) AS kcid FROM x_buildings WHERE plz NOT IN (SELECT plz FROM x_transformers WHERE osm_id<20)")
+@query("SELECT MIN(plz) AS kcid FROM x_buildings WHERE plz NOT IN (SELECT plz FROM x_transformers WHERE transformer_rated_power=250)")
 def anti_unfinished(v: Views) -> DataFrame:
     """Next cluster without a result."""
-    return scans.first_unfinished(v.x_buildings.select(F.col("plz").alias("kcid")), v.x_transformers.where("osm_id < 20").select(F.col("plz").alias("kcid")))
+    return scans.first_unfinished(v.x_buildings.select(F.col("plz").alias("kcid")), v.x_transformers.where("transformer_rated_power = 250").select(F.col("plz").alias("kcid")))
 
 
-@query("SELECT DISTINCT plz, plz IN (SELECT plz FROM x_transformers WHERE osm_id<20) AS generated FROM x_buildings")
+@query("SELECT DISTINCT plz, plz IN (SELECT plz FROM x_transformers WHERE transformer_rated_power=250) AS generated FROM x_buildings")
 def exists_flag(v: Views) -> DataFrame:
     """Whether a postcode was generated."""
-    return scans.flagged(v.x_buildings.select("plz").distinct(), v.x_transformers.where("osm_id < 20"), ["plz"], "generated")
+    return scans.flagged(v.x_buildings.select("plz").distinct(), v.x_transformers.where("transformer_rated_power = 250"), ["plz"], "generated")
 
 
 @query("SELECT b.osm_id, ROUND(b.area/t.total,9) AS share FROM x_buildings b CROSS JOIN (SELECT SUM(area) AS total FROM x_buildings) t")
@@ -345,10 +345,10 @@ def union_sources(v: Views) -> DataFrame:
     return v.x_buildings.select("osm_id", "plz").unionByName(v.x_transformers.select("osm_id", "plz"))
 
 
-@query("SELECT plz FROM x_buildings EXCEPT SELECT plz FROM x_transformers WHERE osm_id<20")
+@query("SELECT plz FROM x_buildings EXCEPT SELECT plz FROM x_transformers WHERE transformer_rated_power=250")
 def set_difference(v: Views) -> DataFrame:
     """Postcodes in one table and not in the other."""
-    return v.x_buildings.select("plz").subtract(v.x_transformers.where("osm_id < 20").select("plz"))
+    return v.x_buildings.select("plz").subtract(v.x_transformers.where("transformer_rated_power = 250").select("plz"))
 
 
 @query("SELECT plz, GROUPING(type) AS g, type, COUNT(*) AS n FROM x_buildings GROUP BY ROLLUP (plz, type)")
@@ -396,10 +396,10 @@ def cascade_delete(v: Views) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT p.osm_id, g.osm_id AS grid_result_id FROM x_peaks p JOIN x_transformers g ON g.plz=p.plz WHERE p.kw NOT IN (0,-1) AND g.osm_id<30")
+@query("SELECT p.osm_id, g.osm_id AS grid_result_id FROM x_peaks p JOIN x_transformers g ON g.plz=p.plz WHERE p.kw NOT IN (0,-1) AND g.transformer_rated_power IS NOT NULL")
 def publish_results(v: Views) -> DataFrame:
     """Buildings of finished grids with the grid's id."""
-    grids = v.x_transformers.where("osm_id < 30").selectExpr("plz", "osm_id AS grid_result_id")
+    grids = v.x_transformers.where("transformer_rated_power is not null").selectExpr("plz", "osm_id AS grid_result_id")
     return dml.publish(peaks(v).withColumn("peak_load_in_kw", F.col("kw")), grids, ["plz"]).select("osm_id", "grid_result_id")
 
 

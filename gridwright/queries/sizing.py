@@ -1 +1,151 @@
-"""Placeholder."""
+"""Clusters, transformer places, cables, and the flow through the finished grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridwright.operators import cables, clustering, network
+from gridwright.operators.components import connected_components
+from gridwright.queries.expressions import peaks
+from gridwright.queries.graphs import _STREET_COSTS, street_costs, streets
+from gridwright.queries.registry import Views, query
+
+
+def _plan(v: Views):
+    from gridwright.plans.generate import demo_inputs, generate
+
+    return generate(*demo_inputs(v))
+
+
+def _matrix(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Costs among the points of each postcode's streets, and the buildings there."""
+    b = peaks(v).select("osm_id", "type", "kw", "homes").join(v.x_streets.select("osm_id", "plz", F.col("source").alias("vid")), "osm_id")
+    return street_costs(v), b.withColumn("settlement_type", F.lit(2))
+
+
+@query(f"""WITH {_STREET_COSTS}, k AS (SELECT x.plz, x.source AS vid, p.kw FROM x_streets x JOIN x_peaks p ON p.osm_id=x.osm_id),
+t AS (SELECT sm.plz, sm.s, SUM(sm.m*k.kw) AS moment, MAX(sm.m)<=400 AS feasible FROM sm JOIN k ON k.plz=sm.plz AND k.vid=sm.e GROUP BY 1,2),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plz ORDER BY feasible DESC, ROUND(moment,6), s) AS r FROM t)
+SELECT plz, s AS ont_vid, ROUND(moment,4) AS moment, feasible FROM r WHERE r=1""")
+def greenfield_position(v: Views) -> DataFrame:
+    """The place with the least sum of distance times load within reach."""
+    costs, b = _matrix(v)
+    out = clustering.greenfield_positions(costs, b.select("plz", "vid", "kw"), ["plz"], 400.0)
+    return out.select("plz", "ont_vid", F.round("moment", 4).alias("moment"), "feasible")
+
+
+@query(name="brownfield_assign")
+def brownfield_assign(v: Views) -> DataFrame:
+    """Consumers dealt to existing transformers with room."""
+    costs, b = _matrix(v)
+    pairs = costs.where("end_vid % 20 = 3").select("plz", "start_vid", "end_vid", "agg_cost")  # transformers at every twentieth point
+    return clustering.brownfield_clusters(pairs, b, ["plz"])
+
+
+@query(name="linkage_clusters")
+def linkage_clusters(v: Views) -> DataFrame:
+    """Clusters that one transformer can serve, by average linkage and bisection."""
+    costs, b = _matrix(v)
+    return clustering.greenfield_clusters(costs, b, ["plz"])
+
+
+@query(name="bcid_accept")
+def bcid_accept(v: Views) -> DataFrame:
+    """Sizes and members of the accepted clusters."""
+    costs, b = _matrix(v)
+    return clustering.greenfield_clusters(costs, b, ["plz"]).groupBy("plz", "bcid", "rated").agg(F.count("*").alias("members"), F.min("vid").alias("first"))
+
+
+@query("WITH RECURSIVE n AS (SELECT source AS node FROM x_forest UNION SELECT target FROM x_forest), r(node, top) AS (SELECT node, node FROM n UNION ALL SELECT r.node, f.target FROM r JOIN x_forest f ON f.source=r.top), c AS (SELECT node, MIN(top) AS component FROM r GROUP BY node), s AS (SELECT *, COUNT(*) OVER (PARTITION BY component) AS k FROM c) SELECT node AS vid, CAST(DENSE_RANK() OVER (ORDER BY component) AS INT) AS kcid FROM s WHERE k>1")
+def component_dispatch(v: Views) -> DataFrame:
+    """Components become clusters; lone ones go, large ones would be split."""
+    comp = connected_components(v.x_forest, "source", "target")
+    b = comp.select(F.lit(1).alias("plz"), "component", F.col("node").alias("vid"), F.col("node").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return clustering.components_to_clusters(b, ["plz"]).select("vid", "kcid")
+
+
+_CABLES = "(VALUES ('NAYY_4_120',0.242e0,0.225e0,0.08e0,120),('NAYY_4_150',0.270e0,0.208e0,0.08e0,150),('NAYY_4_185',0.313e0,0.164e0,0.08e0,185)) AS c(name,i,r,x,q)"
+
+
+@query(f"""WITH l AS (SELECT osm_id, kw*20 AS kw, x/20 AS m, kw*20/(400*0.9e0*SQRT(3e0)) AS ka FROM x_peaks WHERE kw>0),
+o AS (SELECT l.osm_id, n, q, name, ROW_NUMBER() OVER (PARTITION BY l.osm_id ORDER BY n, q) AS r FROM l CROSS JOIN range(1, 3000) t(n) CROSS JOIN {_CABLES} WHERE i>=ka/n AND SQRT(r*r+x*x)<=CASE WHEN ka*m<=0 THEN 1e30 ELSE 0.4e0*0.04e0/(SQRT(3e0)*ka*(m/1000)/n) END)
+SELECT osm_id, name AS cable, CAST(n AS INT) AS parallel FROM o WHERE r=1""")
+def cable_choice(v: Views) -> DataFrame:
+    """Feeder cable and number in parallel of a load at a distance."""
+    name, n = cables.feeder_cable(F.col("kw") * 20, F.col("x") / 20)
+    return peaks(v).where("kw > 0").select("osm_id", name.alias("cable"), n.alias("parallel"))
+
+
+_HOUSE = "(VALUES ('NYY_4_35',0.159e0,0.524e0,0.085e0,35),('NAYY_4_50',0.142e0,0.642e0,0.083e0,50),('NYY_4_70',0.232e0,0.268e0,0.082e0,70)) AS c(name,i,r,x,q)"
+
+
+@query(f"""WITH l AS (SELECT osm_id, kw*3 AS kw, y/50 AS m, kw*3/(400*0.9e0*SQRT(3e0)) AS ka FROM x_peaks WHERE kw>0),
+o AS (SELECT l.osm_id, n, q, name, ROW_NUMBER() OVER (PARTITION BY l.osm_id ORDER BY n, q) AS r FROM l CROSS JOIN range(1, 200) t(n) CROSS JOIN {_HOUSE} WHERE i>=ka/n AND SQRT(r*r+x*x)<=CASE WHEN ka*m<=0 THEN 1e30 ELSE 0.4e0*CASE WHEN kw>100 THEN 0.1e0 ELSE 0.05e0 END/(SQRT(3e0)*ka*(m/1000)/n) END)
+SELECT osm_id, name AS cable, CAST(n AS INT) AS parallel FROM o WHERE r=1""")
+def consumer_cable_choice(v: Views) -> DataFrame:
+    """House cable, with the stricter drop for small loads."""
+    name, n = cables.consumer_cable(F.col("kw") * 3, F.col("y") / 50, F.lit(False))
+    return peaks(v).where("kw > 0").select("osm_id", name.alias("cable"), n.alias("parallel"))
+
+
+@query("SELECT regexp_extract(name,'^([A-Z]+)',1) AS family, ARG_MAX(name, i) AS name FROM (VALUES ('NAYY_4_120',242),('NAYY_4_150',270),('NAYY_4_185',313),('NYY_4_35',159),('NAYY_4_50',142),('NYY_4_70',232)) AS c(name,i) GROUP BY 1")
+def fallback_cable(v: Views) -> DataFrame:
+    """The strongest cable of a family stands in for a missing one."""
+    from gridwright import config
+
+    return cables.fallback_cable(config.cables(v.spark))
+
+
+@query("SELECT name, CAST(i AS DOUBLE)/1000 AS max_i_ka, CAST(r AS DOUBLE)/1000 AS r_ohm_per_km FROM (VALUES ('NAYY_4_120',242,225),('NAYY_4_150',270,208),('NAYY_4_185',313,164),('NYY_4_35',159,524),('NAYY_4_50',142,642),('NYY_4_70',232,268)) AS c(name,i,r)")
+def cable_types(v: Views) -> DataFrame:
+    """Cable data in ohm and kA."""
+    from gridwright import config
+
+    return config.cables(v.spark).select("name", "max_i_ka", "r_ohm_per_km")
+
+
+@query(name="generated_grids")
+def generated_grids(v: Views) -> DataFrame:
+    """Grids of the demo town: clusters, places and sizes of transformers."""
+    return _plan(v)["grids"]
+
+
+@query(name="generated_lines")
+def generated_lines(v: Views) -> DataFrame:
+    """All cables of those grids, sized in two passes."""
+    return _plan(v)["line"]
+
+
+@query(name="power_flow_sweep")
+def power_flow_sweep(v: Views) -> DataFrame:
+    """Voltages and loadings of those grids."""
+    plan = _plan(v)
+    return network.circuit_metrics(plan["flow"], plan["by"])
+
+
+@query(name="clustering_metrics")
+def clustering_metrics(v: Views) -> DataFrame:
+    """The clustering parameters of those grids."""
+    from gridwright.operators.grid_metrics import clustering_metrics as metrics
+
+    plan = _plan(v)
+    return metrics(plan, plan["by"])
+
+
+@query(name="comparison_metrics")
+def comparison_metrics(v: Views) -> DataFrame:
+    """The comparison parameters of those grids."""
+    from gridwright.operators.grid_metrics import comparison_metrics as metrics
+
+    plan = _plan(v)
+    return metrics(plan, plan["by"])
+
+
+@query(name="random_load_flow")
+def random_load_flow(v: Views) -> DataFrame:
+    """Voltages of the tree under hash-drawn loads."""
+    lines = streets(v).select("plz", F.col("target").alias("from_bus"), F.col("source").alias("to_bus"), (F.col("cost") / 1000).alias("length_km"), F.lit(0.164).alias("r_ohm_per_km"), F.lit(0.08).alias("x_ohm_per_km"), F.lit(2).alias("parallel"), F.lit(0.313).alias("max_i_ka"))
+    bus = lines.select("plz", F.col("to_bus").alias("bus"))
+    loads = network.random_loads(bus, ["plz"], 0.0002, 0.0006, 0.95, 42)
+    return network.power_flow(lines, loads, lines.select("plz", F.lit(0).cast("long").alias("vid")).distinct(), ["plz"], reactive=True)
