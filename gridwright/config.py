@@ -103,7 +103,7 @@ DEFAULT = Config()
 
 
 def load(path: str, base: Config = DEFAULT) -> Config:
-    """``base`` with the values of a YAML mapping; names that stand for other values (PEAK_LOAD_HOUSEHOLD) are resolved, unknown keys ignored."""
+    """``base`` with the values of a YAML mapping (S18); names that stand for other values (PEAK_LOAD_HOUSEHOLD) are resolved, unknown keys ignored."""
     import dataclasses
 
     import yaml

@@ -22,20 +22,18 @@ class SplitWay:
                 last = share
 
 
-def register(spark: SparkSession) -> list[str]:
-    """sim_load(p, n, g), cable_name(text) and the table function split_way(xs, ys, shares)."""
-    import re
+def _sim_load(p: pd.Series, n: pd.Series, g: pd.Series) -> pd.Series:
+    good = (p.fillna(0) > 0) & (n.fillna(0) > 0)
+    return (p * (g + (1 - g) * n.where(good, 1.0) ** -0.75)).where(good, 0.0)
+
 
-    def sim_load(p: pd.Series, n: pd.Series, g: pd.Series) -> pd.Series:
-        good = (p.fillna(0) > 0) & (n.fillna(0) > 0)
-        return (p * (g + (1 - g) * n.where(good, 1.0) ** -0.75)).where(good, 0.0)
+def _cable_name(text: pd.Series) -> pd.Series:
+    return text.str.strip().str.replace(r"\s+", "_", regex=True).str.replace(r"(\d)x(\d)", r"\1_\2", regex=True).str.replace(r"_?SE$", "", regex=True)
 
-    def cable_name(text: pd.Series) -> pd.Series:
-        fixed = lambda t: None if t is None else re.sub(r"_?SE$", "", re.sub(r"(\d)x(\d)", r"\1_\2", re.sub(r"\s+", "_", t.strip())))
-        return text.map(fixed)
 
-    sim_load.__annotations__ = cable_name.__annotations__ = {}
-    spark.udf.register("sim_load", F.pandas_udf(sim_load, "double", F.PandasUDFType.SCALAR))
-    spark.udf.register("cable_name", F.pandas_udf(cable_name, "string", F.PandasUDFType.SCALAR))
+def register(spark: SparkSession) -> list[str]:
+    """sim_load(p, n, g), cable_name(text) and the table function split_way(xs, ys, shares)."""
+    spark.udf.register("sim_load", F.pandas_udf(_sim_load, "double"))
+    spark.udf.register("cable_name", F.pandas_udf(_cable_name, "string"))
     spark.udtf.register("split_way", F.udtf(SplitWay, returnType="part int, share_from double, share_to double, length double"))
     return ["sim_load", "cable_name", "split_way"]

@@ -199,3 +199,36 @@ def capacity_near(clusters: DataFrame, known: DataFrame, reach: float = 1.0) ->
     best = Window.partitionBy("id").orderBy("dist", "other")
     power = known.select(F.col("id").alias("other"), "transformer_rated_power")
     return met.join(power, "other").where("transformer_rated_power is not null").withColumn("__at", F.row_number().over(best)).where("__at = 1").select("id", "transformer_rated_power")
+
+
+def by_address(points: DataFrame, ways: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
+    """The way of a point (id, x, y, address) by its address, else the nearest one (G32): id, way_id, matched."""
+    direct = points.join(ways.select("way_id", "address"), "address").groupBy("id").agg(F.min("way_id").alias("direct"))
+    rest = points.join(direct, "id", "left_anti")
+    near = nearest_way(rest.select("id", "x", "y"), segs, radius).select("id", F.col("way_id").alias("near"))
+    out = points.select("id").join(direct, "id", "left").join(near, "id", "left")
+    return out.select("id", F.coalesce("direct", "near").alias("way_id"), F.col("direct").isNotNull().alias("matched"))
+
+
+def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, ring: the convex hull of each group's points (A28 G20 A13), closed, counter-clockwise."""
+    import pandas as pd
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        pts = sorted(set(zip(p["x"].tolist(), p["y"].tolist(), strict=True)))
+
+        def half(order) -> list:
+            out: list = []
+            for q in order:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(q)
+            return out[:-1]
+
+        ring = half(pts) + half(pts[::-1]) if len(pts) > 1 else pts
+        return pd.DataFrame([(*key, [{"x": a, "y": b} for a, b in [*ring, *ring[:1]]])], columns=[*by, "ring"])
+
+    kinds = ", ".join(f"{n} {points.schema[n].dataType.simpleString()}" for n in by)
+    # a corner of the hull has the least or greatest y of its x
+    ends = points.groupBy(*by, "x").agg(F.min("y").alias("a"), F.max("y").alias("b")).select(*by, "x", F.explode(F.array("a", "b")).alias("y"))
+    return ends.groupBy(*by).applyInPandas(run, f"{kinds}, ring array<struct<x: double, y: double>>")

@@ -102,8 +102,10 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
     load = cut(network.load_table(loads, GRID, config))
     bus = network.buses(line, loads, grids, GRID, config)
     spots = vertices.select(F.col("id").alias("__v"), "x", "y")
-    place = F.when(F.col("bus") < -1, -2 - F.col("bus")).when(F.col("bus") > 0, F.col("bus"))
-    bus = cut(bus.withColumn("__v", place).join(spots, "__v", "left").drop("__v"))
+    fixed = F.col("name").isin("LVbus 1", "MVbus 1")
+    place = F.when(fixed, F.col("ont_vid")).when(F.col("bus") < 0, -2 - F.col("bus")).otherwise(F.col("bus"))
+    bus = bus.join(grids.select(*GRID, "ont_vid"), GRID).withColumn("__v", place).join(spots, "__v", "left")
+    bus = cut(bus.withColumn("y", F.when(F.col("name") == "MVbus 1", F.col("y") + 1.5e-4).otherwise(F.col("y"))).drop("__v", "ont_vid"))
     roots = grids.select(*GRID, F.lit(-1).cast("long").alias("vid"))
     flow = cut(network.power_flow(line, load, roots, GRID, config))
     return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow}

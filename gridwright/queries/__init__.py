@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from gridwright.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401
-from gridwright.queries import expressions, relational, spatial, graphs, sizing, statistics, storage  # noqa: E402,F401,I001
+from gridwright.queries import expressions, relational, spatial, graphs, sizing, statistics, storage, extras  # noqa: E402,F401,I001

@@ -74,7 +74,7 @@ _KIND = "CASE o_orderkey%6 WHEN 0 THEN ' Radweg ' WHEN 1 THEN 'Gemeindestraße'
 c AS (SELECT remote_id, CASE TRIM(kind) WHEN 'Radweg' THEN 81 WHEN 'Gemeindestraße' THEN 41 WHEN 'Rad- und Fußweg' THEN 72 WHEN 'Kreisstraße' THEN 21 WHEN 'Fußweg' THEN 91 ELSE 99 END AS clazz FROM w)
 SELECT 500+ROW_NUMBER() OVER (ORDER BY remote_id) AS way_id, remote_id, clazz FROM c WHERE clazz<>72""")
 def way_class_map(v: Views) -> DataFrame:
-    """Street classes of two sources (U01), without class 72, numbered on from the largest id."""
+    """Street classes of two sources (U01), without class 72, numbered on from the largest id."""
     from gridwright.operators.dml import numbered
 
     one = v.orders.selectExpr("o_orderkey AS remote_id", f"{_KIND} AS kind")

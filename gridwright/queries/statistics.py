@@ -90,7 +90,7 @@ def factor_tests(v: Views) -> DataFrame:
 
 @query(name="kmeans_grids")
 def kmeans_grids(v: Views) -> DataFrame:
-    """Clusters of grids, numbered by their representatives."""
+    """Clusters of grids, numbered by their representatives; the k-medoids column stays null."""
     rows = clustering.kmeans_grids(v.x_features, "grid_result_id", ["f1", "f2"], 5)
     chosen = clustering.representatives(rows, "grid_result_id", ["f1", "f2"])
     out = clustering.reindexed(rows.select("grid_result_id", "clusters"), chosen, v.x_features, "grid_result_id", "f1")
