@@ -7,11 +7,12 @@ o = ceil(n * percent / 100) at least, so in that order two linked documents shar
 n - o + l shingles, for any l up to o. The index holds every document's longest prefix; from the
 lengths of its posting lists each document picks the l whose candidates are estimated to cost least,
 and a pair is a candidate if it shares as many shingles of the l-prefixes as the smaller of its two
-l. Lists are kept apart by size, since linked documents are of like size.
+l; of those, what the two have left behind their prefixes must suffice for the similarity. Lists are
+kept apart by size, since linked documents are of like size.
 
-Only the classes are asked for, so links inside a class that is known already need no search. A few
-rounds check each document against the most similar leaders of its posting lists and join classes;
-then every candidate pair across classes is checked, with no cap. Equal sets are one node. Pairs are
+Only the classes are asked for, so links inside a class that is known already need no search. Two
+rounds check documents in long lists against leaders of these and join classes; then every candidate
+pair across classes is checked, with no cap. Equal sets are one node. Pairs are
 verified on whole sets.
 """
 
@@ -38,8 +39,8 @@ MOST_MATCHES = 8
 COUNTED, LEAST_SEEN = 1 << 22, 2
 #: Frequent shingles that are put last; the table of them is broadcast. Beyond it the order goes by hash, which costs time only.
 FREQUENT = 400_000
-#: Rounds of leaders before the full search across classes, and leaders that a document is checked against in each.
-ROUNDS, LEADERS = 2, 4
+#: Rounds of leaders before the full search across classes, leaders that a document is checked against in each, and the length from which lists have them.
+ROUNDS, LEADERS, LONG_LIST = 2, 12, 64
 #: Documents in one list of a posting.
 LIST = 512
 
@@ -204,49 +205,64 @@ def _verified(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of the pairs (x, other) whose sets are similar enough."""
-    asked = pairs.join(sets.select(F.col("node").alias("other"), "values"), "other").select("x", "other", "values")
-    own = pairs.select(F.col("x").alias("node")).distinct().join(sets.select("node", "values"), "node").select(F.col("node").alias("x"), F.lit(None).cast("long").alias("other"), "values")
-    rows = asked.unionByName(own).repartition("x").sortWithinPartitions("x", F.col("other").asc_nulls_first())
+    asked = pairs.select("x", "other", F.col("other").alias("node"))
+    own = pairs.select("x").distinct().select("x", F.lit(None).cast("long").alias("other"), F.col("x").alias("node"))
+    needed = maybe_broadcast(cut(asked.unionByName(own)))
+    rows = sets.join(needed, "node").select("x", "other", "values").repartition("x").sortWithinPartitions("x", F.col("other").asc_nulls_first())
     return rows.mapInArrow(_verified(percent), "src long, dst long")
 
 
 def _leader_pairs(postings: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each document up to LEADERS documents of other classes that lead most of its lists."""
-    rows = postings.join(classes, "node")
-    rank = F.xxhash64("node", F.lit(turn))
-    lead = rows.groupBy("token", "size").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("picked").alias("l"), F.col("class").alias("their"))).alias("lead")).select("token", "size", "lead.*")
+    """For each document of long lists up to LEADERS documents of other classes, each drawn as the leader of a list by a hash."""
+    long = postings.groupBy("token", "size").agg(F.count("*").alias("c")).where(F.col("c") >= LONG_LIST).select("token", "size")
+    rows = postings.join(long, ["token", "size"]).join(classes, "node")
+    rank = F.xxhash64("node", "token", F.lit(turn))
+    lead = rows.groupBy("token", "size").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("class").alias("their"))).alias("lead")).select("token", "size", "lead.*")
     like = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (F.col("class") != F.col("their"))
-    shared = rows.join(lead, ["token", "size"]).where(like).groupBy(F.col("node").alias("x"), "other").agg(F.count("*").alias("shared"), F.min(F.least("picked", "l")).alias("asked")).where("shared >= asked")
-    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "other"))
+    shared = rows.join(lead, ["token", "size"]).where(like).groupBy(F.col("node").alias("x"), "other").agg(F.count("*").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), F.xxhash64("x", "other")))
     return shared.withColumn("at", best).where(F.col("at") <= LEADERS).select("x", "other")
 
 
+def required(n: np.ndarray, m: np.ndarray, matches: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix shingles that two sets of n and m must share, under prefixes for ``matches``.
+
+    Linked sets share at least percent * (n + m) / (100 + percent) shingles. Of the two prefixes the one
+    that ends first in the global order leaves its set's rest, ceil(percent * n / 100) - matches
+    shingles, outside; all others that are shared lie in both prefixes.
+    """
+    whole = -(-percent * (n + m) // (100 + percent))
+    rest = -(-percent * np.maximum(n, m) // 100) - matches
+    return np.maximum(matches, whole - rest)
+
+
 def _candidates(percent: int):
-    """Of rows sorted by x, each with a list of documents that share a token with x: the pairs with enough matches."""
+    """Of rows sorted by x, each with a list of documents that have a token of x in their prefix: the pairs that share enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def pairs() -> pa.RecordBatch:
             x, n, picked, own = now
-            ids, m, level, theirs, cls = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, meta, cls, level = (np.concatenate(c) for c in zip(*held, strict=True))
+            m, level, theirs = meta >> 8, np.maximum(meta >> 4 & 15, level), meta & 15
             matches = np.minimum(picked, theirs)
             fits = (level <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             found, first, count = np.unique(ids[fits], return_index=True, return_counts=True)
-            good = found[count >= matches[fits][first]]
+            good = found[count >= required(n, m[fits][first], matches[fits][first], percent)]
             return pa.record_batch([pa.array(np.full(len(good), x), pa.int64()), pa.array(good, pa.int64())], names=["x", "other"])
 
         for batch in batches:
-            lists = batch.column("list")
-            offsets, fields = lists.offsets.to_numpy(), lists.values
-            ids, m, level, theirs, cls = (fields.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "level", "picked", "class"))
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "n", "picked", "class")), strict=True)):
+            offsets = batch.column("nodes").offsets.to_numpy()
+            ids, meta, cls = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "picked", "class")), strict=True)
+            for i, (key, level) in enumerate(zip(keys, batch.column("level").to_pylist(), strict=True)):
                 if key != now:
                     if held:
                         yield pairs()
                     now, held = key, []
                 s = slice(offsets[i], offsets[i + 1])
-                held.append((ids[s].copy(), m[s].copy(), np.maximum(level[s], batch.column("level")[i].as_py()), theirs[s].copy(), cls[s].copy()))
+                held.append((ids[s].copy(), meta[s].copy(), cls[s].copy(), np.full(s.stop - s.start, level)))
         if held:
             yield pairs()
 
@@ -261,10 +277,11 @@ def _cross_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataF
     rows = cut(rows.join(mixed, "token"))
     df = rows.groupBy("token", "size").agg(F.count("*").alias("df"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / LIST))
-    lists = rows.join(df, ["token", "size"]).groupBy("token", "size", part.alias("part")).agg(F.collect_list(F.struct("node", "n", "level", "picked", "class")).alias("list")).select("token", "size", "list")
+    meta = F.col("n").cast("long") * 256 + F.col("level") * 16 + F.col("picked")
+    lists = rows.join(df, ["token", "size"]).groupBy("token", "size", part.alias("part")).agg(F.collect_list("node").alias("nodes"), F.collect_list(meta).alias("meta"), F.collect_list("class").alias("classes")).drop("part")
     asks = rows.where(F.col("class") != F.col("main")).select("token", F.col("node").alias("x"), "n", "level", "picked", "class", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
     met = asks.join(lists, ["token", "size"]).repartition("x").sortWithinPartitions("x")
-    return met.select("x", "n", "level", "picked", "class", "list").mapInArrow(_candidates(percent), "x long, other long")
+    return met.select("x", "n", "level", "picked", "class", "nodes", "meta", "classes").mapInArrow(_candidates(percent), "x long, other long")
 
 
 def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,39 +323,55 @@ def _picked() -> Column:
     return F.array_min(F.array(*cost))["k"]
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, sig, fp, n, size, level, picked) of each distinct set's prefix, as far as a set of like size shares the token."""
-    one = sets.where("tokens is not null").groupBy("sig").agg(F.max(F.struct("n", "base", "fp", "tokens")).alias("s")).select("sig", "s.*")
-    spread = one.select("sig", "n", "base", "fp", F.posexplode("tokens").alias("at", "token"))
+def _near(rows: DataFrame, value: Column, how) -> DataFrame:
+    """(token, size, v): ``how`` over ``value`` in the lists of a token for a size class and its neighbours."""
+    per = rows.groupBy("token", "size").agg(how(value).alias("v"))
+    around = per.select("token", "v", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    return around.groupBy("token", "size").agg((F.sum if how is F.count else how)("v").alias("v"))
+
+
+def _shared_tokens(one: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, size, level) of prefixes, as far as another set has the token in its own prefix."""
+    spread = one.select("node", "n", "base", F.posexplode("tokens").alias("at", "token"))
     level = F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).cast("int")
-    per = spread.select("token", "sig", F.col("n").cast("int").alias("n"), "fp", level.alias("level"))
+    per = spread.select("token", "node", F.col("n").cast("int").alias("n"), level.alias("level"))
     often = per.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    rows = cut(per.join(often, "token").withColumn("size", _size(F.col("n"), percent)))
-    near = rows.groupBy("token", "size").agg(F.count("*").alias("c")).select("token", "c", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    df = near.groupBy("token", "size").agg(F.sum("c").alias("df")).where("df > 1")
+    return per.join(often, "token").withColumn("size", _size(F.col("n"), percent))
+
+
+def _postings(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, size, level, picked) of the prefixes that sets pick, without rows that can be in no candidate pair."""
+    df = _near(rows, F.lit(1), F.count).where("v > 1").withColumnRenamed("v", "df")
     rows = rows.join(df, ["token", "size"])
-    # a set's match count, which is at most the number of shingles that it must share
-    most = F.ceil(F.lit(percent) * F.max("n") / 100)
-    picked = rows.groupBy("sig").agg(F.least(_picked(), most).cast("int").alias("picked"))
-    return rows.join(picked, "sig").where("level <= picked").drop("df")
+    need = F.ceil(F.lit(percent) * F.max("n") / 100)  # a set's match count is at most what it must share
+    picked = rows.groupBy("node").agg(F.least(_picked(), need).cast("int").alias("picked"))
+    rows = cut(rows.join(picked, "node").where("level <= picked").drop("df"), release=True)
+    # a pair needs the smaller match count of its two: a set with fewer rows than that in all lists is out
+    held = rows.groupBy("node").agg(F.count("*").alias("held"))
+    least = _near(rows, F.col("picked"), F.min).withColumnRenamed("v", "least")
+    kept = rows.join(held, "node").join(least, ["token", "size"]).where(F.col("held") >= F.least("picked", "least"))
+    return kept.drop("held", "least")
 
 
 def _classes(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, class) of the sets that share a prefix shingle with another set."""
-    kept = cut(_postings(sets, percent))
-    nodes = cut(cut(kept.groupBy("sig").agg(F.min("fp").alias("fp"))).withColumn("node", F.monotonically_increasing_id()))
-    postings = cut(kept.select("token", "sig", "n", "size", "level", "picked").join(maybe_broadcast(nodes.select("sig", "node")), "sig").drop("sig"))
+    """(sig, class) of the sets that share prefix shingles with another set."""
+    one = sets.where("tokens is not null").groupBy("sig").agg(F.max(F.struct("n", "base", "fp", "tokens")).alias("s")).select("sig", "s.*")
+    one = cut(one.withColumn("node", F.monotonically_increasing_id()), release=True)
+    postings = cut(_postings(cut(_shared_tokens(one, percent), release=True), percent), release=True)
+    nodes = cut(one.select("node", "sig", "fp").join(postings.select("node").distinct(), "node"), release=True)
     texts = rows.join(maybe_broadcast(nodes.select("fp").distinct()), "fp", "left_semi").select("text")
     whole = texts.mapInArrow(_whole_sets(words), "sig binary, values array<long>").join(maybe_broadcast(nodes.select("sig", "node")), "sig")
-    whole = cut(whole.groupBy("node").agg(F.first("values").alias("values")))
+    whole = cut(whole.groupBy("node").agg(F.first("values").alias("values")), release=True)
     links = None
     classes = nodes.select("node", F.col("node").alias("class"))
     for turn in range(ROUNDS + 1):
-        pairs = _leader_pairs(postings, classes, turn, percent) if turn < ROUNDS else _cross_pairs(postings, classes, percent)
-        new = cut(_links(cut(pairs), whole, percent))
+        pairs = cut(_leader_pairs(postings, classes, turn, percent) if turn < ROUNDS else _cross_pairs(postings, classes, percent), release=True)
+        if turn < ROUNDS and pairs.isEmpty():
+            continue
+        new = cut(_links(pairs, whole, percent), release=True)
         links = new if links is None else links.unionByName(new)
         found = connected_components(links).select("node", F.col("component").alias("low"))
-        classes = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("low", "node").alias("class")))
+        classes = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("low", "node").alias("class")), release=True)
     return nodes.select("sig", "node").join(classes, "node").select("sig", "class")
 
 

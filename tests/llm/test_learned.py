@@ -259,8 +259,9 @@ def test_prefixes_share_as_many_shingles_as_asked():
             continue
         (p, base_a), (q, base_b) = (ngram_join.prefix(x, frequent, counts, 80) for x in (a, b))
         for k in range(1, ngram_join.MOST_MATCHES + 1):
+            asked = ngram_join.required(np.array([len(a)]), np.array([len(b)]), np.array([k]), 80)[0]
             if k <= min(-(-80 * len(a) // 100), -(-80 * len(b) // 100)):
-                assert len(np.intersect1d(p[: base_a + k - 1], q[: base_b + k - 1])) >= k
+                assert len(np.intersect1d(p[: base_a + k - 1], q[: base_b + k - 1])) >= asked >= k
 
 
 # --- pipeline ----------------------------------------------------------------------------------
