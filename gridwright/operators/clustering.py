@@ -344,8 +344,9 @@ def scatter(df: DataFrame, label: str, columns: list[str]) -> tuple[DataFrame, C
 
 
 def calinski_harabasz(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """Calinski-Harabasz index; null with one cluster or without spread."""
     sums, between, within = scatter(df, label, columns)
-    return sums.select((between / (F.col("k") - 1) / (within / (F.col("n") - F.col("k")))).alias("ch"))
+    return sums.select(F.try_divide(between * (F.col("n") - F.col("k")), within * (F.col("k") - 1)).alias("ch"))
 
 
 def davies_bouldin(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
@@ -356,7 +357,7 @@ def davies_bouldin(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     a, b = spread.alias("a"), spread.alias("b")
     between = F.sqrt(sum((F.pow(F.col(f"a.m_{c}") - F.col(f"b.m_{c}"), 2) for c in columns), F.lit(0.0)))
     pairs = a.join(F.broadcast(b), F.col(f"a.{label}") != F.col(f"b.{label}"))  # a row for each pair of clusters
-    return pairs.groupBy(F.col(f"a.{label}").alias(label)).agg(F.max((F.col("a.s") + F.col("b.s")) / between).alias("r")).agg(F.avg("r").alias("db"))
+    return pairs.groupBy(F.col(f"a.{label}").alias(label)).agg(F.max(F.try_divide(F.col("a.s") + F.col("b.s"), between)).alias("r")).agg(F.avg("r").alias("db"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -373,7 +374,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 def cluster_deviation(df: DataFrame, chosen: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Mean over clusters and parameters of the root mean square relative deviation from the representative. chosen: label, columns."""
     rep = chosen.select(label, *[F.col(c).alias(f"r_{c}") for c in columns])
-    rel = [F.sqrt(F.avg(F.pow((F.col(c) - F.col(f"r_{c}")) / F.col(f"r_{c}"), 2))).alias(c) for c in columns]
+    rel = [F.sqrt(F.avg(F.pow(F.try_divide(F.col(c) - F.col(f"r_{c}"), F.col(f"r_{c}")), 2))).alias(c) for c in columns]
     per = df.join(F.broadcast(rep), label).groupBy(label).agg(*rel)
     mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
     return per.agg(F.avg(mean).alias("deviation"))

@@ -69,7 +69,8 @@ def wasserstein(rows: DataFrame, by: list[str], value: str, source: str, one: st
     w = Window.partitionBy(*by).orderBy("v")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(total) - F.sum("b").over(run) / F.sum("b").over(total))
+    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(total))
+    gap = F.abs(share("a") - share("b"))
     steps = per.withColumn("__area", gap * (F.lead("v").over(w) - F.col("v")))
     moved = steps.groupBy(*by).agg(F.sum("__area").alias("d"), F.sum("a").alias("n_one"), F.sum("b").alias("n_other"))
     spread = v.where(F.col("s").isin(one, other)).groupBy(*by).agg((F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"), F.stddev_pop("v").alias("sd"))

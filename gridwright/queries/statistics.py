@@ -145,12 +145,12 @@ def grid_filters(v: Views) -> DataFrame:
     return filters(grids, large, {"f2": 950.0}, "grid_result_id", 40.0).select("grid_result_id", "filtered")
 
 
-@query("SELECT g.grid_result_id, ROUND(SUM(length_km*r/parallel),6) AS resistance FROM (SELECT grid_result_id, parallel, length_km, CASE std_type WHEN 'NAYY_4_120' THEN 0.225e0 WHEN 'NAYY_4_150' THEN 0.208e0 ELSE 0.164e0 END AS r FROM x_lines WHERE in_service) g GROUP BY 1")
+@query("SELECT g.grid_result_id, ROUND(SUM(length_km*r/parallel),9) AS resistance FROM (SELECT grid_result_id, parallel, length_km, CASE std_type WHEN 'NAYY_4_120' THEN 0.225e0 WHEN 'NAYY_4_150' THEN 0.208e0 ELSE 0.164e0 END AS r FROM x_lines WHERE in_service) g GROUP BY 1")
 def graph_resistance(v: Views) -> DataFrame:
     """Sum of length times resistance by the number in parallel."""
     r = F.element_at(F.create_map(*[F.lit(x) for pair in {"NAYY_4_120": 0.225, "NAYY_4_150": 0.208, "NAYY_4_185": 0.164}.items() for x in pair]), F.col("std_type"))
     lines = v.x_lines.withColumns({"r_ohm_per_km": r, "x_ohm_per_km": F.lit(0.08), "from_bus": F.lit(0), "to_bus": F.lit(1)})
-    return metrics.graph_resistance(lines, ["grid_result_id"]).select("grid_result_id", F.round("graph_resistance", 6).alias("resistance"))
+    return metrics.graph_resistance(lines, ["grid_result_id"]).select("grid_result_id", F.round("graph_resistance", 9).alias("resistance"))
 
 
 @query("SELECT d.osm_id, ROUND(d.distance,6) AS distance, p.peak FROM (SELECT osm_id, x/7 AS distance FROM x_buildings) d LEFT JOIN (SELECT ROUND(x/7,6) AS k, MIN(area) AS peak FROM x_buildings WHERE osm_id%2=0 GROUP BY 1) p ON ROUND(d.distance,6)=p.k")
