@@ -37,8 +37,10 @@ def integers(lists: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, n
     for d in np.unique(sizes[sizes >= 0]).tolist():
         at = np.flatnonzero(sizes == d)
         x = values[starts[at][:, None] + np.arange(d)] if d else np.zeros((len(at), 0))
+        with np.errstate(over="ignore"):
+            x = np.floor(SCALE * x)
         good = np.isfinite(x).all(1)
-        out[d] = at[good], np.floor(SCALE * x[good])
+        out[d] = at[good], x[good]
     return valid, out
 
 
@@ -90,7 +92,7 @@ class Best:
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         q, score, ids = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.id, ids)))
-        order = np.lexsort((ids, -score.astype(float) if not len(score) or np.abs(score).max() < 2**52 else [-int(s) for s in score], q))
+        order = np.lexsort((ids, ~score, q))  # ~s falls as s rises, for every long
         q, score, ids = q[order], score[order], ids[order]
         once = np.ones(len(q), bool)
         once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
@@ -114,11 +116,11 @@ def search(queries: Resolutions, query_ids: np.ndarray, rows: Resolutions, row_i
             for left, right in zip(q.levels, x.levels, strict=True):
                 if len(qi) * 4 > open_pairs.size:  # most are still open: bound them all by one product
                     bound = left @ right.T
-                    open_pairs &= bound + np.abs(bound) * 1e-9 + 0.5 >= least[:, None]
+                    open_pairs &= ~(bound + np.abs(bound) * 1e-9 + 0.5 < least[:, None])  # a bound that overflowed rules nothing out
                     qi, xi = np.nonzero(open_pairs)
                 else:
                     bound = np.concatenate([np.einsum("ij,ij->i", left[qi[i : i + (1 << 17)]], right[xi[i : i + (1 << 17)]]) for i in range(0, len(qi), 1 << 17)] or [np.zeros(0)])
-                    kept = bound + np.abs(bound) * 1e-9 + 0.5 >= least[qi]
+                    kept = ~(bound + np.abs(bound) * 1e-9 + 0.5 < least[qi])
                     qi, xi = qi[kept], xi[kept]
             score = _exact(q.x, x.x, qi, xi)
             kept = score >= least[qi]
@@ -148,8 +150,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: for each row that ``is_query`` marks, the k rows with the highest inner products.
 
     Vectors become floor(256 * x). Ties go to the smaller id; a query's own id is no candidate. Rows
-    with a null id, and vectors that are null or hold a null or a non-finite component, take no
-    part; vectors are compared with those of their own dimension. Equal rows of an id count once;
+    with a null id, and vectors that are null or hold a null or a component that is not finite (256
+    times it included), take no part; vectors are compared with those of their own dimension. Equal rows of an id count once;
     where an id has several vectors, each may be found and each asks. Queries go to all rows in
     blocks of about ``block``, each starting from exact scores among its own members; every task
     keeps k rows a query. An empty table gives an empty result; other columns are not read.

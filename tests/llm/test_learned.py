@@ -147,13 +147,13 @@ def test_features_approximate_the_kernel():
 # --- top-k search ------------------------------------------------------------------------------
 def plain_top(rows, k=5):
     ok = {}
-    for i, v in rows:
+    for i, v in ((i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             ok.setdefault((i, tuple(v)), [math.floor(256 * x) for x in v])
     out = defaultdict(list)
     for (i, a), x in ok.items():
         if i % 50 == 0:
-            found = sorted({(-sum(p * q for p, q in zip(x, y, strict=True)), j) for (j, b), y in ok.items() if j != i and len(b) == len(a)})
+            found = sorted({(-min(max(sum(p * q for p, q in zip(x, y, strict=True)), -(2**63)), 2**63 - 1), j) for (j, b), y in ok.items() if j != i and len(b) == len(a)})
             out[i] += found
     return {i: [(-s, j) for s, j in sorted(set(f))[:k]] for i, f in out.items()}
 
@@ -161,7 +161,7 @@ def plain_top(rows, k=5):
 def test_search_matches_plain_version(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=20) / 4)]) for i in range(230)]
-    rows += [(300, [0.1] * 20), (301, rows[7][1]), (302, rows[7][1]), (303, None), (304, [float("nan")] * 20), (305, [None] * 20), (350, [0.5] * 3), (351, [0.25] * 3), (400, []), (None, [1.0] * 20), (7, rows[7][1]), (450, [float("inf")] * 20)]
+    rows += [(300, [0.1] * 20), (301, rows[7][1]), (302, rows[7][1]), (303, None), (304, [float("nan")] * 20), (305, [None] * 20), (350, [0.5] * 3), (351, [0.25] * 3), (400, []), (None, [1.0] * 20), (7, rows[7][1]), (450, [float("inf")] * 20), (310, [3e38] * 20), (311, [-3e38] * 20)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int")
     for block in (8192, 3):
         got = defaultdict(list)
