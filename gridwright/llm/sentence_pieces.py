@@ -8,6 +8,7 @@ remembered; each new stretch is checked against the sentencepiece library, a bat
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -120,6 +121,12 @@ class MergePieces:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def worker_pieces(path: str, checked: bool) -> MergePieces:
+    """One vocabulary per worker process, so that what it remembers serves the tasks after."""
+    return MergePieces(path, checked)
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", checked: bool = True) -> DataFrame:
     """doc_id, ids (array of int), decoded (string) for every row; null texts count as empty.
 
@@ -150,7 +157,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, checked: boo
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = MergePieces(path, checked)
+        pieces = worker_pieces(path, checked)
         for batch in slices(batches, "text"):
             found = columns(pieces.encode(batch.column("text").to_pylist()))
             yield pa.record_batch([batch.column("doc_id"), *found.values()], names=["doc_id", *found])
