@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a small keyed table up to which it is broadcast (a few tens of MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -26,7 +28,14 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep it otherwise, and worker processes live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where their texts pass ``most_bytes``, so that what is derived from one stays small."""
     import numpy as np
     import pyarrow.compute as pc
@@ -41,6 +50,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
             to = max(at + 1, min(at + most_rows, int(np.searchsorted(ends, done + most_bytes, "right"))))
             yield batch.slice(at, to - at)
             at = to
+        del batch, ends
+        give_back()
 
 
 def words_of(texts: pa.Array):

@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
-from gridwright.llm.common import maybe_broadcast, slices, words_of
+from gridwright.llm.common import give_back, maybe_broadcast, slices, words_of
 from gridwright.operators.components import connected_components
 
 #: Longest match count that a document may pick.
 MOST_MATCHES = 8
 #: Shingles counted together; of those, ones met LEAST_SEEN times or more tell how frequent a shingle is.
-COUNTED, LEAST_SEEN = 1 << 22, 2
+COUNTED, LEAST_SEEN = 3 << 20, 2
 #: Frequent shingles that are put last; the table of them is broadcast. Beyond it the order goes by hash, which costs time only.
 FREQUENT = 400_000
 #: Rounds of leaders before the full search across classes, leaders that a document is checked against in each, and the length from which lists have them.
@@ -199,6 +199,7 @@ def _verified(percent: int):
                 if 100 * same >= percent * (len(own) + len(theirs) - same):
                     src.append(x), dst.append(other)
             yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        give_back()
 
     return run
 
@@ -265,6 +266,7 @@ def _candidates(percent: int):
                 held.append((ids[s].copy(), meta[s].copy(), cls[s].copy(), np.full(s.stop - s.start, level)))
         if held:
             yield pairs()
+        give_back()
 
     return run
 

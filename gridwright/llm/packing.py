@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridwright.llm.common import Remembered, slices
 
 #: Words that a task remembers with their ids.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Letters that the tokenizer's rules treat alike in every library at hand: ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\tÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary file's own pre-token rule, over lower-cased plain text (fixed value of the file).
