@@ -238,32 +238,47 @@ def required(n: np.ndarray, m: np.ndarray, matches: np.ndarray, percent: int) ->
 
 
 def _candidates(percent: int):
-    """Of rows sorted by x, each with a list of documents that have a token of x in their prefix: the pairs that share enough."""
+    """Of rows sorted by x, each with a list of documents that have a token of x in their prefix: the pairs that may share enough.
+
+    A pair with a class of one node is asked for at all shared tokens by the lower of its two, by class size
+    (one or more nodes) and then class, and gets need 0 if it shares enough. Between two classes of several
+    nodes either side may lack tokens: of those, share counts each token on one side only, and the shares
+    of both must add up to need. A side that cannot reach it with the ``missed`` tokens it did not ask gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, missed = None, [], 0
 
         def pairs() -> pa.RecordBatch:
-            x, n, picked, own = now
-            ids, meta, cls, level = (np.concatenate(c) for c in zip(*held, strict=True))
-            m, level, theirs = meta >> 8, np.maximum(meta >> 4 & 15, level), meta & 15
+            x, n, picked, own, many = now
+            ids, meta, cls, level, here = (np.concatenate(c) for c in zip(*held, strict=True))
+            m, several, level, theirs = meta >> 9, meta >> 8 & 1, np.maximum(meta >> 4 & 15, level), meta & 15
             matches = np.minimum(picked, theirs)
-            fits = (level <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            found, first, count = np.unique(ids[fits], return_index=True, return_counts=True)
-            good = found[count >= required(n, m[fits][first], matches[fits][first], percent)]
-            return pa.record_batch([pa.array(np.full(len(good), x), pa.int64()), pa.array(good, pa.int64())], names=["x", "other"])
+            later = (several > many) | (several == many) & (cls > own)
+            split = (several == 1) & (many == 1)
+            fits = (level <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (later | split)
+            found, first, at, count = np.unique(ids[fits], return_index=True, return_inverse=True, return_counts=True)
+            share = np.bincount(at, weights=here[fits], minlength=len(found)).astype(np.int64)
+            need, split = required(n, m[fits][first], matches[fits][first], percent), split[fits][first]
+            good = np.where(split, (count + missed >= need) & (share > 0), count >= need)
+            found, share, need = found[good], share[good], np.where(split, need, 0)[good]
+            columns = [np.minimum(found, x), np.maximum(found, x), share, need]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["x", "other", "share", "need"])
 
         for batch in batches:
             offsets = batch.column("nodes").offsets.to_numpy()
             ids, meta, cls = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
-            keys = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "picked", "class")), strict=True)
-            for i, (key, level) in enumerate(zip(keys, batch.column("level").to_pylist(), strict=True)):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "picked", "class", "many")), strict=True)
+            rest = zip(*(batch.column(c).to_pylist() for c in ("level", "main", "missed")), strict=True)
+            for i, (key, (level, main, more)) in enumerate(zip(keys, rest, strict=True)):
                 if key != now:
                     if held:
                         yield pairs()
-                    now, held = key, []
+                    now, held, missed = key, [], 0
+                missed += more
                 s = slice(offsets[i], offsets[i + 1])
-                held.append((ids[s].copy(), meta[s].copy(), cls[s].copy(), np.full(s.stop - s.start, level)))
+                if s.stop > s.start:
+                    held.append((ids[s].copy(), meta[s].copy(), cls[s].copy(), np.full(s.stop - s.start, level), (cls[s] == main) | (cls[s] > key[3])))
         if held:
             yield pairs()
         give_back()
@@ -273,17 +288,23 @@ def _candidates(percent: int):
 
 def _cross_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs across classes. A document asks the lists of its token and of like sizes, but for its class's largest share."""
-    rows = postings.join(classes, "node")
-    per = rows.groupBy("token", "class").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("token").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
+    several = maybe_broadcast(cut(classes.groupBy("class").agg(F.count("*").alias("c")).where("c > 1").select("class", F.lit(1).alias("many"))))
+    rows = postings.join(classes.join(several, "class", "left").withColumn("many", F.coalesce("many", F.lit(0))), "node")
+    per = rows.groupBy("token", "class", "many").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("token").agg(F.max_by("class", F.struct("c", "many", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     rows = cut(rows.join(mixed, "token"))
     df = rows.groupBy("token", "size").agg(F.count("*").alias("df"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / LIST))
-    meta = F.col("n").cast("long") * 256 + F.col("level") * 16 + F.col("picked")
+    meta = F.col("n").cast("long") * 512 + F.col("many") * 256 + F.col("level") * 16 + F.col("picked")
     lists = rows.join(df, ["token", "size"]).groupBy("token", "size", part.alias("part")).agg(F.collect_list("node").alias("nodes"), F.collect_list(meta).alias("meta"), F.collect_list("class").alias("classes")).drop("part")
-    asks = rows.where(F.col("class") != F.col("main")).select("token", F.col("node").alias("x"), "n", "level", "picked", "class", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    met = asks.join(lists, ["token", "size"]).repartition("x").sortWithinPartitions("x")
-    return met.select("x", "n", "level", "picked", "class", "nodes", "meta", "classes").mapInArrow(_candidates(percent), "x long, other long")
+    about = [F.col("node").alias("x"), "n", "picked", "class", "many"]
+    asks = rows.where(F.col("class") != F.col("main")).select("token", *about, "level", "main", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    met = asks.join(lists, ["token", "size"]).select("x", "n", "picked", "class", "many", "level", "main", F.lit(0).cast("long").alias("missed"), "nodes", "meta", "classes")
+    none = F.array().cast("array<long>")
+    kept = rows.where((F.col("class") == F.col("main")) & (F.col("many") == 1)).groupBy(*about).agg(F.count("*").alias("missed"))
+    kept = kept.select("x", "n", "picked", "class", "many", F.lit(0).alias("level"), F.lit(0).cast("long").alias("main"), "missed", none.alias("nodes"), none.alias("meta"), none.alias("classes"))
+    found = met.unionByName(kept).repartition("x").sortWithinPartitions("x").mapInArrow(_candidates(percent), "x long, other long, share long, need long")
+    return found.groupBy("x", "other").agg(F.sum("share").alias("share"), F.max("need").alias("need")).where("share >= need").select("x", "other")
 
 
 def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

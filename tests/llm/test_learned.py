@@ -264,6 +264,23 @@ def test_prefixes_share_as_many_shingles_as_asked():
                 assert len(np.intersect1d(p[: base_a + k - 1], q[: base_b + k - 1])) >= asked >= k
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_between_families_are_found_from_both_sides(spark, seed):
+    rng = random.Random(seed)
+    family = {node: 0 if node < 70 else 100 if node < 140 else 200 if node < 150 else node for node in range(170)}
+    bridges, n, picked = {3: range(10), 75: range(10), 145: range(1, 11), 146: range(2, 12), 160: range(10), 161: range(10)}, 20, 8
+    held = {node: set(bridges.get(node, ())) for node in family}
+    for node, own in family.items():
+        if node not in bridges:
+            held[node] = set(rng.sample(range(5) if own == 0 else range(5, 10) if own == 100 else range(12), 4 if own < 200 else 11))
+    postings = spark.createDataFrame([(t, node, n, 13, rng.randrange(1, 9), picked) for node, tokens in held.items() for t in tokens], "token long, node long, n int, size int, level int, picked int")
+    classes = spark.createDataFrame(list(family.items()), "node long, class long")
+    need = int(ngram_join.required(np.array([n]), np.array([n]), np.array([picked]), 80)[0])
+    plain = sorted((a, b) for a in family for b in family if a < b and family[a] != family[b] and len(held[a] & held[b]) >= need)
+    assert (3, 75) in plain and (3, 160) in plain
+    assert sorted((min(r), max(r)) for r in ngram_join._cross_pairs(postings, classes, 80).collect()) == plain
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     import corpus_pipeline
