@@ -112,12 +112,13 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
 
 
 def demo_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A small town from the adapter tables: postcodes as blocks of streets, buildings moved close to them."""
+    """Towns from the adapter tables: every postcode as a block of streets, all buildings and transformers moved close to them."""
     from gridwright import config
 
-    b = v.x_buildings.where("plz < 4").selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) AS x", "pmod(y, 900) + 0.5D AS y", "type", "area", "floors", "households_per_building")
-    street = v.spark.range(10).join(v.spark.range(4).withColumnRenamed("id", "plz")).selectExpr("CAST(plz AS INT) AS plz", "plz * 100 + id + 1 AS way_id", "41 AS clazz", "plz * 5000.0D AS x0", "id * 100.0D AS y0", "id")
+    b = v.x_buildings.selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) AS x", "pmod(y, 900) + 0.5D AS y", "type", "area", "floors", "households_per_building")
+    towns = v.x_buildings.select("plz").union(v.x_transformers.select("plz")).distinct()
+    street = towns.crossJoin(v.spark.range(10)).selectExpr("CAST(plz AS INT) AS plz", "plz * 100 + id + 1 AS way_id", "41 AS clazz", "plz * 5000.0D AS x0", "id * 100.0D AS y0", "id")
     rows = F.concat(F.array(G.point(F.col("x0"), F.col("y0"))), F.array(G.point(F.col("x0") + 1200, F.col("y0"))), F.array(G.point(F.col("x0") + 1200, F.col("y0") + F.when(F.col("id") < 9, 100).otherwise(50))))
     ways = street.select("plz", "way_id", "clazz", rows.alias("line"))
-    t = v.x_transformers.where("plz < 4 and osm_id % 2 = 0").selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) + 0.25D AS x", "pmod(y, 900) + 0.75D AS y", "transformer_rated_power")
+    t = v.x_transformers.selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) + 0.25D AS x", "pmod(y, 900) + 0.75D AS y", "transformer_rated_power")
     return b, ways, t, config.categories(v.spark)

@@ -35,3 +35,16 @@ def test_flow_converges_and_falls_along_the_feeders(plan):
     flow = plan["flow"]
     assert flow.where("not converged").count() == 0
     assert flow.agg(F.max("vm_pu")).first()[0] == pytest.approx(1.0)
+
+
+def test_inputs_hold_all_rows_and_postcodes(spark, plan):
+    from gridwright.plans.generate import demo_inputs
+    from gridwright.queries.registry import Views
+
+    v = Views(spark, FOLDER)
+    buildings, ways, transformers, _ = demo_inputs(v)
+    ids = lambda df, c="osm_id": sorted(r[0] for r in df.select(c).collect())
+    assert ids(buildings) == ids(v.x_buildings) and ids(transformers) == ids(v.x_transformers)
+    towns = {r[0] for r in v.x_buildings.select("plz").collect()} | {r[0] for r in v.x_transformers.select("plz").collect()}
+    assert {r[0] for r in ways.select("plz").collect()} == towns
+    assert any(r[0] >= 4 for r in plan["grids"].select("plz").collect())
