@@ -106,7 +106,7 @@ def gmm_tied(v: Views) -> DataFrame:
 @query(name="cluster_counts")
 def cluster_counts(v: Views) -> DataFrame:
     """Scores by which a number of clusters is picked."""
-    return clustering.cluster_counts(v.x_features, "grid_result_id", ["f1", "f2"], (3, 4))
+    return clustering.cluster_counts(v.x_features, "grid_result_id", ["f1", "f2"])
 
 
 @query(name="stratified_sample")
@@ -125,7 +125,7 @@ def replaced_sample(v: Views) -> DataFrame:
 @query(name="density_curve")
 def density_curve(v: Views) -> DataFrame:
     """Gaussian kernel density of a metric in each class."""
-    return metrics.density_curve(v.x_features, ["ca"], "f2", 50)
+    return metrics.density_curve(v.x_features, ["ca"], "f2")
 
 
 @query("SELECT ca, MIN(f2) AS low, ROUND(QUANTILE_CONT(f2,0.25),6) AS q1, ROUND(QUANTILE_CONT(f2,0.5),6) AS median, ROUND(QUANTILE_CONT(f2,0.75),6) AS q3, MAX(f2) AS high FROM x_features GROUP BY ca")

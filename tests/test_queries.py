@@ -59,3 +59,9 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "flagship_plz_peak_transformer" in entry.queries()
+
+
+def test_cluster_counts_and_density_take_the_whole_range(spark):
+    found = QUERIES["cluster_counts"](spark, FOLDER).select("algorithm", "k").collect()
+    assert sorted(map(tuple, found)) == [(a, k) for a in ("gmm_tied", "kmeans") for k in range(3, 8)]
+    assert QUERIES["density_curve"](spark, FOLDER).select("i").distinct().count() == 200
