@@ -5,9 +5,13 @@ Tables are immutable here; a change gives the table's next state, to be written
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.operators import numbering
+
 
 def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` in place of those with the same key, the other rows as they were. Keys of ``new`` should be unique."""
@@ -66,10 +70,12 @@ def cascade_delete(tables: dict[str, DataFrame], parent: str, gone: DataFrame, l
     return out
 
 
-def numbered(new: DataFrame, order: list, start: Column | int = 1, name: str = "id", within: list[str] | None = None) -> DataFrame:
+def numbered(new: DataFrame, order: list, start: int = 1, name: str = "id", within: list[str] | None = None) -> DataFrame:
     """Ids from ``start`` in a total order, per group where ``within`` is given."""
-    at = F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order))
-    return new.withColumn(name, (at + (start if isinstance(start, Column) else F.lit(start)) - 1).cast("long"))
+    if not within:
+        return numbering.numbered(new, order, name, start)
+    at = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+    return new.withColumn(name, (at + F.lit(start - 1)).cast("long"))
 
 
 def publish(buildings: DataFrame, grids: DataFrame, key: list[str]) -> DataFrame:
@@ -79,19 +85,17 @@ def publish(buildings: DataFrame, grids: DataFrame, key: list[str]) -> DataFrame
 
 def split_by_percentage(rows: DataFrame, shares: dict[int, float], key: str, name: str, seed: int = 42) -> DataFrame:
     """``name`` set to the given values in the given percentages, by a hash order of the key; what rounding leaves goes to the largest share."""
-    total = rows.agg(F.count("*").alias("__n"))
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
+    total = rows.count()
+    placed = numbering.numbered(rows, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "__at")
     most = max(shares, key=lambda k: (shares[k], k))
-    ordered = [k for k in shares if k != most]
-    value, below = F.lit(None).cast("int"), F.lit(0)
-    bounds = []
-    for k in ordered:
-        below = below + F.floor(F.col("__n") * shares[k] / 100)
+    bounds, below = [], 0
+    for k in (k for k in shares if k != most):
+        below += math.floor(total * shares[k] / 100)
         bounds.append((k, below))
     value = F.lit(most)
     for k, limit in reversed(bounds):
         value = F.when(F.col("__at") <= limit, F.lit(k)).otherwise(value)
-    return rows.withColumn("__at", place).crossJoin(F.broadcast(total)).withColumn(name, value).drop("__at", "__n")
+    return placed.withColumn(name, value).drop("__at")
 
 
 def refuse_existing(version: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
 from gridwright.operators.components import connected_components
+from gridwright.operators.numbering import numbered
 
 
 def _cell(v: Column, width: float) -> Column:
@@ -166,14 +167,14 @@ def connect(points: DataFrame, ways: DataFrame, radius: float = 2000.0, least: f
     met = cut(met.withColumn("m", end))
     ends = ways.select("way_id", G.start_point(F.col("line")).alias("__a"), G.end_point(F.col("line")).alias("__b"))
     foot = F.when(F.col("m") == 0, F.col("__a")).when(F.col("m") == F.col("total"), F.col("__b")).otherwise(G.point(F.col("wx"), F.col("wy")))
-    lines = met.join(ends, "way_id").select(F.lit(None).cast("long").alias("way_id"), F.lit(110).alias("clazz"), F.array(G.point(F.col("x"), F.col("y")), foot).alias("line"), F.lit(1).alias("__k"), F.lit(None).cast("long").alias("__w"), F.lit(0).alias("__p"), F.col("id").alias("__o"))
+    lines = met.join(ends, "way_id").select(F.lit(110).alias("clazz"), F.array(G.point(F.col("x"), F.col("y")), foot).alias("line"), F.lit(1).alias("__k"), F.lit(None).cast("long").alias("__w"), F.lit(0).alias("__p"), F.col("id").alias("__o"))
     touched = met.where("m > 0 and m < total").select("way_id", "m")
     parts = split_ways(segs.join(touched.select("way_id").distinct(), "way_id", "left_semi"), touched)
-    cut_ways = parts.select(F.lit(None).cast("long").alias("way_id"), F.lit(103).alias("clazz"), "line", F.lit(0).alias("__k"), F.col("way_id").cast("long").alias("__w"), F.col("part").alias("__p"), F.lit(None).cast(points.schema["id"].dataType).alias("__o"))
+    cut_ways = parts.select(F.lit(103).alias("clazz"), "line", F.lit(0).alias("__k"), F.col("way_id").cast("long").alias("__w"), F.col("part").alias("__p"), F.lit(None).cast(points.schema["id"].dataType).alias("__o"))
     kept = ways.join(touched.select("way_id").distinct(), "way_id", "left_anti").select(F.col("way_id").cast("long").alias("way_id"), "clazz", "line")
-    new = cut_ways.unionByName(lines).withColumn("__n", F.row_number().over(Window.orderBy("__k", "__w", "__p", "__o")))
-    top = ways.agg(F.max("way_id").alias("__top"))
-    return kept.unionByName(new.crossJoin(F.broadcast(top)).select((F.col("__top") + F.col("__n")).alias("way_id"), "clazz", "line"))
+    top = ways.agg(F.max("way_id")).first()[0] or 0
+    new = numbered(cut_ways.unionByName(lines), ["__k", "__w", "__p", "__o"], "way_id", top + 1)
+    return kept.unionByName(new.select("way_id", "clazz", "line"))
 
 
 def crossings(segs: DataFrame, width: float) -> DataFrame:
@@ -201,13 +202,17 @@ def capacity_near(clusters: DataFrame, known: DataFrame, reach: float = 1.0) ->
     return met.join(power, "other").where("transformer_rated_power is not null").withColumn("__at", F.row_number().over(best)).where("__at = 1").select("id", "transformer_rated_power")
 
 
-def by_address(points: DataFrame, ways: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
-    """The way of a point (id, x, y, address) by its address, else the nearest one (G32): id, way_id, matched."""
-    direct = points.join(ways.select("way_id", "address"), "address").groupBy("id").agg(F.min("way_id").alias("direct"))
-    rest = points.join(direct, "id", "left_anti")
-    near = nearest_way(rest.select("id", "x", "y"), segs, radius).select("id", F.col("way_id").alias("near"))
-    out = points.select("id").join(direct, "id", "left").join(near, "id", "left")
-    return out.select("id", F.coalesce("direct", "near").alias("way_id"), F.col("direct").isNotNull().alias("matched"))
+def by_address(points: DataFrame, ways: DataFrame, radius: float = 2000.0, least: float = 0.1) -> DataFrame:
+    """The way of a point (id, x, y, address) by its address, else the nearest one (G32): id, way_id, matched.
+
+    ways: way_id, address, clazz, line. Connection lines (clazz 110) are no candidates. The nearest way is
+    farther than ``least`` and at most ``radius`` away; points without any way are left out.
+    """
+    streets = ways.where("clazz <> 110")
+    direct = points.join(streets.select("way_id", "address"), "address").groupBy("id").agg(F.min("way_id").alias("direct"))
+    rest = points.join(direct, "id", "left_anti").select("id", "x", "y")
+    near = nearest_way(rest, segments(streets.select("way_id", "line")), radius, least)
+    return direct.select("id", F.col("direct").alias("way_id"), F.lit(True).alias("matched")).unionByName(near.select("id", "way_id", F.lit(False).alias("matched")))
 
 
 def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:

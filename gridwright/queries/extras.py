@@ -83,15 +83,16 @@ def azimuths(v: Views) -> DataFrame:
     return v.x_buildings.select("osm_id", F.round(G.azimuth(F.col("x"), F.col("y"), F.lit(5000.0), F.lit(5000.0)), 9).alias("azimuth"))
 
 
-@query("""WITH w AS (SELECT n_nationkey AS way_id, CAST(400*n_nationkey AS DOUBLE) AS wx FROM nation),
-m AS (SELECT b.osm_id, w.way_id, ABS(b.x-w.wx) AS d, ROW_NUMBER() OVER (PARTITION BY b.osm_id ORDER BY ABS(b.x-w.wx), w.way_id) AS r FROM x_buildings b CROSS JOIN w WHERE ABS(b.x-w.wx)<=500)
-SELECT b.osm_id, CASE WHEN b.osm_id%3=0 THEN b.plz ELSE m.way_id END AS way_id, b.osm_id%3=0 AS matched FROM x_buildings b LEFT JOIN m ON m.osm_id=b.osm_id AND m.r=1""")
+@query("""WITH w AS (SELECT n_nationkey AS way_id, CAST(400*n_nationkey AS DOUBLE) AS wx FROM nation WHERE n_nationkey%5<>4),
+m AS (SELECT b.osm_id, w.way_id, ROW_NUMBER() OVER (PARTITION BY b.osm_id ORDER BY ABS(b.x-w.wx), w.way_id) AS r FROM x_buildings b CROSS JOIN w WHERE ABS(b.x-w.wx)<=500 AND ABS(b.x-w.wx)>0.1e0)
+SELECT b.osm_id, COALESCE(a.way_id, m.way_id) AS way_id, a.way_id IS NOT NULL AS matched FROM x_buildings b LEFT JOIN w a ON b.osm_id%3=0 AND a.way_id=b.plz LEFT JOIN m ON m.osm_id=b.osm_id AND m.r=1 WHERE COALESCE(a.way_id, m.way_id) IS NOT NULL""")
 def address_match(v: Views) -> DataFrame:
-    """The way of a building's address, else the nearest one."""
+    """The way of a building's address, else the nearest one that is no connection line and not under the building."""
     x = F.expr("400.0D * n_nationkey")
-    ways = v.nation.select(F.col("n_nationkey").alias("way_id"), F.col("n_nationkey").alias("address"), F.array(G.point(x, F.lit(0)), G.point(x, F.lit(10000))).alias("line"))
+    clazz = F.expr("CASE WHEN n_nationkey % 5 = 4 THEN 110 ELSE 41 END").alias("clazz")
+    ways = v.nation.select(F.col("n_nationkey").alias("way_id"), F.col("n_nationkey").alias("address"), clazz, F.array(G.point(x, F.lit(0)), G.point(x, F.lit(10000))).alias("line"))
     p = v.x_buildings.select(F.col("osm_id").alias("id"), "x", "y", F.when(F.col("osm_id") % 3 == 0, F.col("plz")).alias("address"))
-    return spatial.by_address(p, ways, spatial.segments(ways), 500.0).select(F.col("id").alias("osm_id"), "way_id", "matched")
+    return spatial.by_address(p, ways, 500.0).select(F.col("id").alias("osm_id"), "way_id", "matched")
 
 
 @query("SELECT plz, MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1, TRUE AS convex FROM x_buildings GROUP BY plz")

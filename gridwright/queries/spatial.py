@@ -147,10 +147,11 @@ def wkt_round_trip(v: Views) -> DataFrame:
     return t.select("osm_id", G.start_point(F.col("line"))["x"].alias("x"), (G.end_point(F.col("line"))["y"] + 1).alias("y"))
 
 
-@query("SELECT t.osm_id AS id, t.transformer_rated_power FROM x_transformers t WHERE t.transformer_rated_power IS NOT NULL AND t.osm_id%3=0")
+@query("""WITH j AS (SELECT p.osm_id AS id, t.transformer_rated_power, ROW_NUMBER() OVER (PARTITION BY p.osm_id ORDER BY POWER(p.x+0.25e0-t.x,2)+POWER(p.y-t.y,2), t.osm_id) AS r FROM x_transformers p JOIN x_transformers t ON POWER(p.x+0.25e0-t.x,2)+POWER(p.y-t.y,2)<=1 WHERE t.transformer_rated_power IS NOT NULL)
+SELECT id, transformer_rated_power FROM j WHERE r=1""")
 def existing_capacity(v: Views) -> DataFrame:
     """Rated power of a known transformer at a cluster's place."""
-    places = v.x_transformers.where("osm_id % 3 = 0").select(F.col("osm_id").alias("id"), (F.col("x") + 0.25).alias("x"), "y")
+    places = v.x_transformers.select(F.col("osm_id").alias("id"), (F.col("x") + 0.25).alias("x"), "y")
     known = v.x_transformers.select(F.col("osm_id").alias("id"), "x", "y", "transformer_rated_power")
     return spatial.capacity_near(places, known)
 
