@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +21,13 @@ class SplitWay:
                 last = share
 
 
-def _sim_load(p: pd.Series, n: pd.Series, g: pd.Series) -> pd.Series:
-    good = (p.fillna(0) > 0) & (n.fillna(0) > 0)
-    return (p * (g + (1 - g) * n.where(good, 1.0) ** -0.75)).where(good, 0.0)
-
-
-def _cable_name(text: pd.Series) -> pd.Series:
-    return text.str.strip().str.replace(r"\s+", "_", regex=True).str.replace(r"(\d)x(\d)", r"\1_\2", regex=True).str.replace(r"_?SE$", "", regex=True)
+_SIM_LOAD = "CREATE OR REPLACE TEMPORARY FUNCTION sim_load(p DOUBLE, n DOUBLE, g DOUBLE) RETURNS DOUBLE RETURN CASE WHEN p > 0 AND n > 0 THEN p * (g + (1 - g) * pow(n, -0.75D)) ELSE 0.0D END"
+_CABLE_NAME = r"CREATE OR REPLACE TEMPORARY FUNCTION cable_name(text STRING) RETURNS STRING RETURN regexp_replace(regexp_replace(regexp_replace(trim(BOTH FROM text), r'\s+', '_'), r'(\d)x(\d)', '$1_$2'), '_?SE$', '')"
 
 
 def register(spark: SparkSession) -> list[str]:
-    """sim_load(p, n, g), cable_name(text) and the table function split_way(xs, ys, shares)."""
-    spark.udf.register("sim_load", F.pandas_udf(_sim_load, "double"))
-    spark.udf.register("cable_name", F.pandas_udf(_cable_name, "string"))
+    """sim_load(p, n, g) and cable_name(text), which are SQL expressions, and the table function split_way(xs, ys, shares)."""
+    spark.sql(_SIM_LOAD)
+    spark.sql(_CABLE_NAME)
     spark.udtf.register("split_way", F.udtf(SplitWay, returnType="part int, share_from double, share_to double, length double"))
     return ["sim_load", "cable_name", "split_way"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
-from gridwright.operators.routing import matrix
+from gridwright.operators.routing import metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
 
@@ -102,43 +102,79 @@ def accept(members: list[int], loads: Loads, distance: np.ndarray, sizes: list[i
     return float(single if not pairs or min(pairs) > single else min(pairs))
 
 
+def subtrees(merges: list[tuple[int, int, float, int]], n: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """(leaves in the order of the tree, the span of each cluster in it) of a linkage of n leaves."""
+    children = {n + step: (a, b) for step, (a, b, _, _) in enumerate(merges)}
+    size = {i: 1 for i in range(n)} | {n + step: m[3] for step, m in enumerate(merges)}
+    order, span, todo = np.empty(n, np.int64), {}, [(n + len(merges) - 1 if merges else 0, 0)] if n else []
+    while todo:
+        node, at = todo.pop()
+        span[node] = (at, at + size[node])
+        if node < n:
+            order[at] = node
+        else:
+            a, b = children[node]
+            todo += [(a, at), (b, at + size[a])]
+    return order, span
+
+
 def building_clusters(distance: np.ndarray, vids: list[int], loads: Loads, sizes: list[int], reach: float) -> list[tuple[list[int], float]]:
     """(vertices, size) of each cluster: bisected by average linkage until each is accepted; ordered by smallest vertex.
 
-    A cluster that cannot be split any further (one or two members that are still refused) is accepted with its load rounded up.
+    The halves of a cluster are its two branches in the one tree of the group, since the merges inside a
+    cluster do not depend on what lies outside. A cluster that cannot be split any further (one or two
+    members that are still refused) is accepted with its load rounded up.
     """
-    todo, out = [list(range(len(vids)))], []
+    n, out = len(vids), []
+    merges = average_linkage(distance) if n > 1 else []
+    order, span = subtrees(merges, n)
+    todo = list(merges[-1][:2]) if merges else list(range(n))
     while todo:
-        group = todo.pop()
-        halves = cut_tree(average_linkage(distance[np.ix_(group, group)]), len(group), 2) if len(group) > 1 else [[0]]
-        for half in halves:
-            members = [group[i] for i in half]
-            size = accept(members, loads, distance, sizes, reach)
-            if size is None and len(members) > 1:
-                todo.append(members)
-            else:
-                out.append((sorted(vids[i] for i in members), size if size is not None else float(math.ceil(loads.total(members)))))
+        node = todo.pop()
+        members = np.sort(order[slice(*span[node])])
+        size = accept(members, loads, distance, sizes, reach)
+        if size is None and node >= n:
+            todo += merges[node - n][:2]
+        else:
+            out.append((sorted(vids[i] for i in members), size if size is not None else float(math.ceil(loads.total(members)))))
     return sorted(out, key=lambda c: c[0][0])
 
 
-def greenfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """by, bcid (from 1), vid, rated: clusters of connection points.
+def best_place(distance: np.ndarray, kw: np.ndarray, reach: float) -> tuple[int, float, bool]:
+    """(index, sum of distance times load, within reach of all others) of the point with the least sum, among those within reach if there are any; ties to the first."""
+    moment, feasible = distance @ kw, distance.max(1) <= reach
+    at = int(np.lexsort((np.round(moment, 6), ~feasible))[0])
+    return at, float(moment[at]), bool(feasible[at])
+
 
-    costs: by, start_vid, end_vid, agg_cost (all pairs); buildings: by, vid, type, kw, homes, settlement_type.
-    One grouped map per group; its dense matrix is what bounds a group's size.
+def _in_groups(edges: DataFrame, points: DataFrame, by: list[str], run, schema: str) -> DataFrame:
+    """``run(key, edges, points)`` for each group: its edges and points meet in one task, and no pair of points leaves it."""
+    kinds = ", ".join(f"{n} {points.schema[n].dataType.simpleString()}" for n in by)
+    return edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, f"{kinds}, {schema}")
+
+
+def greenfield_clusters(edges: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+    """by, bcid (from 1), vid, rated, ont_vid: clusters of connection points, their sizes and the transformers' places.
+
+    edges: by, source, target, cost; buildings: by, vid, type, kw, homes, settlement_type. Distances are cut
+    to whole metres. A group's dense matrix is what bounds its size.
     """
 
-    def run(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "bcid", "vid", "rated"]
-        if c.empty or b.empty:
+    def run(key: tuple, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "bcid", "vid", "rated", "ont_vid"]
+        if b.empty:
             return pd.DataFrame({n: [] for n in names})
-        ids, distance = matrix(c)
-        sizes = list(config.capacities[int(b["settlement_type"].iloc[0])])
-        rows = [(*key, k, vid, size) for k, (vids, size) in enumerate(building_clusters(distance, ids, Loads(ids, b), sizes, config.greenfield_reach_m), 1) for vid in vids]
+        ids = np.unique(b["vid"].to_numpy(np.int64))
+        distance, kw = metres(e, ids), b.groupby("vid")["kw"].sum().to_numpy(float)
+        sizes, at = list(config.capacities[int(b["settlement_type"].iloc[0])]), {v: i for i, v in enumerate(ids.tolist())}
+        rows = []
+        for k, (vids, size) in enumerate(building_clusters(distance, ids.tolist(), Loads(ids.tolist(), b), sizes, config.greenfield_reach_m), 1):
+            own = [at[v] for v in vids]
+            place = vids[best_place(distance[np.ix_(own, own)], kw[own], config.greenfield_reach_m)[0]]
+            rows += [(*key, k, v, size, place) for v in vids]
         return pd.DataFrame(rows, columns=names)
 
-    kinds = ", ".join(f"{n} {costs.schema[n].dataType.simpleString()}" for n in by)
-    return costs.groupBy(*by).cogroup(buildings.groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, vid long, rated double")
+    return _in_groups(edges, buildings.select(*by, "vid", "type", "kw", "homes", "settlement_type"), by, run, "bcid int, vid long, rated double, ont_vid long")
 
 
 def brownfield(costs: pd.DataFrame, loads: Loads, vids: list[int], trafos: list[int], sizes: list[int], reach: float) -> list[tuple[int, int, list[int], float]]:
@@ -189,16 +225,21 @@ def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], c
     return costs.groupBy(*by).cogroup(buildings.groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
 
 
-def greenfield_positions(costs: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m) -> DataFrame:
+def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m) -> DataFrame:
     """by, ont_vid, moment, feasible: the point with the least sum of distance times load, among those within reach of all others if there are any.
 
-    costs: by, start_vid, end_vid, agg_cost in whole metres (or cut to them); loads: by, vid, kw. Two aggregations and no Python.
+    edges: by, source, target, cost; loads: by, vid, kw. Distances are cut to whole metres.
     """
-    metres = F.col("agg_cost").cast("long")
-    met = costs.join(loads.select(*by, F.col("vid").alias("end_vid"), "kw"), [*by, "end_vid"], "left")
-    per = met.groupBy(*by, "start_vid").agg(F.sum(metres * F.coalesce("kw", F.lit(0.0))).alias("moment"), (F.max(metres) <= reach).alias("feasible"))
-    best = Window.partitionBy(*by).orderBy(F.desc("feasible"), "moment", "start_vid")
-    return per.withColumn("__at", F.row_number().over(best)).where("__at = 1").select(*by, F.col("start_vid").alias("ont_vid"), "moment", "feasible")
+
+    def run(key: tuple, e: pd.DataFrame, l: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "ont_vid", "moment", "feasible"]
+        if l.empty:
+            return pd.DataFrame({n: [] for n in names})
+        kw = l.fillna({"kw": 0.0}).groupby("vid")["kw"].sum()
+        at, moment, feasible = best_place(metres(e, kw.index.to_numpy(np.int64)), kw.to_numpy(float), reach)
+        return pd.DataFrame([(*key, int(kw.index[at]), moment, feasible)], columns=names)
+
+    return _in_groups(edges, loads.select(*by, "vid", "kw"), by, run, "ont_vid long, moment double, feasible boolean")
 
 
 def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -223,21 +264,29 @@ def components_to_clusters(buildings: DataFrame, by: list[str], config: Config =
 
 
 # --- clusters of grids -------------------------------------------------------------------------
+def _nearest_centre(x: np.ndarray, centres: np.ndarray, rows: int = 1 << 14) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time, so that memory does not grow with rows times centres."""
+    return np.concatenate([((x[a : a + rows, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(x), rows)] or [np.zeros(0, np.int64)])
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(labels, centres) by k-means++ and Lloyd's rounds."""
     rng = np.random.default_rng(seed)
     k = min(k, len(np.unique(x, axis=0)))
     centres = x[[rng.integers(len(x))]]
+    d = ((x - centres[0]) ** 2).sum(1)
     while len(centres) < k:
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
         centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
     labels = np.full(len(x), -1)
     for _ in range(rounds):
-        now = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        now = _nearest_centre(x, centres)
         if (now == labels).all():
             break
         labels = now
-        centres = np.array([x[labels == j].mean(0) if (labels == j).any() else centres[j] for j in range(k)])
+        count = np.bincount(labels, minlength=k)
+        sums = np.column_stack([np.bincount(labels, weights=c, minlength=k) for c in x.T])
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
     return labels, centres
 
 

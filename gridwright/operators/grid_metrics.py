@@ -16,33 +16,32 @@ def zone_category(zone: Column) -> Column:
     return F.when(zone.isin("Commercial", "Public"), zone).otherwise("Residential")
 
 
-def upstream_simultaneity(closure: DataFrame, loads: DataFrame, by: list[str]) -> DataFrame:
+def upstream_simultaneity(parents: DataFrame, loads: DataFrame, by: list[str]) -> DataFrame:
     """by, node, sim_load, peak_load, sim_factor_cumulated of the line into each node.
 
-    closure: by, node, ancestor; loads: by, node, zone, count, max_p_mw. Counts and loads of all below
+    parents: by, node, parent; loads: by, node, zone, count, max_p_mw. Counts and loads of all below
     add up by category, and each category has its own simultaneity.
     """
-    by_zone = routing.subtree_sums(closure, loads.withColumn("zone", zone_category(F.col("zone"))), by, ["count", "max_p_mw"], ["zone"])
+    by_zone = routing.subtree_sums(parents, loads.withColumn("zone", zone_category(F.col("zone"))), by, ["count", "max_p_mw"], ["zone"])
     factor = F.element_at(F.create_map(*[F.lit(v) for pair in SIM_FACTOR.items() for v in pair]), F.col("zone"))
     out = by_zone.groupBy(*by, "node").agg(F.sum(simultaneous_load(F.col("max_p_mw"), F.col("count"), factor)).alias("sim_load"), F.sum("max_p_mw").alias("peak_load"))
     return out.withColumn("sim_factor_cumulated", F.when(F.col("peak_load") > 0, F.col("sim_load") / F.col("peak_load")).otherwise(0.0))
 
 
-def path_impedance(closure: DataFrame, into: DataFrame, weights: DataFrame, by: list[str], simultaneous: bool = True) -> DataFrame:
+def path_impedance(into: DataFrame, weights: DataFrame, by: list[str], simultaneous: bool = True) -> DataFrame:
     """by, node, branch, path_weight, r, x: the path from the root to each weighted bus.
 
-    into: by, node, length_km, r_ohm_per_km, x_ohm_per_km (line into a node; of parallel rows the
-    first) and sim_factor_cumulated; weights: by, node, path_weight. The branch is the first node below
-    the root on the path, or the second if the first is a cabinet (column ``cabinet`` of into).
+    into: by, node, parent, length_km, r_ohm_per_km, x_ohm_per_km (line into a node; of parallel rows the
+    first), cabinet and sim_factor_cumulated; weights: by, node, path_weight. The branch is the first node
+    below the root on the path, or the second if the first is a cabinet.
     """
     factor = F.coalesce("sim_factor_cumulated", F.lit(1.0)) if simultaneous else F.lit(1.0)
     factor = F.when(factor == 0, 1.0).otherwise(factor)
-    step = into.select(*by, F.col("node").alias("ancestor"), (F.col("length_km") * F.col("r_ohm_per_km") * factor).alias("r"), (F.col("length_km") * F.col("x_ohm_per_km")).alias("x"), "depth", "cabinet")
-    met = closure.join(weights.where("path_weight > 0"), [*by, "node"]).join(step, [*by, "ancestor"])
-    first = F.max(F.when(F.col("depth") == 1, F.struct("cabinet", F.col("ancestor").alias("a"))))
-    second = F.max(F.when(F.col("depth") == 2, F.col("ancestor")))
-    out = met.groupBy(*by, "node", "path_weight").agg(F.sum("r").alias("r"), F.sum("x").alias("x"), first.alias("f"), second.alias("s"))
-    return out.select(*by, "node", F.when(F.col("f.cabinet") & F.col("s").isNotNull(), F.col("s")).otherwise(F.col("f.a")).alias("branch"), "path_weight", "r", "x")
+    steps = into.select(*by, "node", "parent", (F.col("length_km") * F.col("r_ohm_per_km") * factor).alias("r"), (F.col("length_km") * F.col("x_ohm_per_km")).alias("x"))
+    paths = routing.path_sums(steps, by, ["r", "x"]).where("steps > 0")
+    kinds = into.where("cabinet").select(*by, F.col("node").alias("first"), F.lit(True).alias("__cabinet"))
+    met = paths.join(weights.where("path_weight > 0"), [*by, "node"]).join(kinds, [*by, "first"], "left")
+    return met.select(*by, "node", F.when(F.col("__cabinet") & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("first")).alias("branch"), "path_weight", "r", "x")
 
 
 def impedance_metrics(paths: DataFrame, by: list[str]) -> DataFrame:
@@ -83,7 +82,6 @@ def clustering_metrics(tables: dict[str, DataFrame], by: list[str], config: Conf
     bus, line, load, trafo = tables["bus"], tables["line"], tables["load"], tables["trafo"]
     roots = routing.root_bus(bus, trafo, tables["ext_grid"], by)
     tree, into = rooted(line, bus, roots, by)
-    closure = routing.ancestors(tree.select(*by, "node", "parent"), by)
     count = lambda word: F.count_if(F.coalesce("name", F.lit("")).contains(word))
     n = bus.groupBy(*by).agg(count("Consumer Nodebus").cast("int").alias("no_house_connections"), count("Connection Nodebus").cast("int").alias("no_connection_buses"))
     power = load.groupBy(*by).agg(F.sum("max_p_mw").alias("max_power_mw"), F.sum("p_mw").alias("simultaneous_peak_load_mw"), F.count("*").cast("int").alias("no_households"))
@@ -93,9 +91,9 @@ def clustering_metrics(tables: dict[str, DataFrame], by: list[str], config: Conf
     consumers = bus.where(F.col("name").contains("Consumer Nodebus")).select(*by, F.col("bus").alias("node"))
     zones = load.join(bus.select(*by, "bus", "zone"), [*by, "bus"], "left")
     per = zones.groupBy(*by, F.col("bus").alias("node"), "zone").agg(F.count("name").alias("count"), F.sum("max_p_mw").alias("max_p_mw"))
-    sims = upstream_simultaneity(closure, per, by).select(*by, "node", "sim_factor_cumulated")
+    sims = upstream_simultaneity(tree, per, by).select(*by, "node", "sim_factor_cumulated")
     weights = load.groupBy(*by, F.col("bus").alias("node")).agg((F.sum("max_p_mw") * 1000 / config.peak_load_household).alias("path_weight"))
-    vsw = impedance_metrics(path_impedance(closure, into.join(sims, [*by, "node"], "left"), weights, by), by).drop("total_weight")
+    vsw = impedance_metrics(path_impedance(into.join(sims, [*by, "node"], "left"), weights, by), by).drop("total_weight")
     out = n.join(power, by, "left").join(branches.select(*by, F.col("feeder_lines").alias("no_branches")), by, "left").join(metrics.cable_length(line, by), by, "left")
     out = out.join(trafo_distances(tree, consumers, by), by, "left").join(trafo.groupBy(*by).agg(F.min("sn_mva").alias("transformer_mva")), by, "left").join(vsw, by, "left")
     if {"x", "y"} <= set(bus.columns):

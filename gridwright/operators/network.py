@@ -29,12 +29,13 @@ def backend(name: str = "sweep"):
 
 
 def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """by, node, parent, branch, kind ('consumer', 'feeder', 'root_feeder'), metres, load_kw of each cable of a grid.
+    """by, node, parent, branch, kind ('consumer', 'feeder', 'root_feeder', 'unreached'), metres, load_kw of each cable of a grid.
 
     edges: by (without the grid's bcid part if edges serve several grids: join before), source, target,
     cost; buildings: by, vid (the building's vertex), connection_point, type, kw, homes, sim (its
     allocated load); grids: by, ont_vid. Branches are planned first, then every backbone cable gets the
-    simultaneous load of all that hangs below it.
+    simultaneous load of all that hangs below it. A building that the transformer does not reach gets no
+    cable but a row of kind 'unreached', without a parent.
     """
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +50,8 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
             adjacent[t].append((s, c))
         best = shortest(adjacent, root)
         distance, before = {n: v[0] for n, v in best.items()}, {n: v[1] for n, v in best.items()}
-        b = b[b["a"].isin(distance) & b["b"].isin(distance)]
+        met = b["a"].isin(distance) & b["b"].isin(distance)
+        lost, b = b[~met], b[met]
         points = sorted(set(b["b"].astype(int)))
         at = {v: i for i, v in enumerate(points)}
         loads = Loads(points, pd.DataFrame({"vid": b["b"].astype(int), "type": b["t"], "kw": b["x"], "homes": b["y"]}))
@@ -77,7 +79,11 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
         for vid, group in b.groupby("a"):
             point = int(group["b"].iloc[0])
             rows.append((*key, int(vid), point, branch_of[point], "consumer", max(distance[int(vid)] - distance[point], 0.0), float(group["z"].iloc[0])))
-        return pd.DataFrame(rows, columns=names)
+        for vid, group in lost.groupby("a"):
+            rows.append((*key, int(vid), None, -1, "unreached", 0.0, float(group["z"].iloc[0])))
+        out = pd.DataFrame(rows, columns=names)
+        out["parent"] = out["parent"].astype("Int64")
+        return out
 
     none = F.lit(None).cast("double")
     parts = edges.select(*by, F.lit(0).alias("k"), F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"), F.col("cost").cast("double").alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t"))
@@ -88,8 +94,8 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
 
 
 def sized_lines(tree: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """by, name, from_bus, to_bus, std_type, parallel, length_km, r/x/max_i of every cable of a branch tree. Column arithmetic only."""
-    t = tree.join(grids.select(*by, "ont_vid"), by)
+    """by, name, from_bus, to_bus, std_type, parallel, length_km, r/x/max_i of every cable of a branch tree; unreached buildings have none. Column arithmetic only."""
+    t = tree.where("kind <> 'unreached'").join(grids.select(*by, "ont_vid"), by)
     house, backbone = consumer_cable(F.col("load_kw"), F.col("metres"), F.col("parent") == F.col("ont_vid"), config), feeder_cable(F.col("load_kw"), F.col("metres"), config)
     consumer = F.col("kind") == "consumer"
     t = t.withColumn("std_type", F.when(consumer, house[0]).otherwise(backbone[0])).withColumn("parallel", F.when(consumer, house[1]).otherwise(backbone[1]))

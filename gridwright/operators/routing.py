@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
+from gridwright.operators.numbering import numbered
 
 
 def topology(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,14 +26,7 @@ def topology(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = ways.select(G.start_point(F.col("line")).alias("a"), G.end_point(F.col("line")).alias("b"))
     at = lambda p: F.struct(F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
     points = ends.select(at(F.col("a")).alias("p")).union(ends.select(at(F.col("b")).alias("p"))).distinct().select("p.x", "p.y")
-    ids = cut(points.repartitionByRange("x", "y").sortWithinPartitions("x", "y")).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    starts, total = [], 0
-    for p, n in sorted(ids.groupBy(part.alias("p")).count().collect()):  # a row per partition
-        starts.append((p, total))
-        total += n
-    offsets = F.broadcast(ways.sparkSession.createDataFrame(starts, "__p long, __o long"))
-    vertices = cut(ids.withColumn("__p", part.cast("long")).join(offsets, "__p").select((F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("id"), "x", "y"))
+    vertices = cut(numbered(points, ["x", "y"]).select("id", "x", "y"))
     key = vertices.select(F.col("id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
     out = ways.withColumn("__a", at(G.start_point(F.col("line")))).withColumn("__b", at(G.end_point(F.col("line"))))
     out = out.join(key.withColumnRenamed("id", "source"), (F.col("__a.x") == F.col("__x")) & (F.col("__a.y") == F.col("__y"))).drop("__x", "__y")
@@ -47,8 +43,8 @@ def _adjacent(edges: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
     return out
 
 
-def shortest(adjacent: dict, start: int) -> dict[int, tuple[float, int, int]]:
-    """node -> (cost, node before, hops) of the cheapest path; equal costs go to the smaller node before."""
+def shortest(adjacent: dict, start: int, reach: float = np.inf) -> dict[int, tuple[float, int, int]]:
+    """node -> (cost, node before, hops) of the cheapest path below ``reach``; equal costs go to the smaller node before."""
     best = {start: (0.0, start, 0)}
     heap, done = [(0.0, start)], set()
     while heap:
@@ -59,7 +55,7 @@ def shortest(adjacent: dict, start: int) -> dict[int, tuple[float, int, int]]:
         for other, c in adjacent.get(node, ()):
             new = (cost + c, node, best[node][2] + 1)
             old = best.get(other)
-            if other not in done and (old is None or new[:2] < old[:2]):
+            if other not in done and new[0] < reach and (old is None or new[:2] < old[:2]):
                 best[other] = new
                 heapq.heappush(heap, (new[0], other))
     return best
@@ -69,27 +65,107 @@ def _schema(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def costs(edges: DataFrame, starts: DataFrame, by: list[str], targets: DataFrame | None = None) -> DataFrame:
+def _tagged(edges: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """by, k, a, b, x: edges (k 0: source, target, cost) and points (k 1: vid) in one table, so that a group's task streams both."""
+    none = F.lit(None).cast("long")
+    of = edges.select(*by, F.lit(0).alias("k"), F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"), F.col("cost").cast("double").alias("x"))
+    return of.unionByName(points.select(*by, F.lit(1).alias("k"), F.col("vid").cast("long").alias("a"), none.alias("b"), F.lit(None).cast("double").alias("x")))
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> tuple[pd.DataFrame, np.ndarray]:
+    """(edges: source, target, cost; distinct points, ascending) of a group of ``_tagged`` rows."""
+    rows = pa.Table.from_batches(list(batches)).select(["k", "a", "b", "x"]).to_pandas()
+    edge = rows["k"].to_numpy() == 0
+    e = rows[edge].dropna(subset=["a", "b", "x"])
+    out = pd.DataFrame({"source": e["a"].to_numpy(np.int64), "target": e["b"].to_numpy(np.int64), "cost": e["x"].to_numpy(float)})
+    return out, np.unique(rows["a"][~edge].dropna().to_numpy(np.int64))
+
+
+def _batch(by: list[str], key: tuple, columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    fixed = {name: pa.repeat(value, n) for name, value in zip(by, key, strict=True)}
+    return pa.RecordBatch.from_pydict({**fixed, **{c: pa.array(v) for c, v in columns.items()}})
+
+
+def costs(edges: DataFrame, starts: DataFrame, by: list[str], targets: DataFrame | None = None, reach: float = np.inf) -> DataFrame:
     """by, start_vid, end_vid, agg_cost, before, hops from each start (by, vid) to all nodes it reaches, or to the targets (by, vid).
 
-    Undirected. Serves one-to-many distances, consumer-to-transformer costs (starts: the transformers)
-    and cost matrices (starts and targets: the connection points). A start without edges reaches itself.
+    Undirected. Serves one-to-many distances and consumer-to-transformer costs (starts: the transformers);
+    ``cost_matrix`` serves all pairs. A start without edges reaches itself. Nodes at ``reach`` or farther
+    are left out and not walked past. Each start's rows leave the task before the next start is walked.
     """
 
-    def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        adjacent, rows = _adjacent(e), []
-        for v in sorted(set(s["vid"].tolist())):
-            rows += [(v, node, cost, before, hops) for node, (cost, before, hops) in shortest(adjacent, v).items()]
-        out = pd.DataFrame(rows, columns=["start_vid", "end_vid", "agg_cost", "before", "hops"])
-        for name, value in zip(by, key, strict=True):
-            out.insert(0, name, value)
-        return out[[*by, "start_vid", "end_vid", "agg_cost", "before", "hops"]]
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, points = _group(batches)
+        adjacent = _adjacent(e)
+        for v in points.tolist():
+            found = shortest(adjacent, v, reach)
+            nodes = np.fromiter(found, np.int64, len(found))
+            cost, before, hops = (np.array(x) for x in zip(*found.values(), strict=True))
+            yield _batch(by, key, {"start_vid": np.full(len(nodes), v), "end_vid": nodes, "agg_cost": cost.astype(float), "before": before.astype(np.int64), "hops": hops.astype(np.int32)})
 
     schema = f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double, before long, hops int"
-    out = edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(starts.select(*by, "vid").groupBy(*by)).applyInPandas(run, schema)
+    out = _tagged(edges, starts, by).groupBy(*by).applyInArrow(run, schema)
     return out if targets is None else out.join(targets.select(*by, F.col("vid").alias("end_vid")).distinct(), [*by, "end_vid"], "left_semi").select(*out.columns)
 
 
+def distances(edges: pd.DataFrame, points: np.ndarray) -> np.ndarray:
+    """Distances between all points (ascending ids) over undirected edges source, target, cost; infinite where there is no way.
+
+    Nodes are taken out one by one, those of few neighbours and no points first; a node that goes leaves
+    its neighbours connected at the cost of the way through it. Points come back in the opposite order, and
+    the distances of one to all points that are back are the least over its neighbours then, in a few vector
+    operations. Networks of streets have few neighbours at every step, so the work is about the output's size.
+    """
+    near: dict[int, dict[int, float]] = {int(v): {} for v in points}
+    for s, t, c in zip(edges["source"].tolist(), edges["target"].tolist(), edges["cost"].tolist(), strict=True):
+        if s != t and c < near.setdefault(s, {}).get(t, np.inf):
+            near[s][t] = c
+            near.setdefault(t, {})[s] = c
+    asked = set(points.tolist())
+    heap = [(v in asked, len(n), v) for v, n in near.items()]
+    heapq.heapify(heap)
+    gone: list[tuple[int, list[int], list[float]]] = []
+    while heap:
+        point, degree, v = heapq.heappop(heap)
+        if v not in near or degree != len(near[v]):
+            continue  # an entry from before its neighbours changed
+        around = near.pop(v)
+        ids, cost = list(around), list(around.values())
+        if point:
+            gone.append((v, ids, cost))
+        for i, a in enumerate(ids):
+            del near[a][v]
+            for b, c in zip(ids[i + 1 :], cost[i + 1 :], strict=True):
+                if cost[i] + c < near[a].get(b, np.inf):
+                    near[a][b] = near[b][a] = cost[i] + c
+        for a in ids:
+            heapq.heappush(heap, (a in asked, len(near[a]), a))
+    n = len(gone)
+    out, at = np.full((n, n), np.inf), {}
+    for p, (v, ids, cost) in enumerate(reversed(gone)):
+        if ids:
+            row = (out[[at[u] for u in ids], :p] + np.array(cost)[:, None]).min(0)
+            out[p, :p] = out[:p, p] = row
+        out[p, p], at[v] = 0.0, p
+    order = [at[v] for v in points.tolist()]
+    return out[np.ix_(order, order)]
+
+
+def cost_matrix(edges: DataFrame, points: DataFrame, by: list[str], rows: int = 1 << 19) -> DataFrame:
+    """by, start_vid, end_vid, agg_cost between all points (by, vid) of a group that reach each other, itself included, about ``rows`` rows at a time."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, ids = _group(batches)
+        matrix = distances(e, ids)
+        step = max(1, rows // max(1, len(ids)))
+        for at in range(0, len(ids), step):
+            start, end = np.nonzero(np.isfinite(matrix[at : at + step]))
+            yield _batch(by, key, {"start_vid": ids[at + start], "end_vid": ids[end], "agg_cost": matrix[at + start, end]})
+
+    return _tagged(edges, points, by).groupBy(*by).applyInArrow(run, f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double")
+
+
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
     """by, end_vid, agg_cost, path: nodes from the group's start to each end."""
 
@@ -109,38 +185,129 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, by: list[str]) -
     return edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, f"{_schema(edges, by)}, end_vid long, agg_cost double, path array<long>")
 
 
-def matrix(cost: pd.DataFrame) -> tuple[list[int], np.ndarray]:
-    """(ids in order, dense matrix of whole metres) of rows start_vid, end_vid, agg_cost."""
-    ids = sorted(set(cost["start_vid"]) | set(cost["end_vid"]))
-    at = {v: i for i, v in enumerate(ids)}
-    out = np.zeros((len(ids), len(ids)), np.int64)
-    out[[at[v] for v in cost["start_vid"]], [at[v] for v in cost["end_vid"]]] = cost["agg_cost"].to_numpy().astype(np.int64)
-    return ids, np.maximum(out, out.T)
+#: Whole metres that stand for no way at all.
+NO_WAY = 10**9
+
+
+def metres(edges: pd.DataFrame, points: np.ndarray) -> np.ndarray:
+    """``distances`` cut to whole metres."""
+    matrix = distances(edges, points)
+    return np.where(np.isfinite(matrix), matrix, NO_WAY).astype(np.int32)
 
 
 # --- trees -------------------------------------------------------------------------------------
-def ancestors(parents: DataFrame, by: list[str], limit: int = 64) -> DataFrame:
-    """by, node, ancestor, hops: each node of a forest (by, node, parent; root: null parent) with itself and all above it.
+class Forest:
+    """Nodes with a parent or none, in levels from the roots down."""
+
+    def __init__(self, node, parent):
+        """node, parent: of equal length; NaN or None for no parent. A parent that is no node itself is a root."""
+        node, parent = pd.Series(node).astype("Int64"), pd.Series(parent).astype("Int64")
+        if node.duplicated().any():
+            raise RuntimeError("the parents are no forest")
+        self.ids = np.union1d(node.to_numpy(np.int64), parent.dropna().to_numpy(np.int64))
+        self.up = np.full(len(self.ids), -1)
+        has = parent.notna().to_numpy()
+        self.up[self.index(node[has])] = self.index(parent[has])
+        self.depth, jump = (self.up >= 0).astype(np.int64), self.up.copy()
+        for _ in range(64):
+            on = np.flatnonzero(jump >= 0)
+            if not len(on):
+                break
+            self.depth[on] += np.where(jump[on] >= 0, self.depth[jump[on]], 0)
+            jump[on] = jump[jump[on]]
+        else:
+            raise RuntimeError("the parents are no forest")
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1) if len(order) else []
+
+    def index(self, nodes) -> np.ndarray:
+        """Places of nodes; -1 for those that are not in the forest."""
+        wanted = np.asarray(nodes, np.int64)
+        at = np.minimum(np.searchsorted(self.ids, wanted), max(0, len(self.ids) - 1))
+        return np.where(self.ids[at] == wanted, at, -1) if len(self.ids) else np.full(len(wanted), -1)
+
+    def below(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each node and all below it."""
+        out = values.copy()
+        for level in reversed(self.levels[1:]):
+            np.add.at(out, self.up[level], out[level])
+        return out
+
+    def above(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each node and all above it."""
+        out = values.copy()
+        for level in self.levels[1:]:
+            out[level] += out[self.up[level]]
+        return out
+
+
+def subtree_sums(parents: DataFrame, loads: DataFrame, by: list[str], values: list[str], also: list[str] | None = None) -> DataFrame:
+    """by, node, also, values: sums of ``values`` over each node's subtree, per ``also`` (a category, say), where it holds any load.
+
+    parents: by, node, parent (root: null); loads: by, node, also..., values... . One pass over a group's levels:
+    the work is the group's size times its categories, whatever its depth. A null value counts as 0.
+    """
+    also = also or []
+
+    def run(key: tuple, p: pd.DataFrame, l: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "node", *also, *values]
+        if p.empty or l.empty:
+            return pd.DataFrame({n: [] for n in names})
+        forest = Forest(p["node"], p["parent"])
+        kinds = l[also].drop_duplicates().reset_index(drop=True) if also else pd.DataFrame(index=[0])
+        code = l[also].merge(kinds.reset_index(), on=also, how="left")["index"].to_numpy() if also else np.zeros(len(l), int)
+        at = forest.index(l["node"])
+        ok = at >= 0
+        shape = (len(forest.ids), len(kinds))
+        held = np.zeros(shape, np.int64)
+        np.add.at(held, (at[ok], code[ok]), 1)
+        node, kind = np.nonzero(forest.below(held))
+        out = {"node": forest.ids[node], **{c: kinds[c].to_numpy()[kind] for c in also}}
+        for v in values:
+            column = l[v].fillna(0).to_numpy()
+            own = np.zeros(shape, np.int64 if np.issubdtype(column.dtype, np.integer) else float)
+            np.add.at(own, (at[ok], code[ok]), column[ok])
+            out[v] = forest.below(own)[node, kind]
+        found = pd.DataFrame(out)
+        for name, value in zip(by, key, strict=True):
+            found.insert(0, name, value)
+        return found[names]
+
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    sums = ", ".join(f"{v} {'long' if loads.schema[v].dataType.simpleString() in whole else 'double'}" for v in values)
+    kinds = "".join(f", {_schema(loads, [c])}" for c in also)
+    rows = loads.select(*by, "node", *also, *[F.col(v).cast("long" if loads.schema[v].dataType.simpleString() in whole else "double").alias(v) for v in values])
+    return parents.select(*by, "node", "parent").groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(run, f"{_schema(parents, by)}, node long{kinds}, {sums}")
+
+
+def path_sums(steps: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """by, node, values, first, second, steps: sums of ``values`` over the way from the root to each node.
 
-    Path doubling: the number of joins grows with the logarithm of the depth.
+    steps: by, node, parent, values... (of the step into the node; null counts as 0). first and second are
+    the nodes one and two steps below the root on that way, null where it is shorter; steps is its length.
     """
-    known = cut(parents.select(*by, "node", F.col("node").alias("ancestor"), F.lit(0).alias("hops")))
-    step = cut(parents.where("parent is not null").select(*by, "node", F.col("parent").alias("up")))
-    span = 1
-    for _ in range(limit):
-        if step.isEmpty():
-            return known
-        lifted = known.join(step.select(*by, F.col("node").alias("ancestor"), "up"), [*by, "ancestor"]).select(*by, "node", F.col("up").alias("ancestor"), (F.col("hops") + span).alias("hops"))
-        known = cut(known.unionByName(lifted))
-        step = cut(step.join(step.select(*by, F.col("node").alias("up"), F.col("up").alias("__u")), [*by, "up"]).select(*by, "node", F.col("__u").alias("up")))
-        span *= 2
-    raise RuntimeError("the parents are no forest")
-
-
-def subtree_sums(closure: DataFrame, loads: DataFrame, by: list[str], values: list[str], also: list[str] | None = None) -> DataFrame:
-    """Sums of ``values`` over each node's subtree, per ``also`` (a category, say). loads: by, node, also..., values..."""
-    met = closure.join(loads, [*by, "node"])
-    return met.groupBy(*by, F.col("ancestor").alias("node"), *(also or [])).agg(*[F.sum(v).alias(v) for v in values])
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        forest = Forest(p["node"], p["parent"])
+        at = forest.index(p["node"])
+        out = {"node": forest.ids}
+        for v in values:
+            own = np.zeros(len(forest.ids))
+            own[at] = p[v].fillna(0).to_numpy(float)
+            out[v] = forest.above(own)
+        for depth, name in ((1, "first"), (2, "second")):
+            own = np.where(forest.depth == depth, np.arange(len(forest.ids)) + 1, 0)
+            place = forest.above(own)
+            out[name] = pd.array(np.where(place > 0, forest.ids[np.maximum(place - 1, 0)], 0), "Int64")
+            out[name][place == 0] = pd.NA
+        out["steps"] = forest.depth
+        found = pd.DataFrame(out)
+        for name, value in zip(by, key, strict=True):
+            found.insert(0, name, value)
+        return found[[*by, "node", *values, "first", "second", "steps"]]
+
+    sums = ", ".join(f"{v} double" for v in values)
+    return steps.select(*by, "node", "parent", *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*by).applyInPandas(run, f"{_schema(steps, by)}, node long, {sums}, first long, second long, steps long")
 
 
 def bfs_parents(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def with_loads(buildings: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, categories: DataFrame, config: Config = DEFAULT) -> dict:
-    """Element tables of all grids, by name: grids, bus, line, load, trafo, ext_grid, flow; and the grid key 'by'.
+    """Element tables of all grids, by name: grids, bus, line, load, trafo, ext_grid, flow, unreached (buildings without a way to their transformer); and the grid key 'by'.
 
     buildings: osm_id, plz, x, y, type, area, floors, households_per_building; ways: plz, way_id, clazz,
     line; transformers: osm_id, plz, x, y, transformer_rated_power.
@@ -68,24 +68,19 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
     # existing transformers take what they can (bcid < 0), the rest is clustered anew (bcid > 0)
     known = cut(trafo.join(comp.withColumnRenamed("node", "vid"), "vid").join(groups, ["plz", "component"]).select("plz", "kcid", "vid", "transformer_rated_power"))
     of = ["plz", "kcid"]
-    reached = routing.costs(e, known, of, house.select(*of, F.col("vid")))
+    reached = routing.costs(e, known, of, house.select(*of, F.col("vid")), config.brownfield_reach_m)
     pairs = reached.select(*of, F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
     stock = house.select(*of, "vid", "type", "kw", "homes", "settlement_type")
     brown = cut(clustering.brownfield_clusters(pairs, stock, of, config))
     left = house.join(brown.select(*of, "vid"), [*of, "vid"], "left_anti")
     left = left.withColumn("__n", F.count("*").over(Window.partitionBy(*of))).where("__n > 1").drop("__n")
-    points = left.select(*of, F.col("connection_point").alias("vid")).distinct()
-    green_costs = cut(routing.costs(e, points, of, points))
     by_point = left.select(*of, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
-    green = cut(clustering.greenfield_clusters(green_costs, by_point, of, config))
+    green = cut(clustering.greenfield_clusters(e, by_point, of, config))
     member = brown.select(*of, "vid", "bcid").unionByName(left.select(*of, "vid", "connection_point").join(green.select(*of, F.col("vid").alias("connection_point"), "bcid"), [*of, "connection_point"]).select(*of, "vid", "bcid"))
     member = cut(member)
 
     # places and ratings
-    inside = green_costs.join(green.select(*of, F.col("vid").alias("start_vid"), "bcid"), [*of, "start_vid"]).join(green.select(*of, F.col("vid").alias("end_vid"), "bcid"), [*of, "end_vid", "bcid"])
-    demand = by_point.join(green.select(*of, "vid", "bcid"), [*of, "vid"]).groupBy(*GRID, "vid").agg(F.sum("kw").alias("kw"))
-    spot = clustering.greenfield_positions(inside, demand, GRID, config.greenfield_reach_m)
-    new = green.groupBy(*GRID).agg(F.first("rated").alias("rated")).join(spot.select(*GRID, "ont_vid"), GRID).join(F.broadcast(types), "plz")
+    new = green.groupBy(*GRID).agg(F.first("rated").alias("rated"), F.first("ont_vid").alias("ont_vid")).join(F.broadcast(types), "plz")
     sizes = F.element_at(F.create_map(*[x for k, s in config.capacities.items() for x in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("settlement_type"))
     new = new.withColumn("rated", E.grouped_rating(F.col("rated"), sizes).cast("double")).drop("settlement_type")
     old = brown.groupBy(*GRID).agg(F.first("trafo").alias("ont_vid"), F.first("rated").alias("rated"))
@@ -98,6 +93,8 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
     served = full.join(loads.select(*GRID, F.col("vertice_id").alias("vid"), "sim"), [*GRID, "vid"])
     grid_edges = e.join(grids.select(*GRID), of).select(*GRID, "source", "target", "cost")
     tree = cut(network.branch_tree(grid_edges, served.select(*GRID, "vid", "connection_point", "type", "kw", "homes", "sim"), grids, GRID, config))
+    lost = cut(tree.where("kind = 'unreached'").select(*GRID, F.col("node").alias("vertice_id")))
+    loads = loads.join(lost, [*GRID, "vertice_id"], "left_anti")
     line = cut(network.sized_lines(tree, grids, GRID, config))
     load = cut(network.load_table(loads, GRID, config))
     bus = network.buses(line, loads, grids, GRID, config)
@@ -108,7 +105,7 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
     bus = cut(bus.withColumn("y", F.when(F.col("name") == "MVbus 1", F.col("y") + 1.5e-4).otherwise(F.col("y"))).drop("__v", "ont_vid"))
     roots = grids.select(*GRID, F.lit(-1).cast("long").alias("vid"))
     flow = cut(network.power_flow(line, load, roots, GRID, config))
-    return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow}
+    return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow, "unreached": lost}
 
 
 def demo_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

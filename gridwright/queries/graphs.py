@@ -48,10 +48,9 @@ def root_path(v: Views) -> DataFrame:
 
 @query(f"WITH {_UP} SELECT anc AS node, CAST(SUM(node%7) AS BIGINT) AS load, COUNT(*) AS nodes FROM up GROUP BY anc")
 def subtree_load(v: Views) -> DataFrame:
-    """Loads added up over subtrees through the closure of a tree."""
-    closure = routing.ancestors(_parents(v), ["g"])
+    """Loads added up over the subtrees of a tree."""
     loads = _parents(v).select("g", "node", F.expr("node % 7").alias("load"), F.lit(1).alias("nodes"))
-    return routing.subtree_sums(closure, loads, ["g"], ["load", "nodes"]).drop("g")
+    return routing.subtree_sums(_parents(v), loads, ["g"], ["load", "nodes"]).drop("g")
 
 
 @query("SELECT CAST(COUNT(*) AS INT) AS feeder_lines FROM x_edges WHERE source NOT IN (SELECT target FROM x_edges)")
@@ -78,9 +77,12 @@ def streets(v: Views) -> DataFrame:
     return v.x_streets.where("source > 0").select("plz", "source", "target", "cost")
 
 
+def street_points(v: Views) -> DataFrame:
+    return v.x_streets.select("plz", F.col("source").alias("vid"))
+
+
 def street_costs(v: Views) -> DataFrame:
-    points = v.x_streets.select("plz", F.col("source").alias("vid"))
-    return routing.costs(streets(v), points, ["plz"], points)
+    return routing.cost_matrix(streets(v), street_points(v), ["plz"])
 
 
 @query(f"WITH {_STREET_COSTS} SELECT plz, s AS start_vid, e AS end_vid, m AS metres FROM sm")
@@ -137,8 +139,7 @@ def _zone_loads(v: Views) -> DataFrame:
 @query(f"WITH {_UP}, {_ZONES}, {_SIMS} SELECT node, ROUND(sim,6) AS sim_load, ROUND(CASE WHEN p>0 THEN sim/p ELSE 0 END,6) AS factor FROM f")
 def line_upstream_simultaneity(v: Views) -> DataFrame:
     """Simultaneous load of every line from all below it."""
-    closure = routing.ancestors(_parents(v), ["g"])
-    out = grid_metrics.upstream_simultaneity(closure, _zone_loads(v), ["g"])
+    out = grid_metrics.upstream_simultaneity(_parents(v), _zone_loads(v), ["g"])
     return out.select("node", F.round("sim_load", 6).alias("sim_load"), F.round("sim_factor_cumulated", 6).alias("factor"))
 
 
@@ -146,12 +147,10 @@ _PATHS = f"WITH {_UP}, {_ZONES}, {_SIMS}, i AS (SELECT e.source AS node, e.cost/
 
 
 def _tree_paths(v: Views) -> DataFrame:
-    closure = routing.ancestors(_parents(v), ["g"])
-    sims = grid_metrics.upstream_simultaneity(closure, _zone_loads(v), ["g"]).select("g", "node", "sim_factor_cumulated")
-    depth = closure.groupBy("g", "node").agg(F.max("hops").alias("depth"))
-    into = v.x_edges.select(F.lit(0).alias("g"), F.col("source").alias("node"), (F.col("cost") / 1000).alias("length_km"), F.lit(0.225).alias("r_ohm_per_km"), F.lit(0.08).alias("x_ohm_per_km"), F.lit(False).alias("cabinet"))
-    into = into.join(depth, ["g", "node"]).join(sims, ["g", "node"], "left")
-    return grid_metrics.path_impedance(closure, into, _zone_loads(v).select("g", "node", F.col("count").alias("path_weight")), ["g"])
+    sims = grid_metrics.upstream_simultaneity(_parents(v), _zone_loads(v), ["g"]).select("g", "node", "sim_factor_cumulated")
+    into = v.x_edges.select(F.lit(0).alias("g"), F.col("source").alias("node"), F.col("target").alias("parent"), (F.col("cost") / 1000).alias("length_km"), F.lit(0.225).alias("r_ohm_per_km"), F.lit(0.08).alias("x_ohm_per_km"), F.lit(False).alias("cabinet"))
+    into = into.join(sims, ["g", "node"], "left")
+    return grid_metrics.path_impedance(into, _zone_loads(v).select("g", "node", F.col("count").alias("path_weight")), ["g"])
 
 
 @query(f"{_PATHS} SELECT node, branch, ROUND(r,9) AS r, ROUND(x,9) AS x FROM p")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.operators import cables, clustering, network
+from gridwright.config import DEFAULT
+from gridwright.operators import cables, clustering, network, routing
 from gridwright.operators.components import connected_components
 from gridwright.queries.expressions import peaks
-from gridwright.queries.graphs import _STREET_COSTS, street_costs, streets
+from gridwright.queries.graphs import _STREET_COSTS, street_points, streets
 from gridwright.queries.registry import Views, query
 
 
@@ -18,10 +19,10 @@ def _plan(v: Views):
     return generate(*demo_inputs(v))
 
 
-def _matrix(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Costs among the points of each postcode's streets, and the buildings there."""
+def _houses(v: Views) -> DataFrame:
+    """The buildings of each postcode's streets."""
     b = peaks(v).select("osm_id", "type", "kw", "homes").join(v.x_streets.select("osm_id", "plz", F.col("source").alias("vid")), "osm_id")
-    return street_costs(v), b.withColumn("settlement_type", F.lit(2))
+    return b.withColumn("settlement_type", F.lit(2))
 
 
 @query(f"""WITH {_STREET_COSTS}, k AS (SELECT x.plz, x.source AS vid, p.kw FROM x_streets x JOIN x_peaks p ON p.osm_id=x.osm_id),
@@ -30,31 +31,30 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plz ORDER BY feasible DESC, ROUN
 SELECT plz, s AS ont_vid, ROUND(moment,4) AS moment, feasible FROM r WHERE r=1""")
 def greenfield_position(v: Views) -> DataFrame:
     """The place with the least sum of distance times load within reach."""
-    costs, b = _matrix(v)
-    out = clustering.greenfield_positions(costs, b.select("plz", "vid", "kw"), ["plz"], 400.0)
+    out = clustering.greenfield_positions(streets(v), _houses(v).select("plz", "vid", "kw"), ["plz"], 400.0)
     return out.select("plz", "ont_vid", F.round("moment", 4).alias("moment"), "feasible")
 
 
 @query(name="brownfield_assign")
 def brownfield_assign(v: Views) -> DataFrame:
     """Consumers dealt to existing transformers with room."""
-    costs, b = _matrix(v)
-    pairs = costs.where("end_vid % 20 = 3").select("plz", "start_vid", "end_vid", "agg_cost")  # transformers at every twentieth point
-    return clustering.brownfield_clusters(pairs, b, ["plz"])
+    size = v.x_streets.groupBy("plz").agg(F.count("*").alias("n"))
+    trafos = v.x_transformers.join(size, "plz").select("plz", F.expr("osm_id % n").alias("vid")).distinct()
+    reached = routing.costs(streets(v), trafos, ["plz"], street_points(v), DEFAULT.brownfield_reach_m)
+    pairs = reached.select("plz", F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
+    return clustering.brownfield_clusters(pairs, _houses(v), ["plz"])
 
 
 @query(name="linkage_clusters")
 def linkage_clusters(v: Views) -> DataFrame:
     """Clusters that one transformer can serve, by average linkage and bisection."""
-    costs, b = _matrix(v)
-    return clustering.greenfield_clusters(costs, b, ["plz"])
+    return clustering.greenfield_clusters(streets(v), _houses(v), ["plz"])
 
 
 @query(name="bcid_accept")
 def bcid_accept(v: Views) -> DataFrame:
     """Sizes and members of the accepted clusters."""
-    costs, b = _matrix(v)
-    return clustering.greenfield_clusters(costs, b, ["plz"]).groupBy("plz", "bcid", "rated").agg(F.count("*").alias("members"), F.min("vid").alias("first"))
+    return clustering.greenfield_clusters(streets(v), _houses(v), ["plz"]).groupBy("plz", "bcid", "rated").agg(F.count("*").alias("members"), F.min("vid").alias("first"))
 
 
 @query("WITH RECURSIVE n AS (SELECT source AS node FROM x_forest UNION SELECT target FROM x_forest), r(node, top) AS (SELECT node, node FROM n UNION ALL SELECT r.node, f.target FROM r JOIN x_forest f ON f.source=r.top), c AS (SELECT node, MIN(top) AS component FROM r GROUP BY node), s AS (SELECT *, COUNT(*) OVER (PARTITION BY component) AS k FROM c) SELECT node AS vid, CAST(DENSE_RANK() OVER (ORDER BY component) AS INT) AS kcid FROM s WHERE k>1")

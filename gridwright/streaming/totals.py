@@ -16,13 +16,18 @@ def windowed(events: DataFrame, time: str = "ts", length: str = "1 hour", late:
 
 
 def totals_of(spark: SparkSession, folder: str) -> DataFrame:
-    """user_id, n, total of the events table, read as a stream of what is there now."""
+    """user_id, n, total of the events table, read as a stream of what is there now; each batch writes the totals so far as Parquet."""
     ensure_checkpoint_dir(spark)
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
-    name = f"totals_{uuid.uuid4().hex}"
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/totals-{uuid.uuid4().hex}"
     sums = stream.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    run = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start()
+    last: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")  # a batch that is run again replaces its own files
+        last[:] = [f"{base}/out/{number}"]
+
+    run = sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(*last) if last else spark.createDataFrame([], sums.schema)
