@@ -39,25 +39,31 @@ def read_turns(example: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _READ.findall(example)]
 
 
-def _expanded(kind: pa.DataType):
+def _key(conv) -> tuple:
+    """What tells conversations apart: NaN is equal to itself, as it is to Spark."""
+    return ("nan",) if conv != conv else (conv,)
+
+
+def _expanded():
     names = ["conv_id", "example", "n_turns", "text", "loss_start", "loss_end"]
-    types = [kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, chars = [], 0
-        now, prefix, turns, example, open_turns = None, "", 0, 0, 0
+        now, of, prefix, turns, example, open_turns = None, None, "", 0, 0, 0
 
         def tail() -> None:
             nonlocal chars
             if open_turns:  # turns after the last reply: context only
-                out.append((now[0], example, turns, prefix, None, None))
+                out.append((of, example, turns, prefix, None, None))
                 chars += len(prefix)
 
         for batch in batches:
+            types[0] = batch.schema.field("conv_id").type
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if now != (conv,):
+                if now != _key(conv):
                     tail()
-                    now, prefix, turns, example, open_turns = (conv,), "", 0, 0, 0
+                    now, of, prefix, turns, example, open_turns = _key(conv), conv, "", 0, 0, 0
                 body = escape(text)
                 head = f"{prefix}{TURN}{escape_role(role)}\n"
                 prefix = f"{head}{body}{END}"
@@ -76,10 +82,6 @@ def _expanded(kind: pa.DataType):
     return run
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def prefix_targets(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, example, n_turns, text, loss_start, loss_end: an example for each assistant turn.
 
@@ -88,35 +90,37 @@ def prefix_targets(conversations: DataFrame, conv_col: str = "conv_id", turn_col
     last reply give one more example without a loss span. Positions count code points, the span holds
     the escaped reply. Rows of a conversation stream through one task in order, so a task holds the
     text of one conversation and a batch, however many turns there are; examples of a conversation
-    leave it next to each other, in order. An empty table gives an empty result.
+    leave it next to each other, in order. Conversation ids may be of any type that Spark can sort and
+    hash. An empty table gives an empty result; other columns are not read.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     kind = rows.schema["conv_id"].dataType.simpleString()
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_expanded(_arrow(kind)), f"conv_id {kind}, example long, n_turns long, text string, loss_start long, loss_end long")
+    return ordered.mapInArrow(_expanded(), f"conv_id {kind}, example long, n_turns long, text string, loss_start long, loss_end long")
 
 
-def _read_back(kind: pa.DataType):
+def _read_back():
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, longest, loss, loss_chars, chars = None, "", None, 0, 0
+        now, of, longest, loss, loss_chars, chars = None, None, "", None, 0, 0
 
         def digest() -> tuple:
             turns, whole = read_turns(longest), hashlib.sha256()
             for role, text in turns:
                 whole.update(f"{role}\n{text}\n".encode())
-            return (now[0], len(turns), whole.hexdigest(), loss_chars, loss.hexdigest(), chars)
+            return (of, len(turns), whole.hexdigest(), loss_chars, loss.hexdigest(), chars)
 
         for batch in batches:
+            types[0] = batch.schema.field("conv_id").type
             out = []
             for conv, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss_start", "loss_end")), strict=True):
-                if now != (conv,):
+                if now != _key(conv):
                     if now:
                         out.append(digest())
-                    now, longest, loss, loss_chars, chars = (conv,), "", hashlib.sha256(), 0, 0
+                    now, of, longest, loss, loss_chars, chars = _key(conv), conv, "", hashlib.sha256(), 0, 0
                 longest, chars = text, chars + len(text)
                 if start is not None:
                     reply = unescape(text[start:end])
@@ -137,4 +141,4 @@ def read_back(examples: DataFrame) -> DataFrame:
     order. The last example holds all turns; the texts under the loss masks are joined with nothing between.
     """
     kind = examples.schema["conv_id"].dataType.simpleString()
-    return examples.mapInArrow(_read_back(_arrow(kind)), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.mapInArrow(_read_back(), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
-from gridwright.llm.common import maybe_broadcast
+from gridwright.llm.common import fresh, maybe_broadcast
 
 #: Fingerprints that a task holds before it writes its filters; merging again loses nothing.
 HELD = 1 << 21
@@ -163,10 +163,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever these are called."""
     _, fp, sha = _keys(F.col(text_col))
-    groups = maybe_broadcast(equal_text_groups(docs, id_col, text_col).select(F.col("fp").alias("__gw_fp"), F.col("sha").alias("__gw_sha"), F.col("keep_id").alias("__gw_keep"), F.lit(True).alias("__gw_in")))
-    rows = docs.withColumns({"__gw_fp": fp, "__gw_sha": sha}).join(groups, ["__gw_fp", "__gw_sha"], "left")
-    single = rows.where("__gw_in is null")
-    chosen = rows.where(F.col("__gw_in") & F.col(id_col).eqNullSafe(F.col("__gw_keep"))).dropDuplicates([id_col, "__gw_sha"])
-    return single.unionByName(chosen).select(*docs.columns)
+    f, s, k, hit = fresh(docs.columns, "__gw_fp", "__gw_sha", "__gw_keep", "__gw_in")
+    groups = maybe_broadcast(equal_text_groups(docs, id_col, text_col).select(F.col("fp").alias(f), F.col("sha").alias(s), F.col("keep_id").alias(k), F.lit(True).alias(hit)))
+    rows = docs.withColumns({f: fp, s: sha}).join(groups, [f, s], "left")
+    single = rows.where(F.col(hit).isNull())
+    chosen = rows.where(F.col(hit) & F.col(id_col).eqNullSafe(F.col(k))).dropDuplicates([id_col, s])
+    return single.unionByName(chosen).drop(f, s, k, hit)

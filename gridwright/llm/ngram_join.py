@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
-from gridwright.llm.common import give_back, maybe_broadcast, slices, words_of
+from gridwright.llm.common import fresh, give_back, maybe_broadcast, slices, words_of
 from gridwright.operators.components import connected_components
 
 #: Longest match count that a document may pick.
@@ -399,9 +399,9 @@ def _classes(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Data
 
 
 def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, with all their columns; equal rows stay or go together."""
+    """The rows of ``docs`` with the smallest id of their class, with all their columns, whatever these are called; equal rows stay or go together."""
     found = link_classes(docs, words, percent, id_col, text_col)
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gw_id"), F.col("fp").alias("__gw_fp")).distinct())
-    fp = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = docs[id_col].eqNullSafe(F.col("__gw_id")) & (fp == F.col("__gw_fp"))
+    i, f = fresh(docs.columns, "__gw_id", "__gw_fp")
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i), F.col("fp").alias(f)).distinct())
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(f))
     return docs.join(maybe_broadcast(gone), same, "left_anti")

@@ -1,10 +1,11 @@
-"""Harmonic packing: lengths in reciprocal-capacity classes, a fixed number of pieces to a class's bin.
-
-A document is cut into pieces of the capacity and of its halves down to ``least``, largest first,
-and a tail below ``least``. Class k holds pieces of which k fill a bin (of capacity // k tokens at
-most), so a worker needs one open bin for each class and never looks at other workers. What its open
-bins hold at the end goes into bins whose length is a power of two: halves by their number, tails
-after a cut into powers of two. Those need no padding.
+"""Harmonic packing: lengths in reciprocal-capacity classes, a fixed number of documents to a class's bin.
+
+What is over the capacity of a document fills bins of its own. The rest, of n tokens, is of class
+k = capacity // n, of which k fit one bin; a worker keeps one open bin for each class, closes it at k
+rests and never looks at other workers. The room that a closed bin has left is filled by the front of
+the document that comes next, the only cut that the method makes. What a worker's open bins hold at
+the end is poured into bins one after another, and the last tokens into bins whose length is a power
+of two, so no sequence needs padding.
 """
 
 from __future__ import annotations
@@ -69,8 +70,10 @@ class Packer:
     """A worker's open bins. ``add`` and ``finish`` return finished pieces: (doc, start, length, crc, tokens, sequence, offset)."""
 
     def __init__(self, capacity: int = 4096, least: int = 64):
-        self.capacity, self.least, self.sequence = capacity, least, 0
-        self.open: dict[tuple[int, bool], list] = {}
+        self.capacity, self.most, self.sequence = capacity, capacity // least, 0
+        self.open: dict[int, list] = {}
+        self.short: list = []  # the closed bin that has room left
+        self.room = 0
 
     def _close(self, pieces: list) -> Iterator[tuple]:
         offset = 0
@@ -80,38 +83,45 @@ class Packer:
             offset += length
         self.sequence += 1
 
-    def _put(self, k: int, tail: bool, piece: tuple) -> Iterator[tuple]:
-        pieces = self.open.setdefault((k, tail), [])
-        pieces.append(piece)
-        if len(pieces) == k:
-            yield from self._close(self.open.pop((k, tail)))
+    def _fill(self, doc, ids: bytes, start: int, tokens: int) -> Iterator[tuple]:
+        """Pieces of a bin that the front of ``ids`` makes full; the room is what then is left."""
+        self.short.append((doc, start, ids[: 4 * self.room], tokens))
+        self.room -= min(self.room, len(ids) // 4)
+        if not self.room:
+            yield from self._close(self.short)
+            self.short = []
 
-    def add(self, doc, ids: bytes, least: int | None = None, start: int = 0, tokens: int | None = None) -> Iterator[tuple]:
+    def add(self, doc, ids: bytes) -> Iterator[tuple]:
         """ids: little-endian unsigned 32-bit."""
-        least = self.least if least is None else least
         n, at = len(ids) // 4, 0
-        tokens = n if tokens is None else tokens
-        size = self.capacity
-        while n - at >= least and size >= least:
-            while n - at >= size:
-                yield from self._put(self.capacity // size, False, (doc, start + at, ids[4 * at : 4 * (at + size)], tokens))
-                at += size
-            size //= 2
+        if self.room:
+            at = min(n, self.room)
+            yield from self._fill(doc, ids, 0, n)
+        while n - at >= self.capacity:
+            yield from self._close([(doc, at, ids[4 * at : 4 * (at + self.capacity)], n)])
+            at += self.capacity
         if at < n:
-            yield from self._put(self.capacity // (n - at), True, (doc, start + at, ids[4 * at :], tokens))
+            k = min(self.capacity // (n - at), self.most)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((doc, at, ids[4 * at :], n))
+            if len(pieces) == k:
+                self.short = self.open.pop(k)
+                self.room = self.capacity - sum(len(p[2]) // 4 for p in self.short)
+                if not self.room:
+                    yield from self._close(self.short)
+                    self.short = []
 
     def finish(self) -> Iterator[tuple]:
-        tails = [p for (_, tail), pieces in sorted(self.open.items()) if tail for p in pieces]
-        self.open = {key: pieces for key, pieces in self.open.items() if not key[1]}
-        for doc, start, ids, tokens in tails:
-            yield from self.add(doc, ids, 1, start, tokens)
-        for _, pieces in sorted(self.open.items()):
-            at = 0
-            while at < len(pieces):
-                count = 1 << ((len(pieces) - at).bit_length() - 1)
-                yield from self._close(pieces[at : at + count])
-                at += count
-        self.open = {}
+        left = [*self.short, *(p for _, pieces in sorted(self.open.items()) for p in pieces)]
+        self.short, self.open, self.room = [], {}, 0
+        count = sum(len(p[2]) // 4 for p in left)
+        for doc, start, ids, tokens in left:
+            while ids:
+                if not self.room:  # a new bin: the capacity, or the largest power of two that what is left fills
+                    self.room = self.capacity if count >= self.capacity else 1 << (count.bit_length() - 1)
+                took = min(self.room, len(ids) // 4)
+                yield from self._fill(doc, ids, start, tokens)
+                ids, start, count = ids[4 * took :], start + took, count - took
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -122,10 +132,10 @@ WORKER_SEQUENCES = 1 << 40
 def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, least: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``path`` names the vocabulary file on the workers; capacity and least are powers of two. A null
-    text counts as empty and is its end id alone; long texts are cut into many pieces, every id lies
-    in one. Each row is packed for itself, also where ids or texts repeat. A worker holds less than
-    one bin for each class; sequence ids are its partition number times 2**40 and up, so they repeat
+    ``path`` names the vocabulary file on the workers; capacity and least are powers of two, and rests
+    of fewer than ``least`` tokens share a class. A null text counts as empty and is its end id alone;
+    long texts are cut into many pieces, every id lies in one. Each row is packed for itself, also
+    where ids or texts repeat. A worker holds less than one bin for each class; sequence ids are its partition number times 2**40 and up, so they repeat
     when a lost task is run again on the same partition. An empty table gives an empty result.
     """
     if capacity & capacity - 1 or least & least - 1 or not 1 <= least <= capacity:

@@ -100,10 +100,12 @@ def fourier(rows: np.ndarray, mean: np.ndarray, deviation: np.ndarray, seed: int
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the pooled blocks' mean x and mean y, ascending."""
+    """Pool adjacent violators: the pooled blocks' mean x and mean y, ascending. Equal x are one block from the start."""
+    at, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    sums = np.bincount(place, weights=y, minlength=len(at))
     blocks: list[list[float]] = []
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        blocks.append([b, 1.0, a])
+    for a, s, n in zip(at.tolist(), sums.tolist(), count.tolist(), strict=True):
+        blocks.append([s, n, a * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, t = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]

@@ -9,7 +9,6 @@ that may still reach the query's k-th best score are computed exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,8 @@ from gridwright.checkpoints import cut
 
 #: Segments at each resolution.
 SEGMENTS = (1, 4, 16, 32)
-#: Queries that go to the workers at a time, about; a block of these is broadcast.
-BLOCK = 8192
+#: Queries of a block, about; up to so many are broadcast. A part of the rows that meets it in one cell is PART times as large.
+BLOCK, PART = 8192, 16
 QUERY_TILE, ROW_TILE = 1024, 4096
 SCALE = 256
 
@@ -127,21 +126,77 @@ def search(queries: Resolutions, query_ids: np.ndarray, rows: Resolutions, row_i
             best.add(a + qi[kept], score[kept], row_ids[b : b + ROW_TILE][xi[kept]])
 
 
-def _block(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = {d: (ids, Resolutions(x), least) for d, (ids, x, least) in shared.value.items()}
-        best = {}
+def _sides(ids: np.ndarray, vectors: pa.Array, k: int) -> dict[int, tuple[np.ndarray, Resolutions, np.ndarray]]:
+    """By dimension the queries' ids, their resolutions, and a score that each query's k-th best reaches at least, from some of the queries themselves."""
+    sides = {}
+    for d, (at, x) in integers(vectors)[1].items():
+        if len(at):
+            start, res, first = Best(len(at), k), Resolutions(x), slice(0, 2 * QUERY_TILE)
+            search(res, ids[at], res.part(first), ids[at][first], start)
+            sides[d] = ids[at], res, start.least
+    return sides
+
+
+class Scan:
+    """The best rows of a block of queries, rows offered batch by batch."""
+
+    def __init__(self, sides: dict, k: int):
+        self.sides, self.best = sides, {}
         for d, (ids, _, least) in sides.items():
-            best[d] = Best(len(ids), k)
-            best[d].least = least.copy()
+            self.best[d] = Best(len(ids), k)
+            self.best[d].least = least.copy()
+
+    def offer(self, row_ids: np.ndarray, vectors: pa.Array) -> None:
+        for d, (at, x) in integers(vectors)[1].items():
+            if d in self.sides and len(at):
+                search(self.sides[d][1], self.sides[d][0], Resolutions(x), row_ids[at], self.best[d])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for d, best in self.best.items():
+            if len(best.q):
+                yield pa.record_batch([pa.array(self.sides[d][0][best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _against_one_block(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scan(shared.value, k)
+        for batch in batches:
+            scan.offer(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+        yield from scan.found()
+
+    return run
+
+
+def _in_cells(k: int):
+    """Of rows sorted by cell and then with its queries first: the best rows of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asking, scan = None, [], None
         for batch in batches:
-            row_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for d, (at, x) in integers(batch.column(1))[1].items():
-                if d in sides and len(at):
-                    search(sides[d][1], sides[d][0], Resolutions(x), row_ids[at], best[d])
-        for d, found in best.items():
-            if len(found.q):
-                yield pa.record_batch([pa.array(sides[d][0][found.q], pa.int64()), pa.array(found.id, pa.int64()), pa.array(found.score, pa.int64())], names=["query_id", "vec_id", "score"])
+            cells = batch.column("block").to_numpy() * (1 << 32) + batch.column("part").to_numpy()
+            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if cells[a] != now:
+                    if scan is not None:
+                        yield from scan.found()
+                    now, asking, scan = cells[a], [], None
+                piece = batch.slice(a, b - a)
+                if asks[a]:
+                    asking.append(piece)
+                    continue
+                if scan is None:
+                    rows = pa.Table.from_batches(asking).combine_chunks() if asking else None
+                    scan = Scan(_sides(rows.column("vec_id").to_numpy(), pa.concat_arrays(rows.column("v").chunks), k) if asking else {}, k)
+                    asking = []
+                scan.offer(piece.column("vec_id").to_numpy(), piece.column("v"))
+        if scan is not None:
+            yield from scan.found()
 
     return run
 
@@ -152,31 +207,29 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     Vectors become floor(256 * x). Ties go to the smaller id; a query's own id is no candidate. Rows
     with a null id, and vectors that are null or hold a null or a component that is not finite (256
     times it included), take no part; vectors are compared with those of their own dimension. Equal rows of an id count once;
-    where an id has several vectors, each may be found and each asks. Queries go to all rows in
-    blocks of about ``block``, each starting from exact scores among its own members; every task
-    keeps k rows a query. An empty table gives an empty result; other columns are not read.
+    where an id has several vectors, each may be found and each asks. Up to ``block`` queries are broadcast
+    to all rows. More queries are dealt into blocks of about that many and the rows into parts, and one
+    job takes each block with each part in a cell of its own, in any order and on any machine. Either way
+    a block starts from exact scores among its own members, and a task holds a block of queries, a batch of rows
+    and k rows a query. An empty table gives an empty result; other columns are not read.
     """
-    spark = rows.sparkSession
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where("vec_id is not null and v is not null")
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and v is not null")
+    count, queries = base.agg(F.count("*"), F.count_if("asks")).first()
     asking = base.where("asks").select("vec_id", "v")
-    blocks = max(1, -(-asking.count() // block))
-    parts = []
-    for i in range(blocks):
-        own = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not own.num_rows:
-            continue
-        ids = own.column("vec_id").to_numpy()
-        sides = {}
-        for d, (at, x) in integers(pa.concat_arrays(own.column("v").chunks))[1].items():
-            start = Best(len(at), k)
-            first = slice(0, 2 * QUERY_TILE)
-            res = Resolutions(x)
-            search(res, ids[at], res.part(first), ids[at][first], start)
-            sides[d] = ids[at], x, start.least
-        found = base.select("vec_id", "v").mapInArrow(_block(spark.sparkContext.broadcast(sides), k), "query_id long, vec_id long, score long")
-        parts.append(cut(found) if blocks > 1 else found)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = reduce(DataFrame.unionByName, parts).distinct()
+    blocks = -(-queries // block)
+    if not blocks:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if blocks == 1:
+        own = asking.toArrow().combine_chunks()  # at most `block` rows
+        sides = _sides(own.column("vec_id").to_numpy(), pa.concat_arrays(own.column("v").chunks), k)
+        best = base.select("vec_id", "v").mapInArrow(_against_one_block(rows.sparkSession.sparkContext.broadcast(sides), k), _FOUND)
+    else:
+        parts = -(-count // (PART * block))
+        dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(salt)), F.lit(n)).cast("long")
+        every = lambda n, name: F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias(name)
+        asks = cut(asking.withColumn("block", dealt(blocks, "q"))).select("vec_id", "v", "block", every(parts, "part"), F.lit(True).alias("asks"))
+        offered = base.select("vec_id", "v", dealt(parts, "r").alias("part")).select("vec_id", "v", every(blocks, "block"), "part", F.lit(False).alias("asks"))
+        cells = asks.unionByName(offered).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"))
+        best = cells.mapInArrow(_in_cells(k), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -65,6 +65,13 @@ def test_filter_keeps_columns_and_rows(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 4]
 
 
+def test_filter_keeps_the_users_columns_of_clashing_names(spark):
+    df = docs(spark, ["a", "b", "a", None, ""], __gw_fp=5, __GW_SHA=6, __gw_keep=7, __gw_in=8)
+    got = exact_dedup.without_exact_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["__gw_fp"], r["__GW_SHA"], r["__gw_keep"], r["__gw_in"]) for r in got.collect()) == [(i, 5, 6, 7, 8) for i in (1, 2, 4)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 255) | st.integers(0, 2**20 - 1), max_size=40), min_size=1, max_size=4))
 def test_filters_merge_without_loss(parts):
@@ -107,6 +114,39 @@ def test_shards_are_even_and_do_not_depend_on_partitions(spark):
             assert text[i] == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
 
 
+def plain_place(number, rows, seed):
+    """One number's place under the permutation, with plain integers."""
+    full = (1 << 64) - 1
+
+    def mixed(x, key):
+        x = (x + key) * 0x9E3779B97F4A7C15 & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    half = max(1, ((max(rows, 2) - 1).bit_length() + 1) // 2)
+    low = (1 << half) - 1
+    while True:
+        left, right = number >> half, number & low
+        for turn in range(1, sharding.ROUNDS + 1):
+            left, right = right, left ^ (mixed(right, mixed(seed, turn)) & low)
+        number = left << half | right
+        if number < rows:
+            return number
+
+
+@pytest.mark.parametrize("count", [8, 3])
+def test_shard_and_slot_match_a_plain_permutation(spark, count):
+    texts = [*ODD, *(f"t{i % 17}" for i in range(70))]
+    df = docs(spark, texts, place=1, row_number=2).unionByName(docs(spark, ["z", "y"], 4, place=1, row_number=2))
+    rows = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 1) for r in df.collect())
+    want = []
+    for number, (doc, crc, size) in enumerate(rows):
+        place = plain_place(number, len(rows), 20240607)
+        want.append((doc, crc, size, place % count, place // count))
+    assert sorted((r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.shards(df.repartition(5), count).collect()) == sorted(want)
+
+
 def test_shards_of_null_ids_and_nothing(spark):
     assert sharding.shards(spark.createDataFrame([(None, None), (None, "a")], "doc_id long, text string")).count() == 2
     assert sharding.shards(docs(spark, [])).count() == 0
@@ -145,6 +185,47 @@ def test_packing_covers_every_id_once(spark):
     assert waste <= 0.02 * total
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 30) | st.integers(1, 300), max_size=120), st.sampled_from([(64, 4), (64, 64), (16, 1)]))
+def test_bins_are_full_and_cuts_are_few(lengths, shape):
+    capacity, least = shape
+    packer, whole, out = packing.Packer(capacity, least), {}, []
+    for i, n in enumerate(lengths):
+        whole[i] = np.arange(i, i + n).astype("<u4").tobytes()
+        out += packer.add(i, whole[i])
+    done = len({p[5] for p in out})
+    out += packer.finish()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for doc, start, length, crc, tokens, sequence, offset in out:
+        pieces[doc].append((start, length, crc, tokens))
+        bins[sequence].append((offset, length))
+    for i, ids in whole.items():
+        at = 0
+        for start, length, crc, tokens in sorted(pieces[i]):
+            assert start == at and length > 0 and tokens == len(ids) // 4
+            assert crc == zlib.crc32(ids[4 * at : 4 * (at + length)])
+            at += length
+        assert at == len(ids) // 4
+    sizes = []
+    for k in range(len(bins)):
+        at = 0
+        for offset, length in sorted(bins[k]):
+            assert offset == at
+            at += length
+        sizes.append(at)
+    assert all(s == capacity for s in sizes[:done]) and all(s == capacity or s & (s - 1) == 0 for s in sizes)
+    assert sum(s < capacity for s in sizes) <= capacity.bit_length()
+    assert len(out) <= len(lengths) + len(bins)
+
+
+def test_a_class_takes_a_fixed_number_of_documents():
+    packer = packing.Packer(100, 10)
+    out = [p for i, n in enumerate([40, 30, 45, 26, 33]) for p in packer.add(i, bytes(4 * n))]
+    # 40 and 45 are of class 2, 30, 26 and 33 of class 3; 26 fills the 15 that class 2 left with its front
+    assert [(p[0], p[1], p[2], p[5], p[6]) for p in out] == [(0, 0, 40, 0, 0), (2, 0, 45, 0, 40), (3, 0, 15, 0, 85)]
+    assert {k: [p[0] for p in v] for k, v in packer.open.items()} == {3: [1, 4], 9: [3]}
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed(docs(spark, []), queries.vocabulary("word_bpe_49k.json")).count() == 0
 
@@ -278,3 +359,18 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(12,2)", "double", "float", "string", "date", "boolean"])
+def test_conversation_ids_of_any_type(spark, kind):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (0, 0, "assistant", "b"), (None, 0, "user", "c")], "k long, turn long, role string, text string")
+    as_kind = "date_add(date'2020-01-01', cast(k as int))" if kind == "date" else f"cast(k as {kind})"
+    rows = rows.selectExpr(f"{as_kind} AS conv_id", "turn", "role", "text", "turn AS example", "role AS loss_start")
+    found = chat_format.read_back(chat_format.prefix_targets(rows))
+    assert found.schema["conv_id"].dataType == rows.schema["conv_id"].dataType
+    assert sorted((r["conv_id"] is not None, r["n_turns"], r["loss_chars"]) for r in found.collect()) == [(False, 1, 0), (True, 1, 1), (True, 2, 1)]
+
+
+def test_conversations_with_nan_ids_are_one(spark):
+    rows = spark.createDataFrame([(float("nan"), i, "assistant", "x") for i in range(3)], "conv_id double, turn long, role string, text string")
+    assert [r["n_turns"] for r in chat_format.read_back(chat_format.prefix_targets(rows)).collect()] == [3]

@@ -55,6 +55,48 @@ def test_code_lengths_match_plain_version():
         assert model.code_lengths(flat, offsets)[0, 0] == pytest.approx(plain_bits(samples, text, [0, 1, 2, 2]), rel=1e-4)
 
 
+def test_code_lengths_hold_for_many_bytes_and_several_languages():
+    rng = random.Random(7)
+    letters = {"x": "aбвгдежзий", "y": "漢字仮名交じり文", "z": "".join(c for c in map(chr, range(0x21, 0x700)) if c == c.lower() == c.upper().lower())}
+    samples = {lang: ["".join(rng.choice(s + " ") for _ in range(800)) for _ in range(4)] for lang, s in letters.items()}
+    batch = pa.record_batch([pa.array([t for v in samples.values() for t in v]), pa.array([k for k, v in samples.items() for _ in v])], names=["text", "lang"])
+    counted = pa.Table.from_batches(list(language_id._grams(iter([batch])))).to_pandas().groupby(["lang", "gram"], as_index=False)["n"].sum()
+    assert counted["gram"].mod(256).nunique() > 128
+    model = language_id.build(counted)
+    texts = ["", samples["x"][0][:60], "漢字 abc ā", "\x00\x01 q", samples["z"][1]]
+    flat, offsets = language_id._bytes(pa.array(texts))
+    got = model.code_lengths(flat, offsets)
+    for i, lang in enumerate(model.languages):
+        for j, text in enumerate(texts):
+            lower = [t.lower() for t in samples[lang]]
+            assert got[j, i] == pytest.approx(plain_bits(lower, text.lower(), [0, 1, 2, 2]) if text else 0.0, rel=1e-6)
+
+
+def test_code_lengths_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, "aa", rng.randrange(0, 30)) for _ in range(40)] + ["", "x" * 500, ""]
+    batch = pa.record_batch([pa.array(texts[:20]), pa.array(["x"] * 20)], names=["text", "lang"])
+    model = language_id.build(pa.Table.from_batches(list(language_id._grams(iter([batch])))).to_pandas().groupby(["lang", "gram"], as_index=False)["n"].sum())
+    flat, offsets = language_id._bytes(pa.array(texts))
+    whole = model.code_lengths(flat, offsets)
+    monkeypatch.setattr(language_id, "CHUNK", 37)
+    assert np.allclose(model.code_lengths(flat, offsets), whole)
+
+
+def test_texts_that_no_language_explains_are_rejected(spark):
+    rng = random.Random(4)
+    docs = language_docs(spark, 240)
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789#%") for _ in range(3000)) for _ in range(5)]
+    odd = spark.createDataFrame([(900 + i, t, None, None, None) for i, t in enumerate([*noise, None, "", "12 %$ 3", "ka", "zz", prose(rng, "aa", 3000)])], DOCS)
+    model = language_id.fit(docs, rated=True)
+    assert len(model.rates) == 2 and np.isfinite(model.rates).all()
+    kept = {r["doc_id"] for r in language_id.in_known_language(docs.unionByName(odd), model).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {908, 909, 910}
+    assert np.isinf(language_id.fit(docs.limit(12), rated=True).rates).all()
+    unlearned = language_id.fit(docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang"), rated=True)
+    assert {r["doc_id"] for r in language_id.in_known_language(odd, unlearned).collect()} == {900, 901, 902, 903, 904, 908, 909, 910}
+
+
 def language_docs(spark, n=160):
     rng = random.Random(1)
     rows = [(i, prose(rng, lang := rng.choice(["aa", "bb"]), rng.randrange(5, 60)), lang, "s", 1) for i in range(n)]
@@ -83,7 +125,10 @@ def test_language_model_ignores_held_out_and_unlabelled(spark):
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     one, two = language_id.fit(docs), language_id.fit(docs.withColumn("text", F.when(held, F.lit("zzz qqq")).otherwise(F.col("text"))))
-    assert np.array_equal(one.bits, two.bits)
+    assert one.languages == two.languages and len(one.trees) == 2
+    for a, b in zip(one.trees, two.trees, strict=True):
+        for name in ("seen", "bits", "contexts", "escapes"):
+            assert all(map(np.array_equal, getattr(a, name), getattr(b, name)))
     assert language_id.fit(docs.withColumn("lang", F.lit(None).cast("string"))).languages == []
     assert [r["lang_pred"] for r in language_id.predictions(docs.limit(1), language_id.fit(docs.limit(0))).collect()] == ["und"]
     assert language_id.predictions(docs.limit(0), one).count() == 0
@@ -136,6 +181,48 @@ def test_isotonic_is_the_least_squares_fit():
     assert level == pytest.approx(list(dict.fromkeys(want))) and sum(sizes) == 40
 
 
+def test_isotonic_pools_equal_scores():
+    at, level = quality.isotonic(np.array([0.3, 0.3, 0.3, 0.3]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert at.tolist() == pytest.approx([0.3]) and level.tolist() == [0.5]
+    at, level = quality.isotonic(np.array([2.0, 1.0, 1.0, 2.0, 0.0]), np.array([1.0, 0.0, 1.0, 1.0, 0.0]))
+    assert at.tolist() == [0.0, 1.0, 2.0] and level.tolist() == [0.0, 0.5, 1.0]
+
+
+def plain_quality(texts, known, threshold=0.7):
+    """Scores of all texts from (text, label, fold) rows, by the same method over one matrix."""
+    stats = np.array([quality.statistics(pa.array([t]))[0] for t, _, _ in known])
+    y, fold = np.array([float(v) for _, v, _ in known]), np.array([f for _, _, f in known])
+    mean, sd = stats.mean(0), stats.std(0)
+    sd[sd <= 1e-9] = 1.0
+    z = quality.fourier(stats, mean, sd)
+
+    def ridge(rows):
+        a = z[rows].T @ z[rows]
+        return np.linalg.solve(a + quality.RIDGE * max(1.0, rows.sum()) / quality.FEATURES * np.eye(a.shape[0]), z[rows].T @ y[rows])
+
+    raw = np.empty(len(y))
+    for f in set(fold.tolist()):
+        raw[fold == f] = z[fold == f] @ ridge(fold != f)
+    order = np.argsort(raw)
+    want = [max(min(y[order][i : j + 1].mean() for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+    place, level = [], []
+    for v in dict.fromkeys(want):
+        place.append(raw[order][[w == v for w in want]].mean()), level.append(v)
+    all_z = quality.fourier(np.array([quality.statistics(pa.array([t]))[0] for t in texts]), mean, sd)
+    return np.clip(np.interp(all_z @ ridge(np.ones(len(y), bool)), place, level), 0, 1)
+
+
+def test_quality_scores_match_plain_version(spark):
+    docs, labels = quality_docs(spark, 90)
+    docs = docs.withColumnsRenamed({"n_chars": "x", "source": "fold"}).withColumn("y", docs["doc_id"])
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in truth}
+    want = plain_quality([t for _, t in rows], [(t, truth[i], fold[i]) for i, t in rows if fold[i] != 2])
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_features_approximate_the_kernel():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, len(quality.STATISTICS)))
@@ -163,7 +250,7 @@ def test_search_matches_plain_version(spark):
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=20) / 4)]) for i in range(230)]
     rows += [(300, [0.1] * 20), (301, rows[7][1]), (302, rows[7][1]), (303, None), (304, [float("nan")] * 20), (305, [None] * 20), (350, [0.5] * 3), (351, [0.25] * 3), (400, []), (None, [1.0] * 20), (7, rows[7][1]), (450, [float("inf")] * 20), (310, [3e38] * 20), (311, [-3e38] * 20)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int")
-    for block in (8192, 3):
+    for block in (8192, 3, 1):
         got = defaultdict(list)
         for r in topk_search.top_k(df, df["vec_id"] % 50 == 0, block=block).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["score"], r["vec_id"]))
@@ -241,6 +328,47 @@ def test_a_chain_is_one_class_and_one_document_stays(spark):
     assert {r["doc_id"] for r in kept.collect()} == {99, min(i for i, _ in chain)}
 
 
+def test_two_families_linked_through_both_sides_are_one_class(spark):
+    """Two large families whose bridges share one part with each: no side alone sees all that a pair of bridges shares."""
+    word = lambda kind, k: f"{kind}{k}"
+    u, p, q = ([word(kind, k) for k in range(n)] for kind, n in (("u", 344), ("p", 33), ("q", 33)))
+    own = lambda name, n: [f"{name}o{k}" for k in range(n)]
+    rows = [u + p + own(f"a{i}x", 33) for i in range(260)] + [u + q + own(f"b{i}x", 33) for i in range(240)]
+    rows += [u + p + q[:20] + own("x", 4), u + p[:20] + q + own("y", 4)]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.link_classes(df, words=1, percent=80).collect()}
+    link = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    assert link(rows[0], rows[1]) and link(rows[0], rows[500]) and link(rows[500], rows[501]) and link(rows[501], rows[260])
+    assert set(found.values()) == {0}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_families_with_bridges_match_plain_version(spark, seed):
+    rng = random.Random(seed)
+    texts = []
+    for f in range(3):
+        texts += near_copies(seed * 10 + f, 90, 90, 5)
+    heads = [texts[90 * f].split() for f in range(3)]
+    for a, b in ((0, 1), (1, 2)):
+        for share in (0.05, 0.5, 0.95):
+            n = int(len(heads[a]) * share)
+            texts.append(" ".join(heads[a][:n] + heads[b][n:]))
+    texts += ["x " * 40000 + "y", None, " ".join(heads[0] * 300)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link_classes(df, 4, 85).collect())
+    assert got == sorted(plain_classes(rows, 4, 85))
+
+
+def test_one_of_each_class_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 10, 20), (2, "a b c d e f", 11, 21), (3, None, 12, 22), (4, "other words here", None, 23)], "doc_id long, text string, __gw_fp long, __GW_ID long")
+    kept = ngram_join.one_of_each_class(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    assert {r["__gw_fp"] for r in kept.collect()} == {10, 12, None}
+
+
 def test_classes_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link_classes(df).count() == 0
@@ -282,6 +410,59 @@ def test_pairs_between_families_are_found_from_both_sides(spark, seed):
 
 
 # --- pipeline ----------------------------------------------------------------------------------
+def pipeline_tables(spark, folder, rows, labels):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_language_stage_matches_plain_version(spark, tmp_path):
+    """Every decision of the stage from code lengths counted by hand."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = [(i, prose(rng, lang := rng.choice(["aa", "bb"]), rng.randrange(16, 24)), lang, "s", 1) for i in range(110)]
+    noise = "".join(rng.choice("qxzjvfhdp0189#") for _ in range(700))
+    odd = [None, "", "77 ... 8", "k", noise, prose(rng, "aa", 9) + " \n" + prose(rng, "bb", 9), "KA LO MI"]
+    rows += [(1000 + i, t, None, None, None) for i, t in enumerate(odd)]
+    folder = pipeline_tables(spark, tmp_path, rows, [(1, 1, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.language_stage(spark, docs, folder)
+    assert got.columns == docs.columns
+    learned = [(i, t.lower(), lang) for i, t, lang, *_ in rows if lang and t and zlib.crc32(str(i).encode()) % 5]
+    half = {r["doc_id"]: r["half"] for r in docs.selectExpr("doc_id", "cast(pmod(xxhash64(coalesce(cast(doc_id as string), ''), 'language sample'), 2) as int) AS half").collect()}
+    need, few = [0, 1, 2, 2], {}
+    for lang in ("aa", "bb"):
+        rates = []
+        for side in (0, 1):
+            others = [t for i, t, other in learned if other == lang and half[i] != side]
+            rates += [plain_bits(others, t, need) / len(t) for i, t, other in learned if other == lang and half[i] == side and len(t) >= language_id.RATED_BYTES]
+        few[lang] = language_id.MARGIN * np.quantile(rates, language_id.RATE_SHARE) if len(rates) >= language_id.RATED else math.inf
+    kept = set()
+    for i, t, *_ in rows:
+        if t and any(c.isalpha() for c in t):
+            bits = {lang: plain_bits([x for _, x, other in learned if other == lang], t.lower(), need) for lang in ("aa", "bb")}
+            best = min(bits, key=bits.get)
+            if bits[best] - language_id.SLACK <= few[best] * len(t):
+                kept.add(i)
+    assert all(map(math.isfinite, few.values())) and 1004 not in kept and {1003, 1006} <= kept
+    assert {r["doc_id"] for r in got.collect()} == kept
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    rows = [(i, prose(rng, lang := rng.choice(["aa", "bb"]), 30), lang, "s", 1) for i in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "aa", "", 0), (None, "ka lo mi", "aa", None, None), (102, rows[3][1], "aa", "s", 1), (103, rows[3][1] + " ka", "aa", "s", 1), (104, prose(rng, "aa", 40000), "aa", "s", 1)]
+    labels = [(i, 1, 0) for i in range(60)] + [(None, 1, 0), (104, None, 0)]
+    out = corpus_pipeline.run(spark, pipeline_tables(spark, tmp_path / "odd", rows, labels)).toPandas()
+    assert not {100, 101} & set(out["doc_id"].dropna()) and 104 in set(out["doc_id"])
+    assert (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+    nothing = corpus_pipeline.run(spark, pipeline_tables(spark, tmp_path / "none", rows[:0], labels[:0]))
+    assert nothing.count() == 0 and "ids_crc32" in nothing.columns
+
+
 def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     import corpus_pipeline
 
