@@ -12,8 +12,8 @@ from gridwright.llm import exact_dedup, language_id, ngram_join, packing, qualit
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and one language that explains them."""
-    return language_id.in_known_language(docs, language_id.fit(docs))
+    """Documents with letters and a language that explains them."""
+    return language_id.in_known_language(docs, language_id.fit(docs, rated=True))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
