@@ -42,7 +42,7 @@ FREQUENT = 400_000
 #: Rounds of leaders before the full search across classes, leaders that a document is checked against in each, and the length from which lists have them.
 ROUNDS, LEADERS, LONG_LIST = 2, 12, 64
 #: Documents in one list of a posting.
-LIST = 512
+LIST = 256
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -237,73 +237,91 @@ def required(n: np.ndarray, m: np.ndarray, matches: np.ndarray, percent: int) ->
     return np.maximum(matches, whole - rest)
 
 
-def _candidates(percent: int):
-    """Of rows sorted by x, each with a list of documents that have a token of x in their prefix: the pairs that may share enough.
+def _fitting(percent: int):
+    """Of rows that ask a list: the list's documents that may be a partner of the asking one, x.
 
     A pair with a class of one node is asked for at all shared tokens by the lower of its two, by class size
-    (one or more nodes) and then class, and gets need 0 if it shares enough. Between two classes of several
-    nodes either side may lack tokens: of those, share counts each token on one side only, and the shares
-    of both must add up to need. A side that cannot reach it with the ``missed`` tokens it did not ask gives no row.
+    (one or more nodes) and then class. Between two classes of several nodes (split) either side may lack
+    tokens, and each token counts (here) on one side only. A code is the shingles that the pair must share,
+    times 4, and 2 for split and 1 for here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, missed = None, [], 0
-
-        def pairs() -> pa.RecordBatch:
-            x, n, picked, own, many = now
-            ids, meta, cls, level, here = (np.concatenate(c) for c in zip(*held, strict=True))
-            m, several, level, theirs = meta >> 9, meta >> 8 & 1, np.maximum(meta >> 4 & 15, level), meta & 15
-            matches = np.minimum(picked, theirs)
-            later = (several > many) | (several == many) & (cls > own)
-            split = (several == 1) & (many == 1)
-            fits = (level <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (later | split)
-            found, first, at, count = np.unique(ids[fits], return_index=True, return_inverse=True, return_counts=True)
-            share = np.bincount(at, weights=here[fits], minlength=len(found)).astype(np.int64)
-            need, split = required(n, m[fits][first], matches[fits][first], percent), split[fits][first]
-            good = np.where(split, (count + missed >= need) & (share > 0), count >= need)
-            found, share, need = found[good], share[good], np.where(split, need, 0)[good]
-            columns = [np.minimum(found, x), np.maximum(found, x), share, need]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["x", "other", "share", "need"])
-
         for batch in batches:
-            offsets = batch.column("nodes").offsets.to_numpy()
-            ids, meta, cls = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
-            keys = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "picked", "class", "many")), strict=True)
-            rest = zip(*(batch.column(c).to_pylist() for c in ("level", "main", "missed")), strict=True)
-            for i, (key, (level, main, more)) in enumerate(zip(keys, rest, strict=True)):
-                if key != now:
-                    if held:
-                        yield pairs()
-                    now, held, missed = key, [], 0
-                missed += more
-                s = slice(offsets[i], offsets[i + 1])
-                if s.stop > s.start:
-                    held.append((ids[s].copy(), meta[s].copy(), cls[s].copy(), np.full(s.stop - s.start, level), (cls[s] == main) | (cls[s] > key[3])))
-        if held:
-            yield pairs()
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False))
+            n, picked, own, many, level, main = (column(c).astype(np.int64)[row] for c in ("n", "picked", "class", "many", "level", "main"))
+            ids, meta, cls = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
+            m, several, matches = meta >> 9, meta >> 8 & 1, np.minimum(picked, meta & 15)
+            split = (several == 1) & (many == 1)
+            later = (several > many) | (several == many) & (cls > own)
+            fits = (np.maximum(meta >> 4 & 15, level) <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (later | split)
+            row, ids = row[fits], ids[fits]
+            here = (cls == main) | (cls > own)
+            code = required(n[fits], m[fits], matches[fits], percent) * 4 + split[fits] * 2 + here[fits]
+            asked, count = np.unique(row, return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(code, pa.int32()))]
+            yield pa.record_batch([pa.array(column("x")[asked], pa.int64()), pa.array(np.zeros(len(asked), np.int64)), *lists], names=["x", "missed", "others", "codes"])
         give_back()
 
     return run
 
 
+_ASKED = "x long, missed long, others array<long>, codes array<int>"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by x with what ``_fitting`` found for it: the pairs that may share enough.
+
+    A pair that is not split gets need 0 if it shares enough. Of split ones the shares of both sides must add
+    up to need; a side that cannot reach it with the ``missed`` tokens it did not ask gives no row.
+    """
+    now, held, missed = None, [], 0
+
+    def pairs() -> pa.RecordBatch:
+        ids, codes = (np.concatenate(c) for c in zip(*held, strict=True))
+        found, first, at, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        share = np.bincount(at, weights=codes & 1, minlength=len(found)).astype(np.int64)
+        need, split = codes[first] >> 2, codes[first] & 2 > 0
+        good = np.where(split, (count + missed >= need) & (share > 0), count >= need)
+        found, share, need = found[good], share[good], np.where(split, need, 0)[good]
+        columns = [np.minimum(found, now), np.maximum(found, now), share, need]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["x", "other", "share", "need"])
+
+    for batch in batches:
+        others, codes = batch.column("others"), batch.column("codes")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(others).to_numpy(zero_copy_only=False))])
+        ids, codes = others.flatten().to_numpy(zero_copy_only=False), codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, (x, more) in enumerate(zip(batch.column("x").to_pylist(), batch.column("missed").to_pylist(), strict=True)):
+            if x != now:
+                if held:
+                    yield pairs()
+                now, held, missed = x, [], 0
+            missed += more
+            if ends[i + 1] > ends[i]:
+                held.append((ids[ends[i] : ends[i + 1]].copy(), codes[ends[i] : ends[i + 1]].copy()))
+    if held:
+        yield pairs()
+    give_back()
+
+
 def _cross_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs across classes. A document asks the lists of its token and of like sizes, but for its class's largest share."""
     several = maybe_broadcast(cut(classes.groupBy("class").agg(F.count("*").alias("c")).where("c > 1").select("class", F.lit(1).alias("many"))))
     rows = postings.join(classes.join(several, "class", "left").withColumn("many", F.coalesce("many", F.lit(0))), "node")
     per = rows.groupBy("token", "class", "many").agg(F.count("*").alias("c"))
     mixed = per.groupBy("token").agg(F.max_by("class", F.struct("c", "many", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
-    rows = cut(rows.join(mixed, "token"))
+    rows = cut(rows.join(mixed, "token"), release=True)
     df = rows.groupBy("token", "size").agg(F.count("*").alias("df"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / LIST))
     meta = F.col("n").cast("long") * 512 + F.col("many") * 256 + F.col("level") * 16 + F.col("picked")
     lists = rows.join(df, ["token", "size"]).groupBy("token", "size", part.alias("part")).agg(F.collect_list("node").alias("nodes"), F.collect_list(meta).alias("meta"), F.collect_list("class").alias("classes")).drop("part")
-    about = [F.col("node").alias("x"), "n", "picked", "class", "many"]
-    asks = rows.where(F.col("class") != F.col("main")).select("token", *about, "level", "main", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    met = asks.join(lists, ["token", "size"]).select("x", "n", "picked", "class", "many", "level", "main", F.lit(0).cast("long").alias("missed"), "nodes", "meta", "classes")
-    none = F.array().cast("array<long>")
-    kept = rows.where((F.col("class") == F.col("main")) & (F.col("many") == 1)).groupBy(*about).agg(F.count("*").alias("missed"))
-    kept = kept.select("x", "n", "picked", "class", "many", F.lit(0).alias("level"), F.lit(0).cast("long").alias("main"), "missed", none.alias("nodes"), none.alias("meta"), none.alias("classes"))
-    found = met.unionByName(kept).repartition("x").sortWithinPartitions("x").mapInArrow(_candidates(percent), "x long, other long, share long, need long")
+    asks = rows.where(F.col("class") != F.col("main")).select("token", F.col("node").alias("x"), "n", "picked", "class", "many", "level", "main", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    met = asks.join(lists, ["token", "size"]).select("x", "n", "picked", "class", "many", "level", "main", "nodes", "meta", "classes").mapInArrow(_fitting(percent), _ASKED)
+    kept = rows.where((F.col("class") == F.col("main")) & (F.col("many") == 1)).groupBy(F.col("node").alias("x")).agg(F.count("*").alias("missed"))
+    kept = kept.select("x", "missed", F.array().cast("array<long>").alias("others"), F.array().cast("array<int>").alias("codes"))
+    found = met.unionByName(kept).repartition("x").sortWithinPartitions("x").mapInArrow(_candidates, "x long, other long, share long, need long")
     return found.groupBy("x", "other").agg(F.sum("share").alias("share"), F.max("need").alias("need")).where("share >= need").select("x", "other")
 
 
