@@ -304,65 +304,96 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="__v").transform(zscores(df, columns))
 
 
-def kmeans_grids(df: DataFrame, key: str, columns: list[str], k: int, seed: int = 0) -> DataFrame:
-    """key, clusters, z-scored columns: MLlib k-means over the population z-scores."""
+def kmeans_grids(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
+    """``df`` with z-scored columns and clusters: MLlib k-means over the population z-scores."""
     from pyspark.ml.clustering import KMeans
 
     rows = _vectors(df, columns)
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="clusters").fit(rows).transform(rows).drop("__v")
 
 
-def gmm_tied(df: DataFrame, key: str, columns: list[str], k: int, seed: int = 1, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """key, clusters, z-scored columns: a Gaussian mixture with one covariance for all components.
-
-    Expectation-maximisation with sums over partitions: each round reads the rows once and sends k
-    means, one covariance and a likelihood to the driver, however many rows there are. It starts from k-means.
-    """
-    z = zscores(df, columns).select(key, *columns).cache()
-    start = kmeans_grids(df, key, columns, k, seed)
-    first = start.groupBy("clusters").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).toPandas()
-    n, d = float(first["n"].sum()), len(columns)
-    weight, means = first["n"].to_numpy() / n, first[columns].to_numpy()
-    cov, before = np.eye(d), -np.inf
-
-    def parts(weight, means, cov):
-        inverse, log_det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-
-        def responsibility(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            diff = x[:, None] - means[None]
-            log = np.log(weight) - 0.5 * (np.einsum("nkd,de,nke->nk", diff, inverse, diff) + log_det + x.shape[1] * math.log(2 * math.pi))
-            top = log.max(1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(log - top).sum(1))
-            return np.exp(log - total[:, None]), total
-
-        return responsibility
-
+#: Kinds of covariance of a mixture, by the names of the algorithms.
+COVARIANCES = {"gmm_full": "full", "gmm_diag": "diag", "gmm_tied": "tied", "gmm_sph": "spherical"}
+
+
+class Mixture:
+    """A Gaussian mixture in the course of expectation-maximisation; ``sums`` of parts of the rows add up."""
+
+    def __init__(self, weight: np.ndarray, means: np.ndarray, covariance: str):
+        self.weight, self.means, self.covariance = weight, means, covariance
+        self.cov = np.repeat(np.eye(means.shape[1])[None], len(means), axis=0)
+        self.likelihood, self.done = -np.inf, False
+
+    def responsibility(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of each component in each row, log likelihood of each row)."""
+        inverse, log_det = np.linalg.inv(self.cov), np.linalg.slogdet(self.cov)[1]
+        diff = x[:, None] - self.means[None]
+        log = np.log(self.weight) - 0.5 * (np.einsum("nkd,kde,nke->nk", diff, inverse, diff) + log_det + x.shape[1] * math.log(2 * math.pi))
+        top = log.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log - top).sum(1))
+        return np.exp(log - total[:, None]), total
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        r, total = self.responsibility(x)
+        return np.concatenate([r.sum(0), (r.T @ x).ravel(), np.einsum("nk,nd,ne->kde", r, x, x).ravel(), [total.sum()]])
+
+    def update(self, total: np.ndarray, n: float, tolerance: float, ridge: float = 1e-6) -> None:
+        k, d = self.means.shape
+        count, first, second = total[:k] + 1e-12, total[k : k + k * d].reshape(k, d), total[k + k * d : -1].reshape(k, d, d)
+        self.weight, self.means = count / count.sum(), first / count[:, None]
+        cov = second / count[:, None, None] - np.einsum("kd,ke->kde", self.means, self.means)
+        if self.covariance == "tied":
+            cov = np.repeat(np.einsum("k,kde->de", count, cov)[None] / count.sum(), k, axis=0)
+        elif self.covariance != "full":
+            spread = np.einsum("kdd->kd", cov)
+            spread = spread if self.covariance == "diag" else np.repeat(spread.mean(1, keepdims=True), d, axis=1)
+            cov = np.einsum("kd,de->kde", spread, np.eye(d))
+        self.cov = cov + ridge * np.eye(d)
+        self.done, self.likelihood = abs(total[-1] / n - self.likelihood) < tolerance, total[-1] / n
+
+
+def fit_mixtures(z: DataFrame, columns: list[str], models: list[Mixture], rounds: int = 100, tolerance: float = 1e-3) -> None:
+    """Expectation-maximisation of all models at once: a round reads the rows once and sends a few sums a model and partition to the driver."""
+    n = float(z.count())
     for _ in range(rounds):
-        responsibility = parts(weight, means, cov)
+        todo = [m for m in models if not m.done]
+        if not todo or not n:
+            return
 
-        def sums(frames, responsibility=responsibility):
+        def sums(frames, todo=todo):
             out = None
             for frame in frames:
                 x = frame[columns].to_numpy(float)
                 if len(x):
-                    r, total = responsibility(x)
-                    part = np.concatenate([r.sum(0), (r.T @ x).ravel(), (x.T @ x).ravel(), [total.sum()]])
-                    out = part if out is None else out + part
+                    part = [m.sums(x) for m in todo]
+                    out = part if out is None else [a + b for a, b in zip(out, part, strict=True)]
             if out is not None:
-                yield pd.DataFrame({"s": [out.tolist()]})
+                yield pd.DataFrame({"s": [np.concatenate(out).tolist()]})
 
         total = np.sum([r["s"] for r in z.mapInPandas(sums, "s array<double>").collect()], axis=0)
-        count, first_m, second, now = total[:k] + 1e-12, total[k : k + k * d].reshape(k, d), total[k + k * d : -1].reshape(d, d), total[-1] / n
-        weight, means = count / count.sum(), first_m / count[:, None]
-        cov = (second - (means.T * count) @ means) / n + 1e-6 * np.eye(d)
-        if abs(now - before) < tolerance:
-            break
-        before = now
-    responsibility = parts(weight, means, cov)
+        at = 0
+        for m in todo:
+            k, d = m.means.shape
+            size = k + k * d + k * d * d + 1
+            m.update(total[at : at + size], n, tolerance)
+            at += size
+
+
+def _started(clustered: DataFrame, columns: list[str], covariance: str) -> Mixture:
+    """A mixture that begins with the shares and means of clusters."""
+    first = clustered.groupBy("clusters").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).orderBy("clusters").toPandas()
+    return Mixture(first["n"].to_numpy() / first["n"].sum(), first[columns].to_numpy(float), covariance)
+
+
+def gmm(df: DataFrame, columns: list[str], k: int, covariance: str = "tied", seed: int = 1, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """``df`` with z-scored columns and clusters: a Gaussian mixture with full, diagonal, one tied or spherical covariances, started from k-means."""
+    z = zscores(df, columns).cache()
+    model = _started(kmeans_grids(df, columns, k, seed), columns, covariance)
+    fit_mixtures(z.select(*columns), columns, [model], rounds, tolerance)
 
     @F.pandas_udf("int")
     def label(*cols: pd.Series) -> pd.Series:
-        return pd.Series(responsibility(np.column_stack([c.to_numpy(float) for c in cols]))[0].argmax(1))
+        return pd.Series(model.responsibility(np.column_stack([c.to_numpy(float) for c in cols]))[0].argmax(1))
 
     return z.withColumn("clusters", label(*columns))
 
@@ -429,15 +460,54 @@ def cluster_deviation(df: DataFrame, chosen: DataFrame, label: str, columns: lis
     return per.agg(F.avg(mean).alias("deviation"))
 
 
-def cluster_counts(df: DataFrame, key: str, columns: list[str], allowed: tuple[int, ...] = (3, 4, 5, 6, 7)) -> DataFrame:
-    """algorithm, k, ch, db for k-means and the tied mixture: the scores by which a number of clusters is picked."""
-    out = None
+def cluster_counts(df: DataFrame, columns: list[str], allowed: tuple[int, ...] = (3, 4, 5, 6, 7), seed: int = 1) -> DataFrame:
+    """algorithm, k, ch, db for k-means and mixtures of four kinds of covariance: the scores by which a number of clusters is picked.
+
+    All mixtures are fitted in common rounds and all labelings scored in two aggregations over the rows;
+    the driver sees a row for each cluster of each model. An index is null where it is not defined.
+    """
+    z = zscores(df, columns).select(*columns).cache()
+    names, models, centres = [], [], []
     for k in allowed:
-        for name, run in (("kmeans", kmeans_grids), ("gmm_tied", gmm_tied)):
-            rows = run(df, key, columns, k).cache()
-            one = calinski_harabasz(rows, "clusters", columns).crossJoin(davies_bouldin(rows, "clusters", columns)).select(F.lit(name).alias("algorithm"), F.lit(k).alias("k"), "ch", "db")
-            out = one if out is None else out.unionByName(one)
-    return out
+        start = kmeans_grids(df, columns, k, seed).cache()
+        names.append(("kmeans", k))
+        models.append(_started(start, columns, "spherical"))
+        centres.append(models[-1].means)
+        for name, covariance in COVARIANCES.items():
+            names.append((name, k))
+            models.append(_started(start, columns, covariance))
+            centres.append(None)
+    fit_mixtures(z, columns, [m for m, c in zip(models, centres, strict=True) if c is None])
+
+    @F.pandas_udf("array<int>")
+    def labels(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        found = [m.responsibility(x)[0].argmax(1) if c is None else _nearest_centre(x, c) for m, c in zip(models, centres, strict=True)]
+        return pd.Series(list(np.column_stack(found)))
+
+    long = z.select(*columns, F.posexplode(labels(*columns)).alias("model", "label")).cache()
+    of = ["model", "label"]
+    per = long.groupBy(*of).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], sum((F.var_pop(c) for c in columns), F.lit(0.0)).alias("spread"))
+    gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in columns), F.lit(0.0)))
+    near = long.join(F.broadcast(per), of).groupBy(*of).agg(F.avg(gap).alias("gap"))  # a row for each cluster of each model
+    rows = []
+    for model, group in per.join(near, of).toPandas().sort_values(of).groupby("model"):
+        n, means = group["n"].to_numpy(float), group[[f"m_{c}" for c in columns]].to_numpy(float)
+        within, k = float((n * group["spread"]).sum()), len(group)
+        between = float((n[:, None] * (means - (n[:, None] * means).sum(0) / n.sum()) ** 2).sum())
+        ch = float(between * (n.sum() - k) / (within * (k - 1))) if k > 1 and within > 0 else None
+        apart = np.sqrt(((means[:, None] - means[None]) ** 2).sum(2))
+        both = group["gap"].to_numpy()[:, None] + group["gap"].to_numpy()[None]
+        off = ~np.eye(k, dtype=bool)
+        db = float(np.where(off, both / np.where(off, apart, 1.0), -np.inf).max(1).mean()) if k > 1 and (apart[off] > 0).all() else None
+        rows.append((*names[int(model)], ch, db))
+    return df.sparkSession.createDataFrame(rows, "algorithm string, k int, ch double, db double")
+
+
+def best_counts(scores: DataFrame) -> DataFrame:
+    """algorithm, ch_k, ch, db_k, db: the number of clusters with the greatest ch and that with the least db; ties to the smaller number."""
+    best = scores.groupBy("algorithm").agg(F.max(F.struct("ch", (-F.col("k")).alias("k"))).alias("c"), F.min(F.when(F.col("db").isNotNull(), F.struct("db", "k"))).alias("d"))
+    return best.select("algorithm", (-F.col("c.k")).alias("ch_k"), F.col("c.ch").alias("ch"), F.col("d.k").alias("db_k"), F.col("d.db").alias("db"))
 
 
 # --- factors -----------------------------------------------------------------------------------

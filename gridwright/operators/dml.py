@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.functions.hashing import digits
 from gridwright.operators import numbering
 
 
@@ -86,7 +87,7 @@ def publish(buildings: DataFrame, grids: DataFrame, key: list[str]) -> DataFrame
 def split_by_percentage(rows: DataFrame, shares: dict[int, float], key: str, name: str, seed: int = 42) -> DataFrame:
     """``name`` set to the given values in the given percentages, by a hash order of the key; what rounding leaves goes to the largest share."""
     total = rows.count()
-    placed = numbering.numbered(rows, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "__at")
+    placed = numbering.numbered(rows, [digits(key, seed), F.col(key)], "__at")
     most = max(shares, key=lambda k: (shares[k], k))
     bounds, below = [], 0
     for k in (k for k in shares if k != most):

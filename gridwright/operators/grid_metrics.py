@@ -138,3 +138,17 @@ def grid_filters(grids: DataFrame, buildings: DataFrame, lower: dict[str, float]
         low = low | F.coalesce(F.col(name) < bound, F.lit(False))
     far = F.coalesce(F.col("max_trafo_dis") > most_km, F.lit(False))
     return grids.join(large, key, "left").withColumn("filtered", far | F.coalesce("__large", F.lit(False)) | low).drop("__large")
+
+
+def consumer_buses(loads: DataFrame, buildings: DataFrame, buses: DataFrame, by: list[str]) -> DataFrame:
+    """by, bus: the buses of measured grids that serve consumers.
+
+    A grid with loads (by, bus) has them at their buses. In a grid without any, each building (by, id, x, y)
+    belongs to the nearest bus (by, id, x, y; ties to the smaller id).
+    """
+    from gridwright.operators.spatial import nearest
+
+    stated = loads.select(*by, "bus").distinct()
+    rest = lambda df: df.join(stated.select(*by).distinct(), by, "left_anti")
+    near = nearest(rest(buildings).select(*by, "id", "x", "y"), rest(buses).select(*by, "id", "x", "y"), 1, by)
+    return stated.unionByName(near.select(*by, F.col("other").alias("bus")).distinct())

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from gridwright.config import CABLES, DEFAULT, Config
 from gridwright.functions import electrical as E
+from gridwright.functions.hashing import uniform
 from gridwright.operators.cables import consumer_cable, feeder_cable
 from gridwright.operators.clustering import Loads
 from gridwright.operators.routing import plan_branches, shortest
 
-BACKENDS: dict[str, str] = {"sweep": "gridwright.operators.network:power_flow"}
+BACKENDS: dict[str, str] = {"sweep": "gridwright.operators.network:power_flow", "newton": "gridwright.operators.network:meshed_power_flow"}
 
 
 def backend(name: str = "sweep"):
@@ -34,7 +35,8 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
     edges: by (without the grid's bcid part if edges serve several grids: join before), source, target,
     cost; buildings: by, vid (the building's vertex), connection_point, type, kw, homes, sim (its
     allocated load); grids: by, ont_vid. Branches are planned first, then every backbone cable gets the
-    simultaneous load of all that hangs below it. A building that the transformer does not reach gets no
+    simultaneous load of all that hangs below it; the short line to a connection point at the transformer's own
+    place is sized for all other points. A building that the transformer does not reach gets no
     cable but a row of kind 'unreached', without a parent.
     """
 
@@ -75,7 +77,7 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
         for n in points:
             up = parent.get(n, root)
             metres = 1.0 if n == root else distance[n] - distance[up] if up != root else distance[n]
-            rows.append((*key, n, up, branch_of[n], "root_feeder" if up == root else "feeder", max(metres, 0.0), of(below[n])))
+            rows.append((*key, n, up, branch_of[n], "root_feeder" if up == root else "feeder", max(metres, 0.0), of([x for x in below[n] if x != root])))
         for vid, group in b.groupby("a"):
             point = int(group["b"].iloc[0])
             rows.append((*key, int(vid), point, branch_of[point], "consumer", max(distance[int(vid)] - distance[point], 0.0), float(group["z"].iloc[0])))
@@ -187,12 +189,42 @@ def sweep(order: list[int], parent: dict[int, int], impedance: dict[int, complex
     return {n: abs(x) / kv for n, x in v.items()}, {n: abs(c) for n, c in current.items()}, False
 
 
-def power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], config: Config = DEFAULT, reactive: bool = False) -> DataFrame:
-    """by, bus, vm_pu, parent, i_ka, loading_percent, pl_mw, converged: a row per bus, with the line that feeds it.
+def newton(ends: np.ndarray, impedance: np.ndarray, demand: np.ndarray, kv: float, source_pu: float = 1.0, rounds: int = 40, tolerance: float = 1e-10) -> tuple[np.ndarray, bool]:
+    """(complex voltages in kV of all buses, converged) of any connected grid, meshed or not, by Newton's method. Bus 0 holds the source.
 
-    lines: by, from_bus, to_bus, length_km, r_ohm_per_km, x_ohm_per_km, parallel, max_i_ka; loads: by,
-    bus, p_mw (and q_mvar if ``reactive``); roots: by, vid. Meshes are cut by the breadth-first tree.
+    ends: the two buses of each line; impedance in ohm (lines of none count as a ten-millionth); demand in MVA.
     """
+    n = len(demand)
+    admittance = 1 / np.where(np.abs(impedance) < 1e-7, 1e-7, impedance)
+    y = np.zeros((n, n), complex)
+    for (a, b), g in zip(ends, admittance, strict=True):
+        y[a, a] += g
+        y[b, b] += g
+        y[a, b] -= g
+        y[b, a] -= g
+    v = np.full(n, complex(kv * source_pu))
+    for _ in range(rounds):
+        current = y @ v
+        gap = (v * current.conj() + demand)[1:]
+        if n == 1 or np.abs(gap).max() < tolerance:
+            return v, True
+        unit = v / np.abs(v)
+        by_angle = 1j * v[:, None] * (np.diag(current) - y * v[None]).conj()
+        by_size = v[:, None] * (y * unit[None]).conj() + np.diag(current.conj() * unit)
+        slopes = np.block([[by_angle[1:, 1:].real, by_size[1:, 1:].real], [by_angle[1:, 1:].imag, by_size[1:, 1:].imag]])
+        try:
+            step = np.linalg.solve(slopes, -np.concatenate([gap.real, gap.imag]))
+        except np.linalg.LinAlgError:
+            return v, False
+        size, angle = np.abs(v), np.angle(v)
+        size[1:], angle[1:] = size[1:] + step[n - 1 :], angle[1:] + step[: n - 1]
+        v = size * np.exp(1j * angle)
+        if not np.isfinite(v).all():
+            return v, False
+    return v, False
+
+
+def _flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], config: Config, reactive: bool, meshed: bool) -> DataFrame:
     kv = config.nominal_v / 1000
     q = F.col("q_mvar") if reactive else F.lit(0.0)
     none = F.lit(None).cast("double")
@@ -201,7 +233,7 @@ def power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[st
     parts = parts.unionByName(roots.select(*by, F.lit(2).alias("k"), F.col("vid").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), none.alias("x"), none.alias("y"), none.alias("z")))
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "bus", "vm_pu", "parent", "i_ka", "loading_percent", "pl_mw", "converged"]
+        names = [*by, "bus", "vm_pu", "parent", "i_ka", "loading_percent", "pl_mw", "converged", *(["va_degree"] if meshed else [])]
         root = p.loc[p["k"] == 2, "a"]
         if root.empty:
             return pd.DataFrame({n: [] for n in names})
@@ -218,14 +250,52 @@ def power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[st
                     order.append(other)
         d = p[p["k"] == 1]
         demand = {int(a): complex(x, y) for a, x, y in zip(d["a"], d["x"], d["y"], strict=True)}
-        vm, ka, good = sweep(order, parent, impedance, demand, kv)
-        rows = [(*key, n, float(vm[n]), parent.get(n), float(ka[n]), float(100 * ka[n] / limit[n]) if limit.get(n) else None, float(3 * ka[n] ** 2 * impedance[n].real) if n in impedance else 0.0, good) for n in order]
+        angle = {}
+        if meshed:
+            at = {n: i for i, n in enumerate(order)}
+            met = [(at[a], at[b], complex(r, x)) for a, b, r, x in zip(e["a"].astype(int), e["b"].astype(int), e["x"], e["y"], strict=True) if a in at and b in at and a != b]
+            v, good = newton(np.array([m[:2] for m in met], int).reshape(-1, 2), np.array([m[2] for m in met]), np.array([demand.get(n, 0j) for n in order]), kv)
+            vm, angle = {n: abs(v[i]) / kv for n, i in at.items()}, {n: float(np.degrees(np.angle(v[i]))) for n, i in at.items()}
+            ka = {n: abs(v[at[n]] - v[at[parent[n]]]) / max(abs(impedance[n]), 1e-7) / np.sqrt(3) if n in parent else 0.0 for n in order}
+        else:
+            vm, ka, good = sweep(order, parent, impedance, demand, kv)
+        rows = [(*key, n, float(vm[n]), parent.get(n), float(ka[n]), float(100 * ka[n] / limit[n]) if limit.get(n) else None, float(3 * ka[n] ** 2 * impedance[n].real) if n in impedance else 0.0, good, *([angle[n]] if meshed else [])) for n in order]
         out = pd.DataFrame(rows, columns=names)
         out["parent"] = out["parent"].astype("Int64")
         return out
 
     kinds = ", ".join(f"{n} {lines.schema[n].dataType.simpleString()}" for n in by)
-    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, bus long, vm_pu double, parent long, i_ka double, loading_percent double, pl_mw double, converged boolean")
+    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, bus long, vm_pu double, parent long, i_ka double, loading_percent double, pl_mw double, converged boolean{', va_degree double' if meshed else ''}")
+
+
+def power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], config: Config = DEFAULT, reactive: bool = False) -> DataFrame:
+    """by, bus, vm_pu, parent, i_ka, loading_percent, pl_mw, converged: a row per bus, with the line that feeds it.
+
+    lines: by, from_bus, to_bus, length_km, r_ohm_per_km, x_ohm_per_km, parallel, max_i_ka; loads: by,
+    bus, p_mw (and q_mvar if ``reactive``); roots: by, vid. For radial grids: meshes are cut by the
+    breadth-first tree, see ``meshed_power_flow``.
+    """
+    return _flow(lines, loads, roots, by, config, reactive, False)
+
+
+def meshed_power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], config: Config = DEFAULT, reactive: bool = False) -> DataFrame:
+    """The columns of ``power_flow`` and va_degree, by Newton's method over all lines, loops included.
+
+    parent, i_ka, loading_percent and pl_mw are those of the line on the breadth-first tree; ``line_currents`` has all lines.
+    """
+    return _flow(lines, loads, roots, by, config, reactive, True)
+
+
+def line_currents(lines: DataFrame, flow: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+    """The lines with i_ka, loading_percent and pl_mw from the voltages at both ends of ``meshed_power_flow``; null where an end has none."""
+    kv = config.nominal_v / 1000
+    end = lambda p: flow.select(*by, F.col("bus").alias(f"{p}_bus"), (F.col("vm_pu") * kv * F.cos(F.radians("va_degree"))).alias(f"__{p}_e"), (F.col("vm_pu") * kv * F.sin(F.radians("va_degree"))).alias(f"__{p}_f"))
+    out = lines.join(end("from"), [*by, "from_bus"], "left").join(end("to"), [*by, "to_bus"], "left")
+    per = F.col("length_km") / F.col("parallel")
+    ohm = F.greatest(F.hypot(per * F.col("r_ohm_per_km"), per * F.col("x_ohm_per_km")), F.lit(1e-7))
+    out = out.withColumn("i_ka", F.hypot(F.col("__from_e") - F.col("__to_e"), F.col("__from_f") - F.col("__to_f")) / ohm / E.SQRT3)
+    out = out.withColumn("loading_percent", F.try_divide(100 * F.col("i_ka"), F.col("max_i_ka") * F.col("parallel"))).withColumn("pl_mw", 3 * F.pow("i_ka", F.lit(2)) * per * F.col("r_ohm_per_km"))
+    return out.select(*lines.columns, "i_ka", "loading_percent", "pl_mw")
 
 
 def circuit_metrics(flow: DataFrame, by: list[str]) -> DataFrame:
@@ -236,7 +306,7 @@ def circuit_metrics(flow: DataFrame, by: list[str]) -> DataFrame:
 
 def random_loads(bus: DataFrame, by: list[str], low: float, high: float, power_factor: float, seed: int, gaussian: bool = False) -> DataFrame:
     """Loads of an apparent power drawn per bus from a hash of grid and bus: uniform in [low, high], or normal with mean low and deviation high."""
-    u = lambda k: (F.shiftrightunsigned(F.xxhash64(*by, "bus", F.lit(seed), F.lit(k)), 11) + 1) / float((1 << 53) + 1)
+    u = lambda k: uniform(*by, "bus", seed, k)
     sn = F.greatest(F.lit(0.0), low + high * F.sqrt(-2 * F.log(u(0))) * F.cos(2 * np.pi * u(1))) if gaussian else low + (high - low) * u(0)
     sin = float(np.sqrt(1 - power_factor**2))
     return bus.select(*by, "bus", sn.alias("s")).where("s > 0").select(*by, "bus", (F.col("s") * power_factor).alias("p_mw"), (F.col("s") * sin).alias("q_mvar"))

@@ -490,14 +490,19 @@ def plan_branches(nodes: list[int], distance: dict[int, float], before: dict[int
     return out
 
 
+def _children(p: pd.DataFrame) -> tuple[list, dict]:
+    """(roots, node -> children) of a group's parents, smaller nodes first."""
+    children, roots = defaultdict(list), []
+    for node, parent in sorted(zip(p["node"].tolist(), p["parent"].tolist(), strict=True), key=lambda x: x[0]):
+        (roots if parent is None or parent != parent else children[int(parent)]).append(node)
+    return roots, children
+
+
 def hierarchy_layout(parents: DataFrame, by: list[str], width: float = 1.0, drop: float = 0.2) -> DataFrame:
     """by, node, px, py: each level of a tree on a line of its own, a node's children in its share of the width."""
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        children = defaultdict(list)
-        roots = []
-        for node, parent in sorted(zip(p["node"].tolist(), p["parent"].tolist(), strict=True), key=lambda x: x[0]):
-            (roots if parent is None or parent != parent else children[int(parent)]).append(node)
+        roots, children = _children(p)
         rows, todo = [], [(r, (i + 0.5) * width / len(roots), width / len(roots), 0) for i, r in enumerate(roots)]
         while todo:
             node, x, share, level = todo.pop()
@@ -510,6 +515,31 @@ def hierarchy_layout(parents: DataFrame, by: list[str], width: float = 1.0, drop
     return parents.groupBy(*by).applyInPandas(run, f"{_schema(parents, by)}, node long, px double, py double")
 
 
+def radial_layout(parents: DataFrame, by: list[str], drop: float = 0.2) -> DataFrame:
+    """by, node, px, py: the levels of ``hierarchy_layout`` as circles about the root, its width as the angle."""
+    turn = 2 * float(np.pi)
+    flat = hierarchy_layout(parents, by, turn, drop)
+    angle = F.col("px") - turn / 2
+    return flat.select(*by, "node", (F.col("py") * F.cos(angle) + 0.0).alias("px"), (F.col("py") * F.sin(angle) + 0.0).alias("py"))
+
+
+def spaced_layout(parents: DataFrame, by: list[str], width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """by, node, px, py: the nodes of each level in equal distances, in the order of a walk that takes smaller children first."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        roots, children = _children(p)
+        walk, todo, total = [], [(r, 0) for r in reversed(roots)], defaultdict(int)
+        while todo:
+            node, level = todo.pop()
+            walk.append((node, level, total[level]))
+            total[level] += 1
+            todo += [(c, level + 1) for c in reversed(children[node])]
+        drop = height / (max(total, default=0) + 1)
+        return pd.DataFrame([(*key, node, (at + 0.5) / total[level] * width, -level * drop) for node, level, at in walk], columns=[*by, "node", "px", "py"])
+
+    return parents.groupBy(*by).applyInPandas(run, f"{_schema(parents, by)}, node long, px double, py double")
+
+
 def lv_subnets(buses: DataFrame, lines: DataFrame, switches: DataFrame, trafos: DataFrame, by: list[str]) -> DataFrame:
     """by, bus, subnet ('LV_' and three digits of the transformer's bus code) of each low-voltage bus that a transformer in service reaches; the nearest by hops."""
     from gridwright.functions.text import substation

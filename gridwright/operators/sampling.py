@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.functions.hashing import digits, uniform
+
 
 def quotas(register: DataFrame, by: str, weight: str, samples: int) -> DataFrame:
     """(by, samples): each class's share of the weight, rounded half to even."""
@@ -34,8 +36,7 @@ def stratified_sample(register: DataFrame, by: str, weight: str, value: str, key
     binned = density_bins(rows, by, value)
     per = Window.partitionBy(by, "bin_no")
     binned = binned.withColumn("perc_bin", F.count("*").over(per) / F.col("class_rows")).withColumn("count", F.count("*").over(per)).withColumn("perc", F.col("perc_bin") / F.col("count"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) + 1) / float((1 << 53) + 1)
-    drawn = Window.partitionBy(by).orderBy(-F.log(u) / F.col("perc"), key)
+    drawn = Window.partitionBy(by).orderBy(-F.log(uniform(key, seed)) / F.col("perc"), key)
     quota = quotas(rows, by, weight, samples)
     return binned.withColumn("place", F.row_number().over(drawn)).join(F.broadcast(quota), by).where(F.col("place") <= F.col("samples")).drop("place", "samples")
 
@@ -44,7 +45,7 @@ def replace_samples(sample: DataFrame, register: DataFrame, gone: DataFrame, by:
     """``sample`` with each key in ``gone`` replaced by an unused one of the same class and density bin, first by a hash order; without one it is dropped."""
     binned = density_bins(register.dropDuplicates([key]), by, value).join(sample.select(key), key, "left_anti")
     order = lambda *c: Window.partitionBy(by, "bin_no").orderBy(*c)
-    spare = binned.withColumn("__at", F.row_number().over(order(F.xxhash64(F.col(key), F.lit(seed)), key))).select(by, "bin_no", "__at", F.col(key).alias("__new"))
+    spare = binned.withColumn("__at", F.row_number().over(order(digits(key, seed), key))).select(by, "bin_no", "__at", F.col(key).alias("__new"))
     out = sample.join(gone.select(key).distinct(), key, "left_semi").withColumn("__at", F.row_number().over(order(key)))
     swapped = out.join(spare, [by, "bin_no", "__at"]).withColumn(key, F.col("__new")).select(*sample.columns)
     return sample.join(gone.select(key), key, "left_anti").unionByName(swapped)

@@ -36,14 +36,7 @@ def excel_load(v: Views) -> DataFrame:
     path = _folder(v)
     rows = v.nation.selectExpr("1 AS g", "n_nationkey AS plz", "n_name AS note", "n_regionkey / 4.0D AS qkm")
     workbooks.workbooks({"register": rows}, ["g"]).write.parquet(path)
-    raw = v.spark.read.parquet(path)
-
-    @F.udf("array<array<string>>")
-    def cells(content):
-        return workbooks.read_sheet(bytes(content), "register")[1:]
-
-    r = raw.select(F.explode(cells("content")).alias("r"))
-    return r.select(F.col("r")[1].cast("int").alias("plz"), F.col("r")[0].alias("note"), F.col("r")[2].cast("double").alias("qkm"))
+    return workbooks.sheets(v.spark.read.parquet(path), {"plz": "int", "note": "string", "qkm": "double"}, "register")
 
 
 @query("SELECT n_nationkey AS way_id, n_name AS note FROM nation")
@@ -106,20 +99,68 @@ def cluster_hulls(v: Views) -> DataFrame:
     return h.select("plz", a.alias("x0"), c.alias("x1"), b.alias("y0"), d.alias("y1"), F.forall(turns, lambda t: t > 0).alias("convex"))
 
 
-@query("SELECT table_name FROM (VALUES ('buildings_result'),('grid_result'),('lines_result'),('postcode_result'),('ways_result')) AS t(table_name)")
+@query("SELECT table_name, column_name, CAST(ordinal_position AS INT) AS position FROM information_schema.columns WHERE table_name SIMILAR TO '(region|nation|customer|supplier|part|orders|lineitem|events)' AND column_name LIKE '%key'")
 def metadata_scan(v: Views) -> DataFrame:
-    """Tables of a schema by a pattern of their names."""
-    from gridwright import schemas
+    """Key columns of the catalogue's tables by a pattern of their names; the views live as long as the scan."""
+    from gridwright.queries.registry import TABLES
+    from gridwright.sources import sinks
+
+    mark = f"_{uuid.uuid4().hex}"
+    names = [t + mark for t in TABLES]
+    sinks.views(v.spark, {t + mark: getattr(v, t) for t in TABLES})
+    try:
+        found = sinks.tables(v.spark, "default", f"[a-z]+{mark}")
+        out = sinks.columns(v.spark, found)
+    finally:
+        sinks.drop_views(v.spark, names)
+    return out.where("column_name LIKE '%key'").withColumn("table_name", F.expr(f"replace(table_name, '{mark}', '')"))
+
+
+@query("""WITH l AS (SELECT DISTINCT plz, osm_id AS bus FROM x_transformers WHERE transformer_rated_power=630),
+n AS (SELECT b.plz, t.osm_id AS bus, ROW_NUMBER() OVER (PARTITION BY b.osm_id ORDER BY SQRT(POWER(b.x-t.x,2)+POWER(b.y-t.y,2)), t.osm_id) AS r FROM x_buildings b JOIN x_transformers t ON t.plz=b.plz WHERE b.plz NOT IN (SELECT plz FROM l))
+SELECT plz, bus FROM l UNION ALL SELECT DISTINCT plz, bus FROM n WHERE r=1""")
+def real_grid_buildings(v: Views) -> DataFrame:
+    """Consumer buses of measured grids: those with loads, else those nearest to the postcode's buildings."""
+    from gridwright.operators.grid_metrics import consumer_buses
 
-    names = v.spark.createDataFrame([(n,) for n in schemas.TABLES], "table_name string")
-    return names.where(F.col("table_name").rlike("^[a-z]+_result$"))
+    loads = v.x_transformers.where("transformer_rated_power = 630").select("plz", F.col("osm_id").alias("bus"))
+    place = lambda df: df.select("plz", F.col("osm_id").alias("id"), "x", "y")
+    return consumer_buses(loads, place(v.x_buildings), place(v.x_transformers), ["plz"])
 
 
-@query("SELECT b.osm_id, b.area FROM x_buildings b WHERE EXISTS (SELECT 1 FROM x_transformers t WHERE t.plz=b.plz AND t.transformer_rated_power=630)")
-def real_grid_buildings(v: Views) -> DataFrame:
-    """Buildings of postcodes with measured grids."""
-    real = v.x_transformers.where("transformer_rated_power = 630").select("plz")
-    return v.x_buildings.join(real, "plz", "left_semi").select("osm_id", "area")
+@query("""WITH r AS (SELECT plz, (osm_id*7)%40 AS x, (osm_id*11)%37 AS y, 1+osm_id%4 AS w, 1+osm_id%3 AS h FROM x_buildings),
+c AS (SELECT DISTINCT plz, x+i AS cx, y+j AS cy FROM r, range(0,4) a(i), range(0,3) b(j) WHERE i<w AND j<h),
+s AS (SELECT c.plz, c.cx, c.cy, COUNT(n.cx) AS k FROM c LEFT JOIN c n ON n.plz=c.plz AND ABS(n.cx-c.cx)+ABS(n.cy-c.cy)=1 GROUP BY 1,2,3)
+SELECT plz, CAST(COUNT(*) AS DOUBLE) AS area, CAST(SUM(4-k) AS DOUBLE) AS outline FROM s GROUP BY plz""")
+def dissolved_areas(v: Views) -> DataFrame:
+    """The union of a postcode's building areas: what it covers and the length of its outline."""
+    from gridwright.operators.areas import dissolved
+
+    b = v.x_buildings.selectExpr("plz", "DOUBLE((osm_id * 7) % 40) AS x", "DOUBLE((osm_id * 11) % 37) AS y", "1 + osm_id % 4 AS w", "1 + osm_id % 3 AS h")
+    corner = lambda i, j: G.point(F.col("x") + i * F.col("w"), F.col("y") + j * F.col("h"))
+    rings = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    out = dissolved(b.select("plz", rings.alias("rings")), ["plz"])
+    length = F.aggregate("rings", F.lit(0.0), lambda acc, r: acc + G.line_length(r))
+    return out.select("plz", F.round("area", 6).alias("area"), F.round(length, 6).alias("outline"))
+
+
+@query("SELECT osm_id, type, CAST(plz AS VARCHAR) AS name, x, y, area FROM (SELECT osm_id, type, plz, x, y, 4.0e0 AS area FROM x_buildings)")
+def shapefile_load(v: Views) -> DataFrame:
+    """Building files with their attributes, a file for each postcode, written and read back as multi-polygons."""
+    import pandas as pd
+
+    from gridwright.sources import shapefiles
+
+    def written(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        rows = [([[(x - 1, y - 1), (x - 1, y + 1), (x + 1, y + 1), (x + 1, y - 1), (x - 1, y - 1)]], {"osm_id": i, "use": t}) for i, t, x, y in p[["osm_id", "type", "x", "y"]].itertuples(index=False)]
+        shp, dbf = shapefiles.write_shapes(shapefiles.POLYGON, rows, {"osm_id": 18, "use": 20})
+        return pd.DataFrame([(str(key[0]), shp, dbf)], columns=["name", "shp", "dbf"])
+
+    path = _folder(v)
+    v.x_buildings.groupBy("plz").applyInPandas(written, "name string, shp binary, dbf binary").write.parquet(path)
+    f = shapefiles.features(v.spark.read.parquet(path)).where("geom_type = 'MultiPolygon'").withColumn("ring", F.col("parts")[0])
+    middle = G.ring_centroid(F.col("ring"))
+    return f.select(F.element_at("attributes", "osm_id").cast("long").alias("osm_id"), F.element_at("attributes", "use").alias("type"), "name", F.round(middle["x"], 6).alias("x"), F.round(middle["y"], 6).alias("y"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
 
 
 @query(name="gis_layers")
@@ -135,9 +176,17 @@ def gis_layers(v: Views) -> DataFrame:
     return out.select(*by, "name", "std_type", (F.col("from_x") + shift).alias("from_x"), (F.col("from_y") + shift).alias("from_y"), "to_x", "to_y")
 
 
-@query("SELECT 'sweep' AS backend")
+@query("SELECT b.backend, COUNT(*) AS buses, TRUE AS agree FROM x_streets, (VALUES ('newton'),('sweep')) AS b(backend) GROUP BY 1")
 def power_flow_backends(v: Views) -> DataFrame:
-    """Registered power-flow functions."""
+    """All registered power-flow functions over the same radial grids: they agree on every voltage."""
     from gridwright.operators.network import BACKENDS, backend
-
-    return v.spark.createDataFrame([(n,) for n in BACKENDS if callable(backend(n))], "backend string")
+    from gridwright.queries.sizing import street_grids
+
+    lines, loads, roots = street_grids(v)
+    flows = [backend(n)(lines, loads, roots, ["plz"], reactive=True).select("plz", "bus", F.lit(n).alias("backend"), "vm_pu", "converged") for n in BACKENDS]
+    rows = flows[0]
+    for f in flows[1:]:
+        rows = rows.unionByName(f)
+    spread = Window.partitionBy("plz", "bus")
+    rows = rows.withColumn("__gap", F.max("vm_pu").over(spread) - F.min("vm_pu").over(spread))
+    return rows.groupBy("backend").agg(F.count("*").alias("buses"), F.bool_and((F.col("__gap") < 1e-6) & F.col("converged")).alias("agree"))

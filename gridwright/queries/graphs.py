@@ -166,13 +166,37 @@ def vsw(v: Views) -> DataFrame:
     return m.select(F.col("max_no_of_households_of_a_branch").cast("long").alias("max_branch"), F.round("resistance", 6).alias("resistance"), F.round("reactance", 6).alias("reactance"), F.round("ratio", 6).alias("ratio"), F.round("max_vsw_of_a_branch", 6).alias("max_vsw"))
 
 
-@query(name="tree_layout")
+_SIBLINGS = "k AS (SELECT source AS node, target AS parent, ROW_NUMBER() OVER (PARTITION BY target ORDER BY source)-1 AS i, COUNT(*) OVER (PARTITION BY target) AS n FROM x_edges)"
+_TREE = f"WITH RECURSIVE {_SIBLINGS}, r(node, px, share, lvl) AS (SELECT CAST(0 AS BIGINT), WIDTH/2e0, WIDTH, 0 UNION ALL SELECT k.node, r.px-r.share/2+(k.i+0.5e0)*(r.share/k.n), r.share/k.n, r.lvl+1 FROM r JOIN k ON k.parent=r.node)"
+
+
+def _rounded(layout: DataFrame) -> DataFrame:
+    return layout.select("node", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"))
+
+
+@query(f"{_TREE} SELECT node, ROUND(px,9) AS px, ROUND(-lvl*0.2e0,9) AS py FROM r".replace("WIDTH", "1e0"))
 def tree_layout(v: Views) -> DataFrame:
-    """Places of a tree's nodes for a drawing."""
-    return routing.hierarchy_layout(_parents(v), ["g"]).drop("g")
+    """Places of a tree's nodes for a drawing, each child in its share of the width."""
+    return _rounded(routing.hierarchy_layout(_parents(v), ["g"]))
+
+
+@query(f"{_TREE} SELECT node, ROUND(-lvl*0.2e0*COS(px-PI()),9)+0e0 AS px, ROUND(-lvl*0.2e0*SIN(px-PI()),9)+0e0 AS py FROM r".replace("WIDTH", "(2e0*PI())"))
+def tree_layout_radial(v: Views) -> DataFrame:
+    """The same as circles about the root."""
+    out = _rounded(routing.radial_layout(_parents(v), ["g"]))
+    return out.select("node", (F.col("px") + 0.0).alias("px"), (F.col("py") + 0.0).alias("py"))
+
+
+@query(f"WITH RECURSIVE {_SIBLINGS}, r(node, lvl, path) AS (SELECT CAST(0 AS BIGINT), 0, CAST([] AS BIGINT[]) UNION ALL SELECT k.node, r.lvl+1, list_append(r.path, k.i) FROM r JOIN k ON k.parent=r.node), t AS (SELECT node, lvl, COUNT(*) OVER (PARTITION BY lvl) AS n, ROW_NUMBER() OVER (PARTITION BY lvl ORDER BY path)-1 AS p, MAX(lvl) OVER () AS deep FROM r) SELECT node, ROUND((p+0.5e0)/n,9) AS px, ROUND(-lvl*(1e0/(deep+1)),9) AS py FROM t")
+def tree_layout_spaced(v: Views) -> DataFrame:
+    """Nodes of each level in equal distances."""
+    return _rounded(routing.spaced_layout(_parents(v), ["g"]))
+
+
+_KEPT = "RECURSIVE up(node, anc, hops) AS (SELECT source, source, 0 FROM x_edges UNION ALL SELECT 0, 0, 0 UNION ALL SELECT u.node, e.target, u.hops+1 FROM up u JOIN x_edges e ON e.source=u.anc AND e.source%40<>0)"
 
 
-@query(name="lv_subnets")
+@query(f"WITH {_KEPT}, p AS (SELECT a.node AS bus, b.node AS vid, MIN(a.hops+b.hops) AS hops FROM up a JOIN up b ON a.anc=b.anc WHERE b.node IN (1,2) GROUP BY 1,2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY bus ORDER BY hops, vid) AS r FROM p) SELECT bus, 'LV_00' || vid AS subnet FROM r WHERE r=1")
 def lv_subnets(v: Views) -> DataFrame:
     """Low-voltage buses dealt to their nearest transformer."""
     bus = _parents(v).select("g", F.col("node").alias("bus"), F.concat(F.lit("7"), F.lpad((F.col("node") % 1000).cast("string"), 3, "0"), F.lit("1")).alias("chr_name"))

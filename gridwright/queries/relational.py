@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import electrical as E
+from gridwright.functions.hashing import digits
 from gridwright.operators import dml, scans
 from gridwright.queries.expressions import by_category, peaks
 from gridwright.queries.registry import Views, query
@@ -326,10 +327,10 @@ def limited_read(v: Views) -> DataFrame:
     return v.x_buildings.where("plz = 2").orderBy("osm_id").limit(1000).select("osm_id", "x", "y")
 
 
-@query(name="hash_sample")
+@query("SELECT plz, osm_id, CAST(place AS INT) AS place FROM (SELECT plz, osm_id, ROW_NUMBER() OVER (PARTITION BY plz ORDER BY substr(md5(osm_id || '|42'),1,13), osm_id) AS place FROM x_buildings) WHERE place<=50")
 def hash_sample(v: Views) -> DataFrame:
     """Fifty buildings of each postcode in a reproducible random order."""
-    w = Window.partitionBy("plz").orderBy(F.xxhash64("osm_id", F.lit(42)), "osm_id")
+    w = Window.partitionBy("plz").orderBy(digits("osm_id", 42), "osm_id")
     return v.x_buildings.withColumn("place", F.row_number().over(w)).where("place <= 50").select("plz", "osm_id", "place")
 
 
@@ -409,14 +410,15 @@ def deterministic_ids(v: Views) -> DataFrame:
     return dml.numbered(v.x_transformers.select("osm_id", "plz"), ["osm_id"], 101, "grid_result_id", ["plz"])
 
 
-@query(name="bulk_capacity_percentage")
+@query("SELECT osm_id, plz, CASE WHEN r<=FLOOR(n*0.30e0) THEN 250 WHEN r<=FLOOR(n*0.30e0)+FLOOR(n*0.25e0) THEN 630 ELSE 400 END AS kva FROM (SELECT osm_id, plz, ROW_NUMBER() OVER (ORDER BY substr(md5(osm_id || '|42'),1,13), osm_id) AS r, COUNT(*) OVER () AS n FROM x_transformers)")
 def bulk_capacity_percentage(v: Views) -> DataFrame:
     """Sizes dealt out by percentages in a hash order."""
     return dml.split_by_percentage(v.x_transformers.select("osm_id", "plz"), {250: 30.0, 400: 45.0, 630: 25.0}, "osm_id", "kva")
 
 
-@query("SELECT 1 AS classification_id, 'a' AS region UNION ALL SELECT 2, 'b'")
+@query("SELECT n_nationkey AS classification_id, n_name AS region FROM nation WHERE n_regionkey<3 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey>=3")
 def classification_guard(v: Views) -> DataFrame:
-    """A version is refused if it is there already."""
-    old = v.spark.createDataFrame([(1, "a")], "classification_id int, region string")
-    return dml.refuse_existing(old, v.spark.createDataFrame([(2, "b")], old.schema), "classification_id")
+    """Versions are added to a table, and refused if one is there already."""
+    rows = v.nation.select(F.col("n_nationkey").alias("classification_id"), F.col("n_name").alias("region"), "n_regionkey")
+    old, new = rows.where("n_regionkey < 3").drop("n_regionkey"), rows.where("n_regionkey >= 3").drop("n_regionkey")
+    return dml.refuse_existing(old, new, "classification_id")

@@ -142,10 +142,31 @@ def comparison_metrics(v: Views) -> DataFrame:
     return metrics(plan, plan["by"])
 
 
+def street_grids(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, hash-drawn loads, roots) of each postcode's streets as a grid."""
+    lines = streets(v).select("plz", F.col("target").alias("from_bus"), F.col("source").alias("to_bus"), (F.col("cost") / 1000).alias("length_km"), F.lit(0.164).alias("r_ohm_per_km"), F.lit(0.08).alias("x_ohm_per_km"), F.lit(2).alias("parallel"), F.lit(0.313).alias("max_i_ka"))
+    loads = network.random_loads(lines.select("plz", F.col("to_bus").alias("bus")), ["plz"], 0.0002, 0.0006, 0.95, 42)
+    return lines, loads, v.x_streets.select("plz", F.lit(0).cast("long").alias("vid")).distinct()
+
+
 @query(name="random_load_flow")
 def random_load_flow(v: Views) -> DataFrame:
     """Voltages of the tree under hash-drawn loads."""
-    lines = streets(v).select("plz", F.col("target").alias("from_bus"), F.col("source").alias("to_bus"), (F.col("cost") / 1000).alias("length_km"), F.lit(0.164).alias("r_ohm_per_km"), F.lit(0.08).alias("x_ohm_per_km"), F.lit(2).alias("parallel"), F.lit(0.313).alias("max_i_ka"))
-    bus = lines.select("plz", F.col("to_bus").alias("bus"))
-    loads = network.random_loads(bus, ["plz"], 0.0002, 0.0006, 0.95, 42)
-    return network.power_flow(lines, loads, lines.select("plz", F.lit(0).cast("long").alias("vid")).distinct(), ["plz"], reactive=True)
+    lines, loads, roots = street_grids(v)
+    return network.power_flow(lines, loads, roots, ["plz"], reactive=True)
+
+
+@query("SELECT plz, bus, ROUND(s*0.95e0,12) AS p_mw, ROUND(s*SQRT(1-0.95e0*0.95e0),12) AS q_mvar FROM (SELECT plz, source AS bus, 0.0002e0+0.0004e0*(CAST('0x' || substr(md5(plz || '|' || source || '|42|0'),1,13) AS BIGINT)+1)/4503599627370497e0 AS s FROM x_streets WHERE source>0)")
+def random_loads(v: Views) -> DataFrame:
+    """Loads drawn by a hash of grid and bus."""
+    return street_grids(v)[1].select("plz", "bus", F.round("p_mw", 12).alias("p_mw"), F.round("q_mvar", 12).alias("q_mvar"))
+
+
+@query(name="meshed_flow")
+def meshed_flow(v: Views) -> DataFrame:
+    """Currents of all lines where every third street end is tied to the next, by Newton's method."""
+    lines, loads, roots = street_grids(v)
+    ties = lines.where("to_bus % 3 = 0").select("plz", F.col("to_bus").alias("from_bus"), (F.col("to_bus") - 1).alias("to_bus"), F.lit(0.05).alias("length_km"), "r_ohm_per_km", "x_ohm_per_km", "parallel", "max_i_ka")
+    meshed = lines.unionByName(ties)
+    flow = network.meshed_power_flow(meshed, loads, roots, ["plz"], reactive=True)
+    return network.line_currents(meshed, flow, ["plz"]).select("plz", "from_bus", "to_bus", "length_km", "i_ka", "loading_percent", "pl_mw")

@@ -91,7 +91,7 @@ def factor_tests(v: Views) -> DataFrame:
 @query(name="kmeans_grids")
 def kmeans_grids(v: Views) -> DataFrame:
     """Clusters of grids, numbered by their representatives; the k-medoids column stays null."""
-    rows = clustering.kmeans_grids(v.x_features, "grid_result_id", ["f1", "f2"], 5)
+    rows = clustering.kmeans_grids(v.x_features, ["f1", "f2"], 5)
     chosen = clustering.representatives(rows, "grid_result_id", ["f1", "f2"])
     out = clustering.reindexed(rows.select("grid_result_id", "clusters"), chosen, v.x_features, "grid_result_id", "f1")
     return out.withColumn("kmedoid_clusters", F.lit(None).cast("int"))
@@ -100,32 +100,52 @@ def kmeans_grids(v: Views) -> DataFrame:
 @query(name="gmm_tied")
 def gmm_tied(v: Views) -> DataFrame:
     """Clusters by a Gaussian mixture with one covariance."""
-    return clustering.gmm_tied(v.x_features, "grid_result_id", ["f1", "f2"], 4).select("grid_result_id", "clusters")
+    return clustering.gmm(v.x_features, ["f1", "f2"], 4, "tied").select("grid_result_id", "clusters")
 
 
 @query(name="cluster_counts")
 def cluster_counts(v: Views) -> DataFrame:
-    """Scores by which a number of clusters is picked."""
-    return clustering.cluster_counts(v.x_features, "grid_result_id", ["f1", "f2"])
+    """Scores of five algorithms by which a number of clusters is picked."""
+    return clustering.cluster_counts(v.x_features, ["f1", "f2"])
 
 
-@query(name="stratified_sample")
+@query(name="best_cluster_counts")
+def best_cluster_counts(v: Views) -> DataFrame:
+    """The number of clusters that each algorithm scores best with, by either index."""
+    return clustering.best_counts(clustering.cluster_counts(v.x_features, ["f1", "f2"]))
+
+
+_BINS = "CASE WHEN c<100 THEN 5 ELSE 10 END"
+#: The sample drawn by hand: classes, equal-width bins, quotas, and the order of the draw.
+_SAMPLE = f"""WITH s AS (SELECT regio7, MIN(pop_den) AS lo, MAX(pop_den) AS hi, COUNT(*) AS c FROM x_municipal GROUP BY 1),
+b AS (SELECT m.*, s.c, LEAST(CASE WHEN hi=lo THEN 0 ELSE CAST(FLOOR((pop_den-lo)/(hi-lo)*({_BINS})) AS INT) END, ({_BINS})-1) AS bin_no FROM x_municipal m JOIN s ON s.regio7=m.regio7),
+p AS (SELECT *, COUNT(*) OVER (PARTITION BY regio7, bin_no)/CAST(c AS DOUBLE)/COUNT(*) OVER (PARTITION BY regio7, bin_no) AS perc FROM b),
+q AS (SELECT regio7 AS qr, ROUND_EVEN(SUM(pop)*40e0/(SELECT SUM(pop) FROM x_municipal),0) AS k FROM x_municipal GROUP BY 1),
+d AS (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY regio7 ORDER BY -LN((CAST('0x' || substr(md5(plz || '|42'),1,13) AS BIGINT)+1)/4503599627370497e0)/perc, plz) AS r FROM p),
+smp AS (SELECT plz, ags, regio7, bin_no, perc FROM d JOIN q ON qr=regio7 WHERE r<=k)"""
+
+
+@query(f"{_SAMPLE} SELECT plz, ags, regio7, bin_no, ROUND(perc,9) AS perc FROM smp")
 def stratified_sample(v: Views) -> DataFrame:
     """Postcodes drawn by class quotas and density bins."""
-    return sampling.stratified_sample(v.x_municipal, "regio7", "pop", "pop_den", "plz", 40).select("plz", "ags", "regio7", "bin_no", "perc")
+    return sampling.stratified_sample(v.x_municipal, "regio7", "pop", "pop_den", "plz", 40).select("plz", "ags", "regio7", "bin_no", F.round("perc", 9).alias("perc"))
 
 
-@query(name="replaced_sample")
+@query(f"""{_SAMPLE}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY regio7, bin_no ORDER BY plz) AS at FROM smp WHERE plz%2=0),
+n AS (SELECT b.plz, b.regio7, b.bin_no, ROW_NUMBER() OVER (PARTITION BY b.regio7, b.bin_no ORDER BY substr(md5(b.plz || '|42'),1,13), b.plz) AS at FROM b WHERE b.plz NOT IN (SELECT plz FROM smp))
+SELECT plz, regio7, bin_no FROM smp WHERE plz%2<>0 UNION ALL SELECT n.plz, o.regio7, o.bin_no FROM o JOIN n ON n.regio7=o.regio7 AND n.bin_no=o.bin_no AND n.at=o.at""")
 def replaced_sample(v: Views) -> DataFrame:
     """Postcodes of a sample replaced by others of their class and bin (C17)."""
     s = sampling.stratified_sample(v.x_municipal, "regio7", "pop", "pop_den", "plz", 40).select("plz", "regio7", "bin_no")
     return sampling.replace_samples(s, v.x_municipal, s.where("plz % 2 = 0"), "regio7", "pop_den", "plz")
 
 
-@query(name="density_curve")
+@query("""WITH s AS (SELECT ca, MIN(f2) AS lo, MAX(f2) AS hi, GREATEST(COALESCE(STDDEV_SAMP(f2),0)*POWER(CAST(COUNT(f2) AS DOUBLE),-0.2e0),1e-9) AS h FROM x_features GROUP BY 1),
+g AS (SELECT s.*, i, lo+(hi-lo)*i/199 AS v FROM s, range(0,200) t(i))
+SELECT g.ca, CAST(i AS INT) AS i, ROUND(v,6) AS value, ROUND(AVG(EXP(-POWER((v-f2)/h,2)/2)/(h*2.5066282746310002e0)),9) AS density FROM g JOIN x_features x ON x.ca=g.ca GROUP BY 1,2,v""")
 def density_curve(v: Views) -> DataFrame:
     """Gaussian kernel density of a metric in each class."""
-    return metrics.density_curve(v.x_features, ["ca"], "f2")
+    return metrics.density_curve(v.x_features, ["ca"], "f2").select("ca", "i", F.round("at", 6).alias("value"), F.round("density", 9).alias("density"))
 
 
 @query("SELECT ca, MIN(f2) AS low, ROUND(QUANTILE_CONT(f2,0.25),6) AS q1, ROUND(QUANTILE_CONT(f2,0.5),6) AS median, ROUND(QUANTILE_CONT(f2,0.75),6) AS q3, MAX(f2) AS high FROM x_features GROUP BY ca")

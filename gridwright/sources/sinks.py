@@ -25,6 +25,31 @@ def tables(spark: SparkSession, name: str, pattern: str = ".*") -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(name) if re.fullmatch(pattern, t.name))
 
 
+def columns(spark: SparkSession, names: list[str]) -> DataFrame:
+    """table_name, column_name, position of tables or views of the session's catalogue."""
+    rows = [(n, c.name, i) for n in names for i, c in enumerate(spark.catalog.listColumns(n), 1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int")
+
+
+def views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
+    """Views of the session over ``frames`` by name, in place of older ones."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
+def drop_views(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        spark.catalog.dropTempView(name)
+
+
+def drop_orphans(spark: SparkSession, name: str, bases: list[str]) -> list[str]:
+    """Drop the tables of a database that an interrupted run left: a base table's name with a number. Returns their names; base tables stay."""
+    gone = tables(spark, name, "(" + "|".join(bases) + r")_[0-9]+(_vertices)?")
+    for table in gone:
+        spark.sql(f"DROP TABLE IF EXISTS {name}.{table}")
+    return gone
+
+
 def append(df: DataFrame, table: str, path: str, by: list[str] | None = None) -> None:
     """Rows under the table's schema, added to Parquet files, partitioned by ``by``."""
     w = schemas.conform(df, table.split(".")[-1]).write.mode("append")

@@ -84,9 +84,14 @@ def write_sheets(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
 
 
 def excel(spark: SparkSession, path: str, columns: dict[str, str], sheet: str | None = None, header_row: int = 0) -> DataFrame:
-    """Rows of spreadsheet files below their header (S08): columns {header: type} by name, texts that do not fit the type null.
+    """Rows of spreadsheet files below their header (S08), read by Spark, one row of ``content`` each."""
+    return sheets(spark.read.format("binaryFile").load(path), columns, sheet, header_row)
 
-    Files are read by Spark, one row each, and parsed on the workers; a file is taken as a whole.
+
+def sheets(books: DataFrame, columns: dict[str, str], sheet: str | None = None, header_row: int = 0) -> DataFrame:
+    """Rows below the header of the workbooks in ``content``: columns {header: type} by name, texts that do not fit the type null.
+
+    Workbooks are parsed on the workers, each taken as a whole.
     """
     names = list(columns)
 
@@ -97,7 +102,7 @@ def excel(spark: SparkSession, path: str, columns: dict[str, str], sheet: str |
         at = [head.index(n) if n in head else None for n in names]
         return [[r[i] if i is not None and i < len(r) else None for i in at] for r in cells[header_row + 1 :]]
 
-    found = spark.read.format("binaryFile").load(path).select(F.explode(rows("content")).alias("r"))
+    found = books.select(F.explode(rows("content")).alias("r"))
     return found.select(*[F.col("r")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(columns.items())])
 
 

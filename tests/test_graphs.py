@@ -189,3 +189,42 @@ def test_wasserstein_of_shifted_values(spark):
 def test_equal_labelings_agree(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 3) for i in range(30)], "id int, a int, b int")
     assert clustering.adjusted_rand(rows, "a", "b").first()["ari"] == pytest.approx(1.0)
+
+
+def test_points_on_a_way_go_to_the_next_one(spark):
+    """Ways under a building, connection lines and points out of reach (0.1 m, class 110, 2000 m)."""
+    line = lambda x: [{"x": x, "y": -50.0}, {"x": x, "y": 50.0}]
+    ways = spark.createDataFrame([(1, "a", 41, line(0.0)), (2, "b", 41, line(100.0)), (3, "c", 110, line(40.0)), (4, "d", 41, line(9000.0))], "way_id long, address string, clazz int, line array<struct<x: double, y: double>>")
+    points = [(1, 0.0, 0.0, None), (2, 0.05, 0.0, None), (3, 0.2, 0.0, None), (4, 42.0, 0.0, None), (5, 42.0, 0.0, "c"), (6, 42.0, 0.0, "b"), (7, 5000.0, 0.0, None), (8, 0.0, 0.0, "a"), (9, 70.0, 0.0, "no such")]
+    got = {r["id"]: (r["way_id"], r["matched"]) for r in spatial.by_address(spark.createDataFrame(points, "id long, x double, y double, address string"), ways).collect()}
+    assert got == {1: (2, False), 2: (2, False), 3: (1, False), 4: (1, False), 5: (1, False), 6: (2, True), 8: (1, True), 9: (2, False)}
+
+
+def test_numbers_follow_a_total_order(spark):
+    from gridwright.operators.numbering import numbered
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), i, None if i % 11 == 0 else float(rng.randrange(9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, c double").repartition(6)
+    got = sorted((r["n"], r["a"], r["b"]) for r in numbered(df, [F.col("c"), F.col("a"), F.col("b")], "n", 7).collect())
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0], r[1]))
+    assert got == [(7 + i, a, b) for i, (a, b, _) in enumerate(want)]
+    assert numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_unreached_buildings_are_listed(spark):
+    by = ["g"]
+    edges = spark.createDataFrame([(0, 1, 2, 10.0), (0, 2, 3, 5.0), (0, 8, 9, 5.0)], "g int, source long, target long, cost double")
+    b = spark.createDataFrame([(0, 3, 2, "SFH", 17.4, 1, 9.0), (0, 9, 8, "SFH", 17.4, 1, 8.0)], "g int, vid long, connection_point long, type string, kw double, homes int, sim double")
+    g = spark.createDataFrame([(0, 1)], "g int, ont_vid long")
+    tree = network.branch_tree(edges, b, g, by)
+    assert {(r["node"], r["parent"], r["kind"], r["load_kw"]) for r in tree.where("kind in ('unreached', 'consumer')").collect()} == {(9, None, "unreached", 8.0), (3, 2, "consumer", 9.0)}
+    assert network.sized_lines(tree, g, by).count() == 2
+
+
+def test_consumer_buses_by_load_or_place(spark):
+    loads = spark.createDataFrame([(1, 5), (1, 5), (1, 6)], "g int, bus long")
+    place = "g int, id long, x double, y double"
+    buildings = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 2, 0.0, 0.0), (2, 3, 9.0, 0.0), (2, 4, 5.0, 0.0)], place)
+    buses = spark.createDataFrame([(1, 7, 0.0, 0.0), (2, 8, 0.0, 1.0), (2, 9, 10.0, 1.0), (2, 10, 99.0, 0.0)], place)
+    assert {(r["g"], r["bus"]) for r in grid_metrics.consumer_buses(loads, buildings, buses, ["g"]).collect()} == {(1, 5), (1, 6), (2, 8), (2, 9)}

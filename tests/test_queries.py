@@ -37,11 +37,6 @@ def test_oracle(spark, duck, name):
     assert rows == sorted(repr(tuple(plain(r[i]) for i in at)) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["hash_sample", "bulk_capacity_percentage", "brownfield_assign", "linkage_clusters", "stratified_sample", "kmeans_grids", "gmm_tied", "pca_explained", "factor_tests", "lv_subnets", "tree_layout"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 def test_same_sample_twice(spark):
     a, b = (sorted(map(tuple, QUERIES["stratified_sample"](spark, FOLDER).collect())) for _ in range(2))
     assert a == b
@@ -63,5 +58,5 @@ def test_entry(spark):
 
 def test_cluster_counts_and_density_take_the_whole_range(spark):
     found = QUERIES["cluster_counts"](spark, FOLDER).select("algorithm", "k").collect()
-    assert sorted(map(tuple, found)) == [(a, k) for a in ("gmm_tied", "kmeans") for k in range(3, 8)]
+    assert sorted(map(tuple, found)) == [(a, k) for a in ("gmm_diag", "gmm_full", "gmm_sph", "gmm_tied", "kmeans") for k in range(3, 8)]
     assert QUERIES["density_curve"](spark, FOLDER).select("i").distinct().count() == 200

@@ -96,3 +96,72 @@ def test_table_function(spark):
     assert "split_way" in register(spark)
     got = spark.sql("SELECT * FROM split_way(array(0.0D, 10.0D), array(0.0D, 0.0D), array(0.4D, 0.4D, 0.0D, 0.7D))").collect()
     assert [round(r["length"], 6) for r in got] == [4.0, 3.0, 3.0]
+
+
+def test_jdbc_query(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    rows = spark.createDataFrame([(1, "a", 10.5), (2, "b", 20.5), (3, None, 30.5)], "id int, use_of string, area double")
+    rows.write.jdbc(url, "buildings", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = files.jdbc(spark, url, 'SELECT "id", "use_of" FROM buildings WHERE "area" > 15', driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert sorted(map(tuple, got.collect())) == [(2, "b"), (3, None)]
+    assert "PushedFilters" in got.where("id = 2")._jdf.queryExecution().toString() and [r["id"] for r in got.where("id = 2").collect()] == [2]
+
+
+def test_shapefiles(spark, tmp_path):
+    from gridwright.sources import shapefiles
+
+    ring = lambda x: [(x, 48.0), (x, 48.1), (x + 0.1, 48.1), (x, 48.0)]
+    shp, dbf = shapefiles.write_shapes(shapefiles.POLYGON, [([ring(10.0)], {"use": "Wohnen ü", "no": 1}), ([ring(11.0), ring(12.0)], {"use": None, "no": 2})], {"use": 12, "no": 5})
+    (tmp_path / "a_Res.shp").write_bytes(shp)
+    (tmp_path / "a_Res.dbf").write_bytes(dbf)
+    line, _ = shapefiles.write_shapes(shapefiles.LINE, [([[(0.0, 1.0), (2.0, 3.0)]], {})], {})
+    (tmp_path / "b.shp").write_bytes(line)
+    got = {(r["name"], r["place"]): r for r in shapefiles.read(spark, str(tmp_path), "EPSG:4326").collect()}
+    assert set(got) == {("a_Res", 1), ("a_Res", 2), ("b", 1)}
+    assert got[("a_Res", 1)]["geom_type"] == "MultiPolygon" and got[("b", 1)]["geom_type"] == "MultiLineString"
+    assert got[("a_Res", 1)]["attributes"] == {"use": "Wohnen ü", "no": "1"} and got[("a_Res", 2)]["attributes"] == {"use": None, "no": "2"} and got[("b", 1)]["attributes"] == {}
+    assert [len(p) for p in got[("a_Res", 2)]["parts"]] == [4, 4]
+    first = got[("a_Res", 1)]["parts"][0][0]
+    assert first["x"] == pytest.approx(4321000.0, abs=1) and 2_700_000 < first["y"] < 2_800_000
+    plain = {(r["name"], r["place"]): r for r in shapefiles.read(spark, str(tmp_path)).collect()}
+    assert plain[("b", 1)]["parts"][0][1].asDict() == {"x": 2.0, "y": 3.0}
+    with pytest.raises(ValueError, match="no way"):
+        shapefiles.read(spark, str(tmp_path), "EPSG:1")
+
+
+def test_broken_shapes_are_skipped_and_counted(spark, tmp_path):
+    from gridwright.sources import shapefiles
+
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
+    shp, dbf = shapefiles.write_shapes(shapefiles.POLYGON, [([ring], {"k": i}) for i in range(3)], {"k": 3})
+    at = 100 + 2 * int.from_bytes(shp[104:108], "big") + 8 + 8
+    (tmp_path / "x.shp").write_bytes(shp[:at] + b"\x63" + shp[at + 1 :])
+    (tmp_path / "x.dbf").write_bytes(dbf)
+    (tmp_path / "y.shp").write_bytes(b"nothing")
+    rows = shapefiles.read(spark, str(tmp_path), skip_failures=True)
+    good = rows.where("error is null").collect()
+    assert sorted((r["place"], r["attributes"]["k"]) for r in good) == [(1, "0"), (3, "2")]
+    assert {(r["name"], r["n"]) for r in shapefiles.failures(rows).collect()} == {("x", 1), ("y", 1)}
+    with pytest.raises(Exception, match="record 2|not a shapefile"):
+        shapefiles.read(spark, str(tmp_path)).collect()
+
+
+def test_catalogue(spark):
+    spark.sql("DROP DATABASE IF EXISTS gw_cat CASCADE")
+    sinks.create_schema(spark, "gw_cat")
+    try:
+        assert set(sinks.tables(spark, "gw_cat")) == {t.lower() for t in schemas.TABLES}
+        for name in ("buildings_tem_80805", "ways_tem_1_vertices", "buildings_tem_x"):
+            spark.range(1).write.saveAsTable(f"gw_cat.{name}", format="parquet")
+        assert sinks.drop_orphans(spark, "gw_cat", ["buildings_tem", "ways_tem"]) == ["buildings_tem_80805", "ways_tem_1_vertices"]
+        assert {"buildings_tem", "buildings_tem_x"} <= set(sinks.tables(spark, "gw_cat"))
+        got = sinks.columns(spark, ["gw_cat.buildings_tem_x"]).collect()
+        assert [(r["column_name"], r["position"]) for r in got] == [("id", 1)]
+        sinks.create_schema(spark, "gw_cat", replace=True)
+        assert "buildings_tem_x" not in sinks.tables(spark, "gw_cat")
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS gw_cat CASCADE")
+    sinks.views(spark, {"gw_view": spark.range(3)})
+    assert spark.sql("SELECT count(*) FROM gw_view").first()[0] == 3
+    sinks.drop_views(spark, ["gw_view", "gw_none"])
+    assert "gw_view" not in [t.name for t in spark.catalog.listTables()]
