@@ -334,10 +334,12 @@ def hash_sample(v: Views) -> DataFrame:
     return v.x_buildings.withColumn("place", F.row_number().over(w)).where("place <= 50").select("plz", "osm_id", "place")
 
 
-@query("SELECT kva, min(q) AS q FROM (SELECT transformer_rated_power AS kva, osm_id%17 AS q FROM x_transformers) GROUP BY kva")
+@query("SELECT kva, osm_id, plz, x FROM (SELECT transformer_rated_power AS kva, osm_id, plz, x, ROW_NUMBER() OVER (PARTITION BY transformer_rated_power ORDER BY osm_id%17, y DESC, osm_id) AS r FROM x_transformers) WHERE r=1")
 def sorted_pick(v: Views) -> DataFrame:
-    """First by a sort order without a sort."""
-    return v.x_transformers.groupBy(F.col("transformer_rated_power").alias("kva")).agg(F.min(F.expr("osm_id % 17")).alias("q"))
+    """The first row of each size by several keys, ties included, without a sort."""
+    order = F.struct(F.expr("osm_id % 17"), -F.col("y"), "osm_id")
+    best = v.x_transformers.groupBy(F.col("transformer_rated_power").alias("kva")).agg(F.min_by(F.struct("osm_id", "plz", "x"), order).alias("b"))
+    return best.select("kva", "b.osm_id", "b.plz", "b.x")
 
 
 @query("SELECT osm_id, plz FROM x_buildings UNION ALL SELECT osm_id, plz FROM x_transformers")

@@ -27,28 +27,31 @@ def nets_from_json(v: Views) -> DataFrame:
     return network.nets_of_json(v.nation.select(k.alias("k"), doc.alias("doc")), "doc", "id int").select("k", "place", F.col("net.id").alias("id"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_nationkey+0.5 AS DOUBLE) AS y, n_name AS name FROM nation")
+@query("SELECT CAST(osm_id AS VARCHAR) AS id, x, y, type AS use, x+1 AS east FROM x_buildings")
 def geojson_features(v: Views) -> DataFrame:
-    """Features of a collection with their points and properties."""
+    """Features of collections, one for each postcode, with their places and properties; points and outlines alike."""
     from gridwright.sources.files import features, lines_of
 
-    k = F.col("n_nationkey")
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(k.cast("double"), k + 0.5).alias("coordinates"))
-    f = F.struct(F.lit("Feature").alias("type"), k.cast("string").alias("id"), geometry.alias("geometry"), F.struct(F.col("n_name").alias("name")).alias("properties"))
-    doc = v.nation.groupBy().agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(f).alias("features"))).alias("doc"))
-    out = features(doc, "doc").withColumn("p", lines_of(F.col("coordinates"), F.col("geom_type"))[0][0])
-    return out.select("id", "p.x", "p.y", F.element_at("properties", "name").alias("name"))
+    near = F.array(F.array(F.col("x"), F.col("y")), F.array(F.col("x") + 1, F.col("y")), F.array(F.col("x"), F.col("y")))
+    point = F.struct(F.lit("Point").alias("type"), F.to_json(F.array("x", "y")).alias("coordinates"))
+    area = F.struct(F.lit("Polygon").alias("type"), F.to_json(F.array(near)).alias("coordinates"))
+    geometry = F.when(F.col("osm_id") % 2 == 0, point).otherwise(area)
+    text = F.concat(F.lit('{"type":"Feature","id":"'), F.col("osm_id").cast("string"), F.lit('","geometry":{"type":"'), geometry["type"], F.lit('","coordinates":'), geometry["coordinates"], F.lit('},"properties":{"use":"'), F.col("type"), F.lit('"}}'))
+    docs = v.x_buildings.groupBy("plz").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list(text)), F.lit("]}")).alias("doc"))
+    out = features(docs, "doc").withColumn("line", lines_of(F.col("coordinates"), F.col("geom_type"))[0])
+    east = F.when(F.size("line") > 1, F.col("line")[1]["x"]).otherwise(F.col("line")[0]["x"] + 1)
+    return out.select("id", F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y"), F.element_at("properties", "use").alias("use"), east.alias("east"))
 
 
-@query("SELECT 'node/' || n_nationkey AS id, CAST(n_nationkey AS DOUBLE) AS x, n_name AS power FROM nation")
+@query("SELECT 'node/' || osm_id AS id, x, y, type AS power, CASE WHEN osm_id%3=0 THEN CAST(area AS VARCHAR) END AS area FROM x_buildings")
 def osm_documents(v: Views) -> DataFrame:
-    """Elements of an OSM document with flat tags."""
+    """Elements of OSM documents, one for each postcode, with flat tags."""
     from gridwright.sources.files import osm_features
 
-    k = F.col("n_nationkey")
-    e = F.struct(F.lit("node").alias("type"), k.alias("id"), F.lit(48.0).alias("lat"), k.cast("double").alias("lon"), F.create_map(F.lit("power"), F.col("n_name")).alias("tags"))
-    doc = v.nation.groupBy().agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("doc"))
-    return osm_features(doc, "doc").select("id", "x", F.element_at("tags", "power").alias("power"))
+    tags = F.map_filter(F.create_map(F.lit("power"), F.col("type"), F.lit("area"), F.when(F.col("osm_id") % 3 == 0, F.col("area").cast("string"))), lambda _, x: x.isNotNull())
+    e = F.struct(F.lit("node").alias("type"), F.col("osm_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"), tags.alias("tags"))
+    docs = v.x_buildings.groupBy("plz").agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("doc"))
+    return osm_features(docs, "doc").select("id", "x", "y", F.try_element_at("tags", F.lit("power")).alias("power"), F.try_element_at("tags", F.lit("area")).alias("area"))
 
 
 @query("SELECT n_nationkey AS postcode_id, n_name AS note FROM nation WHERE n_regionkey=2")
