@@ -170,3 +170,51 @@ def meshed_flow(v: Views) -> DataFrame:
     meshed = lines.unionByName(ties)
     flow = network.meshed_power_flow(meshed, loads, roots, ["plz"], reactive=True)
     return network.line_currents(meshed, flow, ["plz"]).select("plz", "from_bus", "to_bus", "length_km", "i_ka", "loading_percent", "pl_mw")
+
+
+@query("SELECT 'LC_' || name AS code, r/1000e0 AS r1, x/1000e0 AS x1, ROUND(3*r/1000e0,9) AS r0, ROUND(3*x/1000e0,9) AS x0, CAST(i AS DOUBLE) AS norm_amps, i*1.25e0 AS emerg_amps FROM (VALUES ('NAYY_4_120',242,225,80),('NAYY_4_150',270,208,80),('NAYY_4_185',313,164,80),('NYY_4_35',159,524,85),('NAYY_4_50',142,642,83),('NYY_4_70',232,268,82)) AS c(name,i,r,x)")
+def line_codes(v: Views) -> DataFrame:
+    """Line codes of the cables for the circuit's script."""
+    from gridwright import config
+    from gridwright.operators import scripts
+
+    codes = scripts.line_codes(config.cables(v.spark))
+    return codes.select("code", "r1", "x1", F.round("r0", 9).alias("r0"), F.round("x0", 9).alias("x0"), F.round("norm_amps", 6).alias("norm_amps"), F.round("emerg_amps", 6).alias("emerg_amps"))
+
+
+_NAMED = "CASE line_id%5 WHEN 0 THEN 'NAYY 4x120 SE' WHEN 1 THEN 'NAYY_4_999' WHEN 2 THEN 'NYY_4_16' WHEN 3 THEN 'H07' ELSE std_type END"
+
+
+@query(f"SELECT code, COUNT(*) AS n, ROUND(SUM(GREATEST(km,0.001e0)),6) AS km FROM (SELECT CASE line_id%5 WHEN 0 THEN 'LC_NAYY_4_120' WHEN 1 THEN 'LC_NAYY_4_185' WHEN 2 THEN 'LC_NYY_4_70' WHEN 4 THEN 'LC_' || std_type END AS code, CASE WHEN line_id=1 THEN 0e0 ELSE length_km END AS km FROM x_lines) GROUP BY 1")
+def coded_lines(v: Views) -> DataFrame:
+    """Lines of a circuit's script: their cable's code, another of its family where it is missing, and a least length."""
+    from gridwright import config
+    from gridwright.operators import scripts
+
+    lines = v.x_lines.withColumn("std_type", F.expr(_NAMED)).withColumn("length_km", F.when(F.col("line_id") == 1, 0.0).otherwise(F.col("length_km")))
+    return scripts.coded_lines(lines, config.cables(v.spark)).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("km"))
+
+
+def _street_tables(v: Views) -> dict[str, DataFrame]:
+    lines, loads, roots = street_grids(v)
+    one = roots.select("plz")
+    trafo = one.select("plz", F.lit(-1).cast("long").alias("hv_bus"), F.lit(0).cast("long").alias("lv_bus"), F.lit(0.63).alias("sn_mva"))
+    return {"line": lines.withColumn("std_type", F.lit("NAYY_4_185")), "load": loads, "trafo": trafo, "ext_grid": one.select("plz", F.lit(-1).cast("long").alias("bus"))}
+
+
+@query(name="circuit_scripts")
+def circuit_scripts(v: Views) -> DataFrame:
+    """Each postcode's streets as the script of a three-phase simulator."""
+    from gridwright import config
+    from gridwright.operators import scripts
+
+    return scripts.circuit_scripts(_street_tables(v), config.cables(v.spark), ["plz"])
+
+
+@query(name="circuit_statistics")
+def circuit_statistics(v: Views) -> DataFrame:
+    """Power, losses and voltages of each postcode's solved grid."""
+    from gridwright.operators import scripts
+
+    lines, loads, roots = street_grids(v)
+    return scripts.statistics(network.meshed_power_flow(lines, loads, roots, ["plz"], reactive=True), lines, loads, ["plz"])

@@ -233,6 +233,34 @@ def test_meshed_currents_match_nodal_solution(spark, v):
             assert r["pl_mw"] == pytest.approx(3 * current**2 * z(r).real, abs=1e-9)
 
 
+def test_scripts_build_the_same_grid(spark, v):
+    """What the commands say, read back, solved by hand and compared with the statistics."""
+    import re
+
+    from gridwright.queries.sizing import street_grids
+
+    figures = {r["plz"]: r for r in QUERIES["circuit_statistics"](spark, FOLDER).collect()}
+    loads = street_grids(v)[1].collect()
+    rows = QUERIES["circuit_scripts"](spark, FOLDER).collect()
+    assert {r["plz"] for r in rows} == set(figures)
+    for r in rows:
+        text = r["script"].splitlines()
+        assert text[0] == "Clear" and text[1].startswith(f"New Circuit.p{r['plz']} basekv=20.0") and text[-2:] == ["CalcVoltageBases", "Solve"]
+        codes = {m[1]: (float(m[2]), float(m[3])) for m in re.finditer(r"New LineCode\.(\S+) .* R1=(\S+) X1=(\S+) ", r["script"])}
+        wires = re.findall(r"New Line\.\S+ phases=3 bus1=b(\d+) bus2=b(\d+) linecode=(\S+) units=km length=(\S+)", r["script"])
+        demand = {int(b): complex(float(p), float(q)) / 1000 for b, p, q in re.findall(r"New Load\.\S+ .* bus1=b(\d+) kW=(\S+) kvar=(\S+)", r["script"])}
+        assert codes == {"LC_NAYY_4_185": (0.164, 0.08)} or not wires
+        assert len(demand) == sum(x["plz"] == r["plz"] for x in loads) and sum(t.startswith("New Transformer.") for t in text) == 1
+        volts = plain_voltages([(int(a), int(b), complex(*codes[c]) * float(km)) for a, b, c, km in wires], demand, 0, 0.4)
+        f = figures[r["plz"]]
+        size = [abs(x) / 0.4 for x in volts.values()]
+        assert f["converged"] and f["num_buses"] == len(volts) and f["num_elements"] == len(wires) / 2 + len(demand)
+        assert (f["min_pu"], f["avg_pu"], f["max_pu"]) == pytest.approx((min(size), np.mean(size), max(size)), abs=1e-7)
+        lost = sum((abs(volts[int(a)] - volts[int(b)]) / abs(z)) ** 2 * z.real for a, b, c, km in wires for z in [complex(*codes[c]) * float(km)])
+        assert f["total_losses_kw"] == pytest.approx(1000 * lost, rel=1e-6, abs=1e-9)
+        assert f["total_power_kw"] == pytest.approx(1000 * (lost + sum(d.real for d in demand.values())), rel=1e-6)
+
+
 def test_newton_says_when_there_is_no_solution():
     ends, z = np.array([[0, 1]]), np.array([complex(0.5, 0.2)])
     assert network.newton(ends, z, np.array([0j, 0.01 + 0j]), 0.4)[1]
