@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
@@ -22,24 +22,32 @@ def _small_star(arcs: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
+def _counted(arcs: DataFrame) -> tuple[DataFrame, dict]:
+    """``arcs`` written out, with their number and a sum of their hashes, which are observed as they are written.
+
+    A stage that is run again may count twice; then the sums differ and one more round is made.
+    """
+    seen = Observation()
+    h = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    out = cut(arcs.observe(seen, F.count(F.lit(1)).alias("n"), h.alias("h")))
+    return out, seen.get
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): each node that occurs in ``edges`` with the smallest node it can reach.
 
     Any orderable node type. Null ends and loops add no links, but a node of a loop is listed. An
     empty table of edges gives an empty result. Rounds grow with the logarithm of the longest path;
-    each is cut into the checkpoint folder, and only one count a round reaches the driver.
+    each is one job that writes its arcs into the checkpoint folder and counts them on the way.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = ends.select("u").union(ends.select("v")).distinct()
-    arcs = cut(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    print_of = lambda a: a.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    before = print_of(arcs)
+    arcs, before = _counted(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
         if before["n"] == 0:
             break
-        arcs = cut(_small_star(_large_star(arcs)))
-        now = print_of(arcs)
-        if (now["n"], now["h"]) == (before["n"], before["h"]):
+        arcs, now = _counted(_small_star(_large_star(arcs)))
+        if now == before:
             break
         before = now
     else:
