@@ -134,11 +134,14 @@ def _keys(text: Column) -> tuple[Column, Column, Column]:
     return whole, F.xxhash64(whole), F.sha2(whole.cast("binary"), 256)
 
 
-def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fp, sha, keep_id, group_size) of texts whose fingerprint occurs more than once, compared byte for byte."""
+def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: DataFrame | None = None) -> DataFrame:
+    """(fp, sha, keep_id, group_size) of texts whose fingerprint occurs more than once, compared byte for byte.
+
+    fingerprints: the rows' fp, if they are there already.
+    """
     whole, fp, sha = _keys(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), whole.alias("whole"), fp.alias("fp"))
-    repeated = cut(repeated_fingerprints(rows))
+    repeated = cut(repeated_fingerprints(rows if fingerprints is None else fingerprints))
     same = rows.join(maybe_broadcast(repeated.select("fp")), "fp", "left_semi").groupBy("fp", "whole").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     verified = same.select("fp", F.sha2(F.col("whole").cast("binary"), 256).alias("sha"), "keep_id", "group_size").groupBy("fp", "sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
     unlike = F.raise_error(F.lit("two texts share fingerprint and SHA-256"))
@@ -150,11 +153,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the
     largest id stays (a null id is the smallest); of rows equal in id and text just one. An empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read. Texts are read twice: for the digests of
+    all rows, and to compare those whose fingerprints repeat.
     """
     _, fp, sha = _keys(F.col(text_col))
-    groups = maybe_broadcast(equal_text_groups(docs, id_col, text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), sha.alias("sha")).join(groups, ["fp", "sha"], "left")
+    keys = cut(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), sha.alias("sha")))
+    groups = maybe_broadcast(equal_text_groups(docs, id_col, text_col, keys))
+    rows = keys.join(groups, ["fp", "sha"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy(F.lit(0)))
