@@ -10,36 +10,73 @@ of two, so no sequence needs padding.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import Remembered, slices
-
-#: Words that a task remembers with their ids.
-REMEMBERED = 300_000
-#: Letters that the tokenizer's rules treat alike in every library at hand: ASCII and the letters of Latin-1.
-_PLAIN = re.compile(r"[\x20-\x7e\n\r\tÀ-ÖØ-öø-ÿ]*")
-#: The vocabulary file's own pre-token rule, over lower-cased plain text (fixed value of the file).
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+from gridwright.llm import runs
+from gridwright.llm.common import slices
+
+#: Characters of a text that are cut into words at a time.
+LONG = 4 << 20
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+#: Endings that the vocabulary file's own pre-token rule keeps together with an apostrophe (fixed values of the file).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(kind of each byte, whether the tokenizer's rules treat it alike in every library at hand): ASCII; letters of Latin-1 lie above it."""
+    kind, plain = np.full(256, _MARK, np.uint8), np.zeros(256, bool)
+    plain[[9, 10, 13, *range(32, 127)]] = True
+    kind[[9, 10, 13, 32]] = _SPACE
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    kind[ord("a") : ord("z") + 1] = _LETTER
+    kind[128:] = _LETTER
+    return kind, plain
+
+
+_KIND, _PLAIN = _kinds()
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the runs of lower-cased plain texts begin: words, single digits, runs of marks and of spaces, and endings after an apostrophe."""
+    kind = _KIND[data]
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    quote = np.flatnonzero((data == ord("'")) & first)
+    ends = np.zeros(len(data) + 1, bool)
+    ends[offsets] = True
+    quote = quote[quote + 1 < len(data)]
+    quote = quote[(kind[quote + 1] == _LETTER) & ~ends[quote + 1]]
+    padded = np.append(data, np.zeros(2, np.uint8))
+    for ending in ENDINGS:  # no ending begins another, so their order does not matter
+        hit = quote[padded[quote + 1] == ord(ending[0])]
+        if len(ending) == 2:
+            hit = hit[(padded[hit + 2] == ord(ending[1])) & ~ends[hit + 2]]
+        first[hit + 1] = False
+        after = hit + 1 + len(ending)
+        first[after[after < len(data)]] = True
+    return np.flatnonzero(first)
 
 
 class WordIds:
-    """Ids of texts under a word-wise vocabulary, as little-endian unsigned 32-bit bytes, remembered by pre-token."""
+    """Ids of texts under a word-wise vocabulary, as little-endian unsigned 32-bit bytes; the words of a batch are looked up once each."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered(remembered)
+        self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -56,14 +93,46 @@ class WordIds:
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = self.known.missing(set().union(*(p for p in parts if p)))
-        letters, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
-        self.known.update(zip(letters + rest, self._words(letters) + self._whole(rest), strict=True))
-        other = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.known.__getitem__
-        return [next(other) if p is None else b"".join(map(get, p)) for p in parts]
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts of plain letters, by their words."""
+        data, offsets = runs.texts_data(pc.utf8_lower(texts))
+        starts = word_starts(data, offsets)
+        codes, words = runs.coded(data, starts)
+        names, kind = words.to_pylist(), _KIND[runs.first_bytes(words)]
+        ids = [b""] * len(names)  # spaces have none
+        for chosen, how in ((kind == _LETTER, self._words), ((kind == _DIGIT) | (kind == _MARK), self._whole)):
+            at = np.flatnonzero(chosen).tolist()
+            for i, found in zip(at, how([names[i] for i in at]), strict=True):
+                ids[i] = found
+        return runs.gathered(ids, codes, "<u4", np.searchsorted(starts, offsets))
+
+    def _one(self, text: str) -> bytes:
+        """Ids of a long text, a part at a time: no word goes across a space."""
+        parts, at = [], 0
+        while len(text) - at > LONG and (cut := max(text.rfind(c, at, at + LONG) for c in " \n\t\r")) > at:
+            parts.append(text[at:cut])
+            at = cut
+        return b"".join(self._plain(pa.array([p], pa.large_string()))[0] for p in [*parts, text[at:]])
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        data, offsets = runs.texts_data(texts)
+        plain = runs.only(data, offsets, _PLAIN) & ~pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False).astype(bool)
+        long = plain & (np.diff(offsets) > LONG)
+        short, odd = np.flatnonzero(plain & ~long), np.flatnonzero(~plain)
+        out = [b""] * len(texts)
+        for at, found in ((short, self._plain(texts.take(pa.array(short)))), (odd, self._whole(texts.take(pa.array(odd)).to_pylist()))):
+            for i, ids in zip(at.tolist(), found, strict=True):
+                out[i] = ids
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self._one(texts[i].as_py())
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def worker_ids(path: str) -> WordIds:
+    """One vocabulary per worker process, which serves the tasks after."""
+    return WordIds(path)
 
 
 class Packer:
@@ -146,7 +215,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, le
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = WordIds(path), Packer(capacity, least)
+        ids_of, packer = worker_ids(path), Packer(capacity, least)
         base = TaskContext.get().partitionId() * WORKER_SEQUENCES
         types = None
 
@@ -155,10 +224,10 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, le
             columns[5] = [base + s for s in columns[5]]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", LONG):
             types = types or [batch.schema.field("doc_id").type, *[pa.int64()] * 6]
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
                 out += packer.add(doc, ids + end)
             if out:
                 yield batch_of(out)
