@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.checkpoints import ensure_checkpoint_dir
+from gridwright.checkpoints import cut, ensure_checkpoint_dir
 from gridwright.functions import geometry as G
 from gridwright.operators import spatial
 from gridwright.queries.registry import Views, query
@@ -18,36 +18,45 @@ def _folder(v: Views) -> str:
     return f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
 
 
-@query("SELECT n_nationkey AS plz, n_name AS note FROM nation")
+def _without(v: Views, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` read from ``path``, which is deleted once they are cut off from it."""
+    out = cut(rows)
+    where = v.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(v.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
+@query("SELECT c_custkey AS way_id, c_name AS note, CAST(c_acctbal AS DOUBLE) AS length FROM customer")
 def csv_load(v: Views) -> DataFrame:
     """A CSV export read back under a schema, columns renamed."""
     from gridwright.sources import files, sinks
 
     path = _folder(v)
-    sinks.to_csv(v.nation.select("n_nationkey", "n_name"), path)
-    return files.csv(v.spark, path, "n_nationkey int, n_name string", {"n_nationkey": "plz", "n_name": "note"})
+    sinks.to_csv(v.customer.selectExpr("c_custkey", "c_name", "cast(c_acctbal as double) AS c_acctbal"), path)
+    return _without(v, path, files.csv(v.spark, path, "c_custkey long, c_name string, c_acctbal double", {"c_custkey": "way_id", "c_name": "note", "c_acctbal": "length"}))
 
 
-@query("SELECT n_nationkey AS plz, n_name AS note, CAST(n_regionkey AS DOUBLE)/4 AS qkm FROM nation")
+@query("SELECT CAST(osm_id AS INT) AS osm_id, type AS use, area/4 AS qkm FROM x_buildings")
 def excel_load(v: Views) -> DataFrame:
-    """A workbook written and read back by column names."""
+    """Workbooks, one for each postcode, written and read back by column names."""
     from gridwright.sources import workbooks
 
     path = _folder(v)
-    rows = v.nation.selectExpr("1 AS g", "n_nationkey AS plz", "n_name AS note", "n_regionkey / 4.0D AS qkm")
-    workbooks.workbooks({"register": rows}, ["g"]).write.parquet(path)
-    return workbooks.sheets(v.spark.read.parquet(path), {"plz": "int", "note": "string", "qkm": "double"}, "register")
+    rows = v.x_buildings.selectExpr("plz", "osm_id", "type AS use", "area / 4.0D AS qkm")
+    workbooks.workbooks({"register": rows}, ["plz"]).write.parquet(path)
+    return _without(v, path, workbooks.sheets(v.spark.read.parquet(path), {"osm_id": "int", "use": "string", "qkm": "double"}, "register"))
 
 
-@query("SELECT n_nationkey AS way_id, n_name AS note FROM nation")
+@query("SELECT CAST(c_custkey AS INT) AS way_id, CASE WHEN c_custkey%7=0 THEN NULL ELSE c_name || ' o''clock; (x)' END AS note FROM customer")
 def sql_dump_load(v: Views) -> DataFrame:
     """INSERT statements of a dump."""
     from gridwright.sources import files
 
     path = _folder(v)
-    row = F.concat(F.lit("("), F.col("n_nationkey").cast("string"), F.lit(", '"), F.regexp_replace("n_name", "'", "''"), F.lit("')"))
-    v.nation.select(F.concat(F.lit("INSERT INTO ways (way_id, note) VALUES "), row, F.lit(";")).alias("value")).unionByName(v.spark.createDataFrame([("CREATE TABLE ways (way_id int);",)], "value string")).write.text(path)
-    return files.sql_dump(v.spark, path, "ways", "way_id int, note string")
+    note = F.when(F.col("c_custkey") % 7 == 0, "NULL").otherwise(F.concat(F.lit("'"), F.col("c_name"), F.lit(" o''clock; (x)'")))
+    row = F.concat(F.lit("("), F.col("c_custkey").cast("string"), F.lit(", "), note, F.lit(")"))
+    v.customer.select(F.concat(F.lit("INSERT INTO ways (way_id, note) VALUES "), row, F.lit(";")).alias("value")).unionByName(v.spark.createDataFrame([("CREATE TABLE ways (way_id int);",)], "value string")).write.text(path)
+    return _without(v, path, files.sql_dump(v.spark, path, "ways", "way_id int, note string"))
 
 
 @query("SELECT o.o_orderkey, CAST(e.n AS BIGINT) AS n FROM orders o FULL OUTER JOIN (SELECT l_orderkey+3 AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) e ON e.k=o.o_orderkey")
@@ -160,7 +169,7 @@ def shapefile_load(v: Views) -> DataFrame:
     v.x_buildings.groupBy("plz").applyInPandas(written, "name string, shp binary, dbf binary").write.parquet(path)
     f = shapefiles.features(v.spark.read.parquet(path)).where("geom_type = 'MultiPolygon'").withColumn("ring", F.col("parts")[0])
     middle = G.ring_centroid(F.col("ring"))
-    return f.select(F.element_at("attributes", "osm_id").cast("long").alias("osm_id"), F.element_at("attributes", "use").alias("type"), "name", F.round(middle["x"], 6).alias("x"), F.round(middle["y"], 6).alias("y"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
+    return _without(v, path, f.select(F.element_at("attributes", "osm_id").cast("long").alias("osm_id"), F.element_at("attributes", "use").alias("type"), "name", F.round(middle["x"], 6).alias("x"), F.round(middle["y"], 6).alias("y"), F.round(G.ring_area(F.col("ring")), 6).alias("area")))
 
 
 @query(name="gis_layers")
