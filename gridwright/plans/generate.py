@@ -37,7 +37,8 @@ def with_loads(buildings: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, categories: DataFrame, config: Config = DEFAULT) -> dict:
-    """Element tables of all grids, by name: grids, bus, line, load, trafo, ext_grid, flow, unreached (buildings without a way to their transformer); and the grid key 'by'.
+    """Element tables of all grids, by name: grids, bus, line, load, trafo, ext_grid, flow, unreached (vertices without a way to their transformer), left_out
+    (buildings with a load that are in no grid: unreached ones, and those alone in what is left of their part of the network); and the grid key 'by'.
 
     buildings: osm_id, plz, x, y, type, area, floors, households_per_building; ways: plz, way_id, clazz,
     line; transformers: osm_id, plz, x, y, transformer_rated_power.
@@ -103,9 +104,13 @@ def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, cat
     place = F.when(fixed, F.col("ont_vid")).when(F.col("bus") < 0, -2 - F.col("bus")).otherwise(F.col("bus"))
     bus = bus.join(grids.select(*GRID, "ont_vid"), GRID).withColumn("__v", place).join(spots, "__v", "left")
     bus = cut(bus.withColumn("y", F.when(F.col("name") == "MVbus 1", F.col("y") + 1.5e-4).otherwise(F.col("y"))).drop("__v", "ont_vid"))
+    served = full.join(lost.withColumnRenamed("vertice_id", "vid"), [*GRID, "vid"], "left_anti").select("osm_id")
+    reason = F.when(F.col("__far"), "unreached").otherwise("alone").alias("reason")
+    far = full.join(lost.withColumnRenamed("vertice_id", "vid"), [*GRID, "vid"], "left_semi").select("osm_id", F.lit(True).alias("__far"))
+    left_out = cut(b.select("plz", "osm_id").join(served, "osm_id", "left_anti").join(far, "osm_id", "left").select("plz", "osm_id", reason))
     roots = grids.select(*GRID, F.lit(-1).cast("long").alias("vid"))
     flow = cut(network.power_flow(line, load, roots, GRID, config))
-    return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow, "unreached": lost}
+    return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow, "unreached": lost, "left_out": left_out}
 
 
 def demo_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -114,8 +119,9 @@ def demo_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     b = v.x_buildings.selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) AS x", "pmod(y, 900) + 0.5D AS y", "type", "area", "floors", "households_per_building")
     towns = v.x_buildings.select("plz").union(v.x_transformers.select("plz")).distinct()
-    street = towns.crossJoin(v.spark.range(10)).selectExpr("CAST(plz AS INT) AS plz", "plz * 100 + id + 1 AS way_id", "41 AS clazz", "plz * 5000.0D AS x0", "id * 100.0D AS y0", "id")
-    rows = F.concat(F.array(G.point(F.col("x0"), F.col("y0"))), F.array(G.point(F.col("x0") + 1200, F.col("y0"))), F.array(G.point(F.col("x0") + 1200, F.col("y0") + F.when(F.col("id") < 9, 100).otherwise(50))))
-    ways = street.select("plz", "way_id", "clazz", rows.alias("line"))
+    street = towns.crossJoin(v.spark.range(10)).selectExpr("CAST(plz AS INT) AS plz", "id", "plz * 5000.0D AS x0", "id * 100.0D AS y0", "id * 100.0D + IF(id < 9, 100, 50) AS y1")
+    corner = G.point(F.col("x0") + 1200, F.col("y0"))  # where a street meets the road along all streets
+    along, up = F.array(G.point(F.col("x0"), F.col("y0")), corner), F.array(corner, G.point(F.col("x0") + 1200, F.col("y1")))
+    ways = street.select("plz", F.posexplode(F.array(along, up)).alias("k", "line"), "id").selectExpr("plz", "plz * 100 + k * 50 + id + 1 AS way_id", "41 AS clazz", "line")
     t = v.x_transformers.selectExpr("osm_id", "plz", "plz * 5000.0D + pmod(x, 1200) + 0.25D AS x", "pmod(y, 900) + 0.75D AS y", "transformer_rated_power")
     return b, ways, t, config.categories(v.spark)

@@ -286,6 +286,31 @@ def grids(plan):
     return out
 
 
+def test_every_building_is_served_or_listed(v, plan, grids):
+    from gridwright.plans.generate import demo_inputs, with_loads
+
+    buildings, _, _, categories = demo_inputs(v)
+    loaded = {r["osm_id"]: r["homes"] for r in with_loads(buildings, categories).collect()}
+    out = {r["osm_id"]: r["reason"] for r in plan["left_out"].collect()}
+    assert set(out) <= set(loaded) and set(out.values()) <= {"alone"} and len(out) < 0.1 * len(loaded)
+    assert sum(r["units"] for g in grids.values() for r in g["load"]) == sum(n for i, n in loaded.items() if i not in out)
+    numbers = defaultdict(list)
+    for plz, kcid, bcid in grids:
+        numbers[(plz, kcid)].append(bcid)
+    for found in numbers.values():
+        old, new = sorted(-n for n in found if n < 0), sorted(n for n in found if n > 0)
+        assert old == list(range(1, len(old) + 1)) and new == list(range(1, len(new) + 1))
+
+
+def test_ratings_cover_their_loads(grids):
+    for (_, _, bcid), grid in grids.items():
+        (g,) = grid["grids"]
+        zone = {r["bus"]: r["zone"] for r in grid["bus"]}
+        load = plain_peak([{"type": zone[r["bus"]], "kw": r["max_p_mw"] * 1000, "homes": r["units"]} for r in grid["load"]])
+        assert g["rated"] >= load * 0.999 or bcid < 0 or len(grid["load"]) < 5
+        assert {r["sn_mva"] for r in grid["trafo"]} == {g["rated"] / 1000}
+
+
 def tree_of(grid):
     """(parent, line into, buses below) of each bus, from the lines alone."""
     near = defaultdict(list)
