@@ -41,8 +41,8 @@ COUNTED, LEAST_SEEN = 3 << 20, 2
 FREQUENT = 400_000
 #: Rounds of leaders before the full search across classes, leaders that a document is checked against in each, and the length from which lists have them.
 ROUNDS, LEADERS, LONG_LIST = 2, 12, 64
-#: Documents in one list of a posting.
-LIST = 256
+#: Documents in one list of a posting, and documents of lists that are looked at together.
+LIST, LOOKED = 64, 1 << 18
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -246,24 +246,32 @@ def _fitting(percent: int):
     times 4, and 2 for split and 1 for here.
     """
 
+    def fitting(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False))
+        n, picked, own, many, level, main = (column(c).astype(np.int64)[row] for c in ("n", "picked", "class", "many", "level", "main"))
+        ids, meta, cls = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
+        m, several, matches = meta >> 9, meta >> 8 & 1, np.minimum(picked, meta & 15)
+        split = (several == 1) & (many == 1)
+        later = (several > many) | (several == many) & (cls > own)
+        fits = (np.maximum(meta >> 4 & 15, level) <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (later | split)
+        row, ids = row[fits], ids[fits]
+        here = (cls == main) | (cls > own)
+        code = required(n[fits], m[fits], matches[fits], percent) * 4 + split[fits] * 2 + here[fits]
+        asked, count = np.unique(row, return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(code, pa.int32()))]
+        return pa.record_batch([pa.array(column("x")[asked], pa.int64()), pa.array(np.zeros(len(asked), np.int64)), *lists], names=["x", "missed", "others", "codes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False))
-            n, picked, own, many, level, main = (column(c).astype(np.int64)[row] for c in ("n", "picked", "class", "many", "level", "main"))
-            ids, meta, cls = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("nodes", "meta", "classes"))
-            m, several, matches = meta >> 9, meta >> 8 & 1, np.minimum(picked, meta & 15)
-            split = (several == 1) & (many == 1)
-            later = (several > many) | (several == many) & (cls > own)
-            fits = (np.maximum(meta >> 4 & 15, level) <= matches) & (cls != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (later | split)
-            row, ids = row[fits], ids[fits]
-            here = (cls == main) | (cls > own)
-            code = required(n[fits], m[fits], matches[fits], percent) * 4 + split[fits] * 2 + here[fits]
-            asked, count = np.unique(row, return_counts=True)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(code, pa.int32()))]
-            yield pa.record_batch([pa.array(column("x")[asked], pa.int64()), pa.array(np.zeros(len(asked), np.int64)), *lists], names=["x", "missed", "others", "codes"])
-        give_back()
+            ends, at = np.cumsum(pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED, "right")))
+                yield fitting(batch.slice(at, to - at))
+                at = to
+            del batch
+            give_back()
 
     return run
 
