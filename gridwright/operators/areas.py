@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gridwright.operators.groups import dealt
+
 _RINGS = "array<array<struct<x: double, y: double>>>"
 
 
@@ -37,20 +39,33 @@ def _pieces(edges: np.ndarray, digits: int) -> np.ndarray:
 
 
 def _inside(points: np.ndarray, areas: list[list[np.ndarray]]) -> np.ndarray:
-    """Whether a point lies in any area; an area is a list of rings, and what an odd number of them holds is inside."""
+    """Whether a point lies in any area; an area is a list of rings, and what an odd number of them holds is inside.
+
+    Each area looks at the points between its bounds that no area before it holds.
+    """
+    order = np.argsort(points[:, 0], kind="stable")
+    x, y = points[order, 0], points[order, 1]
     out = np.zeros(len(points), bool)
     for rings in areas:
-        odd = np.zeros(len(points), bool)
-        for r in rings:
-            x1, y1, x2, y2 = r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]
-            for p in range(0, len(points), 4096):
-                px, py = points[p : p + 4096, :1], points[p : p + 4096, 1:]
-                over = (y1 > py) != (y2 > py)
+        corners = np.concatenate(rings) if rings else np.zeros((0, 2))
+        if not len(corners):
+            continue
+        (x_low, y_low), (x_high, y_high) = corners.min(0), corners.max(0)
+        near = np.arange(np.searchsorted(x, x_low), np.searchsorted(x, x_high, "right"))
+        near = near[(y[near] >= y_low) & (y[near] <= y_high) & ~out[near]]
+        for a in range(0, len(near), 4096):
+            at = near[a : a + 4096]
+            odd = np.zeros(len(at), bool)
+            for r in rings:
+                x1, y1, x2, y2 = r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]
+                over = (y1 > y[at, None]) != (y2 > y[at, None])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    left = px < (x2 - x1) * (py - y1) / (y2 - y1) + x1
-                odd[p : p + 4096] ^= (over & left).sum(1) % 2 == 1
-        out |= odd
-    return out
+                    left = x[at, None] < (x2 - x1) * (y[at, None] - y1) / (y2 - y1) + x1
+                odd ^= (over & left).sum(1) % 2 == 1
+            out[at[odd]] = True
+    back = np.empty(len(points), bool)
+    back[order] = out
+    return back
 
 
 def union(areas: list[list[np.ndarray]], digits: int = 6, step: float = 1e-5) -> list[np.ndarray]:
@@ -118,4 +133,4 @@ def dissolved(areas: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
         return pd.DataFrame([(*key, rings, sum(map(signed_area, found)))], columns=[*by, "rings", "area"])
 
     kinds = ", ".join(f"{n} {areas.schema[n].dataType.simpleString()}" for n in by)
-    return areas.select(*by, "rings").groupBy(*by).applyInPandas(run, f"{kinds}, rings {_RINGS}, area double")
+    return dealt(areas.select(*by, "rings"), by).groupBy(*by).applyInPandas(run, f"{kinds}, rings {_RINGS}, area double")

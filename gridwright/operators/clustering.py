@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
+from gridwright.operators.groups import dealt
 from gridwright.operators.routing import metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
@@ -150,7 +151,7 @@ def best_place(distance: np.ndarray, kw: np.ndarray, reach: float) -> tuple[int,
 def _in_groups(edges: DataFrame, points: DataFrame, by: list[str], run, schema: str) -> DataFrame:
     """``run(key, edges, points)`` for each group: its edges and points meet in one task, and no pair of points leaves it."""
     kinds = ", ".join(f"{n} {points.schema[n].dataType.simpleString()}" for n in by)
-    return edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, f"{kinds}, {schema}")
+    return dealt(edges.select(*by, "source", "target", "cost"), by).groupBy(*by).cogroup(dealt(points, by).groupBy(*by)).applyInPandas(run, f"{kinds}, {schema}")
 
 
 def greenfield_clusters(edges: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -222,7 +223,7 @@ def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], c
         return pd.DataFrame([(*key, k, t, v, size) for k, t, vs, size in found for v in vs], columns=names)
 
     kinds = ", ".join(f"{n} {costs.schema[n].dataType.simpleString()}" for n in by)
-    return costs.groupBy(*by).cogroup(buildings.groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
+    return dealt(costs, by).groupBy(*by).cogroup(dealt(buildings, by).groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
 
 
 def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m) -> DataFrame:

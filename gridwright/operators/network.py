@@ -14,6 +14,7 @@ from gridwright.functions import electrical as E
 from gridwright.functions.hashing import uniform
 from gridwright.operators.cables import consumer_cable, feeder_cable
 from gridwright.operators.clustering import Loads
+from gridwright.operators.groups import dealt
 from gridwright.operators.routing import plan_branches, shortest
 
 BACKENDS: dict[str, str] = {"sweep": "gridwright.operators.network:power_flow", "newton": "gridwright.operators.network:meshed_power_flow"}
@@ -92,7 +93,7 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
     parts = parts.unionByName(buildings.select(*by, F.lit(1).alias("k"), F.col("vid").cast("long").alias("a"), F.col("connection_point").cast("long").alias("b"), F.col("kw").alias("x"), F.col("homes").cast("double").alias("y"), F.col("sim").alias("z"), F.col("type").alias("t")))
     parts = parts.unionByName(grids.select(*by, F.lit(2).alias("k"), F.col("ont_vid").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), none.alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t")))
     kinds = ", ".join(f"{n} {edges.schema[n].dataType.simpleString()}" for n in by)
-    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, node long, parent long, branch int, kind string, metres double, load_kw double")
+    return dealt(parts, by).groupBy(*by).applyInPandas(run, f"{kinds}, node long, parent long, branch int, kind string, metres double, load_kw double")
 
 
 def sized_lines(tree: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -265,7 +266,7 @@ def _flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], c
         return out
 
     kinds = ", ".join(f"{n} {lines.schema[n].dataType.simpleString()}" for n in by)
-    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, bus long, vm_pu double, parent long, i_ka double, loading_percent double, pl_mw double, converged boolean{', va_degree double' if meshed else ''}")
+    return dealt(parts, by).groupBy(*by).applyInPandas(run, f"{kinds}, bus long, vm_pu double, parent long, i_ka double, loading_percent double, pl_mw double, converged boolean{', va_degree double' if meshed else ''}")
 
 
 def power_flow(lines: DataFrame, loads: DataFrame, roots: DataFrame, by: list[str], config: Config = DEFAULT, reactive: bool = False) -> DataFrame:

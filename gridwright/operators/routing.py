@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
+from gridwright.operators.groups import dealt
 from gridwright.operators.numbering import numbered
 
 
@@ -105,7 +106,7 @@ def costs(edges: DataFrame, starts: DataFrame, by: list[str], targets: DataFrame
             yield _batch(by, key, {"start_vid": np.full(len(nodes), v), "end_vid": nodes, "agg_cost": cost.astype(float), "before": before.astype(np.int64), "hops": hops.astype(np.int32)})
 
     schema = f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double, before long, hops int"
-    out = _tagged(edges, starts, by).groupBy(*by).applyInArrow(run, schema)
+    out = dealt(_tagged(edges, starts, by), by).groupBy(*by).applyInArrow(run, schema)
     return out if targets is None else out.join(targets.select(*by, F.col("vid").alias("end_vid")).distinct(), [*by, "end_vid"], "left_semi").select(*out.columns)
 
 
@@ -163,7 +164,7 @@ def cost_matrix(edges: DataFrame, points: DataFrame, by: list[str], rows: int =
             start, end = np.nonzero(np.isfinite(matrix[at : at + step]))
             yield _batch(by, key, {"start_vid": ids[at + start], "end_vid": ids[end], "agg_cost": matrix[at + start, end]})
 
-    return _tagged(edges, points, by).groupBy(*by).applyInArrow(run, f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double")
+    return dealt(_tagged(edges, points, by), by).groupBy(*by).applyInArrow(run, f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double")
 
 
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
@@ -182,7 +183,7 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, by: list[str]) -
         return pd.DataFrame(rows, columns=[*by, "end_vid", "agg_cost", "path"])
 
     points = starts.select(*by, "vid", F.lit(0).alias("role")).unionByName(ends.select(*by, "vid", F.lit(1).alias("role")))
-    return edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, f"{_schema(edges, by)}, end_vid long, agg_cost double, path array<long>")
+    return dealt(edges.select(*by, "source", "target", "cost"), by).groupBy(*by).cogroup(dealt(points, by).groupBy(*by)).applyInPandas(run, f"{_schema(edges, by)}, end_vid long, agg_cost double, path array<long>")
 
 
 #: Whole metres that stand for no way at all.
@@ -277,7 +278,7 @@ def subtree_sums(parents: DataFrame, loads: DataFrame, by: list[str], values: li
     sums = ", ".join(f"{v} {'long' if loads.schema[v].dataType.simpleString() in whole else 'double'}" for v in values)
     kinds = "".join(f", {_schema(loads, [c])}" for c in also)
     rows = loads.select(*by, "node", *also, *[F.col(v).cast("long" if loads.schema[v].dataType.simpleString() in whole else "double").alias(v) for v in values])
-    return parents.select(*by, "node", "parent").groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(run, f"{_schema(parents, by)}, node long{kinds}, {sums}")
+    return dealt(parents.select(*by, "node", "parent"), by).groupBy(*by).cogroup(dealt(rows, by).groupBy(*by)).applyInPandas(run, f"{_schema(parents, by)}, node long{kinds}, {sums}")
 
 
 def path_sums(steps: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -307,7 +308,7 @@ def path_sums(steps: DataFrame, by: list[str], values: list[str]) -> DataFrame:
         return found[[*by, "node", *values, "first", "second", "steps"]]
 
     sums = ", ".join(f"{v} double" for v in values)
-    return steps.select(*by, "node", "parent", *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*by).applyInPandas(run, f"{_schema(steps, by)}, node long, {sums}, first long, second long, steps long")
+    return dealt(steps.select(*by, "node", "parent", *[F.col(v).cast("double").alias(v) for v in values]), by).groupBy(*by).applyInPandas(run, f"{_schema(steps, by)}, node long, {sums}, first long, second long, steps long")
 
 
 def bfs_parents(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
@@ -330,7 +331,7 @@ def bfs_parents(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
         out["parent"] = out["parent"].astype("Int64")
         return out
 
-    return edges.select(*by, "source", "target", "cost").groupBy(*by).cogroup(roots.select(*by, "vid").groupBy(*by)).applyInPandas(run, f"{_schema(edges, by)}, node long, parent long, hops int, dist double")
+    return dealt(edges.select(*by, "source", "target", "cost"), by).groupBy(*by).cogroup(dealt(roots.select(*by, "vid"), by).groupBy(*by)).applyInPandas(run, f"{_schema(edges, by)}, node long, parent long, hops int, dist double")
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
@@ -439,7 +440,7 @@ def feeders(edges: DataFrame, buses: DataFrame, roots: DataFrame, trafos: DataFr
             n = count_terminal_feeders(near, int(root.min()), kinds, trafo, synthetic) if recursive else count_feeders(near, degree, int(root.min()), kinds, trafo)
         return pd.DataFrame([(*key, n)], columns=[*by, "feeder_lines"])
 
-    return parts.groupBy(*by).applyInPandas(run, f"{_schema(edges, by)}, feeder_lines int")
+    return dealt(parts, by).groupBy(*by).applyInPandas(run, f"{_schema(edges, by)}, feeder_lines int")
 
 
 def root_bus(buses: DataFrame, trafos: DataFrame, grids: DataFrame, by: list[str]) -> DataFrame:
