@@ -57,10 +57,13 @@ def nearest(points: DataFrame, others: DataFrame, k: int = 1, by: list[str] | No
     if not span["n"]:
         return nearest_within(points, others, 1.0, k, by, itself)
     ends = points.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    groups = others.select(*by).distinct().count() if by else 1
     sides = [max(span[h], ends[h] if ends[h] is not None else span[h]) - min(span[l], ends[l] if ends[l] is not None else span[l]) for l, h in (("a", "b"), ("c", "d"))]
     whole = math.hypot(*sides) or 1.0
-    radius = start or max(whole / 1e6, math.sqrt(max(sides[0] * sides[1], 1e-12) * k * groups / span["n"]))
+    if start is None:  # about k points lie within it in the middle one of the groups, be they spread over a plane or along a line
+        w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+        reach = F.greatest(F.sqrt(w * h * k / F.count("*")), F.greatest(w, h) * k / F.count("*"))
+        start = others.groupBy(*by).agg(reach.alias("r")).agg(F.percentile("r", 0.5)).first()[0]
+    radius = max(whole / 1e6, start or 0.0)
     todo, parts = points, []
     while True:
         found = cut(nearest_within(todo, others, min(radius, whole), k, by, itself))
