@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat_format, exact_dedup, language_id, ngram_join, packing, quality, sentence_pieces, sharding, topk_search, url_filter
+from gridwright.llm import chat_format, divergence, exact_dedup, language_id, ngram_join, packing, quality, sentence_pieces, sharding, topk_search, url_filter
 from gridwright.llm.common import documents
 
 
@@ -116,6 +116,28 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, COUNT(*) AS n FROM w GROUP BY lang, term HAVING COUNT(DISTINCT r) >= 3),
+c AS (SELECT w.lang, w.source, w.term, COUNT(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, w.source, w.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, k.n AS whole, COALESCE(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 1 AS HUGEINT)) // (SUM(n) OVER s + COUNT(*) OVER s) AS p,
+  1 + (1000000000 * CAST(whole + 1 AS HUGEINT)) // (SUM(whole) OVER s + COUNT(*) OVER s) AS q FROM f WINDOW s AS (PARTITION BY lang, source)),
+x AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(COALESCE(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -127,5 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_feistel_shards": op10_feistel_shards,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op13_source_divergence": OP13_SQL}
