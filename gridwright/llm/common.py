@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.checkpoints import ensure_checkpoint_dir
+
 #: Rows of a small keyed table up to which it is broadcast (a few tens of MB); beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
 
@@ -40,6 +43,24 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextlib.contextmanager
+def shelf(spark) -> Iterator[str]:
+    """A folder of its own in the checkpoint folder for tables that steps hand on; deleted at the end, after a failure too."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}")
+    try:
+        yield folder.toString()
+    finally:
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as Parquet to a new place in a shared folder, and read from there."""
+    place = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Arrow's pool and the C library keep it otherwise, and worker processes live on."""
     pa.default_memory_pool().release_unused()
