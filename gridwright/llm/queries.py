@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat_format, divergence, exact_dedup, language_id, ngram_join, packing, quality, quantile_summaries, sentence_pieces, sharding, topk_search, url_filter
+from gridwright.llm import chat_format, divergence, exact_dedup, language_id, ngram_join, packing, quality, quantile_summaries, sentence_pieces, sharding, suffix_tree, topk_search, url_filter
 from gridwright.llm.common import documents
 
 
@@ -120,6 +120,10 @@ def op11_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile_summaries.shop_quantiles(spark, sf_dir)
 
 
+def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -154,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_feistel_shards": op10_feistel_shards,
     "op11_quantile_summaries": op11_quantile_summaries,
+    "op12_suffix_tree_scores": op12_suffix_tree_scores,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op13_source_divergence": OP13_SQL}
