@@ -17,6 +17,9 @@ from gridwright.operators.clustering import Loads
 from gridwright.operators.groups import dealt
 from gridwright.operators.routing import plan_branches, shortest
 
+#: Buses beside connection points, whose number is their vertex (0 and up), and houses, which have -2 - vertex.
+LV_BUS, MV_BUS = -1, -(1 << 52)
+
 BACKENDS: dict[str, str] = {"sweep": "gridwright.operators.network:power_flow", "newton": "gridwright.operators.network:meshed_power_flow"}
 
 
@@ -105,15 +108,15 @@ def sized_lines(tree: DataFrame, grids: DataFrame, by: list[str], config: Config
     data = {n: (r / 1000, x / 1000, i / 1000) for n, i, r, x, *_ in CABLES}
     value = lambda k: F.element_at(F.create_map(*[F.lit(v) for n, d in data.items() for v in (n, d[k])]), F.col("std_type"))
     name = F.substring(F.concat(F.when(consumer, "Line to ").otherwise("L"), F.col("node").cast("string")), 1, 15)
-    start = F.when(F.col("kind") == "root_feeder", F.lit(-1).cast("long")).otherwise(F.col("parent"))
+    start = F.when(F.col("kind") == "root_feeder", F.lit(LV_BUS).cast("long")).otherwise(F.col("parent"))
     end = F.when(consumer, -2 - F.col("node")).otherwise(F.col("node"))
     return t.select(*by, name.alias("name"), start.alias("from_bus"), end.alias("to_bus"), "branch", "kind", "std_type", "parallel", (F.col("metres") / 1000).alias("length_km"), value(0).alias("r_ohm_per_km"), value(1).alias("x_ohm_per_km"), value(2).alias("max_i_ka"), "load_kw", F.lit(True).alias("in_service"))
 
 
 def buses(lines: DataFrame, loads: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """by, bus, name, vn_kv, zone. LVbus is -1, MVbus -100, a connection point its vertex, a house -2 - vertex."""
+    """by, bus, name, vn_kv, zone. LVbus is LV_BUS, MVbus MV_BUS, a connection point its vertex, a house -2 - vertex: all apart."""
     kv = config.nominal_v / 1000
-    fixed = F.array(F.struct(F.lit(-1).cast("long").alias("bus"), F.lit("LVbus 1").alias("name"), F.lit(kv).alias("vn_kv")), F.struct(F.lit(-100).cast("long").alias("bus"), F.lit("MVbus 1").alias("name"), F.lit(20.0).alias("vn_kv")))
+    fixed = F.array(F.struct(F.lit(LV_BUS).cast("long").alias("bus"), F.lit("LVbus 1").alias("name"), F.lit(kv).alias("vn_kv")), F.struct(F.lit(MV_BUS).cast("long").alias("bus"), F.lit("MVbus 1").alias("name"), F.lit(20.0).alias("vn_kv")))
     base = grids.select(*by, F.explode(fixed).alias("b")).select(*by, "b.*").withColumn("zone", F.lit(None).cast("string"))
     points = lines.where("kind <> 'consumer'").select(*by, F.col("to_bus").alias("bus"), F.concat(F.lit("Connection Nodebus "), F.col("to_bus").cast("string")).alias("name"), F.lit(kv).alias("vn_kv"), F.lit(None).cast("string").alias("zone"))
     houses = loads.select(*by, (-2 - F.col("vertice_id")).alias("bus"), F.concat(F.lit("Consumer Nodebus "), F.col("vertice_id").cast("string")).alias("name"), F.lit(kv).alias("vn_kv"), F.col("load_type").alias("zone"))
@@ -128,11 +131,11 @@ def load_table(loads: DataFrame, by: list[str], config: Config = DEFAULT) -> Dat
 def trafos(grids: DataFrame, by: list[str]) -> DataFrame:
     """by, hv_bus, lv_bus, name, unit_kva, parallel, sn_mva: the rating is the total, whatever the units."""
     name, unit, parallel = E.transformer_build(F.col("rated"))
-    return grids.select(*by, F.lit(-100).cast("long").alias("hv_bus"), F.lit(-1).cast("long").alias("lv_bus"), name.alias("name"), unit.alias("unit_kva"), parallel.alias("parallel"), (F.col("rated") / 1000).alias("sn_mva"))
+    return grids.select(*by, F.lit(MV_BUS).cast("long").alias("hv_bus"), F.lit(LV_BUS).cast("long").alias("lv_bus"), name.alias("name"), unit.alias("unit_kva"), parallel.alias("parallel"), (F.col("rated") / 1000).alias("sn_mva"))
 
 
 def ext_grids(grids: DataFrame, by: list[str]) -> DataFrame:
-    return grids.select(*by, F.lit(-100).cast("long").alias("bus"), F.lit(1.0).alias("vm_pu"), F.lit("External grid").alias("name"))
+    return grids.select(*by, F.lit(MV_BUS).cast("long").alias("bus"), F.lit(1.0).alias("vm_pu"), F.lit("External grid").alias("name"))
 
 
 def as_document(tables: dict[str, DataFrame], by: list[str]) -> DataFrame:

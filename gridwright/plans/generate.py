@@ -5,6 +5,9 @@ Every step works on all postcodes at once; grouped maps run per (plz, kcid) or (
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,9 @@ from gridwright.functions import geometry as G
 from gridwright.operators import clustering, network, routing, spatial
 from gridwright.operators.components import connected_components
 from gridwright.operators.loads import allocate
+from gridwright.sources.sinks import duplicates
 
+AREA = ["plz", "kcid"]
 GRID = ["plz", "kcid", "bcid"]
 
 
@@ -35,82 +40,161 @@ def with_loads(buildings: DataFrame, categories: DataFrame) -> DataFrame:
     return b.withColumn("kw", E.without_too_large(F.col("type"), F.col("kw"))).where("kw > 0").drop("peak_load", "peak_load_per_m2")
 
 
+class Plan(Mapping):
+    """The tables of all grids by name, each built when it is first asked for; ``by`` is the grid's key.
+
+    grids, line, load, bus, trafo, ext_grid, flow, unreached (vertices without a way to their transformer) and left_out (buildings with
+    a load that are in no grid: unreached ones, and those alone in what is left of their part of the network).
+    """
 
-def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, categories: DataFrame, config: Config = DEFAULT) -> dict:
-    """Element tables of all grids, by name: grids, bus, line, load, trafo, ext_grid, flow, unreached (vertices without a way to their transformer), left_out
-    (buildings with a load that are in no grid: unreached ones, and those alone in what is left of their part of the network); and the grid key 'by'.
+    by = GRID
+    names = ("by", "grids", "bus", "line", "load", "trafo", "ext_grid", "flow", "unreached", "left_out")
+
+    def __init__(self, buildings: DataFrame, ways: DataFrame, transformers: DataFrame, categories: DataFrame, config: Config = DEFAULT):
+        self.inputs, self.config = (buildings, ways, transformers, categories), config
+
+    def __getitem__(self, name: str):
+        if name not in self.names:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    @cached_property
+    def _buildings(self) -> DataFrame:
+        return cut(with_loads(self.inputs[0], self.inputs[3]))
+
+    @cached_property
+    def _types(self) -> DataFrame:
+        return cut(settlement_types(self._buildings, self.config).select("plz", "settlement_type"))
+
+    @cached_property
+    def _network(self) -> tuple[DataFrame, DataFrame]:
+        """(vertices, edges): the ways and a connection line from each building and transformer to its nearest way."""
+        _, ways, transformers, _ = self.inputs
+        places = self._buildings.select(F.concat(F.lit("b"), F.col("osm_id").cast("string")).alias("id"), "x", "y").unionByName(transformers.select(F.concat(F.lit("t"), F.col("osm_id").cast("string")).alias("id"), "x", "y"))
+        net = cut(spatial.connect(places, ways.select("way_id", "clazz", "line")))
+        vertices, edges = routing.topology(net)
+        return vertices, cut(edges.select("source", "target", "cost", "clazz").where("source <> target"))
+
+    def _at(self, df: DataFrame) -> DataFrame:
+        return spatial.snap_join(df, self._network[0].select(F.col("id").alias("vid"), "x", "y"))
+
+    @cached_property
+    def _clusters(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(house, edges, known transformers), each with its postcode's cluster (kcid): a component of the network, or a part of it."""
+        edges = self._network[1]
+        hook = edges.where("clazz = 110").select(F.col("source").alias("vid"), F.col("target").alias("connection_point")).union(edges.where("clazz = 110").select("target", "source"))
+        first = F.row_number().over(Window.partitionBy("osm_id").orderBy("connection_point"))
+        house = cut(self._at(self._buildings).join(hook, "vid").withColumn("__at", first).where("__at = 1").drop("__at"))
+        comp = cut(connected_components(edges, "source", "target"))
+        rows = house.join(comp.withColumnRenamed("node", "vid"), "vid").select("plz", "component", "vid", "x", "y")
+        kcid = cut(clustering.components_to_clusters(rows, ["plz"], self.config).select("plz", "vid", "component", "kcid"))
+        house = cut(house.join(kcid.select("plz", "vid", "kcid"), ["plz", "vid"]).join(self._types, "plz"))
+        groups = kcid.select("plz", "kcid", "component").distinct()
+        e = cut(edges.join(comp.withColumnRenamed("node", "source"), "source").join(groups, "component").select("plz", "kcid", "source", "target", "cost"))
+        trafo = self._at(self.inputs[2].select("osm_id", "plz", "x", "y", "transformer_rated_power"))
+        known = cut(trafo.join(comp.withColumnRenamed("node", "vid"), "vid").join(groups, ["plz", "component"]).select("plz", "kcid", "vid", "transformer_rated_power"))
+        return house, e, known
+
+    @cached_property
+    def _members(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(member: plz, vid, kcid, bcid; brown; green): existing transformers take what they can (bcid < 0), the rest is clustered anew (bcid > 0)."""
+        house, e, known = self._clusters
+        reached = routing.costs(e, known, AREA, house.select(*AREA, F.col("vid")), self.config.brownfield_reach_m)
+        pairs = reached.select(*AREA, F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
+        stock = house.select(*AREA, "vid", "type", "kw", "homes", "settlement_type")
+        brown = cut(clustering.brownfield_clusters(pairs, stock, AREA, self.config))
+        left = house.join(brown.select(*AREA, "vid"), [*AREA, "vid"], "left_anti")
+        left = left.withColumn("__n", F.count("*").over(Window.partitionBy(*AREA))).where("__n > 1").drop("__n")
+        by_point = left.select(*AREA, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
+        green = cut(clustering.greenfield_clusters(e, by_point, AREA, self.config))
+        new = left.select(*AREA, "vid", "connection_point").join(green.select(*AREA, F.col("vid").alias("connection_point"), "bcid"), [*AREA, "connection_point"])
+        return cut(brown.select(*AREA, "vid", "bcid").unionByName(new.select(*AREA, "vid", "bcid"))), brown, green
+
+    @cached_property
+    def grids(self) -> DataFrame:
+        """Places and ratings of the transformers."""
+        (_, brown, green), known = self._members, self._clusters[2]
+        new = green.groupBy(*GRID).agg(F.first("rated").alias("rated"), F.first("ont_vid").alias("ont_vid")).join(self._types, "plz")
+        sizes = F.element_at(F.create_map(*[x for k, s in self.config.capacities.items() for x in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("settlement_type"))
+        new = new.withColumn("rated", E.grouped_rating(F.col("rated"), sizes).cast("double")).drop("settlement_type")
+        old = brown.groupBy(*GRID).agg(F.first("trafo").alias("ont_vid"), F.first("rated").alias("rated"))
+        old = old.join(known.select(*AREA, F.col("vid").alias("ont_vid"), F.col("transformer_rated_power").cast("double").alias("given")).dropDuplicates([*AREA, "ont_vid"]), [*AREA, "ont_vid"], "left").withColumn("rated", F.greatest("rated", F.coalesce("given", F.lit(0.0)))).drop("given")
+        return cut(old.select(*GRID, "ont_vid", "rated").unionByName(new.select(*GRID, "ont_vid", "rated")))
+
+    @cached_property
+    def _served(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(full: houses in grids, loads of their vertices, tree of cables)."""
+        house, e, _ = self._clusters
+        full = cut(house.join(self._members[0], [*AREA, "vid"]).join(self.grids.select(*GRID), GRID, "left_semi"))
+        loads = cut(allocate(full.withColumn("vertice_id", F.col("vid")), GRID))
+        served = full.join(loads.select(*GRID, F.col("vertice_id").alias("vid"), "sim"), [*GRID, "vid"])
+        grid_edges = e.join(self.grids.select(*GRID), AREA).select(*GRID, "source", "target", "cost")
+        tree = cut(network.branch_tree(grid_edges, served.select(*GRID, "vid", "connection_point", "type", "kw", "homes", "sim"), self.grids, GRID, self.config))
+        return full, loads, tree
+
+    @property
+    def unreached(self) -> DataFrame:
+        return self._served[2].where("kind = 'unreached'").select(*GRID, F.col("node").alias("vertice_id"))
+
+    @property
+    def _loads(self) -> DataFrame:
+        return self._served[1].join(self.unreached, [*GRID, "vertice_id"], "left_anti")
+
+    @cached_property
+    def line(self) -> DataFrame:
+        return cut(network.sized_lines(self._served[2], self.grids, GRID, self.config))
+
+    @property
+    def load(self) -> DataFrame:
+        return network.load_table(self._loads, GRID, self.config)
+
+    @property
+    def trafo(self) -> DataFrame:
+        return network.trafos(self.grids, GRID)
+
+    @property
+    def ext_grid(self) -> DataFrame:
+        return network.ext_grids(self.grids, GRID)
+
+    @cached_property
+    def bus(self) -> DataFrame:
+        """Buses with their places; a number that two buses of a grid share is an error."""
+        bus = network.buses(self.line, self._loads, self.grids, GRID, self.config)
+        spots = self._network[0].select(F.col("id").alias("__v"), "x", "y")
+        fixed = F.col("bus").isin(network.LV_BUS, network.MV_BUS)
+        place = F.when(fixed, F.col("ont_vid")).when(F.col("bus") < 0, -2 - F.col("bus")).otherwise(F.col("bus"))
+        bus = bus.join(self.grids.select(*GRID, "ont_vid"), GRID).withColumn("__v", place).join(spots, "__v", "left")
+        bus = cut(bus.withColumn("y", F.when(F.col("bus") == network.MV_BUS, F.col("y") + 1.5e-4).otherwise(F.col("y"))).drop("__v", "ont_vid"))
+        if twice := duplicates(bus, [*GRID, "bus"]).head(3):
+            raise ValueError(f"buses with one number: {twice}")
+        return bus
+
+    @cached_property
+    def left_out(self) -> DataFrame:
+        full, lost = self._served[0], self.unreached.withColumnRenamed("vertice_id", "vid")
+        served = full.join(lost, [*GRID, "vid"], "left_anti").select("osm_id")
+        far = full.join(lost, [*GRID, "vid"], "left_semi").select("osm_id", F.lit(True).alias("__far"))
+        reason = F.when(F.col("__far"), "unreached").otherwise("alone").alias("reason")
+        return cut(self._buildings.select("plz", "osm_id").join(served, "osm_id", "left_anti").join(far, "osm_id", "left").select("plz", "osm_id", reason))
+
+    @cached_property
+    def flow(self) -> DataFrame:
+        return cut(network.power_flow(self.line, self.load, self.grids.select(*GRID, F.lit(network.LV_BUS).cast("long").alias("vid")), GRID, self.config))
+
+
+def generate(buildings: DataFrame, ways: DataFrame, transformers: DataFrame, categories: DataFrame, config: Config = DEFAULT) -> Plan:
+    """The plan of all grids; nothing runs before one of its tables is asked for.
 
     buildings: osm_id, plz, x, y, type, area, floors, households_per_building; ways: plz, way_id, clazz,
     line; transformers: osm_id, plz, x, y, transformer_rated_power.
     """
-    b = cut(with_loads(buildings, categories))
-    types = cut(settlement_types(b, config).select("plz", "settlement_type"))
-
-    # the network: a connection line from each building and transformer to its nearest way
-    places = b.select(F.concat(F.lit("b"), F.col("osm_id").cast("string")).alias("id"), "x", "y").unionByName(transformers.select(F.concat(F.lit("t"), F.col("osm_id").cast("string")).alias("id"), "x", "y"))
-    net = cut(spatial.connect(places, ways.select("way_id", "clazz", "line")))
-    vertices, edges = routing.topology(net)
-    edges = cut(edges.select("source", "target", "cost", "clazz").where("source <> target"))
-    at = lambda df: spatial.snap_join(df, vertices.select(F.col("id").alias("vid"), "x", "y"))
-    house = at(b)
-    trafo = at(transformers.select("osm_id", "plz", "x", "y", "transformer_rated_power"))
-    hook = edges.where("clazz = 110").select(F.col("source").alias("vid"), F.col("target").alias("connection_point")).union(edges.where("clazz = 110").select("target", "source"))
-    house = cut(house.join(hook, "vid").withColumn("__at", F.row_number().over(Window.partitionBy("osm_id").orderBy("connection_point"))).where("__at = 1").drop("__at"))
-
-    # components become clusters (kcid) of a postcode
-    comp = cut(connected_components(edges, "source", "target"))
-    rows = house.join(comp.withColumnRenamed("node", "vid"), "vid").select("plz", "component", "vid", "x", "y")
-    kcid = cut(clustering.components_to_clusters(rows, ["plz"], config).select("plz", "vid", "component", "kcid"))
-    house = cut(house.join(kcid.select("plz", "vid", "kcid"), ["plz", "vid"]).join(F.broadcast(types), "plz"))
-    groups = kcid.select("plz", "kcid", "component").distinct()
-    e = edges.join(comp.withColumnRenamed("node", "source"), "source").join(groups, "component").select("plz", "kcid", "source", "target", "cost")
-    e = cut(e)
-
-    # existing transformers take what they can (bcid < 0), the rest is clustered anew (bcid > 0)
-    known = cut(trafo.join(comp.withColumnRenamed("node", "vid"), "vid").join(groups, ["plz", "component"]).select("plz", "kcid", "vid", "transformer_rated_power"))
-    of = ["plz", "kcid"]
-    reached = routing.costs(e, known, of, house.select(*of, F.col("vid")), config.brownfield_reach_m)
-    pairs = reached.select(*of, F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
-    stock = house.select(*of, "vid", "type", "kw", "homes", "settlement_type")
-    brown = cut(clustering.brownfield_clusters(pairs, stock, of, config))
-    left = house.join(brown.select(*of, "vid"), [*of, "vid"], "left_anti")
-    left = left.withColumn("__n", F.count("*").over(Window.partitionBy(*of))).where("__n > 1").drop("__n")
-    by_point = left.select(*of, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
-    green = cut(clustering.greenfield_clusters(e, by_point, of, config))
-    member = brown.select(*of, "vid", "bcid").unionByName(left.select(*of, "vid", "connection_point").join(green.select(*of, F.col("vid").alias("connection_point"), "bcid"), [*of, "connection_point"]).select(*of, "vid", "bcid"))
-    member = cut(member)
-
-    # places and ratings
-    new = green.groupBy(*GRID).agg(F.first("rated").alias("rated"), F.first("ont_vid").alias("ont_vid")).join(F.broadcast(types), "plz")
-    sizes = F.element_at(F.create_map(*[x for k, s in config.capacities.items() for x in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("settlement_type"))
-    new = new.withColumn("rated", E.grouped_rating(F.col("rated"), sizes).cast("double")).drop("settlement_type")
-    old = brown.groupBy(*GRID).agg(F.first("trafo").alias("ont_vid"), F.first("rated").alias("rated"))
-    old = old.join(known.select(*of, F.col("vid").alias("ont_vid"), F.col("transformer_rated_power").cast("double").alias("given")).dropDuplicates([*of, "ont_vid"]), [*of, "ont_vid"], "left").withColumn("rated", F.greatest("rated", F.coalesce("given", F.lit(0.0)))).drop("given")
-    grids = cut(old.select(*GRID, "ont_vid", "rated").unionByName(new.select(*GRID, "ont_vid", "rated")))
-
-    # cables
-    full = cut(house.join(member, [*of, "vid"]).join(grids.select(*GRID), GRID, "left_semi"))
-    loads = cut(allocate(full.withColumn("vertice_id", F.col("vid")), GRID))
-    served = full.join(loads.select(*GRID, F.col("vertice_id").alias("vid"), "sim"), [*GRID, "vid"])
-    grid_edges = e.join(grids.select(*GRID), of).select(*GRID, "source", "target", "cost")
-    tree = cut(network.branch_tree(grid_edges, served.select(*GRID, "vid", "connection_point", "type", "kw", "homes", "sim"), grids, GRID, config))
-    lost = cut(tree.where("kind = 'unreached'").select(*GRID, F.col("node").alias("vertice_id")))
-    loads = loads.join(lost, [*GRID, "vertice_id"], "left_anti")
-    line = cut(network.sized_lines(tree, grids, GRID, config))
-    load = cut(network.load_table(loads, GRID, config))
-    bus = network.buses(line, loads, grids, GRID, config)
-    spots = vertices.select(F.col("id").alias("__v"), "x", "y")
-    fixed = F.col("name").isin("LVbus 1", "MVbus 1")
-    place = F.when(fixed, F.col("ont_vid")).when(F.col("bus") < 0, -2 - F.col("bus")).otherwise(F.col("bus"))
-    bus = bus.join(grids.select(*GRID, "ont_vid"), GRID).withColumn("__v", place).join(spots, "__v", "left")
-    bus = cut(bus.withColumn("y", F.when(F.col("name") == "MVbus 1", F.col("y") + 1.5e-4).otherwise(F.col("y"))).drop("__v", "ont_vid"))
-    served = full.join(lost.withColumnRenamed("vertice_id", "vid"), [*GRID, "vid"], "left_anti").select("osm_id")
-    reason = F.when(F.col("__far"), "unreached").otherwise("alone").alias("reason")
-    far = full.join(lost.withColumnRenamed("vertice_id", "vid"), [*GRID, "vid"], "left_semi").select("osm_id", F.lit(True).alias("__far"))
-    left_out = cut(b.select("plz", "osm_id").join(served, "osm_id", "left_anti").join(far, "osm_id", "left").select("plz", "osm_id", reason))
-    roots = grids.select(*GRID, F.lit(-1).cast("long").alias("vid"))
-    flow = cut(network.power_flow(line, load, roots, GRID, config))
-    return {"by": GRID, "grids": grids, "bus": bus, "line": line, "load": load, "trafo": cut(network.trafos(grids, GRID)), "ext_grid": cut(network.ext_grids(grids, GRID)), "flow": flow, "unreached": lost, "left_out": left_out}
+    return Plan(buildings, ways, transformers, categories, config)
 
 
 def demo_inputs(v) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -48,3 +48,27 @@ def test_inputs_hold_all_rows_and_postcodes(spark, plan):
     towns = {r[0] for r in v.x_buildings.select("plz").collect()} | {r[0] for r in v.x_transformers.select("plz").collect()}
     assert {r[0] for r in ways.select("plz").collect()} == towns
     assert any(r[0] >= 4 for r in plan["grids"].select("plz").collect())
+
+
+def test_bus_numbers_differ(spark):
+    from gridwright.operators import network
+
+    vertices = range(0, 300)
+    grids = spark.createDataFrame([(1, 0, 400.0)], "g int, ont_vid long, rated double")
+    loads = spark.createDataFrame([(1, v, "house") for v in vertices], "g int, vertice_id long, load_type string")
+    lines = spark.createDataFrame([(1, "feeder", v) for v in vertices], "g int, kind string, to_bus long")
+    bus = network.buses(lines, loads, grids, ["g"])
+    assert bus.count() == 602 == bus.select("bus").distinct().count()
+    assert network.trafos(grids, ["g"]).join(bus.select(F.col("bus").alias("hv_bus")), "hv_bus").count() == 1
+
+
+def test_tables_are_built_when_asked_for(spark):
+    from gridwright.plans.generate import demo_inputs, generate
+    from gridwright.queries.registry import Views
+
+    plan = generate(*demo_inputs(Views(spark, FOLDER)))
+    assert set(plan) == set(plan.names) and len(plan) == len(plan.names)
+    assert plan["grids"].count() > 0
+    assert not {"_served", "line", "bus", "flow", "left_out"} & set(vars(plan))
+    with pytest.raises(KeyError):
+        plan["nothing"]
