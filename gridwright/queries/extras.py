@@ -47,16 +47,22 @@ def excel_load(v: Views) -> DataFrame:
     return _without(v, path, workbooks.sheets(v.spark.read.parquet(path), {"osm_id": "int", "use": "string", "qkm": "double"}, "register"))
 
 
-@query("SELECT CAST(c_custkey AS INT) AS way_id, CASE WHEN c_custkey%7=0 THEN NULL ELSE c_name || ' o''clock; (x)' END AS note FROM customer")
+@query(r"SELECT CAST(c_custkey AS INT) AS way_id, CASE WHEN c_custkey%7=0 THEN NULL ELSE c_name || ' o''clock;' || CASE WHEN c_custkey%3=0 THEN chr(13) || chr(10) ELSE chr(10) END || '-- (x), ''y' END AS note, CASE WHEN c_custkey%5>0 THEN CAST(c_acctbal AS DOUBLE) END AS length FROM customer")
 def sql_dump_load(v: Views) -> DataFrame:
-    """INSERT statements of a dump."""
-    from gridwright.sources import files
+    """INSERT statements of a dump: literals with line ends and semicolons, several rows, named columns, comments."""
+    from gridwright.sources import dumps
 
     path = _folder(v)
-    note = F.when(F.col("c_custkey") % 7 == 0, "NULL").otherwise(F.concat(F.lit("'"), F.col("c_name"), F.lit(" o''clock; (x)'")))
-    row = F.concat(F.lit("("), F.col("c_custkey").cast("string"), F.lit(", "), note, F.lit(")"))
-    v.customer.select(F.concat(F.lit("INSERT INTO ways (way_id, note) VALUES "), row, F.lit(";")).alias("value")).unionByName(v.spark.createDataFrame([("CREATE TABLE ways (way_id int);",)], "value string")).write.text(path)
-    return _without(v, path, files.sql_dump(v.spark, path, "ways", "way_id int, note string"))
+    end = F.when(F.col("c_custkey") % 3 == 0, "\r\n").otherwise("\n")
+    note = F.when(F.col("c_custkey") % 7 == 0, "NULL").otherwise(F.concat(F.lit("'"), F.col("c_name"), F.lit(" o''clock;"), end, F.lit("-- (x), ''y'")))
+    key, length = F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("double").cast("string")
+    row = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("("), note, F.lit(", "), key, F.lit(")"))).otherwise(F.concat(F.lit("("), key, F.lit(","), end, note, F.lit(" , "), length, F.lit(")")))
+    few = F.when(F.col("c_custkey") % 5 == 0, F.lit("INSERT INTO public.ways (note, way_id) VALUES ")).otherwise(F.lit("INSERT INTO ways VALUES "))
+    rows = v.customer.select((F.col("c_custkey") / 4).cast("long").alias("k"), (F.col("c_custkey") % 5 == 0).alias("few"), few.alias("head"), row.alias("row"), "c_custkey", end.alias("end"))
+    dump = rows.groupBy("k", "few").agg(F.first("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda r: r["row"]), ", ").alias("rows"), F.min("end").alias("end"))
+    other = v.spark.createDataFrame([("CREATE TABLE ways (way_id int); -- it's new",), ("INSERT INTO ways_old VALUES (1, 'INSERT INTO ways VALUES (2)');",)], "value string")
+    dump.select(F.concat("head", "rows", F.lit("; -- that's "), F.col("k").cast("string"), "end").alias("value")).unionByName(other).write.text(path)
+    return _without(v, path, dumps.sql_dump(v.spark, path, "ways", "way_id int, note string, length double"))
 
 
 @query("SELECT o.o_orderkey, CAST(e.n AS BIGINT) AS n FROM orders o FULL OUTER JOIN (SELECT l_orderkey+3 AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) e ON e.k=o.o_orderkey")

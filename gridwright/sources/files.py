@@ -102,20 +102,3 @@ def transformer_sites(sites: DataFrame, covering: DataFrame, shops: DataFrame, l
     shop = contained(s.select("id", "x", "y"), shops, 1000.0).select("id").distinct().withColumn("within_shopping", F.lit(True))
     return s.join(shop, "id", "left").withColumn("within_shopping", F.coalesce("within_shopping", F.lit(False)))
 
-
-def sql_dump(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """Rows of the INSERT statements for one table in a dump file (S12). Statements end with ';' at a line's end and are split by the reader, in parallel."""
-    values = r"\(((?:[^()']|'(?:[^']|'')*')*)\)"
-    cell = r"('(?:[^']|'')*'|[^,]+)"
-    text = spark.read.option("lineSep", ";\n").text(path).select(F.trim("value").alias("s"))
-    body = text.where(F.col("s").rlike(rf"(?is)^INSERT\s+INTO\s+{table}\b")).select(F.regexp_replace("s", r"(?is)^.*?\bVALUES\s*", "").alias("b"))
-    rows = body.select(F.explode(F.regexp_extract_all("b", F.lit(values), F.lit(1))).alias("r"))
-    cells = F.transform(F.regexp_extract_all("r", F.lit(cell), F.lit(1)), lambda c: F.trim(c))
-    plain = lambda c: F.when(F.upper(c) == "NULL", None).when(c.startswith("'"), F.regexp_replace(F.expr("substring(c, 2, length(c) - 2)"), "''", "'")).otherwise(c)
-    from pyspark.sql.types import StructType
-
-    out = rows.select(cells.alias("cs"))
-    fields = StructType.fromDDL(schema).fields
-    for i in range(len(fields)):
-        out = out.withColumn("c", F.try_element_at("cs", F.lit(i + 1))).withColumn(f"__{i}", plain(F.col("c")))
-    return out.select(*[F.col(f"__{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])

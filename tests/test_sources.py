@@ -36,12 +36,6 @@ def test_shared_strings_are_read():
     assert workbooks.read_sheet(out.getvalue()) == [[None, "abc"]]
 
 
-def test_sql_dump(spark, tmp_path):
-    (tmp_path / "d.sql").write_text("CREATE TABLE w (a int);\nINSERT INTO w (a, b) VALUES (1, 'x''; y'), (2, NULL);\ninsert into w VALUES (3,'(z)');\nINSERT INTO other VALUES (4, 'n');\n")
-    got = files.sql_dump(spark, str(tmp_path / "d.sql"), "w", "a int, b string").orderBy("a").collect()
-    assert [tuple(r) for r in got] == [(1, "x'; y"), (2, None), (3, "(z)")]
-
-
 def test_geojson_geometries(spark, tmp_path):
     (tmp_path / "f.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","id":"p","geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,0]]]},"properties":{"power":"substation"}},{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]},"properties":{"id":"m"}}]}')
     f = files.geojson(spark, str(tmp_path / "f.geojson")).withColumn("parts", files.lines_of(F.col("coordinates"), F.col("geom_type")))
