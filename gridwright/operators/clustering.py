@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
+from gridwright.operators import hierarchy
 from gridwright.operators.groups import dealt
-from gridwright.operators.routing import metres
+from gridwright.operators.routing import NO_WAY, metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
 
@@ -226,21 +229,31 @@ def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], c
     return dealt(costs, by).groupBy(*by).cogroup(dealt(buildings, by).groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
 
 
-def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m) -> DataFrame:
+def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m, core: int = hierarchy.CORE, cells: int = hierarchy.CELLS) -> DataFrame:
     """by, ont_vid, moment, feasible: the point with the least sum of distance times load, among those within reach of all others if there are any.
 
-    edges: by, source, target, cost; loads: by, vid, kw. Distances are cut to whole metres.
+    edges: by, source, target, cost; loads: by, vid, kw. Distances are cut to whole metres. Each task weighs some of a
+    group's points against all of them; of a group's tasks only the best point goes on.
     """
 
-    def run(key: tuple, e: pd.DataFrame, l: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "ont_vid", "moment", "feasible"]
-        if l.empty:
-            return pd.DataFrame({n: [] for n in names})
-        kw = l.fillna({"kw": 0.0}).groupby("vid")["kw"].sum()
-        at, moment, feasible = best_place(metres(e, kw.index.to_numpy(np.int64)), kw.to_numpy(float), reach)
-        return pd.DataFrame([(*key, int(kw.index[at]), moment, feasible)], columns=names)
-
-    return _in_groups(edges, loads.select(*by, "vid", "kw"), by, run, "ont_vid long, moment double, feasible boolean")
+    def run(key: tuple, ends: np.ndarray, starts: np.ndarray, kw: np.ndarray, sweeps: hierarchy.Sweeps) -> Iterator[pa.RecordBatch]:
+        at, best = np.searchsorted(sweeps.ids, ends), []
+        step = max(1, cells // max(1, len(sweeps.ids)))
+        for low in range(0, len(starts), step):
+            some = ends[starts[low : low + step]]
+            cost = sweeps.from_starts(some)[at]
+            cost = np.where(np.isfinite(cost), np.floor(cost), NO_WAY)
+            moment, feasible = kw @ cost, cost.max(0) <= reach
+            i = int(np.lexsort((some, np.round(moment, 6), ~feasible))[0])
+            best.append((not feasible[i], round(float(moment[i]), 6), int(some[i]), float(moment[i])))
+        if best:
+            far, _, vid, moment = min(best)
+            fixed = {name: pa.array([value]) for name, value in zip(by, key, strict=True)}
+            yield pa.RecordBatch.from_pydict({**fixed, "ont_vid": pa.array([vid], pa.int64()), "moment": pa.array([moment], pa.float64()), "feasible": pa.array([not far])})
+
+    found = hierarchy.swept(edges, loads.select(*by, "vid", F.col("kw").alias("weight")), by, run, "ont_vid long, moment double, feasible boolean", core, cells)
+    first = F.min(F.struct((~F.col("feasible")).alias("far"), F.round("moment", 6).alias("m"), "ont_vid", "moment", "feasible")).alias("z")
+    return found.groupBy(*by).agg(first).select(*by, "z.ont_vid", "z.moment", "z.feasible")
 
 
 def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:

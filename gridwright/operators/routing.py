@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
+from gridwright.operators import hierarchy
 from gridwright.operators.groups import dealt
 from gridwright.operators.numbering import numbered
 
@@ -92,7 +93,7 @@ def costs(edges: DataFrame, starts: DataFrame, by: list[str], targets: DataFrame
     """by, start_vid, end_vid, agg_cost, before, hops from each start (by, vid) to all nodes it reaches, or to the targets (by, vid).
 
     Undirected. Serves one-to-many distances and consumer-to-transformer costs (starts: the transformers);
-    ``cost_matrix`` serves all pairs. A start without edges reaches itself. Nodes at ``reach`` or farther
+    ``cost_matrix`` serves all pairs, ``hierarchy.pair_costs`` given ones. A start without edges reaches itself. Nodes at ``reach`` or farther
     are left out and not walked past. Each start's rows leave the task before the next start is walked.
     """
 
@@ -153,18 +154,22 @@ def distances(edges: pd.DataFrame, points: np.ndarray) -> np.ndarray:
     return out[np.ix_(order, order)]
 
 
-def cost_matrix(edges: DataFrame, points: DataFrame, by: list[str], rows: int = 1 << 19) -> DataFrame:
-    """by, start_vid, end_vid, agg_cost between all points (by, vid) of a group that reach each other, itself included, about ``rows`` rows at a time."""
+def cost_matrix(edges: DataFrame, points: DataFrame, by: list[str], core: int = hierarchy.CORE, cells: int = hierarchy.CELLS) -> DataFrame:
+    """by, start_vid, end_vid, agg_cost between all points (by, vid) of a group that reach each other, itself included.
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, ids = _group(batches)
-        matrix = distances(e, ids)
-        step = max(1, rows // max(1, len(ids)))
-        for at in range(0, len(ids), step):
-            start, end = np.nonzero(np.isfinite(matrix[at : at + step]))
-            yield _batch(by, key, {"start_vid": ids[at + start], "end_vid": ids[end], "agg_cost": matrix[at + start, end]})
-
-    return dealt(_tagged(edges, points, by), by).groupBy(*by).applyInArrow(run, f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double")
+    A group of any size is dealt to tasks by its starts; nothing holds a matrix of all its pairs.
+    """
+
+    def run(key: tuple, ends: np.ndarray, starts: np.ndarray, _: np.ndarray, sweeps: hierarchy.Sweeps) -> Iterator[pa.RecordBatch]:
+        at = np.searchsorted(sweeps.ids, ends)
+        step = max(1, cells // max(1, len(sweeps.ids)))
+        for low in range(0, len(starts), step):
+            some = ends[starts[low : low + step]]
+            cost = sweeps.from_starts(some)[at]
+            end, start = np.nonzero(np.isfinite(cost))
+            yield _batch(by, key, {"start_vid": some[start], "end_vid": ends[end], "agg_cost": cost[end, start]})
+
+    return hierarchy.swept(edges, points, by, run, "start_vid long, end_vid long, agg_cost double", core, cells)
 
 
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
