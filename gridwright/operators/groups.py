@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def dealt(df: DataFrame, by: list[str]) -> DataFrame:
@@ -11,3 +12,12 @@ def dealt(df: DataFrame, by: list[str]) -> DataFrame:
     Adaptive execution would join partitions that are small in bytes; what a group costs here is time, so they stay apart.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+#: Rows of a small table up to which it is broadcast.
+SMALL = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it is small; beyond it the same join shuffles. ``df`` should be cut already."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.checkpoints import cut
+from gridwright.operators.quantiles import quantiles, running, with_group
+
 
 def _parallel() -> Column:
     p = F.coalesce(F.col("parallel").cast("double"), F.lit(1.0))
@@ -45,7 +48,7 @@ def read_capacity_map(rows: DataFrame, doc: str) -> DataFrame:
 
 def median_neighbour_distance(near: DataFrame, by: list[str]) -> DataFrame:
     """Median over points of the mean distance to their nearest others (by, id, dist)."""
-    return near.groupBy(*by, "id").agg(F.avg("dist").alias("m")).groupBy(*by).agg(F.percentile("m", 0.5).alias("house_distance"))
+    return quantiles(near.groupBy(*by, "id").agg(F.avg("dist").alias("m")), by, "m", {"house_distance": 0.5})
 
 
 def peak_at_distance(distances: DataFrame, peaks: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -62,18 +65,15 @@ def wasserstein(rows: DataFrame, by: list[str], value: str, source: str, one: st
     the pooled values. A range of 0 gives way to the pooled population deviation, and that to 1.
     Groups without values of one source get nulls.
     """
-    from pyspark.sql import Window
-
     v = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("v"), F.col(source).alias("s"))
-    per = v.groupBy(*by, "v").agg(F.count_if(F.col("s") == one).alias("a"), F.count_if(F.col("s") == other).alias("b"))
-    w = Window.partitionBy(*by).orderBy("v")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*by)
-    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(total))
-    gap = F.abs(share("a") - share("b"))
-    steps = per.withColumn("__area", gap * (F.lead("v").over(w) - F.col("v")))
-    moved = steps.groupBy(*by).agg(F.sum("__area").alias("d"), F.sum("a").alias("n_one"), F.sum("b").alias("n_other"))
-    spread = v.where(F.col("s").isin(one, other)).groupBy(*by).agg((F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"), F.stddev_pop("v").alias("sd"))
+    per = cut(v.groupBy(*by, "v").agg(F.count_if(F.col("s") == one).alias("a"), F.count_if(F.col("s") == other).alias("b")))
+    totals = cut(per.groupBy(*by).agg(F.sum("a").alias("n_one"), F.sum("b").alias("n_other")))
+    steps = with_group(running(per, by, "v", ["a", "b"]), totals, by)
+    gap = F.abs(F.try_divide("a_upto", "n_one") - F.try_divide("b_upto", "n_other"))
+    moved = steps.groupBy(*by, "n_one", "n_other").agg(F.sum(gap * (F.col("next") - F.col("v"))).alias("d"))
+    mine = per.withColumn("n", F.col("a") + F.col("b")).where("n > 0")
+    shape = v.where(F.col("s").isin(one, other)).groupBy(*by).agg(F.stddev_pop("v").alias("sd"))
+    spread = shape.join(quantiles(mine, by, "v", {"low": 0.25, "high": 0.75}, "n"), by).withColumn("iqr", F.col("high") - F.col("low"))
     out = moved.join(spread, by)
     both = (F.col("n_one") > 0) & (F.col("n_other") > 0)
     scale = F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
@@ -83,13 +83,15 @@ def wasserstein(rows: DataFrame, by: list[str], value: str, source: str, one: st
 
 def density_curve(rows: DataFrame, by: list[str], value: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid over each group's range, with Scott's bandwidth."""
-    s = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    h = F.greatest(F.coalesce("sd", F.lit(0.0)) * F.pow("n", F.lit(-0.2)), F.lit(1e-9))
-    grid = s.withColumn("h", h).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    kernel = F.exp(-F.pow((F.col("at") - F.col(value)) / F.col("h"), 2) / 2) / (F.col("h") * 2.5066282746310002)
-    return rows.select(*by, value).join(F.broadcast(grid), by).groupBy(*by, "i", "at").agg(F.avg(kernel).alias("density"))
+    per = cut(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    spread = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("sd"), F.count(value).alias("all"))
+    h = F.greatest(F.coalesce("sd", F.lit(0.0)) * F.pow("all", F.lit(-0.2)), F.lit(1e-9))
+    met = with_group(per, cut(spread.withColumn("h", h)), by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    met = met.withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    kernel = F.exp(-F.pow((F.col("at") - F.col("v")) / F.col("h"), 2) / 2) / (F.col("h") * 2.5066282746310002)
+    return met.groupBy(*by, "i", "at").agg((F.sum(kernel * F.col("n")) / F.sum("n")).alias("density"))
 
 
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = [F.percentile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return rows.groupBy(*by).agg(F.min(value).alias("low"), *q, F.max(value).alias("high"))
+    ends = rows.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return with_group(quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), cut(ends), by)

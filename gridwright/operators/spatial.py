@@ -1,4 +1,4 @@
-"""Spatial joins over a grid of cells, nearest neighbours, containment, and cutting of ways.
+"""Spatial joins over a grid of cells, containment, and cutting of ways; nearest neighbours at any distance are in ``nearest``.
 
 Cells stand in for an index: a radius search joins each point's 3 x 3 cells of that width by equality
 and tests the exact distance, so it needs no theta join. Ties always go to the smaller id.
@@ -6,14 +6,13 @@ and tests the exact distance, so it needs no theta join. Ties always go to the s
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
 from gridwright.operators.components import connected_components
+from gridwright.operators.nearest import nearest as nearest
 from gridwright.operators.numbering import numbered
 
 
@@ -46,42 +45,6 @@ def nearest_within(points: DataFrame, others: DataFrame, radius: float, k: int =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int = 1, by: list[str] | None = None, itself: bool = True, start: float | None = None) -> DataFrame:
-    """The k nearest others of each point at any distance (all, if there are fewer).
-
-    Begins with a radius that the mean density gives and doubles it for the points that have fewer
-    than k within it; it ends when all are settled or the radius spans the plane.
-    """
-    by = by or []
-    span = others.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.count("*").alias("n")).first()
-    if not span["n"]:
-        return nearest_within(points, others, 1.0, k, by, itself)
-    ends = points.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    sides = [max(span[h], ends[h] if ends[h] is not None else span[h]) - min(span[l], ends[l] if ends[l] is not None else span[l]) for l, h in (("a", "b"), ("c", "d"))]
-    whole = math.hypot(*sides) or 1.0
-    if start is None:  # about k points lie within it in the middle one of the groups, be they spread over a plane or along a line
-        w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-        reach = F.greatest(F.sqrt(w * h * k / F.count("*")), F.greatest(w, h) * k / F.count("*"))
-        start = others.groupBy(*by).agg(reach.alias("r")).agg(F.percentile("r", 0.5)).first()[0]
-    radius = max(whole / 1e6, start or 0.0)
-    todo, parts = points, []
-    while True:
-        found = cut(nearest_within(todo, others, min(radius, whole), k, by, itself))
-        if radius >= whole:
-            parts.append(found)
-            break
-        full = found.where(F.col("rank") == k).select(*by, "id")
-        parts.append(found.join(full, [*by, "id"], "left_semi"))
-        todo = cut(todo.join(full, [*by, "id"], "left_anti"))
-        if todo.isEmpty():
-            break
-        radius *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def snap_join(left: DataFrame, right: DataFrame, step: float = 1e-3) -> DataFrame:
     """Rows whose x and y agree on a grid of ``step``. Both sides bring x and y; the left ones are kept."""
     at = lambda c: F.round(F.col(c) / step).cast("long")

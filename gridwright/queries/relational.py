@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.functions import electrical as E
 from gridwright.functions.hashing import digits
 from gridwright.operators import dml, scans
+from gridwright.operators.quantiles import quantiles
 from gridwright.queries.expressions import by_category, peaks
 from gridwright.queries.registry import Views, query
 
@@ -254,7 +255,7 @@ def loss_summary(v: Views) -> DataFrame:
 @query("SELECT ca, ROUND(QUANTILE_CONT(f2,0.25),6) AS q25, ROUND(QUANTILE_CONT(f2,0.75),6) AS q75, ROUND(QUANTILE_CONT(f2,0.75)-QUANTILE_CONT(f2,0.25),6) AS iqr FROM x_features GROUP BY ca")
 def pooled_iqr(v: Views) -> DataFrame:
     """Exact quartiles."""
-    q = v.x_features.groupBy("ca").agg(F.percentile("f2", 0.25).alias("a"), F.percentile("f2", 0.75).alias("b"))
+    q = quantiles(v.x_features, ["ca"], "f2", {"a": 0.25, "b": 0.75})
     return q.select("ca", F.round("a", 6).alias("q25"), F.round("b", 6).alias("q75"), F.round(F.col("b") - F.col("a"), 6).alias("iqr"))
 
 
