@@ -1,136 +1,194 @@
-"""Unions of areas: the outline of what a group's polygons cover together."""
+"""Unions of areas: the outline of what a group's polygons cover together, by joins over cells.
+
+Edges are cut where others of their cells meet them. Both sides of every piece are then looked up: an area covers
+a place if its edges cross the way there from outside an odd number of times. That way goes along the cells'
+lower borders, where crossings are counted once for each area and row of cells, and through the place's own cell, so
+only edges of that cell have to be looked at. Pieces with one side covered are the outline; each finds the
+piece that goes on from its end, and pointer doubling tells the ring that it is in and its place there.
+Every step is keyed by cell, edge or piece; a group of any size spreads over all tasks.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from gridwright.operators.groups import dealt
-
-_RINGS = "array<array<struct<x: double, y: double>>>"
-
-
-def _pieces(edges: np.ndarray, digits: int) -> np.ndarray:
-    """Edges (x1, y1, x2, y2) cut where others meet or overlap them, without repeats; each from its smaller end."""
-    a, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    out = []
-    for i in range(len(edges)):
-        near = np.flatnonzero((low <= high[i]).all(1) & (high >= low[i]).all(1))
-        cross = d[i, 0] * d[near, 1] - d[i, 1] * d[near, 0]
-        gap = a[near] - a[i]
-        skew = near[cross != 0]
-        t = (gap[cross != 0, 0] * d[skew, 1] - gap[cross != 0, 1] * d[skew, 0]) / cross[cross != 0]
-        u = (gap[cross != 0, 0] * d[i, 1] - gap[cross != 0, 1] * d[i, 0]) / cross[cross != 0]
-        at = t[(u > -1e-9) & (u < 1 + 1e-9)]
-        along = near[(cross == 0) & (np.abs(gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) <= 1e-9 * np.hypot(*d[i]))]
-        square = d[i] @ d[i]
-        ends = np.concatenate([(edges[along, :2] - a[i]) @ d[i], (edges[along, 2:] - a[i]) @ d[i]]) / square
-        at = np.unique(np.concatenate([[0.0, 1.0], at[(at > 0) & (at < 1)], ends[(ends > 0) & (ends < 1)]]))
-        out.append(np.round(a[i] + at[:, None] * d[i], digits))
-    parts = np.concatenate([np.column_stack([p[:-1], p[1:]]) for p in out])
-    swap = (parts[:, 0] > parts[:, 2]) | (parts[:, 0] == parts[:, 2]) & (parts[:, 1] > parts[:, 3])
-    parts[swap] = parts[swap][:, [2, 3, 0, 1]]
-    parts = np.unique(parts, axis=0)
-    return parts[(parts[:, :2] != parts[:, 2:]).any(1)]
-
-
-def _inside(points: np.ndarray, areas: list[list[np.ndarray]]) -> np.ndarray:
-    """Whether a point lies in any area; an area is a list of rings, and what an odd number of them holds is inside.
-
-    Each area looks at the points between its bounds that no area before it holds.
-    """
-    order = np.argsort(points[:, 0], kind="stable")
-    x, y = points[order, 0], points[order, 1]
-    out = np.zeros(len(points), bool)
-    for rings in areas:
-        corners = np.concatenate(rings) if rings else np.zeros((0, 2))
-        if not len(corners):
-            continue
-        (x_low, y_low), (x_high, y_high) = corners.min(0), corners.max(0)
-        near = np.arange(np.searchsorted(x, x_low), np.searchsorted(x, x_high, "right"))
-        near = near[(y[near] >= y_low) & (y[near] <= y_high) & ~out[near]]
-        for a in range(0, len(near), 4096):
-            at = near[a : a + 4096]
-            odd = np.zeros(len(at), bool)
-            for r in rings:
-                x1, y1, x2, y2 = r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]
-                over = (y1 > y[at, None]) != (y2 > y[at, None])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    left = x[at, None] < (x2 - x1) * (y[at, None] - y1) / (y2 - y1) + x1
-                odd ^= (over & left).sum(1) % 2 == 1
-            out[at[odd]] = True
-    back = np.empty(len(points), bool)
-    back[order] = out
-    return back
-
-
-def union(areas: list[list[np.ndarray]], digits: int = 6, step: float = 1e-5) -> list[np.ndarray]:
-    """Closed rings of the union, outer ones counter-clockwise, holes clockwise; without corners on straight lines.
-
-    All edges are cut at their meeting points; a piece belongs to the outline if one of its sides is covered
-    and the other is not. Pieces run with the covered side on their left and are joined end to end.
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridwright.checkpoints import cut
+from gridwright.operators.quantiles import with_group
+
+#: Edges that a cell is to have, about, if they lie evenly; where the first cell begins, off any round coordinate.
+EDGES, SHIFT = 8, 0.3819660112501051
+#: Relative slack within which an end counts as lying on another edge.
+NEAR = 1e-9
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def edges(areas: DataFrame, by: list[str]) -> DataFrame:
+    """by, a (the area's number), x1, y1, x2, y2 of the edges of all rings of four corners or more, the last as the first."""
+    rings = areas.select(*by, "a", F.explode(F.coalesce("rings", F.array().cast("array<array<struct<x: double, y: double>>>"))).alias("r"))
+    n = F.size("r")
+    ends = F.zip_with(F.slice("r", 1, n - 1), F.slice("r", 2, n - 1), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    e = rings.where(n > 3).select(*by, "a", F.explode(ends).alias("e")).select(*by, "a", "e.*")
+    return e.dropna(subset=["x1", "y1", "x2", "y2"]).where("x1 <> x2 or y1 <> y2")
+
+
+def _grid(e: DataFrame, by: list[str]) -> DataFrame:
+    """by, x0, y0, w: each group's cells, about as wide as its edges are long, and wider where they are few."""
+    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+    size = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    s = e.groupBy(*by).agg(F.min(low("x1", "x2")).alias("a"), F.max(high("x1", "x2")).alias("b"), F.min(low("y1", "y2")).alias("c"), F.max(high("y1", "y2")).alias("d"), F.avg(size).alias("m"), F.count("*").alias("n"))
+    w = F.greatest(F.col("m") * 1.0123, F.sqrt((F.col("b") - F.col("a")) * (F.col("d") - F.col("c")) * EDGES / F.col("n")), F.lit(1e-9))
+    return s.withColumn("w", w).select(*by, (F.col("a") - F.col("w") * SHIFT).alias("x0"), (F.col("c") - F.col("w") * SHIFT).alias("y0"), "w")
+
+
+def _cell(v: Column, first: str) -> Column:
+    return F.floor((v - F.col(first)) / F.col("w")).cast("long")
+
+
+def _in_cells(e: DataFrame) -> DataFrame:
+    """Each edge once for each cell that its bounds meet."""
+    span = lambda a, b, first: F.explode(F.sequence(_cell(F.least(a, b), first), _cell(F.greatest(a, b), first)))
+    return e.withColumn("cx", span("x1", "x2", "x0")).withColumn("cy", span("y1", "y2", "y0"))
+
+
+def pieces(e: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """by, x1, y1, x2, y2: the edges (with their group's x0, y0, w) cut where others meet or overlap them, without repeats; each from its smaller end."""
+    least = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    ends = lambda a, b: F.when(least, F.col(a)).otherwise(F.col(b))
+    ordered = e.select(*by, "x0", "y0", "w", ends("x1", "x2").alias("x1"), ends("y1", "y2").alias("y1"), ends("x2", "x1").alias("x2"), ends("y2", "y1").alias("y2")).distinct()
+    ordered = cut(ordered.withColumn("id", F.monotonically_increasing_id()))
+    held = _in_cells(ordered)
+    other = held.select(*by, "cx", "cy", F.col("id").alias("jd"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
+    c = F.col
+    met = held.join(other, [*by, "cx", "cy"]).where(c("id") != c("jd"))
+    met = met.where((F.least("oy1", "oy2") <= F.greatest("y1", "y2")) & (F.greatest("oy1", "oy2") >= F.least("y1", "y2")) & (c("ox1") <= c("x2")) & (c("ox2") >= c("x1")))
+    dx, dy, ex, ey, gx, gy = c("x2") - c("x1"), c("y2") - c("y1"), c("ox2") - c("ox1"), c("oy2") - c("oy1"), c("ox1") - c("x1"), c("oy1") - c("y1")
+    cross, square = dx * ey - dy * ex, dx * dx + dy * dy
+    t, u = F.try_divide(gx * ey - gy * ex, cross), F.try_divide(gx * dy - gy * dx, cross)
+    along = lambda x, y: ((x - c("x1")) * dx + (y - c("y1")) * dy) / square
+    at = F.when(cross != 0, F.when((u > -NEAR) & (u < 1 + NEAR), F.array(t))).when(F.abs(gx * dy - gy * dx) <= NEAR * F.sqrt(square), F.array(along(c("ox1"), c("oy1")), along(c("ox2"), c("oy2"))))
+    cuts = met.select("id", F.explode(at).alias("t")).where("t > 0 and t < 1").groupBy("id").agg(F.collect_set("t").alias("ts"))
+    ts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", F.array().cast("array<double>"))))
+    points = F.transform(ts, lambda t: _point(F.round(c("x1") + t * dx, digits), F.round(c("y1") + t * dy, digits)))
+    parts = ordered.join(cuts, "id", "left").select(*by, "x0", "y0", "w", points.alias("p"))
+    n = F.size("p")
+    parts = parts.select(*by, "x0", "y0", "w", F.explode(F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n - 1), lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")))).alias("z"))
+    return parts.where("z.p <> z.q").select(*by, "x0", "y0", "w", F.col("z.p.x").alias("x1"), F.col("z.p.y").alias("y1"), F.col("z.q.x").alias("x2"), F.col("z.q.y").alias("y2")).distinct()
+
+
+def _odd_corners(e: DataFrame, by: list[str]) -> DataFrame:
+    """by, a, cx, cy of cells whose lower left corner the area covers: between its crossings of the row's lower border, two and two."""
+    c = F.col
+    row = F.sequence(_cell(F.least("y1", "y2"), "y0"), _cell(F.greatest("y1", "y2"), "y0"))
+    over = e.withColumn("cy", F.explode(row)).withColumn("y", c("y0") + c("cy") * c("w")).where((c("y1") > c("y")) != (c("y2") > c("y")))
+    over = over.withColumn("x", c("x1") + (c("y") - c("y1")) * (c("x2") - c("x1")) / (c("y2") - c("y1"))).withColumn("k", _cell(c("x"), "x0"))
+    rows = over.groupBy(*by, "a", "cy").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    pairs = F.filter(F.transform("ks", lambda k, i: F.when(i % 2 == 0, F.struct((k + 1).alias("s"), F.try_element_at("ks", (i + 2).cast("int")).alias("e")))), lambda z: z.isNotNull() & (z["s"] <= z["e"]))
+    return rows.select(*by, "a", "cy", F.explode(pairs).alias("z")).select(*by, "a", "cy", F.explode(F.sequence("z.s", "z.e")).alias("cx"))
+
+
+def covered(points: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
+    """``points`` (with id, x, y and their group's x0, y0, w) that lie in any area of the edges ``e`` (with x0, y0, w); id only."""
+    c = F.col
+    held = _in_cells(e).select(*by, "a", "cx", "cy", "x1", "y1", "x2", "y2")
+    corners = cut(_odd_corners(e, by))
+    full = corners.join(held.select(*by, "a", "cx", "cy").distinct(), [*by, "a", "cx", "cy"], "left_anti").select(*by, "cx", "cy").distinct()
+    held = held.join(corners.withColumn("odd", F.lit(1)), [*by, "a", "cx", "cy"], "left")
+    at = points.select(*by, "id", "x", "y", _cell(c("x"), "x0").alias("cx"), _cell(c("y"), "y0").alias("cy"), "x0", "y0", "w")
+    whole = at.join(full, [*by, "cx", "cy"], "left_semi").select("id")
+    left, low = c("x0") + c("cx") * c("w"), c("y0") + c("cy") * c("w")
+    up = c("y1") + F.try_divide((left - c("x1")) * (c("y2") - c("y1")), c("x2") - c("x1"))
+    # what lies level with a place counts as below it, here as in the crossings of its own level
+    along = c("x1") + F.try_divide((c("y") - c("y1")) * (c("x2") - c("x1")), c("y2") - c("y1"))
+    rises = ((c("x1") > left) != (c("x2") > left)) & (up > low) & (up <= c("y"))
+    runs = ((c("y1") > c("y")) != (c("y2") > c("y"))) & (along > left) & (along < c("x"))
+    met = at.join(held, [*by, "cx", "cy"])
+    odd = F.sum(F.coalesce(rises, F.lit(False)).cast("int") + F.coalesce(runs, F.lit(False)).cast("int")) + F.max(F.coalesce("odd", F.lit(0)))
+    parity = met.groupBy("id", "a").agg(odd.alias("n")).where("n % 2 = 1").select("id")
+    return whole.union(parity).distinct()
+
+
+def outline(areas: DataFrame, by: list[str], digits: int = 6, step: float = 1e-5) -> DataFrame:
+    """by, x1, y1, x2, y2: the pieces of the outline of each group's union (areas: by, rings), with what is covered on their left."""
+    given = cut(areas.select(*by, "rings").withColumn("a", F.monotonically_increasing_id()))
+    e = cut(edges(given, by))
+    e = cut(with_group(e, cut(_grid(e, by)), by))
+    p = cut(pieces(e, by, digits).withColumn("id", F.monotonically_increasing_id()))
+    c = F.col
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    off = F.lit(step) / F.sqrt(dx * dx + dy * dy)
+    side = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    sides = p.select(*by, "x0", "y0", "w", "id", side, "x1", "y1", "x2", "y2")
+    sides = sides.select(*by, "x0", "y0", "w", (c("id") * 2 + (c("side") > 0).cast("int")).alias("id"), ((c("x1") + c("x2")) / 2 - c("side") * dy * off).alias("x"), ((c("y1") + c("y2")) / 2 + c("side") * dx * off).alias("y"))
+    inside = covered(sides, e, by).groupBy(F.expr("id div 2").alias("id")).agg(F.max(c("id") % 2 == 1).alias("left"), F.count("*").alias("k")).where("k = 1")
+    turned = p.join(inside, "id")
+    end = lambda a, b: F.when(c("left"), c(a)).otherwise(c(b)).alias(a)
+    return cut(turned.select(*by, "id", end("x1", "x2"), end("y1", "y2"), end("x2", "x1"), end("y2", "y1")))
+
+
+def rings(pieces_: DataFrame, by: list[str]) -> DataFrame:
+    """by, ring, place, x, y: the pieces of an outline (by, id, x1, y1, x2, y2) linked to rings by ordered pointer doubling.
+
+    At a corner that several parts share, the sharpest turn to the left keeps them apart. A ring begins at its smallest corner; a
+    piece without one that goes on from its end is an error.
     """
-    rings = [r for rings in areas for r in rings if len(r) > 3]
-    if not rings:
-        return []
-    parts = _pieces(np.concatenate([np.column_stack([r[:-1], r[1:]]) for r in rings]), digits)
-    middle, way = (parts[:, :2] + parts[:, 2:]) / 2, parts[:, 2:] - parts[:, :2]
-    normal = np.column_stack([-way[:, 1], way[:, 0]]) / np.hypot(way[:, 0], way[:, 1])[:, None] * step
-    left, right = _inside(middle + normal, areas), _inside(middle - normal, areas)
-    outline = np.concatenate([parts[left & ~right], parts[right & ~left][:, [2, 3, 0, 1]]])
-    after = defaultdict(list)
-    for x1, y1, x2, y2 in outline.tolist():
-        after[(x1, y1)].append((x2, y2))
-    out = []
-    for start in sorted(after):
-        while after[start]:
-            ring, before = [start], None
-            while True:
-                here = ring[-1]
-                options = after[here]
-                if before is None or len(options) == 1:
-                    chosen = options[0]
-                else:  # at a corner that several parts share, the sharpest turn to the left keeps them apart
-                    back = np.arctan2(before[1] - here[1], before[0] - here[0])
-                    chosen = min(options, key=lambda p: (back - np.arctan2(p[1] - here[1], p[0] - here[0])) % (2 * np.pi) or 2 * np.pi)
-                options.remove(chosen)
-                before = here
-                ring.append(chosen)
-                if chosen == start:
-                    break
-            out.append(_straight(np.array(ring)))
-    return out
-
-
-def _straight(ring: np.ndarray) -> np.ndarray:
-    """A closed ring without corners on straight lines."""
-    p = ring[:-1]
-    before, after = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
-    bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 1e-9 * np.hypot(*before.T) * np.hypot(*after.T)
-    p = p[bend] if bend.sum() > 2 else p
-    return np.concatenate([p, p[:1]])
-
-
-def signed_area(ring: np.ndarray) -> float:
-    return float((ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]).sum() / 2)
+    c = F.col
+    one = pieces_.select(*by, "id", "x1", "y1", c("x2").alias("x"), c("y2").alias("y"))
+    two = pieces_.select(*by, c("id").alias("to"), c("x1").alias("x"), c("y1").alias("y"), c("x2").alias("tx"), c("y2").alias("ty"))
+    back, on = F.atan2(c("y1") - c("y"), c("x1") - c("x")), F.atan2(c("ty") - c("y"), c("tx") - c("x"))
+    turn = F.pmod(back - on, F.lit(6.283185307179586))
+    turn = F.when(turn > 1e-12, turn).otherwise(6.283185307179586)
+    after = one.join(two, [*by, "x", "y"], "left").groupBy("id").agg(F.min_by("to", turn).alias("to"))
+    after = after.withColumn("to", F.coalesce("to", F.raise_error(F.lit("a piece of an outline has no end")).cast("long")))
+    first = F.struct("x1", "y1", "id").alias("least")
+    now = cut(pieces_.join(after, "id").select(*by, "id", "x1", "y1", "to", first, F.lit(0).cast("long").alias("ahead")))
+    step = 1
+    while True:  # least: the smallest corner among the next ``step`` pieces, ahead: how far it is
+        far = now.select(c("id").alias("to"), c("to").alias("__to"), c("least").alias("__least"), c("ahead").alias("__ahead"))
+        better = c("__least") < c("least")
+        moved = now.join(far, "to").select(*by, "id", "x1", "y1", c("__to").alias("to"), F.least("least", "__least").alias("least"), F.when(better, c("__ahead") + step).otherwise(c("ahead")).alias("ahead"), better.alias("moved"))
+        now = cut(moved, release=True)
+        step *= 2
+        if not now.agg(F.max("moved")).first()[0]:
+            break
+    return now.select(*by, c("least.id").alias("ring"), F.when(c("ahead") == 0, F.lit(0)).otherwise(-c("ahead")).alias("place"), (c("ahead") == 0).alias("first"), c("x1").alias("x"), c("y1").alias("y"))
+
+
+def _straight(p: Column) -> Column:
+    """A closed ring of open corners, without those on straight lines."""
+    n = F.size(p)
+    before, after = F.concat(F.slice(p, n, F.lit(1)), F.slice(p, F.lit(1), n - 1)), F.concat(F.slice(p, F.lit(2), n - 1), F.slice(p, 1, 1))
+    three = F.transform(p, lambda q, i: F.struct(F.get(before, i).alias("a"), q.alias("b"), F.get(after, i).alias("c")))
+
+    def bends(z: Column) -> Column:
+        ax, ay, bx, by = z["b"]["x"] - z["a"]["x"], z["b"]["y"] - z["a"]["y"], z["c"]["x"] - z["b"]["x"], z["c"]["y"] - z["b"]["y"]
+        return F.abs(ax * by - ay * bx) > NEAR * F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by))
+
+    kept = F.transform(F.filter(three, bends), lambda z: z["b"])
+    kept = F.when(F.size(kept) > 2, kept).otherwise(p)
+    return F.concat(kept, F.slice(kept, 1, 1))
 
 
 def dissolved(areas: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     """by, rings, area: the union of each group's areas (rings: outer ring and holes).
 
-    Null and empty areas count as nothing; a group that covers nothing has no rings and area 0. A group's
-    edges are compared with those whose bounds meet theirs, in one task.
+    What an odd number of an area's rings hold is in it. Outer rings run counter-clockwise, holes clockwise, without
+    corners on straight lines. Null and empty areas count as nothing; a group that covers nothing has no rings and
+    area 0. Coordinates are rounded to ``digits``. Only the finished outline of a group meets in one row; ``outline`` has its pieces.
     """
-
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        given = [[np.array([(c["x"], c["y"]) for c in ring], float).reshape(-1, 2) for ring in rings] for rings in p["rings"] if rings is not None]
-        found = union(given, digits)
-        rings = [[{"x": x, "y": y} for x, y in ring.tolist()] for ring in found]
-        return pd.DataFrame([(*key, rings, sum(map(signed_area, found)))], columns=[*by, "rings", "area"])
-
-    kinds = ", ".join(f"{n} {areas.schema[n].dataType.simpleString()}" for n in by)
-    return dealt(areas.select(*by, "rings"), by).groupBy(*by).applyInPandas(run, f"{kinds}, rings {_RINGS}, area double")
+    name = F.to_json(F.struct(F.lit(0).alias("z"), *[F.col(x).cast("string").alias(f"k{i}") for i, x in enumerate(by)]))  # a key without nulls
+    keyed = areas.select(*by, "rings", name.alias("__gw_g"))
+    groups, g = cut(keyed.select(*by, "__gw_g").distinct()), ["__gw_g"]
+    p = outline(keyed, g, digits)
+    c = F.col
+    origin = cut(p.groupBy(*g).agg(F.min("x1").alias("a"), F.min("y1").alias("b")))
+    twice = (c("x1") - c("a")) * (c("y2") - c("b")) - (c("x2") - c("a")) * (c("y1") - c("b"))
+    size = with_group(p, origin, g).groupBy(*g).agg((F.sum(twice) / 2).alias("area"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((~c("first")).alias("later"), "place", "x", "y"))), lambda z: _point(z["x"], z["y"]))
+    each = rings(p, g).groupBy(*g, "ring").agg(ordered.alias("p")).select(*g, _straight(c("p")).alias("r"))
+    whole = each.groupBy(*g).agg(F.array_sort(F.collect_list("r")).alias("rings")).join(size, g)
+    none = F.array().cast("array<array<struct<x: double, y: double>>>")
+    return groups.join(whole, g, "left").select(*by, F.coalesce("rings", none).alias("rings"), F.coalesce("area", F.lit(0.0)).alias("area"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.operators import areas, clustering, network, routing
+from gridwright.operators import clustering, network, routing
 from gridwright.queries import QUERIES
 from gridwright.queries.registry import Views
 
@@ -548,42 +548,6 @@ def test_factors_match_plain_formulas(spark, v):
     assert len(r["parameters"]) == max(1, sum(np.linalg.eigvalsh(corr) > 1)) and set(r["parameters"]) <= {"f1", "f2", "f3", "f4"}
 
 
-# --- areas -------------------------------------------------------------------------------------
-def box(x, y, w, h):
-    return np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)], float)
-
-
-@pytest.mark.parametrize("seed", range(8))
-def test_union_covers_the_cells(seed):
-    rng = np.random.default_rng(seed)
-    given = [box(*rng.integers(0, 9, 2), *rng.integers(1, 5, 2)) for _ in range(int(rng.integers(1, 14)))]
-    cells = {(x, y) for b in given for x in range(int(b[0, 0]), int(b[1, 0])) for y in range(int(b[0, 1]), int(b[2, 1]))}
-    rings = areas.union([[b] for b in given])
-    assert sum(map(areas.signed_area, rings)) == pytest.approx(len(cells))
-    outline = sum(((x + a, y + b) not in cells) for x, y in cells for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)))
-    assert sum(np.abs(np.diff(r, axis=0)).sum() for r in rings) == pytest.approx(outline)
-
-
-def test_union_keeps_holes_and_slanted_edges():
-    frame = [box(0, 0, 10, 2), box(0, 8, 10, 2), box(0, 0, 2, 10), box(8, 0, 2, 10)]
-    rings = areas.union([[b] for b in frame])
-    assert sorted(round(areas.signed_area(r)) for r in rings) == [-36, 100]
-    a, b = np.array([(0, 0), (4, 0), (2, 3), (0, 0)], float), np.array([(0, 2), (4, 2), (2, -1), (0, 2)], float)
-    star = areas.union([[a], [b]])
-    assert len(star) == 1 and sum(map(areas.signed_area, star)) == pytest.approx(6 + 6 - 4)
-    ring_with_hole = [box(0, 0, 6, 6), box(2, 2, 2, 2)[::-1]]
-    assert sum(map(areas.signed_area, areas.union([ring_with_hole]))) == pytest.approx(32)
-    assert areas.union([]) == [] and areas.union([[box(0, 0, 1, 1)], [box(1, 1, 1, 1)]]).__len__() == 2
-
-
-def test_dissolved_takes_null_and_empty_areas(spark):
-    schema = "g int, rings array<array<struct<x: double, y: double>>>, area int"
-    square = [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]]
-    rows = spark.createDataFrame([(1, square, 1), (1, square, 2), (1, None, 3), (2, None, 4), (3, [], 5)], schema)
-    assert {r["g"]: (len(r["rings"]), r["area"]) for r in areas.dissolved(rows, ["g"]).collect()} == {1: (1, 0.5), 2: (0, 0.0), 3: (0, 0.0)}
-    assert areas.dissolved(rows.limit(0), ["g"]).count() == 0
-
-
 def test_large_components_are_split(spark):
     from gridwright.config import Config
 
