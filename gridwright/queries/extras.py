@@ -65,6 +65,40 @@ def sql_dump_load(v: Views) -> DataFrame:
     return _without(v, path, dumps.sql_dump(v.spark, path, "ways", "way_id int, note string, length double"))
 
 
+@query("""WITH f AS (SELECT l_suppkey AS suppkey, CAST(l_quantity AS BIGINT) + CASE WHEN l_suppkey%50=7 AND l_linenumber=2 THEN 100 ELSE 0 END AS quantity, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem WHERE NOT (l_suppkey%50=7 AND l_linenumber=1)
+UNION ALL SELECT l_suppkey, 1, 0e0 FROM lineitem WHERE l_suppkey%50=7 AND l_linenumber=3)
+SELECT suppkey, COUNT(*) AS n, CAST(SUM(quantity) AS BIGINT) AS sum_quantity, MIN(quantity) AS min_quantity, MAX(quantity) AS max_quantity, MIN(price) AS min_price, MAX(price) AS max_price FROM f GROUP BY suppkey""")
+def refreshed_totals(v: Views) -> DataFrame:
+    """Totals of all suppliers' lines after the lines of some went, changed and came, from these changes alone."""
+    from gridwright.operators.refresh import Store, Totals, refresh_totals
+
+    rows = v.lineitem.selectExpr("l_suppkey AS suppkey", "l_linenumber AS line", "CAST(l_quantity AS BIGINT) AS quantity", "CAST(l_extendedprice AS DOUBLE) AS price")
+    path, few = _folder(v), rows.where("suppkey % 50 = 7")
+    gone = few.where("line IN (1, 2)").withColumn("sign", F.lit(-1))
+    came = few.where("line = 2").withColumn("quantity", F.col("quantity") + 100).unionByName(few.where("line = 3").withColumns({"line": F.lit(100).cast(rows.schema["line"].dataType), "quantity": F.lit(1).cast("long"), "price": F.lit(0.0)}))
+    totals = Totals(("suppkey",), ("quantity",), ("quantity", "price"))
+    base = Store(v.spark, f"{path}/base", ["suppkey"]).write(rows)
+    derived = Store(v.spark, f"{path}/totals", ["suppkey"]).write(totals.of(base.read()))
+    refresh_totals(derived, totals, base, gone.unionByName(came.withColumn("sign", F.lit(1))))
+    return _without(v, path, derived.read())
+
+
+@query("""SELECT c_custkey AS custkey, o_orderkey AS orderkey, CASE WHEN c_custkey%40=3 THEN 'moved' ELSE c_mktsegment END AS segment FROM orders JOIN customer ON c_custkey=o_custkey WHERE c_custkey%40<>7 AND c_custkey%40<>9
+UNION ALL SELECT c_custkey, -o_orderkey, CASE WHEN c_custkey%40=3 THEN 'moved' ELSE c_mktsegment END FROM orders JOIN customer ON c_custkey=o_custkey WHERE c_custkey%40 IN (3, 4)""")
+def refreshed_view(v: Views) -> DataFrame:
+    """Orders with their customer's segment after some customers moved and went and some orders went and came, from these changes alone."""
+    from gridwright.operators.refresh import Store, refresh_joined
+
+    path = _folder(v)
+    orders, customers = v.orders.selectExpr("o_custkey AS custkey", "o_orderkey AS orderkey"), v.customer.selectExpr("c_custkey AS custkey", "c_mktsegment AS segment")
+    stores = [Store(v.spark, f"{path}/{name}", ["custkey"]).write(rows) for name, rows in (("orders", orders), ("customers", customers), ("view", orders.join(customers, "custkey").select("custkey", "orderkey", "segment")))]
+    signed = lambda rows, sign: rows.withColumn("sign", F.lit(sign))
+    went = signed(orders.where("custkey % 40 = 9"), -1).unionByName(signed(orders.where("custkey % 40 IN (3, 4)").withColumn("orderkey", -F.col("orderkey")), 1))
+    moved = signed(customers.where("custkey % 40 IN (3, 7)"), -1).unionByName(signed(customers.where("custkey % 40 = 3").withColumn("segment", F.lit("moved")), 1))
+    refresh_joined(stores[2], stores[0], stores[1], went, moved)
+    return _without(v, path, stores[2].read())
+
+
 @query("SELECT o.o_orderkey, CAST(e.n AS BIGINT) AS n FROM orders o FULL OUTER JOIN (SELECT l_orderkey+3 AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) e ON e.k=o.o_orderkey")
 def full_outer_join(v: Views) -> DataFrame:
     """A full outer join, which Spark adds for free."""
