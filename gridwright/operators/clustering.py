@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.checkpoints import cut
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
 from gridwright.operators import hierarchy
-from gridwright.operators.groups import dealt
+from gridwright.operators.groups import broadcast_if_small, dealt
 from gridwright.operators.routing import NO_WAY, metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
@@ -213,8 +214,15 @@ def brownfield(costs: pd.DataFrame, loads: Loads, vids: list[int], trafos: list[
     return out
 
 
-def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """by, bcid, trafo, vid, rated: consumers of existing transformers. costs: by, start_vid (consumer), end_vid (transformer), agg_cost."""
+#: Pairs of a group up to which one task assigns them.
+PAIRS = 200_000
+
+
+def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT, pairs: int = PAIRS) -> DataFrame:
+    """by, bcid, trafo, vid, rated: consumers of existing transformers. costs: by, start_vid (consumer), end_vid (transformer), agg_cost.
+
+    Groups of more than ``pairs`` pairs are assigned by ``brownfield_rounds``, with the same result.
+    """
 
     def run(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "bcid", "trafo", "vid", "rated"]
@@ -226,7 +234,64 @@ def brownfield_clusters(costs: DataFrame, buildings: DataFrame, by: list[str], c
         return pd.DataFrame([(*key, k, t, v, size) for k, t, vs, size in found for v in vs], columns=names)
 
     kinds = ", ".join(f"{n} {costs.schema[n].dataType.simpleString()}" for n in by)
-    return dealt(costs, by).groupBy(*by).cogroup(dealt(buildings, by).groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
+    costs = cut(costs.where(F.col("agg_cost") < config.brownfield_reach_m))
+    large = cut(costs.groupBy(*by).count().where(F.col("count") > pairs).select(*by))
+    few = large.isEmpty()
+    part = lambda df, how: df if few else df.join(large, by, how)
+    small = dealt(part(costs, "left_anti"), by).groupBy(*by).cogroup(dealt(part(buildings, "left_anti"), by).groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
+    return small if few else small.unionByName(brownfield_rounds(part(costs, "left_semi"), part(buildings, "left_semi"), by, config))
+
+
+def brownfield_rounds(costs: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+    """``brownfield`` for groups of any size, by rounds that decide many pairs at once.
+
+    A pair is decided if its consumer has no earlier one and no earlier pair of its transformer is open: so in each round
+    every transformer takes the front of its list, in order, up to the first consumer who still hopes for another
+    one, or until a consumer would overload it, which closes it. What is decided would be so in the one
+    sequence of all pairs too, since pairs in between touch neither side.
+    """
+    c, categories = F.col, list(SIM_FACTOR)
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _CATEGORY.items() for x in pair]), c("type"))
+    named = {f"{n}{i}": F.sum(F.when(kind == name, c(x)).otherwise(0.0)).cast("double") for i, name in enumerate(categories) for n, x in (("p", "kw"), ("n", "homes"))}
+    own = cut(buildings.groupBy(*by, c("vid").alias("start_vid")).agg(*[e.alias(k) for k, e in named.items()]))
+    tops = {k: float(max(sizes)) for k, sizes in config.capacities.items()}
+    top = cut(buildings.groupBy(*by).agg(F.min("settlement_type").alias("settlement_type")))
+    table = F.create_map(*[F.lit(x) for pair in tops.items() for x in pair])
+    open_ = costs.where(c("agg_cost") < config.brownfield_reach_m).groupBy(*by, "start_vid", "end_vid").agg(F.min("agg_cost").alias("agg_cost"))
+    open_ = open_.join(own, [*by, "start_vid"]).join(top.select(*by, F.element_at(table, c("settlement_type")).alias("top")), by)
+    zero = [F.lit(0.0).alias(f"b_{k}") for k in named]
+    open_ = cut(open_.select("*", *zero))
+    at, taken = Window.partitionBy(*by, "end_vid").orderBy("agg_cost", "start_vid"), []
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+
+    def load(prefix: str) -> Column:
+        parts = [F.when((c(f"{prefix}p{i}") > 0) & (c(f"{prefix}n{i}") > 0), c(f"{prefix}p{i}") * (SIM_FACTOR[x] + (1 - SIM_FACTOR[x]) * F.pow(c(f"{prefix}n{i}"), F.lit(-0.75)))).otherwise(0.0) for i, x in enumerate(categories)]
+        return sum(parts, F.lit(0.0))
+
+    while not open_.isEmpty():
+        first = open_.groupBy(*by, "start_vid").agg(F.min(F.struct("agg_cost", "end_vid")).alias("z")).select(*by, "start_vid", c("z.end_vid").alias("__first"))
+        front = open_.join(first, [*by, "start_vid"]).withColumn("__wait", F.max((c("__first") != c("end_vid")).cast("int")).over(upto)).where("__wait = 0")
+        front = front.withColumns({f"s_{k}": c(f"b_{k}") + F.sum(k).over(upto) for k in named}).withColumn("__over", load("s_") > c("top"))
+        front = cut(front.withColumn("__over", F.max(c("__over").cast("int")).over(upto)))
+        got = front.where("__over = 0")
+        taken.append(got.select(*by, "start_vid", "end_vid"))
+        closed = front.where("__over = 1").select(*by, "end_vid").distinct()
+        sums = got.groupBy(*by, "end_vid").agg(*[F.sum(k).alias(f"g_{k}") for k in named])
+        left = open_.join(got.select(*by, "start_vid"), [*by, "start_vid"], "left_anti").join(closed, [*by, "end_vid"], "left_anti")
+        left = left.join(sums, [*by, "end_vid"], "left").withColumns({f"b_{k}": c(f"b_{k}") + F.coalesce(f"g_{k}", F.lit(0.0)) for k in named})
+        open_ = cut(left.select(*open_.columns), release=True)
+    if not taken:
+        return open_.select(*by, F.lit(0).alias("bcid"), c("end_vid").alias("trafo"), c("start_vid").alias("vid"), F.lit(0.0).alias("rated"))
+    members = taken[0]
+    for part in taken[1:]:
+        members = members.unionByName(part)
+    members = cut(members)
+    grids = members.join(own, [*by, "start_vid"]).groupBy(*by, "end_vid").agg(*[F.sum(k).alias(f"t_{k}") for k in named]).join(top, by)
+    allowed = F.element_at(F.create_map(*[x for k, sizes in config.capacities.items() for x in (F.lit(k), F.array(*[F.lit(float(s)) for s in sorted(sizes)]))]), c("settlement_type"))
+    total = load("t_")
+    grids = grids.withColumn("rated", F.coalesce(F.array_min(F.filter(allowed, lambda s: s > total)), F.array_max(allowed)))
+    grids = grids.withColumn("bcid", -F.row_number().over(Window.partitionBy(*by).orderBy("end_vid")))
+    return members.join(grids.select(*by, "end_vid", "rated", "bcid"), [*by, "end_vid"]).select(*by, "bcid", c("end_vid").alias("trafo"), c("start_vid").alias("vid"), "rated")
 
 
 def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m, core: int = hierarchy.CORE, cells: int = hierarchy.CELLS) -> DataFrame:
@@ -416,23 +481,23 @@ def representatives(clustered: DataFrame, key: str, columns: list[str]) -> DataF
     """clusters, key of the row nearest to each cluster's mean; ties to the smaller key."""
     mean = clustered.groupBy("clusters").agg(*[F.avg(c).alias(f"__{c}") for c in columns])
     gap = sum((F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in columns), F.lit(0.0))
-    return clustered.join(F.broadcast(mean), "clusters").groupBy("clusters").agg(F.min_by(key, F.struct(gap.alias("g"), F.col(key).alias("k"))).alias(key))
+    return clustered.join(broadcast_if_small(cut(mean)), "clusters").groupBy("clusters").agg(F.min_by(key, F.struct(gap.alias("g"), F.col(key).alias("k"))).alias(key))
 
 
 def reindexed(clustered: DataFrame, chosen: DataFrame, size: DataFrame, key: str, by: str) -> DataFrame:
     """``clustered`` with clusters numbered from 0 by the representatives' ``by``, and a mark on representatives."""
     order = chosen.join(size.select(key, by), key).withColumn("__new", F.row_number().over(Window.orderBy(by, key)) - 1)
-    out = clustered.join(F.broadcast(order.select("clusters", "__new", F.col(key).alias("__rep"))), "clusters")
+    out = clustered.join(broadcast_if_small(cut(order.select("clusters", "__new", F.col(key).alias("__rep")))), "clusters")
     return out.withColumn("clusters", F.col("__new")).withColumn("representative_grid", F.col(key) == F.col("__rep")).drop("__new", "__rep")
 
 
 def scatter(df: DataFrame, label: str, columns: list[str]) -> tuple[DataFrame, Column, Column]:
     """(one row: k, n, within, between) sums of squares about cluster and overall means."""
     mean = df.groupBy(label).agg(F.count("*").alias("__n"), *[F.avg(c).alias(f"__m_{c}") for c in columns])
-    overall = df.agg(*[F.avg(c).alias(f"__o_{c}") for c in columns])
+    mean, overall = cut(mean), df.agg(*[F.avg(c).alias(f"__o_{c}") for c in columns])
     inner = sum((F.pow(F.col(c) - F.col(f"__m_{c}"), 2) for c in columns), F.lit(0.0))
     outer = sum((F.pow(F.col(f"__m_{c}") - F.col(f"__o_{c}"), 2) for c in columns), F.lit(0.0))
-    within = df.join(F.broadcast(mean), label).agg(F.sum(inner).alias("within"))
+    within = df.join(broadcast_if_small(mean), label).agg(F.sum(inner).alias("within"))
     between = mean.crossJoin(F.broadcast(overall)).agg(F.count("*").alias("k"), F.sum("__n").alias("n"), F.sum(F.col("__n") * outer).alias("between"))
     return between.crossJoin(within), F.col("between"), F.col("within")
 
@@ -445,12 +510,12 @@ def calinski_harabasz(df: DataFrame, label: str, columns: list[str]) -> DataFram
 
 def davies_bouldin(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance of centres."""
-    mean = df.groupBy(label).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
+    mean = cut(df.groupBy(label).agg(*[F.avg(c).alias(f"m_{c}") for c in columns]))
     gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in columns), F.lit(0.0)))
-    spread = mean.join(df.join(F.broadcast(mean), label).groupBy(label).agg(F.avg(gap).alias("s")), label)
+    spread = cut(mean.join(df.join(broadcast_if_small(mean), label).groupBy(label).agg(F.avg(gap).alias("s")), label))
     a, b = spread.alias("a"), spread.alias("b")
     between = F.sqrt(sum((F.pow(F.col(f"a.m_{c}") - F.col(f"b.m_{c}"), 2) for c in columns), F.lit(0.0)))
-    pairs = a.join(F.broadcast(b), F.col(f"a.{label}") != F.col(f"b.{label}"))  # a row for each pair of clusters
+    pairs = a.join(broadcast_if_small(b), F.col(f"a.{label}") != F.col(f"b.{label}"))  # a row for each pair of clusters
     return pairs.groupBy(F.col(f"a.{label}").alias(label)).agg(F.max(F.try_divide(F.col("a.s") + F.col("b.s"), between)).alias("r")).agg(F.avg("r").alias("db"))
 
 
@@ -469,7 +534,7 @@ def cluster_deviation(df: DataFrame, chosen: DataFrame, label: str, columns: lis
     """Mean over clusters and parameters of the root mean square relative deviation from the representative. chosen: label, columns."""
     rep = chosen.select(label, *[F.col(c).alias(f"r_{c}") for c in columns])
     rel = [F.sqrt(F.avg(F.pow(F.try_divide(F.col(c) - F.col(f"r_{c}"), F.col(f"r_{c}")), 2))).alias(c) for c in columns]
-    per = df.join(F.broadcast(rep), label).groupBy(label).agg(*rel)
+    per = df.join(broadcast_if_small(rep), label).groupBy(label).agg(*rel)
     mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
     return per.agg(F.avg(mean).alias("deviation"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
+from gridwright.operators.groups import broadcast_if_small
 
 
 def _large_star(arcs: DataFrame) -> DataFrame:
@@ -53,3 +54,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(arcs.select(F.col("u").alias("node"), F.col("v").alias("m")), nodes["u"] == F.col("node"), "left").select(nodes["u"].alias("node"), F.coalesce("m", nodes["u"]).alias("component"))
+
+
+def components_with(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) after ``edges`` are added to a graph whose components are ``known`` (node, component).
+
+    Only the classes that new edges touch are joined: their ends stand for their components, and rounds are
+    made over these few links. The rows of ``known`` are read twice and never shuffled against each other.
+    """
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    nodes = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).distinct()
+    touched = cut(nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("old"), F.col("component").isNull().alias("fresh")))
+    at = lambda c: touched.select(F.col("node").alias(c), F.col("old").alias(f"old_{c}"))
+    links = ends.join(at("u"), "u").join(at("v"), "v").select(F.col("old_u").alias("src"), F.col("old_v").alias("dst"))
+    moved = cut(connected_components(links).withColumnsRenamed({"node": "old", "component": "new"}))
+    changed = broadcast_if_small(moved.where("old <> new"))
+    kept = known.join(changed, known["component"] == changed["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    added = touched.where("fresh").join(moved, "old").select("node", F.col("new").alias("component"))
+    return kept.unionByName(added)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.checkpoints import cut
 from gridwright.functions.hashing import digits, uniform
+from gridwright.operators.groups import broadcast_if_small
 
 
 def quotas(register: DataFrame, by: str, weight: str, samples: int) -> DataFrame:
@@ -18,7 +20,7 @@ def quotas(register: DataFrame, by: str, weight: str, samples: int) -> DataFrame
 def density_bins(register: DataFrame, by: str, value: str, few: int = 100, bins: tuple[int, int] = (5, 10)) -> DataFrame:
     """Rows with bin_no (equal widths within the class, the last bin closed) and class_rows."""
     span = register.groupBy(by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("class_rows"))
-    rows = register.join(F.broadcast(span), by)  # a row for each class
+    rows = register.join(broadcast_if_small(cut(span)), by)
     count = F.when(F.col("class_rows") < few, bins[0]).otherwise(bins[1])
     width = F.col("__hi") - F.col("__lo")
     at = F.when(width == 0, 0).otherwise(F.floor((F.col(value) - F.col("__lo")) / F.when(width == 0, 1.0).otherwise(width) * count))
@@ -38,7 +40,7 @@ def stratified_sample(register: DataFrame, by: str, weight: str, value: str, key
     binned = binned.withColumn("perc_bin", F.count("*").over(per) / F.col("class_rows")).withColumn("count", F.count("*").over(per)).withColumn("perc", F.col("perc_bin") / F.col("count"))
     drawn = Window.partitionBy(by).orderBy(-F.log(uniform(key, seed)) / F.col("perc"), key)
     quota = quotas(rows, by, weight, samples)
-    return binned.withColumn("place", F.row_number().over(drawn)).join(F.broadcast(quota), by).where(F.col("place") <= F.col("samples")).drop("place", "samples")
+    return binned.withColumn("place", F.row_number().over(drawn)).join(broadcast_if_small(cut(quota)), by).where(F.col("place") <= F.col("samples")).drop("place", "samples")
 
 
 def replace_samples(sample: DataFrame, register: DataFrame, gone: DataFrame, by: str, value: str, key: str, seed: int = 42) -> DataFrame:

@@ -160,6 +160,17 @@ def line_meets_box(line: Column, box: tuple[Column, Column, Column, Column]) ->
     return (a <= box[2]) & (c >= box[0]) & (b <= box[3]) & (d >= box[1])
 
 
+def lines_in_boxes(lines: DataFrame, boxes: DataFrame, width: float) -> DataFrame:
+    """Lines (line, ...) with the boxes (a, b, c, d: min x, min y, max x, max y, ...) that their bounds overlap, each pair once: it meets in the first cell that both lie in."""
+    a, b, c, d = G.bounds(F.col("line"))
+    span = lambda lo, hi: F.explode(F.sequence(_cell(lo, width), _cell(hi, width)))
+    held = lines.withColumn("__cx", span(a, c)).withColumn("__cy", span(b, d))
+    put = boxes.withColumn("__cx", span(F.col("a"), F.col("c"))).withColumn("__cy", span(F.col("b"), F.col("d")))
+    met = held.join(put, ["__cx", "__cy"]).where(line_meets_box(F.col("line"), tuple(F.col(x) for x in "abcd")))
+    first = (F.col("__cx") == _cell(F.greatest(a, F.col("a")), width)) & (F.col("__cy") == _cell(F.greatest(b, F.col("b")), width))
+    return met.where(first).drop("__cx", "__cy")
+
+
 def capacity_near(clusters: DataFrame, known: DataFrame, reach: float = 1.0) -> DataFrame:
     """Rated power of a known transformer at a cluster's point (id, x, y), else within ``reach``: the smallest id counts."""
     met = within(clusters, known, reach)

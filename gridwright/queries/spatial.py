@@ -88,8 +88,8 @@ def drop_close_points(v: Views) -> DataFrame:
 def way_in_area(v: Views) -> DataFrame:
     """Lines that meet an area's bounds."""
     ways = v.x_buildings.select("osm_id", F.array(G.point(F.col("x"), F.col("y")), G.point(F.col("x") + 100, F.col("y"))).alias("line"))
-    boxes = v.nation.selectExpr("n_nationkey AS area", "400.0D * n_nationkey AS a", "400.0D * n_nationkey + 500 AS c")
-    return ways.join(F.broadcast(boxes), spatial.line_meets_box(F.col("line"), (F.col("a"), F.lit(3000.0), F.col("c"), F.lit(5000.0)))).select("osm_id", "area")
+    boxes = v.nation.selectExpr("n_nationkey AS area", "400.0D * n_nationkey AS a", "3000.0D AS b", "400.0D * n_nationkey + 500 AS c", "5000.0D AS d")
+    return spatial.lines_in_boxes(ways, boxes, 500.0).select("osm_id", "area")
 
 
 _ROAD = """WITH p AS (SELECT osm_id, x, y, LEAST(1,GREATEST(0,x/6000))*6000 AS ax, LEAST(1,GREATEST(0,y/8000))*8000 AS fy FROM x_buildings),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright import schemas
+from gridwright.operators.groups import broadcast_if_small
 
 
 def create_schema(spark: SparkSession, name: str, replace: bool = False) -> None:
@@ -77,7 +78,7 @@ def with_grid(rows: DataFrame, grids: DataFrame, equipment: DataFrame | None = N
     if equipment is None:
         return out
     e = equipment.withColumnRenamed("name", "transformer_equipment_name")
-    return out.join(F.broadcast(e), ["version_id", "transformer_equipment_name"], "left")
+    return out.join(broadcast_if_small(e), ["version_id", "transformer_equipment_name"], "left")
 
 
 def network_documents(tables_: dict[str, DataFrame], by: list[str], path: str) -> None:

@@ -132,6 +132,37 @@ def test_every_consumer_has_one_transformer_at_most(spark):
     assert len({r["vid"] for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_brownfield_rounds_match_the_sequence(spark, seed):
+    rng = random.Random(seed)
+    costs = [(g, c, 1000 + t, float(rng.choice([rng.randrange(800), rng.randrange(5) * 100]))) for g in (0, 1, 2) for c in range(60) for t in rng.sample(range(7), 4)]
+    costs += [(0, 999, 1001, 5.0), (1, 3, 1001, 1.0), (1, 3, 1001, 1.0)]
+    houses = [(g, c, rng.choice(["SFH", "MFH", "Commercial", "Public", "Other"]), rng.choice([8.0, 60.0, 250.0]), rng.randrange(0, 4), 1 + g) for g in (0, 1, 2) for c in range(60) for _ in range(rng.randrange(1, 3))]
+    c = spark.createDataFrame(costs, "g int, start_vid long, end_vid long, agg_cost double")
+    b = spark.createDataFrame(houses, "g int, vid long, type string, kw double, homes int, settlement_type int")
+    one, many = ({tuple(r) for r in clustering.brownfield_clusters(c, b, ["g"], pairs=n).collect()} for n in (10**6, 0))
+    assert one == many and len({r[1] for r in one}) > 1 and len(one) < 180
+    mixed = {tuple(r) for r in clustering.brownfield_clusters(c.where("g < 2 or start_vid < 20"), b, ["g"], pairs=100).collect()}
+    assert {r for r in mixed if r[0] < 2} == {r for r in one if r[0] < 2}
+    assert clustering.brownfield_rounds(c.limit(0), b, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_after_an_insert(spark, seed):
+    from gridwright.operators.components import components_with, connected_components
+
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 3), (70, 70)]
+    new = [(rng.randrange(80), rng.randrange(80)) for _ in range(12)] + [(90, 91), (92, 92), (None, 5), (1, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    known = connected_components(frame(edges))
+    want = {tuple(r) for r in connected_components(frame(edges + new)).collect()}
+    got = components_with(known, frame(new)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {tuple(r) for r in components_with(known, frame([])).collect()} == {tuple(r) for r in known.collect()}
+    assert {tuple(r) for r in components_with(known.limit(0), frame(new)).collect()} == {tuple(r) for r in connected_components(frame(new)).collect()}
+
+
 def test_split_keeps_length_and_skips_ends(spark):
     line = F.array(G.point(F.lit(0), F.lit(0)), G.point(F.lit(10), F.lit(0)))
     segs = spatial.segments(spark.range(1).select(F.lit(1).cast("long").alias("way_id"), line.alias("line")))
