@@ -11,6 +11,7 @@ of two, so no sequence needs padding.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +25,20 @@ from pyspark.sql import functions as F
 from gridwright.llm import runs
 from gridwright.llm.common import slices
 
-#: Characters of a text that are cut into words at a time.
-LONG = 4 << 20
+#: Characters of a text that are cut into words at a time, and bytes of texts that are taken together.
+LONG, TOGETHER = 4 << 20, 2 << 20
 _SPACE, _LETTER, _DIGIT, _MARK = range(4)
+#: The rules of a vocabulary file that ``word_starts`` follows (fixed values of the file).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Endings that the vocabulary file's own pre-token rule keeps together with an apostrophe (fixed values of the file).
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -68,7 +80,11 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of texts under a word-wise vocabulary, as little-endian unsigned 32-bit bytes; the words of a batch are looked up once each."""
+    """Ids of texts under a vocabulary, as little-endian unsigned 32-bit bytes.
+
+    Where the file has RULES, the words of a batch are looked up once each. Under any other rules the library encodes all
+    texts whole. ``checked`` holds the first of some texts against the library: a difference is an error.
+    """
 
     def __init__(self, path: str):
         import os
@@ -77,7 +93,9 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
+        rules = json.loads(self.tokenizer.to_str())
+        vocab, model = self.tokenizer.get_vocab(), rules["model"]
+        self.by_words = all(rules[k] == v for k, v in RULES.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
@@ -116,6 +134,8 @@ class WordIds:
 
     def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.by_words:
+            return self._whole(texts.to_pylist())
         data, offsets = runs.texts_data(texts)
         plain = runs.only(data, offsets, _PLAIN) & ~pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False).astype(bool)
         long = plain & (np.diff(offsets) > LONG)
@@ -128,6 +148,12 @@ class WordIds:
             out[i] = self._one(texts[i].as_py())
         return out
 
+    def checked(self, texts: pa.Array) -> list[bytes]:
+        out = self(texts)
+        if out and out[0] != self._whole([texts[0].as_py()])[0]:
+            raise RuntimeError("ids by words differ from the library's")
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def worker_ids(path: str) -> WordIds:
@@ -217,17 +243,19 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, packer = worker_ids(path), Packer(capacity, least)
         base = TaskContext.get().partitionId() * WORKER_SEQUENCES
-        types = None
+        types, first = None, True
 
         def batch_of(pieces: list) -> pa.RecordBatch:
             columns = [list(c) for c in zip(*pieces, strict=True)]
             columns[5] = [base + s for s in columns[5]]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
-        for batch in slices(batches, "text", LONG):
+        for batch in slices(batches, "text", TOGETHER):
             types = types or [batch.schema.field("doc_id").type, *[pa.int64()] * 6]
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
+            found = ids_of.checked(batch.column(1)) if first else ids_of(batch.column(1))  # a text of each task
+            first = False
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 out += packer.add(doc, ids + end)
             if out:
                 yield batch_of(out)

@@ -237,6 +237,18 @@ def test_word_ids_are_the_tokenizers(text):
     assert ids == np.array(WORDS.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_vocabularies_are_encoded_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    texts = ["Hello  World's 123", "", "a\nB  c<|x|>", "naïve – ok"]
+    theirs = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    other = packing.WordIds(path)
+    assert WORDS.by_words and not other.by_words and other(texts) == theirs
+    pieces = packing.packed(docs(spark, texts), path, 64, 50256, 4).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == {i: len(t) // 4 + 1 for i, t in enumerate(theirs)}
+
+
 WORDS = packing.WordIds(queries.vocabulary("word_bpe_49k.json"))
 PIECES = sentence_pieces.MergePieces(queries.vocabulary("piece_bpe_32k.model"))
 
