@@ -72,3 +72,24 @@ def test_tables_are_built_when_asked_for(spark):
     assert not {"_served", "line", "bus", "flow", "left_out"} & set(vars(plan))
     with pytest.raises(KeyError):
         plan["nothing"]
+
+
+LARGER = os.path.join(os.path.dirname(FOLDER), "sf0.01")
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_larger_tables_give_whole_grids(spark, monkeypatch):
+    from gridwright.operators import network
+    from gridwright.plans.generate import demo_inputs, generate
+    from gridwright.queries import QUERIES, sizing
+    from gridwright.queries.registry import Views
+
+    plan = generate(*demo_inputs(Views(spark, LARGER)))
+    monkeypatch.setattr(sizing, "_plan", lambda _: plan)
+    by, bus = plan["by"], plan["bus"]
+    assert bus.count() == bus.select(*by, "bus").distinct().count()
+    assert bus.where(F.col("bus") == network.MV_BUS).count() == plan["grids"].count()
+    assert bus.where("bus = -100").count() > 0  # a house, and no other bus
+    assert QUERIES["clustering_metrics"](spark, LARGER).count() == plan["grids"].count()
+    layers = QUERIES["gis_layers"](spark, LARGER).where("from_x is not null")
+    assert layers.count() == plan["line"].count()

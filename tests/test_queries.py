@@ -21,6 +21,17 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_plan():
+    """Queries of the whole plan share one."""
+    from gridwright.queries import sizing
+
+    own, built = sizing._plan, {}
+    sizing._plan = lambda v: built.setdefault("plan", None) or built.update(plan=own(v)) or built["plan"]
+    yield
+    sizing._plan = own
+
+
 def plain(value):
     return tuple(map(plain, value)) if isinstance(value, list) else value
 
