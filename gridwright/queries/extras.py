@@ -148,9 +148,11 @@ def cluster_hulls(v: Views) -> DataFrame:
     return h.select("plz", a.alias("x0"), c.alias("x1"), b.alias("y0"), d.alias("y1"), F.forall(turns, lambda t: t > 0).alias("convex"))
 
 
-@query("SELECT table_name, column_name, CAST(ordinal_position AS INT) AS position FROM information_schema.columns WHERE table_name SIMILAR TO '(region|nation|customer|supplier|part|orders|lineitem|events)' AND column_name LIKE '%key'")
+@query("""WITH n AS (SELECT 'region' AS t, COUNT(*) AS k FROM region UNION ALL SELECT 'nation', COUNT(*) FROM nation UNION ALL SELECT 'customer', COUNT(*) FROM customer UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+UNION ALL SELECT 'part', COUNT(*) FROM part UNION ALL SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'events', COUNT(*) FROM events)
+SELECT table_name, column_name, CAST(ordinal_position AS INT) AS position, n.k AS table_rows FROM information_schema.columns JOIN n ON n.t=table_name WHERE column_name LIKE '%key'""")
 def metadata_scan(v: Views) -> DataFrame:
-    """Key columns of the catalogue's tables by a pattern of their names; the views live as long as the scan."""
+    """Key columns of the catalogue's tables by a pattern of their names, with the tables' rows; the views live as long as the scan."""
     from gridwright.queries.registry import TABLES
     from gridwright.sources import sinks
 
@@ -160,9 +162,11 @@ def metadata_scan(v: Views) -> DataFrame:
     try:
         found = sinks.tables(v.spark, "default", f"[a-z]+{mark}")
         out = sinks.columns(v.spark, found)
+        rows = cut(sinks.row_counts(v.spark, found))
     finally:
         sinks.drop_views(v.spark, names)
-    return out.where("column_name LIKE '%key'").withColumn("table_name", F.expr(f"replace(table_name, '{mark}', '')"))
+    out = out.where("column_name LIKE '%key'").join(rows, "table_name")
+    return out.withColumn("table_name", F.expr(f"replace(table_name, '{mark}', '')"))
 
 
 @query("""WITH l AS (SELECT DISTINCT plz, osm_id AS bus FROM x_transformers WHERE transformer_rated_power=630),

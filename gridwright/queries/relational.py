@@ -38,10 +38,11 @@ def postcode_scan(v: Views) -> DataFrame:
     return v.x_buildings.select("plz").distinct().orderBy("plz")
 
 
-@query("SELECT definition, sim_factor FROM x_categories ORDER BY definition")
+@query("SELECT definition, sim_factor, COUNT(b.osm_id) AS buildings FROM x_categories c LEFT JOIN x_buildings b ON b.type=c.definition GROUP BY 1,2")
 def small_keyed_reads(v: Views) -> DataFrame:
-    """Categories by definition."""
-    return v.x_categories.select("definition", "sim_factor").orderBy("definition")
+    """Categories by definition, read for all buildings that have them."""
+    used = v.x_buildings.groupBy(F.col("type").alias("definition")).agg(F.count("*").alias("buildings"))
+    return v.x_categories.join(used, "definition", "left").select("definition", "sim_factor", F.coalesce("buildings", F.lit(0)).alias("buildings"))
 
 
 @query("SELECT s_suppkey AS osm_id, b.x, b.y FROM supplier s JOIN x_transformers b ON b.osm_id=s.s_suppkey")

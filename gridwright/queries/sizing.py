@@ -89,20 +89,22 @@ def consumer_cable_choice(v: Views) -> DataFrame:
     return peaks(v).where("kw > 0").select("osm_id", name.alias("cable"), n.alias("parallel"))
 
 
-@query("SELECT regexp_extract(name,'^([A-Z]+)',1) AS family, ARG_MAX(name, i) AS name FROM (VALUES ('NAYY_4_120',242),('NAYY_4_150',270),('NAYY_4_185',313),('NYY_4_35',159),('NAYY_4_50',142),('NYY_4_70',232)) AS c(name,i) GROUP BY 1")
+@query("SELECT f.family, f.name, COUNT(*) AS lines FROM x_lines l JOIN (SELECT regexp_extract(name,'^([A-Z]+)',1) AS family, ARG_MAX(name, i) AS name FROM (VALUES ('NAYY_4_120',242),('NAYY_4_150',270),('NAYY_4_185',313),('NYY_4_35',159),('NYY_4_70',232),('NAYY_4_50',142)) AS c(name,i) GROUP BY 1) f ON f.family=CASE WHEN l.line_id%3=0 THEN 'NYY' ELSE regexp_extract(l.std_type,'^([A-Z]+)',1) END GROUP BY 1,2")
 def fallback_cable(v: Views) -> DataFrame:
-    """The strongest cable of a family stands in for a missing one."""
+    """The strongest cable of a family stands in for a missing one of all lines of the family."""
     from gridwright import config
 
-    return cables.fallback_cable(config.cables(v.spark))
+    family = F.when(F.col("line_id") % 3 == 0, "NYY").otherwise(F.regexp_extract("std_type", "^([A-Z]+)", 1)).alias("family")
+    return v.x_lines.select(family).join(F.broadcast(cables.fallback_cable(config.cables(v.spark))), "family").groupBy("family", "name").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT name, CAST(i AS DOUBLE)/1000 AS max_i_ka, CAST(r AS DOUBLE)/1000 AS r_ohm_per_km FROM (VALUES ('NAYY_4_120',242,225),('NAYY_4_150',270,208),('NAYY_4_185',313,164),('NYY_4_35',159,524),('NAYY_4_50',142,642),('NYY_4_70',232,268)) AS c(name,i,r)")
+@query("SELECT l.grid_result_id, l.line_id, CAST(c.i AS DOUBLE)/1000 AS max_i_ka, CAST(c.r AS DOUBLE)/1000 AS r_ohm_per_km FROM x_lines l JOIN (VALUES ('NAYY_4_120',242,225),('NAYY_4_150',270,208),('NAYY_4_185',313,164),('NYY_4_35',159,524),('NAYY_4_50',142,642),('NYY_4_70',232,268)) AS c(name,i,r) ON c.name=l.std_type")
 def cable_types(v: Views) -> DataFrame:
-    """Cable data in ohm and kA."""
+    """Cable data of every line in ohm and kA."""
     from gridwright import config
 
-    return config.cables(v.spark).select("name", "max_i_ka", "r_ohm_per_km")
+    known = config.cables(v.spark).select(F.col("name").alias("std_type"), "max_i_ka", "r_ohm_per_km")  # six rows
+    return v.x_lines.join(F.broadcast(known), "std_type").select("grid_result_id", "line_id", "max_i_ka", "r_ohm_per_km")
 
 
 @query(name="generated_grids")
@@ -172,14 +174,16 @@ def meshed_flow(v: Views) -> DataFrame:
     return network.line_currents(meshed, flow, ["plz"]).select("plz", "from_bus", "to_bus", "length_km", "i_ka", "loading_percent", "pl_mw")
 
 
-@query("SELECT 'LC_' || name AS code, r/1000e0 AS r1, x/1000e0 AS x1, ROUND(3*r/1000e0,9) AS r0, ROUND(3*x/1000e0,9) AS x0, CAST(i AS DOUBLE) AS norm_amps, i*1.25e0 AS emerg_amps FROM (VALUES ('NAYY_4_120',242,225,80),('NAYY_4_150',270,208,80),('NAYY_4_185',313,164,80),('NYY_4_35',159,524,85),('NAYY_4_50',142,642,83),('NYY_4_70',232,268,82)) AS c(name,i,r,x)")
+@query("SELECT 'LC_' || name AS code, r/1000e0 AS r1, x/1000e0 AS x1, ROUND(3*r/1000e0,9) AS r0, ROUND(3*x/1000e0,9) AS x0, CAST(i AS DOUBLE) AS norm_amps, i*1.25e0 AS emerg_amps, COUNT(l.line_id) AS lines FROM (VALUES ('NAYY_4_120',242,225,80),('NAYY_4_150',270,208,80),('NAYY_4_185',313,164,80),('NYY_4_35',159,524,85),('NAYY_4_50',142,642,83),('NYY_4_70',232,268,82)) AS c(name,i,r,x) LEFT JOIN x_lines l ON l.std_type=c.name GROUP BY name, i, r, x")
 def line_codes(v: Views) -> DataFrame:
-    """Line codes of the cables for the circuit's script."""
+    """Line codes of the cables for the circuit's script, and how many lines have them."""
     from gridwright import config
     from gridwright.operators import scripts
 
-    codes = scripts.line_codes(config.cables(v.spark))
-    return codes.select("code", "r1", "x1", F.round("r0", 9).alias("r0"), F.round("x0", 9).alias("x0"), F.round("norm_amps", 6).alias("norm_amps"), F.round("emerg_amps", 6).alias("emerg_amps"))
+    known = config.cables(v.spark)
+    lines = scripts.coded_lines(v.x_lines.select("std_type", "length_km"), known).groupBy("code").agg(F.count("*").alias("lines"))
+    codes = scripts.line_codes(known).join(lines, "code", "left")
+    return codes.select("code", "r1", "x1", F.round("r0", 9).alias("r0"), F.round("x0", 9).alias("x0"), F.round("norm_amps", 6).alias("norm_amps"), F.round("emerg_amps", 6).alias("emerg_amps"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 _NAMED = "CASE line_id%5 WHEN 0 THEN 'NAYY 4x120 SE' WHEN 1 THEN 'NAYY_4_999' WHEN 2 THEN 'NYY_4_16' WHEN 3 THEN 'H07' ELSE std_type END"

@@ -32,6 +32,14 @@ def columns(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, position int")
 
 
+def row_counts(spark: SparkSession, names: list[str]) -> DataFrame:
+    """table_name, table_rows of tables or views of the session's catalogue."""
+    out = spark.createDataFrame([], "table_name string, table_rows long")
+    for n in names:
+        out = out.unionByName(spark.table(n).agg(F.count("*").alias("table_rows")).select(F.lit(n).alias("table_name"), "table_rows"))
+    return out
+
+
 def views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
     """Views of the session over ``frames`` by name, in place of older ones."""
     for name, df in frames.items():
