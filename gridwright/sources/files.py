@@ -80,9 +80,19 @@ def register(population: DataFrame, assignment: DataFrame, regions: DataFrame) -
     return out.withColumn("pop_den", F.col("pop") / F.col("area"))
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """A query of an outside store; filters on the result are pushed down to it."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, parts: int = 8, **options) -> DataFrame:
+    """A query of an outside store; filters on the result are pushed down to it.
+
+    With ``column``, a number of the query's result, it is read in ``parts`` tasks by even ranges between its least and largest value,
+    which are asked for first; rows without a value come with the first range.
+    """
+    if column is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    ends = spark.read.format("jdbc").options(url=url, query=f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM ({query}) q", **options).load().first()
+    if ends[0] is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    low, high = int(ends[0]), int(ends[1]) + 1
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=max(1, min(parts, high - low)), **options).load()
 
 
 def transformer_sites(sites: DataFrame, covering: DataFrame, shops: DataFrame, least_area: float = 60.0, most_volts: float = 110000.0, apart: float = 8.0) -> DataFrame:

@@ -101,6 +101,16 @@ def test_jdbc_query(spark, tmp_path):
     assert "PushedFilters" in got.where("id = 2")._jdf.queryExecution().toString() and [r["id"] for r in got.where("id = 2").collect()] == [2]
 
 
+def test_jdbc_by_ranges(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/ranges;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(i * 7, float(i)) for i in range(100)] + [(None, -1.0)]
+    spark.createDataFrame(rows, "ID int, AREA double").coalesce(1).write.jdbc(url, "buildings", properties={"driver": driver})
+    got = files.jdbc(spark, url, 'SELECT "ID" AS ID, "AREA" AS AREA FROM buildings WHERE "AREA" < 90', "ID", 5, driver=driver)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[1] < 90), key=str)
+    assert got.rdd.getNumPartitions() == 5 and min(got.rdd.glom().map(len).collect()) >= 17
+    assert files.jdbc(spark, url, 'SELECT "ID" AS ID FROM buildings WHERE "AREA" > 900', "ID", 5, driver=driver).count() == 0
+
+
 def test_shapefiles(spark, tmp_path):
     from gridwright.sources import shapefiles
 
