@@ -15,6 +15,7 @@ from gridwright.checkpoints import cut
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
 from gridwright.operators import hierarchy
 from gridwright.operators.groups import broadcast_if_small, dealt
+from gridwright.operators.nearest import nearest
 from gridwright.operators.routing import NO_WAY, metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
@@ -40,10 +41,13 @@ class Loads:
                 self.p[at[vid], j] += kw
                 self.n[at[vid], j] += homes
 
-    def total(self, rows) -> float:
-        p, n = self.p[rows].sum(0), self.n[rows].sum(0)
+    def peak(self, p: np.ndarray, n: np.ndarray) -> float:
+        """Simultaneous load of installed power and units in the order of the categories."""
         return peak(dict(zip(self.CATEGORIES, p, strict=True)), dict(zip(self.CATEGORIES, n, strict=True)))
 
+    def total(self, rows) -> float:
+        return self.peak(self.p[rows].sum(0), self.n[rows].sum(0))
+
 
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
     """(cluster, cluster, height, size) of each merge; new clusters are numbered from n. Equal heights merge the lowest rows first."""
@@ -321,23 +325,33 @@ def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reac
     return found.groupBy(*by).agg(first).select(*by, "z.ont_vid", "z.moment", "z.feasible")
 
 
-def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+#: Buildings of a component from which its parts' centres are found, about.
+DRAWN = 50_000
+
+
+def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT, drawn: int = DRAWN) -> DataFrame:
     """Buildings (by, component, vid, x, y) with kcid from 1 in each ``by``; components of one building or none go.
 
     Components at or above the limit are split by k-means into int(n / divider) parts; ids follow the
-    order of components and, inside, of the parts' smallest vertices.
+    order of components and, inside, of the parts' smallest vertices. The centres of a component come from about
+    ``drawn`` of its buildings, all of them where it has fewer; each building joins the nearest, ties to the first.
     """
     sized = buildings.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "component"))).where("__n > 1")
     small = sized.where(F.col("__n") < config.large_component).withColumn("__part", F.lit(0))
     large = sized.where(F.col("__n") >= config.large_component)
 
-    def split(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        k = int(len(p) / config.component_divider)
-        labels, _ = kmeans(p[["x", "y"]].to_numpy(float), max(1, k), config.seed)
-        return p.assign(__part=labels)
-
-    parts = large.groupBy(*by, "component").applyInPandas(split, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in large.schema)}, `__part` int")
-    rows = small.unionByName(parts.withColumn("__part", F.col("__part").cast("int")))
+    def centres(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        _, found = kmeans(p[["x", "y"]].to_numpy(float), max(1, int(p["__n"].iloc[0] / config.component_divider)), config.seed)
+        return pd.DataFrame({**dict(zip([*by, "component"], key, strict=True)), "id": np.arange(len(found)), "x": found[:, 0], "y": found[:, 1]})
+
+    kinds = ", ".join(f"{c} {large.schema[c].dataType.simpleString()}" for c in [*by, "component"])
+    share = F.lit(float(drawn)) / F.col("__n")
+    some = large.where((F.col("__n") <= drawn) | (F.shiftrightunsigned(F.xxhash64("vid", "x", "y", F.lit("parts")), 11) / float(1 << 53) < share))
+    found = cut(some.select(*by, "component", "__n", "x", "y").groupBy(*by, "component").applyInPandas(centres, f"{kinds}, id long, x double, y double"))
+    places = large.select(*by, "component", "x", "y").distinct().withColumn("id", F.xxhash64("x", "y"))
+    near = nearest(places, found, 1, [*by, "component"]).select(*by, "component", "x", "y", F.col("other").cast("int").alias("__part"))
+    parts = large.join(near.dropDuplicates([*by, "component", "x", "y"]), [*by, "component", "x", "y"]).select(*large.columns, "__part")
+    rows = small.unionByName(parts)
     rows = rows.withColumn("__least", F.min("vid").over(Window.partitionBy(*by, "component", "__part")))
     return rows.withColumn("kcid", F.dense_rank().over(Window.partitionBy(*by).orderBy("component", "__least"))).drop("__n", "__part", "__least")
 

@@ -15,7 +15,7 @@ from gridwright.functions.hashing import uniform
 from gridwright.operators.cables import consumer_cable, feeder_cable
 from gridwright.operators.clustering import Loads
 from gridwright.operators.groups import dealt
-from gridwright.operators.routing import plan_branches, shortest
+from gridwright.operators.routing import Forest, plan_branches, shortest
 
 #: Buses beside connection points, whose number is their vertex (0 and up), and houses, which have -2 - vertex.
 LV_BUS, MV_BUS = -1, -(1 << 52)
@@ -71,17 +71,18 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
                 parent[nodes[-1]] = hook
             for n in nodes:
                 branch_of[n] = index
-        below = {n: [n] for n in points}
-        for n in points:
-            up = parent.get(n)
-            while up is not None:
-                below.setdefault(up, []).append(n)
-                up = parent.get(up)
+        forest = Forest(points, [parent.get(n) for n in points])
+        at_node = forest.index(points)
+        own = np.zeros((2, len(forest.ids), loads.p.shape[1]))
+        own[0, at_node], own[1, at_node] = loads.p, loads.n
+        if root in at:
+            own[:, at_node[at[root]]] = 0  # what stands at the transformer's own place loads no cable
+        power, units = (forest.below(x) for x in own)
         rows = []
-        for n in points:
+        for n, i in zip(points, at_node.tolist(), strict=True):
             up = parent.get(n, root)
             metres = 1.0 if n == root else distance[n] - distance[up] if up != root else distance[n]
-            rows.append((*key, n, up, branch_of[n], "root_feeder" if up == root else "feeder", max(metres, 0.0), of([x for x in below[n] if x != root])))
+            rows.append((*key, n, up, branch_of[n], "root_feeder" if up == root else "feeder", max(metres, 0.0), loads.peak(power[i], units[i])))
         for vid, group in b.groupby("a"):
             point = int(group["b"].iloc[0])
             rows.append((*key, int(vid), point, branch_of[point], "consumer", max(distance[int(vid)] - distance[point], 0.0), float(group["z"].iloc[0])))

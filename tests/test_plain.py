@@ -564,3 +564,23 @@ def test_large_components_are_split(spark):
     assert len(got) == 99 and sorted(parts) == [1, 2, 3, 4]
     assert sorted(len(p) for k, p in parts.items() if {c for c, _ in p} == {1}) == [1, 1, 1]
     assert [k for k, p in parts.items() if {c for c, _ in p} == {2}] == [4]
+
+
+def test_parts_of_a_component_come_from_a_sample(spark):
+    from gridwright.config import Config
+
+    config = Config(large_component=100, component_divider=100)
+    rng = np.random.default_rng(4)
+    spots = [(0.0, 0.0), (9000.0, 0.0), (0.0, 9000.0), (9000.0, 9000.0)]
+    rows = [(p, 1, 1000 * p + i, float(spots[i % 4][0] + rng.integers(0, 50)), float(spots[i % 4][1] + rng.integers(0, 50))) for p in (1, 2) for i in range(400)]
+    rows.append((*rows[-1][:2], 5000, *rows[-1][3:]))
+    df = spark.createDataFrame(rows, "plz int, component long, vid long, x double, y double")
+    for drawn in (50_000, 60):
+        got = clustering.components_to_clusters(df, ["plz"], config, drawn).collect()
+        assert len(got) == 801
+        for p in (1, 2):
+            parts = defaultdict(set)
+            for r in got:
+                if r["plz"] == p:
+                    parts[r["kcid"]].add((round(r["x"] / 9000), round(r["y"] / 9000)))
+            assert sorted(parts) == [1, 2, 3, 4] and all(len(x) == 1 for x in parts.values())
