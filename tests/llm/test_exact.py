@@ -386,3 +386,47 @@ def test_conversation_ids_of_any_type(spark, kind):
 def test_conversations_with_nan_ids_are_one(spark):
     rows = spark.createDataFrame([(float("nan"), i, "assistant", "x") for i in range(3)], "conv_id double, turn long, role string, text string")
     assert [r["n_turns"] for r in chat_format.read_back(chat_format.prefix_targets(rows)).collect()] == [3]
+
+
+# --- very long texts ---------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def long_texts():
+    """Texts of 3 to 9 MB, longer than any slice: words, one endless word, two that differ in their last letter, and copies."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "sit", "amet's") for b in ("", "que", " 17", "é")]
+    prose = " ".join(rng.choice(words) for _ in range(1_100_000))
+    return [prose, prose, prose[:-1] + "z", "w" * 3_000_000, prose[:5_000_000], "short", None]
+
+
+def test_long_texts_are_told_apart(spark, long_texts):
+    got = exact_dedup.exact_dedup(docs(spark, long_texts)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == sorted(plain_dedup(list(enumerate(long_texts))))
+
+
+def test_long_texts_are_sharded_by_their_bytes(spark, long_texts):
+    got = {r["doc_id"]: r for r in sharding.shards(docs(spark, long_texts)).collect()}
+    for i, t in enumerate(long_texts):
+        raw = (t or "").encode()
+        assert (got[i]["size"], got[i]["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+
+
+def test_long_texts_are_packed_whole(spark, long_texts):
+    some = [long_texts[0], long_texts[4], long_texts[5]]
+    pieces = packing.packed(docs(spark, some), queries.vocabulary("word_bpe_49k.json")).collect()
+    for i, t in enumerate(some):
+        ids = np.array([*WORDS.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in pieces if r["doc_id"] == i)
+        at = 0
+        for start, length, crc in mine:
+            assert start == at and crc == zlib.crc32(ids[4 * start : 4 * (start + length)])
+            at += length
+        assert at == len(ids) // 4 and {r["doc_tokens"] for r in pieces if r["doc_id"] == i} == {at}
+
+
+def test_long_texts_become_pieces_whole(spark, long_texts):
+    some = [long_texts[4], long_texts[3][:200_000]]
+    got = {r["doc_id"]: r for r in sentence_pieces.digests(docs(spark, some), queries.vocabulary("piece_bpe_32k.model")).collect()}
+    for i, t in enumerate(some):
+        ids = PIECES.library.encode(t, add_bos=True, add_eos=True)
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(PIECES.library.decode(ids).encode()).hexdigest()
