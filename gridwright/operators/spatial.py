@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
 from gridwright.functions import geometry as G
-from gridwright.operators.components import connected_components
+from gridwright.operators.components import JOINED, connected_components
 from gridwright.operators.nearest import nearest as nearest
 from gridwright.operators.numbering import numbered
 
@@ -70,7 +70,7 @@ def contained(points: DataFrame, areas: DataFrame, width: float) -> DataFrame:
 
 def spread_flag(nodes: DataFrame, edges: DataFrame, flag: Column) -> DataFrame:
     """nodes (id) with ``reached``: whether the flag holds for one of those that edges (src, dst) connect it with."""
-    comp = connected_components(edges)
+    comp = connected_components(edges, joined=JOINED)
     known = nodes.withColumn("__f", F.coalesce(flag, F.lit(False))).join(comp, F.col("id") == F.col("node"), "left").withColumn("__c", F.coalesce("component", F.col("id"))).drop("node", "component")
     hit = known.where("__f").select("__c").distinct().withColumn("reached", F.lit(True))
     return known.join(hit, "__c", "left").withColumn("reached", F.coalesce("reached", F.lit(False))).drop("__c", "__f")

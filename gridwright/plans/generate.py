@@ -16,7 +16,7 @@ from gridwright.config import DEFAULT, Config
 from gridwright.functions import electrical as E
 from gridwright.functions import geometry as G
 from gridwright.operators import clustering, network, routing, spatial
-from gridwright.operators.components import connected_components
+from gridwright.operators.components import JOINED, connected_components
 from gridwright.operators.loads import allocate
 from gridwright.sources.sinks import duplicates
 
@@ -91,7 +91,7 @@ class Plan(Mapping):
         hook = edges.where("clazz = 110").select(F.col("source").alias("vid"), F.col("target").alias("connection_point")).union(edges.where("clazz = 110").select("target", "source"))
         first = F.row_number().over(Window.partitionBy("osm_id").orderBy("connection_point"))
         house = cut(self._at(self._buildings).join(hook, "vid").withColumn("__at", first).where("__at = 1").drop("__at"))
-        comp = cut(connected_components(edges, "source", "target"))
+        comp = cut(connected_components(edges, "source", "target", joined=JOINED))
         rows = house.join(comp.withColumnRenamed("node", "vid"), "vid").select("plz", "component", "vid", "x", "y")
         kcid = cut(clustering.components_to_clusters(rows, ["plz"], self.config).select("plz", "vid", "component", "kcid"))
         house = cut(house.join(kcid.select("plz", "vid", "kcid"), ["plz", "vid"]).join(self._types, "plz"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import geometry as G
 from gridwright.operators import grid_metrics, routing
-from gridwright.operators.components import components_with, connected_components
+from gridwright.operators.components import JOINED, components_with, connected_components
 from gridwright.queries.registry import Views, query
 
 _UP = "RECURSIVE up(node, anc, dist, hops) AS (SELECT source, source, CAST(0 AS DOUBLE), 0 FROM x_edges UNION ALL SELECT 0, 0, CAST(0 AS DOUBLE), 0 UNION ALL SELECT u.node, e.target, u.dist+e.cost, u.hops+1 FROM up u JOIN x_edges e ON e.source=u.anc)"
@@ -30,14 +30,14 @@ def _parents(v: Views) -> DataFrame:
 @query("WITH RECURSIVE n AS (SELECT source AS node FROM x_forest UNION SELECT target FROM x_forest), r(node, top) AS (SELECT node, node FROM n UNION ALL SELECT r.node, f.target FROM r JOIN x_forest f ON f.source=r.top) SELECT node, MIN(top) AS component FROM r GROUP BY node")
 def components(v: Views) -> DataFrame:
     """Connected components of a forest."""
-    return connected_components(v.x_forest, "source", "target")
+    return connected_components(v.x_forest, "source", "target", joined=JOINED)
 
 
 @query("WITH RECURSIVE n AS (SELECT source AS node FROM x_forest UNION SELECT target FROM x_forest), r(node, top) AS (SELECT node, node FROM n UNION ALL SELECT r.node, f.target FROM r JOIN x_forest f ON f.source=r.top) SELECT node, MIN(top) AS component FROM r GROUP BY node")
 def components_added(v: Views) -> DataFrame:
     """Components of a forest after a tenth of its edges came later: only the classes that these touch are joined."""
     late = F.col("source") % 10 == 3
-    known = connected_components(v.x_forest.where(~late), "source", "target")
+    known = connected_components(v.x_forest.where(~late), "source", "target", joined=JOINED)
     return components_with(known, v.x_forest.where(late), "source", "target")
 
 

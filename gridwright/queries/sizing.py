@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.checkpoints import cut
 from gridwright.config import DEFAULT
 from gridwright.operators import cables, clustering, network, routing
-from gridwright.operators.components import connected_components
+from gridwright.operators.components import JOINED, connected_components
 from gridwright.queries.expressions import peaks
 from gridwright.queries.graphs import _STREET_COSTS, street_points, streets
 from gridwright.queries.registry import Views, query
@@ -69,7 +69,7 @@ def bcid_accept(v: Views) -> DataFrame:
 @query("WITH RECURSIVE n AS (SELECT source AS node FROM x_forest UNION SELECT target FROM x_forest), r(node, top) AS (SELECT node, node FROM n UNION ALL SELECT r.node, f.target FROM r JOIN x_forest f ON f.source=r.top), c AS (SELECT node, MIN(top) AS component FROM r GROUP BY node), s AS (SELECT *, COUNT(*) OVER (PARTITION BY component) AS k FROM c) SELECT node AS vid, CAST(DENSE_RANK() OVER (ORDER BY component) AS INT) AS kcid FROM s WHERE k>1")
 def component_dispatch(v: Views) -> DataFrame:
     """Components become clusters; lone ones go, large ones would be split."""
-    comp = connected_components(v.x_forest, "source", "target")
+    comp = connected_components(v.x_forest, "source", "target", joined=JOINED)
     b = comp.select(F.lit(1).alias("plz"), "component", F.col("node").alias("vid"), F.col("node").cast("double").alias("x"), F.lit(0.0).alias("y"))
     return clustering.components_to_clusters(b, ["plz"]).select("vid", "kcid")
 

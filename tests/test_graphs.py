@@ -147,6 +147,32 @@ def test_brownfield_rounds_match_the_sequence(spark, seed):
     assert clustering.brownfield_rounds(c.limit(0), b, ["g"]).count() == 0
 
 
+@pytest.mark.parametrize("joined", [0, 5, 40, 10**6])
+def test_components_by_tasks_and_rounds(spark, joined):
+    from gridwright.operators.components import connected_components
+
+    rng = random.Random(joined)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(None, 3), (7, None), (999, 999)]
+    rng.shuffle(edges)
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [] if n in want else [n]
+        while todo:
+            m = todo.pop()
+            if m not in want:
+                want[m] = n
+                todo += near[m]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(6), joined=joined).collect()
+    assert len(got) == len(want) and {(r["node"], r["component"]) for r in got} == set(want.items())
+    named = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
+    assert {tuple(r) for r in connected_components(named, joined=joined).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_after_an_insert(spark, seed):
     from gridwright.operators.components import components_with, connected_components
