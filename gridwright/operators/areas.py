@@ -10,7 +10,7 @@ Every step is keyed by cell, edge or piece; a group of any size spreads over all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridwright.checkpoints import cut
@@ -95,26 +95,27 @@ def covered(points: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
     c = F.col
     held = _in_cells(e).select(*by, "a", "cx", "cy", "x1", "y1", "x2", "y2")
     corners = cut(_odd_corners(e, by))
-    full = corners.join(held.select(*by, "a", "cx", "cy").distinct(), [*by, "a", "cx", "cy"], "left_anti").select(*by, "cx", "cy").distinct()
-    held = held.join(corners.withColumn("odd", F.lit(1)), [*by, "a", "cx", "cy"], "left")
+    edged = held.select(*by, "a", "cx", "cy").distinct()
+    full = corners.join(edged, [*by, "a", "cx", "cy"], "left_anti").select(*by, "cx", "cy").distinct()
     at = points.select(*by, "id", "x", "y", _cell(c("x"), "x0").alias("cx"), _cell(c("y"), "y0").alias("cy"), "x0", "y0", "w")
     whole = at.join(full, [*by, "cx", "cy"], "left_semi").select("id")
+    at = at.join(full, [*by, "cx", "cy"], "left_anti")
     left, low = c("x0") + c("cx") * c("w"), c("y0") + c("cy") * c("w")
-    up = c("y1") + F.try_divide((left - c("x1")) * (c("y2") - c("y1")), c("x2") - c("x1"))
     # what lies level with a place counts as below it, here as in the crossings of its own level
+    up = c("y1") + F.try_divide((left - c("x1")) * (c("y2") - c("y1")), c("x2") - c("x1"))
     along = c("x1") + F.try_divide((c("y") - c("y1")) * (c("x2") - c("x1")), c("y2") - c("y1"))
-    rises = ((c("x1") > left) != (c("x2") > left)) & (up > low) & (up <= c("y"))
-    runs = ((c("y1") > c("y")) != (c("y2") > c("y"))) & (along > left) & (along < c("x"))
-    met = at.join(held, [*by, "cx", "cy"])
-    odd = F.sum(F.coalesce(rises, F.lit(False)).cast("int") + F.coalesce(runs, F.lit(False)).cast("int")) + F.max(F.coalesce("odd", F.lit(0)))
-    parity = met.groupBy("id", "a").agg(odd.alias("n")).where("n % 2 = 1").select("id")
+    rises = F.coalesce(((c("x1") > left) != (c("x2") > left)) & (up > low) & (up <= c("y")), F.lit(False))
+    runs = F.coalesce(((c("y1") > c("y")) != (c("y2") > c("y"))) & (along > left) & (along < c("x")), F.lit(False))
+    crossed = at.join(held, [*by, "cx", "cy"]).where(rises | runs).select("id", "a", (rises.cast("int") + runs.cast("int")).alias("n"))
+    begun = at.join(corners.join(edged, [*by, "a", "cx", "cy"], "left_semi"), [*by, "cx", "cy"]).select("id", "a", F.lit(1).alias("n"))
+    parity = crossed.unionByName(begun).groupBy("id", "a").agg(F.sum("n").alias("n")).where("n % 2 = 1").select("id")
     return whole.union(parity).distinct()
 
 
 def outline(areas: DataFrame, by: list[str], digits: int = 6, step: float = 1e-5) -> DataFrame:
     """by, x1, y1, x2, y2: the pieces of the outline of each group's union (areas: by, rings), with what is covered on their left."""
     given = cut(areas.select(*by, "rings").withColumn("a", F.monotonically_increasing_id()))
-    e = cut(edges(given, by))
+    e = edges(given, by)
     e = cut(with_group(e, cut(_grid(e, by)), by))
     p = cut(pieces(e, by, digits).withColumn("id", F.monotonically_increasing_id()))
     c = F.col
@@ -150,9 +151,10 @@ def rings(pieces_: DataFrame, by: list[str]) -> DataFrame:
         far = now.select(c("id").alias("to"), c("to").alias("__to"), c("least").alias("__least"), c("ahead").alias("__ahead"))
         better = c("__least") < c("least")
         moved = now.join(far, "to").select(*by, "id", "x1", "y1", c("__to").alias("to"), F.least("least", "__least").alias("least"), F.when(better, c("__ahead") + step).otherwise(c("ahead")).alias("ahead"), better.alias("moved"))
-        now = cut(moved, release=True)
+        seen = Observation()
+        now = cut(moved.observe(seen, F.max("moved").alias("any")), release=step % 64 == 0)
         step *= 2
-        if not now.agg(F.max("moved")).first()[0]:
+        if not seen.get["any"]:
             break
     return now.select(*by, c("least.id").alias("ring"), F.when(c("ahead") == 0, F.lit(0)).otherwise(-c("ahead")).alias("place"), (c("ahead") == 0).alias("first"), c("x1").alias("x"), c("y1").alias("y"))
 
