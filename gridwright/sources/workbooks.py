@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,15 +98,17 @@ def sheets(books: DataFrame, columns: dict[str, str], sheet: str | None = None,
     """
     names = list(columns)
 
-    @F.udf("array<array<string>>")
-    def rows(raw):
-        cells = read_sheet(bytes(raw), sheet)
-        head = cells[header_row] if len(cells) > header_row else []
-        at = [head.index(n) if n in head else None for n in names]
-        return [[r[i] if i is not None and i < len(r) else None for i in at] for r in cells[header_row + 1 :]]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                cells = read_sheet(raw.as_py(), sheet) if raw.is_valid else []
+                head = cells[header_row] if len(cells) > header_row else []
+                at = [head.index(n) if n in head else None for n in names]
+                body = cells[header_row + 1 :]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] if i is not None and i < len(r) else None for r in body], pa.string()) for i in at], [f"c{i}" for i in range(len(names))])
 
-    found = books.select(F.explode(rows("content")).alias("r"))
-    return found.select(*[F.col("r")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(columns.items())])
+    found = books.select("content").mapInArrow(rows, ", ".join(f"c{i} string" for i in range(len(names))))
+    return found.select(*[F.col(f"c{i}").try_cast(t).alias(n) for i, (n, t) in enumerate(columns.items())])
 
 
 def workbooks(tables: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -112,11 +117,9 @@ def workbooks(tables: dict[str, DataFrame], by: list[str]) -> DataFrame:
 
     schemas = {n: sorted(c for c in df.columns if c not in by) for n, df in tables.items()}
 
-    @F.udf("binary")
-    def book(doc):
-        import json
-
-        parsed = json.loads(doc)
-        return write_sheets({n: (cols, [tuple(r.get(c) for c in cols) for r in parsed.get(n) or []]) for n, cols in schemas.items()})
+    @F.arrow_udf("binary")
+    def book(docs: pa.Array) -> pa.Array:
+        parsed = [json.loads(d) for d in docs.to_pylist()]
+        return pa.array([write_sheets({n: (cols, [tuple(r.get(c) for c in cols) for r in p.get(n) or []]) for n, cols in schemas.items()}) for p in parsed], pa.binary())
 
     return as_document(tables, by).select(*by, book("grid").alias("content"))
