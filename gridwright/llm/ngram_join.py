@@ -13,7 +13,7 @@ kept apart by size, since linked documents are of like size.
 Only the classes are asked for, so links inside a class that is known already need no search. Two
 rounds check documents in long lists against leaders of these and join classes; then every candidate
 pair across classes is checked, with no cap. Equal sets are one node. Pairs are
-verified on whole sets.
+verified on whole sets; a set holds 64-bit hashes of the shingles, which stand for the shingles themselves.
 """
 
 from __future__ import annotations
