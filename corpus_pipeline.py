@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.checkpoints import ensure_checkpoint_dir
+from gridwright.checkpoints import cut, ensure_checkpoint_dir
 from gridwright.llm import exact_dedup, language_id, ngram_join, packing, quality
 
 
@@ -49,14 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in order over documents; what each keeps goes through Parquet in the shared checkpoint folder."""
+    """STAGES in order over documents; what each keeps goes through Parquet in the shared checkpoint folder, which is emptied after a failure too."""
     ensure_checkpoint_dir(spark)
-    jvm, folder = spark.sparkContext._jvm, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            before = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
-            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
-    return docs
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder.toString()}/{k}")
+            docs = spark.read.parquet(f"{folder.toString()}/{k}")
+            if k:
+                files.delete(folder.suffix(f"/{k - 1}"), True)
+        return cut(docs)
+    finally:
+        files.delete(folder, True)
