@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
 from gridwright.operators import hierarchy
 from gridwright.operators.groups import broadcast_if_small, dealt
 from gridwright.operators.nearest import nearest
+from gridwright.operators.numbering import numbered
 from gridwright.operators.routing import NO_WAY, metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
@@ -329,6 +332,28 @@ def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reac
 DRAWN = 50_000
 
 
+def _shared(buildings: DataFrame, by: list[str]) -> DataFrame:
+    """Buildings of components that have more than one, with their number (__n)."""
+    return buildings.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "component"))).where("__n > 1")
+
+
+def _with_kcid(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (with __n, __part) and kcid: parts are numbered, not rows, so no task holds all rows of one ``by``."""
+    keys = [*by, "component", "__part"]
+    rows = cut(rows)
+    parts = cut(numbered(rows.groupBy(*keys).agg(F.min("vid").alias("__least")), [*by, "component", "__least"], "__no"))
+    agree = lambda names, mark: reduce(and_, [F.col(c).eqNullSafe(F.col(mark + c)) for c in names])
+    first = parts.groupBy(*[F.col(c).alias(f"__f{c}") for c in by]).agg(F.min("__no").alias("__first"))
+    kcid = parts.join(first, agree(by, "__f")).select(*[F.col(c).alias(f"__k{c}") for c in keys], (F.col("__no") - F.col("__first") + 1).cast("int").alias("kcid"))
+    kept = [c for c in rows.columns if c not in ("__n", "__part")]
+    return rows.join(broadcast_if_small(cut(kcid)), agree(keys, "__k")).select(*kept, "kcid")
+
+
+def component_clusters(buildings: DataFrame, by: list[str]) -> DataFrame:
+    """Buildings (by, component, vid) with kcid from 1 in each ``by``, in the order of components; components of one building go, none is split."""
+    return _with_kcid(_shared(buildings, by).withColumn("__part", F.lit(0)), by)
+
+
 def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT, drawn: int = DRAWN) -> DataFrame:
     """Buildings (by, component, vid, x, y) with kcid from 1 in each ``by``; components of one building or none go.
 
@@ -336,7 +361,7 @@ def components_to_clusters(buildings: DataFrame, by: list[str], config: Config =
     order of components and, inside, of the parts' smallest vertices. The centres of a component come from about
     ``drawn`` of its buildings, all of them where it has fewer; each building joins the nearest, ties to the first.
     """
-    sized = buildings.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "component"))).where("__n > 1")
+    sized = _shared(buildings, by)
     small = sized.where(F.col("__n") < config.large_component).withColumn("__part", F.lit(0))
     large = sized.where(F.col("__n") >= config.large_component)
 
@@ -351,9 +376,7 @@ def components_to_clusters(buildings: DataFrame, by: list[str], config: Config =
     places = large.select(*by, "component", "x", "y").distinct().withColumn("id", F.xxhash64("x", "y"))
     near = nearest(places, found, 1, [*by, "component"]).select(*by, "component", "x", "y", F.col("other").cast("int").alias("__part"))
     parts = large.join(near.dropDuplicates([*by, "component", "x", "y"]), [*by, "component", "x", "y"]).select(*large.columns, "__part")
-    rows = small.unionByName(parts)
-    rows = rows.withColumn("__least", F.min("vid").over(Window.partitionBy(*by, "component", "__part")))
-    return rows.withColumn("kcid", F.dense_rank().over(Window.partitionBy(*by).orderBy("component", "__least"))).drop("__n", "__part", "__least")
+    return _with_kcid(small.unionByName(parts), by)
 
 
 # --- clusters of grids -------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridwright.functions import geometry as G
-from gridwright.operators import spatial
+from gridwright.operators import clustering, spatial
 
 
 def test_a_way_that_touches_a_point_is_no_candidate_with_its_other_pieces(spark):
@@ -12,3 +12,10 @@ def test_a_way_that_touches_a_point_is_no_candidate_with_its_other_pieces(spark)
     points = spark.createDataFrame([(1, 6000.0, 1298.0), (2, 5000.0, 300.0)], "id long, x double, y double")
     got = spatial.nearest_way(points, spatial.segments(road), 2000.0, 0.1).select("id", "dist", "m").collect()
     assert [tuple(r) for r in got] == [(2, 300.0, 5000.0)]
+
+
+def test_components_become_clusters_of_any_size(spark):
+    n = 6000
+    rows = spark.range(n + 5).selectExpr("CAST(1 AS INT) AS plz", f"IF(id < {n}, 7L, IF(id < {n + 2}, 3L, IF(id < {n + 3}, 5L, 9L))) AS component", "id AS vid")
+    got = clustering.component_clusters(rows, ["plz"]).groupBy("component", "kcid").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 1, 2), (7, 2, n), (9, 3, 2)]
