@@ -194,6 +194,59 @@ def sweep(order: list[int], parent: dict[int, int], impedance: dict[int, complex
     return {n: abs(x) / kv for n, x in v.items()}, {n: abs(c) for n, c in current.items()}, False
 
 
+#: Unknowns' nodes up to which what elimination has left is solved as one dense matrix.
+DENSE = 128
+
+
+def eliminate(n: int, i: np.ndarray, j: np.ndarray, blocks: np.ndarray, own: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x (n, 2) of a sparse system of 2 x 2 blocks: ``own`` on the diagonal, ``blocks`` at (i, j), as often at (j, i), each place once.
+
+    In every round the nodes that have fewer neighbours than all their neighbours have (ties by a hash) are eliminated together, so
+    memory and work follow the lines and what elimination adds between neighbours; few nodes, or a dense rest, are solved at once.
+    """
+    own, x, right, done, left = own.copy(), np.zeros((n, 2)), right.copy(), [], np.arange(n)
+    rank = np.random.default_rng(0).permutation(n)
+    while len(left) > DENSE and 4 * len(i) < len(left) ** 2:
+        degree = np.bincount(i, minlength=n)
+        key = degree * n + rank
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, i, key[j])
+        gone = np.zeros(n, bool)
+        gone[left[key[left] < least[left]]] = True
+        out = np.flatnonzero(gone)
+        inverse = np.zeros_like(own)
+        inverse[out] = np.linalg.inv(own[out])
+        up, down = np.flatnonzero(gone[j]), np.flatnonzero(gone[i])  # (kept, gone) and (gone, kept): no two gone ones are neighbours
+        up, down = up[np.argsort(j[up], kind="stable")], down[np.argsort(i[down], kind="stable")]
+        done.append((out, inverse[out], i[down], j[down], blocks[down]))
+        factor = blocks[up] @ inverse[j[up]]
+        np.subtract.at(right, i[up], (factor @ right[j[up], :, None])[..., 0])
+        count = degree[j[up]]  # each (kept, gone) meets every (gone, kept) of the same node
+        first = np.searchsorted(i[down], j[up])
+        a = np.repeat(np.arange(len(up)), count)
+        b = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        u, v, added = i[up][a], j[down][b], -(factor[a] @ blocks[down][b])
+        same = u == v
+        np.add.at(own, u[same], added[same])
+        stay = ~(gone[i] | gone[j])
+        u, v, added = np.concatenate([i[stay], u[~same]]), np.concatenate([j[stay], v[~same]]), np.concatenate([blocks[stay], added[~same]])
+        place, at = np.unique(u * n + v, return_inverse=True)
+        blocks = np.zeros((len(place), 2, 2))
+        np.add.at(blocks, at, added)
+        i, j, left = place // n, place % n, left[~gone[left]]
+    at = np.zeros(n, np.int64)
+    at[left] = np.arange(len(left))
+    dense = np.zeros((len(left), 2, len(left), 2))
+    dense[at[i], :, at[j], :] = blocks
+    dense[np.arange(len(left)), :, np.arange(len(left)), :] = own[left]
+    x[left] = np.linalg.solve(dense.reshape(2 * len(left), -1), right[left].ravel()).reshape(-1, 2)
+    for out, inverse, u, v, part in reversed(done):
+        rest = right[out].copy()
+        np.subtract.at(rest, np.searchsorted(out, u), (part @ x[v, :, None])[..., 0])
+        x[out] = (inverse @ rest[..., None])[..., 0]
+    return x
+
+
 def newton(ends: np.ndarray, impedance: np.ndarray, demand: np.ndarray, kv: float, source_pu: float = 1.0, rounds: int = 40, tolerance: float = 1e-10) -> tuple[np.ndarray, bool]:
     """(complex voltages in kV of all buses, converged) of any connected grid, meshed or not, by Newton's method. Bus 0 holds the source.
 
@@ -201,28 +254,30 @@ def newton(ends: np.ndarray, impedance: np.ndarray, demand: np.ndarray, kv: floa
     """
     n = len(demand)
     admittance = 1 / np.where(np.abs(impedance) < 1e-7, 1e-7, impedance)
-    y = np.zeros((n, n), complex)
-    for (a, b), g in zip(ends, admittance, strict=True):
-        y[a, a] += g
-        y[b, b] += g
-        y[a, b] -= g
-        y[b, a] -= g
+    a, b = ends[:, 0], ends[:, 1]
+    place, at = np.unique(np.concatenate([a * n + b, b * n + a]), return_inverse=True)
+    i, j = place // n, place % n
+    y, self_y = np.zeros(len(place), complex), np.zeros(n, complex)
+    np.subtract.at(y, at, np.concatenate([admittance, admittance]))
+    np.subtract.at(self_y, i, y)
+    inner = (i > 0) & (j > 0)
     v = np.full(n, complex(kv * source_pu))
+    block = lambda by_angle, by_size: np.stack([np.stack([by_angle.real, by_size.real], -1), np.stack([by_angle.imag, by_size.imag], -1)], -2)
     for _ in range(rounds):
-        current = y @ v
+        current = self_y * v
+        np.add.at(current, i, y * v[j])
         gap = (v * current.conj() + demand)[1:]
         if n == 1 or np.abs(gap).max() < tolerance:
             return v, True
         unit = v / np.abs(v)
-        by_angle = 1j * v[:, None] * (np.diag(current) - y * v[None]).conj()
-        by_size = v[:, None] * (y * unit[None]).conj() + np.diag(current.conj() * unit)
-        slopes = np.block([[by_angle[1:, 1:].real, by_size[1:, 1:].real], [by_angle[1:, 1:].imag, by_size[1:, 1:].imag]])
+        between = block(-1j * v[i] * (y * v[j]).conj(), v[i] * (y * unit[j]).conj())
+        own = block(1j * v * (current - self_y * v).conj(), v * (self_y * unit).conj() + current.conj() * unit)
         try:
-            step = np.linalg.solve(slopes, -np.concatenate([gap.real, gap.imag]))
+            step = eliminate(n - 1, i[inner] - 1, j[inner] - 1, between[inner], own[1:], -np.column_stack([gap.real, gap.imag]))
         except np.linalg.LinAlgError:
             return v, False
         size, angle = np.abs(v), np.angle(v)
-        size[1:], angle[1:] = size[1:] + step[n - 1 :], angle[1:] + step[: n - 1]
+        size[1:], angle[1:] = size[1:] + step[:, 1], angle[1:] + step[:, 0]
         v = size * np.exp(1j * angle)
         if not np.isfinite(v).all():
             return v, False

@@ -1,9 +1,12 @@
 """Cases that only larger tables hold: touching ways, large components, crowded places."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridwright.functions import geometry as G
-from gridwright.operators import clustering, spatial
+from gridwright.operators import clustering, network, spatial
 
 
 def test_a_way_that_touches_a_point_is_no_candidate_with_its_other_pieces(spark):
@@ -19,3 +22,21 @@ def test_components_become_clusters_of_any_size(spark):
     rows = spark.range(n + 5).selectExpr("CAST(1 AS INT) AS plz", f"IF(id < {n}, 7L, IF(id < {n + 2}, 3L, IF(id < {n + 3}, 5L, 9L))) AS component", "id AS vid")
     got = clustering.component_clusters(rows, ["plz"]).groupBy("component", "kcid").count().collect()
     assert sorted(map(tuple, got)) == [(3, 1, 2), (7, 2, n), (9, 3, 2)]
+
+
+def test_newton_holds_no_matrix_of_all_buses():
+    n = 20_000
+    r = np.arange(1, n)
+    ties = r[r % 3 == 0]
+    ends = np.concatenate([np.column_stack([(r - 1) // 2, r]), np.column_stack([ties, ties - 1])])
+    ohm = np.full(len(ends), 0.002 + 0.001j)
+    demand = np.where(np.arange(n) > 0, 1e-6 + 3e-7j, 0)
+    tracemalloc.start()
+    v, good = network.newton(ends, ohm, demand, 0.4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    power = (v[ends[:, 0]] - v[ends[:, 1]]) / ohm
+    drawn = np.zeros(n, complex)
+    np.add.at(drawn, ends[:, 1], power), np.subtract.at(drawn, ends[:, 0], power)
+    assert good and np.abs(v * drawn.conj() - demand)[1:].max() < 1e-9
+    assert most < 200 << 20  # a dense one has 6.4 GB
