@@ -53,9 +53,7 @@ r(n) AS (SELECT osm_id FROM x_buildings WHERE osm_id%50=0 UNION SELECT e.b FROM
 SELECT osm_id, osm_id IN (SELECT n FROM r) AS zeroed FROM x_buildings""")
 def touch_propagation(v: Views) -> DataFrame:
     """A mark that spreads over adjacent buildings."""
-    p = _points(v.x_buildings)
-    edges = spatial.within(p, p, 120.0).where("id < other").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    return spatial.spread_flag(p, edges, F.col("id") % 50 == 0).select(F.col("id").alias("osm_id"), F.col("reached").alias("zeroed"))
+    return spatial.spread_within(_points(v.x_buildings), 120.0, F.col("id") % 50 == 0).select(F.col("id").alias("osm_id"), F.col("reached").alias("zeroed"))
 
 
 @query("""SELECT b.osm_id, n.n_nationkey AS area FROM x_buildings b JOIN nation n ON ABS(b.x-(400*n.n_nationkey+100))+ABS(b.y-(9000-350*n.n_nationkey))<900.5e0""")

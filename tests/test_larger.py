@@ -3,11 +3,14 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import geometry as G
 from gridwright.operators import clustering, network, spatial
 
+from test_graphs import reach
+
 
 def test_a_way_that_touches_a_point_is_no_candidate_with_its_other_pieces(spark):
     corner = F.array(G.point(F.lit(0), F.lit(0)), G.point(F.lit(6000), F.lit(0)), G.point(F.lit(6000), F.lit(8000)))
@@ -40,3 +43,32 @@ def test_newton_holds_no_matrix_of_all_buses():
     np.add.at(drawn, ends[:, 1], power), np.subtract.at(drawn, ends[:, 0], power)
     assert good and np.abs(v * drawn.conj() - demand)[1:].max() < 1e-9
     assert most < 200 << 20  # a dense one has 6.4 GB
+
+
+def _crowds(seed):
+    """Scattered points, two crowds that are just too far apart to touch, one pair that touches by a single step, and one without a place."""
+    rng = np.random.default_rng(seed)
+    xy = np.concatenate([rng.uniform(-900, 900, (150, 2)), rng.uniform(0, 20, (60, 2)) + [2000, 0], rng.uniform(0, 20, (60, 2)) + [2000, 121], rng.uniform(0, 1, (20, 2)) + [3000, 0], [[3100.0, 0.0]]])
+    return [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(xy)), xy, strict=True)] + [(5000, None, 1.0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_close_and_touching_points_match_brute_force(spark, seed):
+    rows = _crowds(seed)
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    near = lambda a, b, r: a[1] is not None and b[1] is not None and np.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= r
+    kept = {a[0] for a in rows if not any(b[0] > a[0] and near(a, b, np.nextafter(150, 0)) for b in rows)}
+    assert {r["id"] for r in spatial.drop_close(points, 150.0).collect()} == kept
+    label = reach([(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b, 120)] + [(a[0], a[0]) for a in rows])
+    assert {tuple(r) for r in spatial.touching(points, 120.0).collect()} == {x for x in label.items() if x[0] != 5000}
+    marked = {label[i] for i in label if i % 50 == 0}
+    got = {r["id"]: r["reached"] for r in spatial.spread_within(points, 120.0, F.col("id") % 50 == 0).collect()}
+    assert got == {i: c in marked for i, c in label.items()}
+
+
+def test_crowded_places_make_no_pairs_of_all(spark):
+    n = 40_000  # within a radius of each other: 1,600,000,000 pairs
+    points = spark.range(n).selectExpr("id", "CAST(id % 200 AS DOUBLE) / 10 AS x", "CAST(id DIV 200 AS DOUBLE) / 10 AS y")
+    assert [r["id"] for r in spatial.drop_close(points, 150.0).collect()] == [n - 1]
+    assert spatial.touching(points, 120.0).groupBy("component").count().collect() == [(0, n)]
+    assert spatial.nearest_within(points, points, 600.0).where("id = other and dist = 0").count() == n
