@@ -21,3 +21,16 @@ SMALL = 200_000
 def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small; beyond it the same join shuffles. ``df`` should be cut already."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` where few keys hold nearly all pairs: each key's rows of ``many`` are dealt evenly over salts, each salt meets all of ``few``.
+
+    A task holds a small share of a key's pairs then, so its time falls with the number of partitions. how: inner or left (keeps all of ``many``).
+    """
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(parts)).cast("int"))
+    each = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key = [*on, "__salt"]
+    tasks = 4 * parts
+    return salted.repartition(tasks, *key).join(each.repartition(tasks, *key), key, how).drop("__salt")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.functions import electrical as E
 from gridwright.functions.hashing import digits
 from gridwright.operators import dml, scans
+from gridwright.operators.groups import spread_join
 from gridwright.operators.quantiles import quantiles
 from gridwright.queries.expressions import by_category, peaks
 from gridwright.queries.registry import Views, query
@@ -72,7 +73,7 @@ def missing_regions(v: Views) -> DataFrame:
 def join_inner_composite(v: Views) -> DataFrame:
     """Inner join on several keys."""
     t = v.x_transformers.selectExpr("osm_id AS trafo", "plz", "osm_id % 3 AS k")
-    return v.x_buildings.withColumn("k", F.expr("osm_id % 3")).join(t, ["plz", "k"]).select("osm_id", "plz", "trafo")
+    return spread_join(v.x_buildings.select("osm_id", "plz", F.expr("osm_id % 3").alias("k")), t, ["plz", "k"]).select("osm_id", "plz", "trafo")
 
 
 @query("SELECT b.osm_id, c.sim_factor FROM x_buildings b LEFT JOIN (SELECT *, 4 AS plz FROM x_categories WHERE definition<>'TH') c ON b.type=c.definition AND b.plz=c.plz")
@@ -86,7 +87,7 @@ def join_left_two_key(v: Views) -> DataFrame:
 def join_right_params(v: Views) -> DataFrame:
     """Right join that keeps every grid."""
     t = v.x_transformers.where("transformer_rated_power = 630").selectExpr("osm_id AS pos", "plz")
-    return t.join(v.x_buildings.select("osm_id", "plz"), "plz", "right").select("osm_id", F.col("plz").cast("long").alias("plz"), "pos")
+    return spread_join(v.x_buildings.select("osm_id", "plz"), t, ["plz"], "left").select("osm_id", F.col("plz").cast("long").alias("plz"), "pos")
 
 
 @query("SELECT r.plz, r.ags, m.regio7, ROUND(m.pop/m.area,6) AS pop_den, n.n_name AS name_city FROM x_register r JOIN x_municipal m ON r.plz=m.plz JOIN nation n ON n.n_nationkey=r.ags")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import geometry as G
 from gridwright.operators import clustering, network, spatial
+from gridwright.operators.groups import spread_join
 
 from test_graphs import reach
 
@@ -72,3 +73,12 @@ def test_crowded_places_make_no_pairs_of_all(spark):
     assert [r["id"] for r in spatial.drop_close(points, 150.0).collect()] == [n - 1]
     assert spatial.touching(points, 120.0).groupBy("component").count().collect() == [(0, n)]
     assert spatial.nearest_within(points, points, 600.0).where("id = other and dist = 0").count() == n
+
+
+def test_a_key_with_all_pairs_is_dealt_to_many_tasks(spark):
+    many = spark.range(4000).selectExpr("id", "IF(id < 3990, 1, CAST(NULL AS INT)) AS k")
+    few = spark.range(100).selectExpr("id AS other", "1 AS k")
+    out = spread_join(many, few, ["k"], "left")
+    assert out.groupBy(F.col("other").isNull()).count().orderBy("count").collect() == [(True, 10), (False, 399_000)]
+    tasks = out.where("k = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2 and max(r["count"] for r in tasks) < 200_000
