@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.hashing import digits
 from gridwright.operators import numbering
+from gridwright.operators.groups import spread_join
 
 
 def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -81,7 +82,7 @@ def numbered(new: DataFrame, order: list, start: int = 1, name: str = "id", with
 
 def publish(buildings: DataFrame, grids: DataFrame, key: list[str]) -> DataFrame:
     """Buildings with the id of their grid, without excluded (0) and transformer (-1) rows."""
-    return buildings.where(~F.col("peak_load_in_kw").isin(0.0, -1.0)).join(grids.select(*key, "grid_result_id"), key)
+    return spread_join(buildings.where(~F.col("peak_load_in_kw").isin(0.0, -1.0)), grids.select(*key, "grid_result_id"), key)
 
 
 def split_by_percentage(rows: DataFrame, shares: dict[int, float], key: str, name: str, seed: int = 42) -> DataFrame:
