@@ -582,7 +582,8 @@ def cluster_counts(df: DataFrame, columns: list[str], allowed: tuple[int, ...] =
     All mixtures are fitted in common rounds and all labelings scored in two aggregations over the rows;
     the driver sees a row for each cluster of each model. An index is null where it is not defined.
     """
-    z = zscores(df, columns).select(*columns).cache()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    z = zscores(df, columns).select(*columns).repartition(parts).cache()  # a small file is one partition, and each row has a label for each model
     names, models, centres = [], [], []
     for k in allowed:
         start = kmeans_grids(df, columns, k, seed).cache()
