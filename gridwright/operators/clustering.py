@@ -159,25 +159,21 @@ def best_place(distance: np.ndarray, kw: np.ndarray, reach: float) -> tuple[int,
     return at, float(moment[at]), bool(feasible[at])
 
 
-def _in_groups(edges: DataFrame, points: DataFrame, by: list[str], run, schema: str) -> DataFrame:
-    """``run(key, edges, points)`` for each group: its edges and points meet in one task, and no pair of points leaves it."""
-    kinds = ", ".join(f"{n} {points.schema[n].dataType.simpleString()}" for n in by)
-    return dealt(edges.select(*by, "source", "target", "cost"), by).groupBy(*by).cogroup(dealt(points, by).groupBy(*by)).applyInPandas(run, f"{kinds}, {schema}")
-
-
-def greenfield_clusters(edges: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+def greenfield_clusters(edges: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT, over: list[str] | None = None, core: int = hierarchy.CORE) -> DataFrame:
     """by, bcid (from 1), vid, rated, ont_vid: clusters of connection points, their sizes and the transformers' places.
 
-    edges: by, source, target, cost; buildings: by, vid, type, kw, homes, settlement_type. Distances are cut
-    to whole metres. A group's dense matrix is what bounds its size.
+    edges: by, source, target, cost, or with ``over`` (some of ``by``) one graph for all groups of these keys, which each group
+    gets only as far as its points need it; buildings: by, vid, type, kw, homes, settlement_type. Distances are cut
+    to whole metres. The dense matrix of a group's points is what bounds its size.
     """
 
-    def run(key: tuple, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, h: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "bcid", "vid", "rated", "ont_vid"]
         if b.empty:
             return pd.DataFrame({n: [] for n in names})
         ids = np.unique(b["vid"].to_numpy(np.int64))
-        distance, kw = metres(e, ids), b.groupby("vid")["kw"].sum().to_numpy(float)
+        sweeps = hierarchy.Sweeps(*(h[c].to_numpy() for c in ("node", "hub", "cost", "level")), ids)
+        distance, kw = metres(hierarchy.between(sweeps, ids)), b.groupby("vid")["kw"].sum().to_numpy(float)
         sizes, at = list(config.capacities[int(b["settlement_type"].iloc[0])]), {v: i for i, v in enumerate(ids.tolist())}
         rows = []
         for k, (vids, size) in enumerate(building_clusters(distance, ids.tolist(), Loads(ids.tolist(), b), sizes, config.greenfield_reach_m), 1):
@@ -186,7 +182,10 @@ def greenfield_clusters(edges: DataFrame, buildings: DataFrame, by: list[str], c
             rows += [(*key, k, v, size, place) for v in vids]
         return pd.DataFrame(rows, columns=names)
 
-    return _in_groups(edges, buildings.select(*by, "vid", "type", "kw", "homes", "settlement_type"), by, run, "bcid int, vid long, rated double, ont_vid long")
+    kinds = ", ".join(f"{n} {buildings.schema[n].dataType.simpleString()}" for n in by)
+    own = buildings.select(*by, "vid", "type", "kw", "homes", "settlement_type")
+    found = hierarchy.upward(edges, own, over or by, by, core)
+    return dealt(found, by).groupBy(*by).cogroup(dealt(own, by).groupBy(*by)).applyInPandas(run, f"{kinds}, bcid int, vid long, rated double, ont_vid long")
 
 
 def brownfield(costs: pd.DataFrame, loads: Loads, vids: list[int], trafos: list[int], sizes: list[int], reach: float) -> list[tuple[int, int, list[int], float]]:
