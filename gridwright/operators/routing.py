@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,54 @@ def shortest(adjacent: dict, start: int, reach: float = np.inf) -> dict[int, tup
     return best
 
 
+class Arcs:
+    """The undirected edges of a group as sorted arrays, a small share of what lists of neighbours take."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray, cost: np.ndarray, points: np.ndarray):
+        self.ids = np.unique(np.concatenate([source, target, points]))
+        a, b = (np.searchsorted(self.ids, x) for x in (source, target))
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(a, kind="stable")
+        self.to, self.cost = b[order], np.concatenate([cost, cost])[order]
+        self.first = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+
+    def around(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(for each arc that leaves ``nodes`` the place of its node in them, the arc)."""
+        n = self.first[nodes + 1] - self.first[nodes]
+        of = np.repeat(np.arange(len(nodes)), n)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.first[nodes][of]
+
+    def walked(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(node, cost, node before, hops) of what ``start`` reaches, as ``shortest``, in waves over the nodes that became nearer. Costs must be positive."""
+        at = int(np.searchsorted(self.ids, start))
+        best = np.full(len(self.ids), np.inf)
+        best[at], wave = 0.0, np.array([at])
+        while len(wave):
+            of, arc = self.around(wave)
+            cost, to = best[wave][of] + self.cost[arc], self.to[arc]
+            near = cost < best[to]
+            np.minimum.at(best, to[near], cost[near])
+            wave = np.unique(to[near])
+        reached = np.flatnonzero(np.isfinite(best))
+        before = np.full(len(self.ids), len(self.ids))
+        for low in range(0, len(reached), LOOKED):
+            nodes = reached[low : low + LOOKED]
+            of, arc = self.around(nodes)
+            tight = best[nodes][of] + self.cost[arc] == best[self.to[arc]]
+            np.minimum.at(before, self.to[arc[tight]], nodes[of[tight]])
+        before[at] = at
+        hops, jump = (before != np.arange(len(self.ids))).astype(np.int32), before.copy()
+        hops[before == len(self.ids)] = 0
+        while (jump[reached] != at).any():
+            hops[reached] += hops[jump[reached]]
+            jump[reached] = jump[jump[reached]]
+        return self.ids[reached], best[reached], self.ids[before[reached]], hops[reached]
+
+
+#: Nodes whose arcs are looked at together.
+LOOKED = 1 << 18
+
+
 def _schema(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -75,12 +124,17 @@ def _tagged(edges: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> tuple[pd.DataFrame, np.ndarray]:
-    """(edges: source, target, cost; distinct points, ascending) of a group of ``_tagged`` rows."""
-    rows = pa.Table.from_batches(list(batches)).select(["k", "a", "b", "x"]).to_pandas()
-    edge = rows["k"].to_numpy() == 0
-    e = rows[edge].dropna(subset=["a", "b", "x"])
-    out = pd.DataFrame({"source": e["a"].to_numpy(np.int64), "target": e["b"].to_numpy(np.int64), "cost": e["x"].to_numpy(float)})
-    return out, np.unique(rows["a"][~edge].dropna().to_numpy(np.int64))
+    """(edges: source, target, cost; distinct points, ascending) of a group of ``_tagged`` rows, whose batches become arrays one by one."""
+    edges, points = [], [np.zeros(0, np.int64)]
+    for batch in batches:
+        k, a, b, x = (batch.column(c) for c in ("k", "a", "b", "x"))
+        edge = pc.and_(pc.equal(k, 0), pc.and_(pc.is_valid(a), pc.and_(pc.is_valid(b), pc.is_valid(x))))
+        edges.append([c.filter(edge).to_numpy() for c in (a, b, x)])
+        points.append(a.filter(pc.and_(pc.equal(k, 1), pc.is_valid(a))).to_numpy())
+    kinds = (np.int64, np.int64, float)
+    columns = [np.concatenate([np.zeros(0, t), *(e[i] for e in edges)]) for i, t in enumerate(kinds)]
+    good = ~np.isnan(columns[2])
+    return pd.DataFrame({n: c[good] for n, c in zip(("source", "target", "cost"), columns, strict=True)}, copy=False), np.unique(np.concatenate(points))
 
 
 def _batch(by: list[str], key: tuple, columns: dict) -> pa.RecordBatch:
@@ -99,11 +153,18 @@ def costs(edges: DataFrame, starts: DataFrame, by: list[str], targets: DataFrame
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, points = _group(batches)
-        adjacent = _adjacent(e)
+        least = e["cost"].min() if len(e) else 1.0
+        whole = np.isinf(reach) and least > 0 and e["cost"].sum() + least > e["cost"].sum()  # every step adds to a cost, then
+        arcs = Arcs(*(e[c].to_numpy() for c in ("source", "target", "cost")), points) if whole else None
+        adjacent = {} if whole else _adjacent(e)
+        del e
         for v in points.tolist():
-            found = shortest(adjacent, v, reach)
-            nodes = np.fromiter(found, np.int64, len(found))
-            cost, before, hops = (np.array(x) for x in zip(*found.values(), strict=True))
+            if whole:
+                nodes, cost, before, hops = arcs.walked(v)
+            else:
+                found = shortest(adjacent, v, reach)
+                nodes = np.fromiter(found, np.int64, len(found))
+                cost, before, hops = (np.array(x) for x in zip(*found.values(), strict=True))
             yield _batch(by, key, {"start_vid": np.full(len(nodes), v), "end_vid": nodes, "agg_cost": cost.astype(float), "before": before.astype(np.int64), "hops": hops.astype(np.int32)})
 
     schema = f"{_schema(edges, by)}, start_vid long, end_vid long, agg_cost double, before long, hops int"

@@ -34,3 +34,14 @@ def test_parts_of_one_graph_are_clustered_as_with_a_graph_each(spark, core):
     got = rows(clustering.greenfield_clusters(e, b, ["g", "part"], over=["g"], core=core))
     assert len(got) == 243
     assert got == rows(clustering.greenfield_clusters(each, b, ["g", "part"]))
+
+
+def test_waves_walk_like_a_heap():
+    rng = np.random.default_rng(5)
+    for n, m, kinds in ((1, 0, 2), (6, 7, 3), (40, 60, 3), (300, 500, 2), (300, 299, 60)):
+        s, t, c = rng.integers(0, n, m) * 3, rng.integers(0, n, m) * 3, rng.integers(1, kinds, m) / 7
+        near = routing._adjacent(pd.DataFrame({"source": s, "target": t, "cost": c}))
+        arcs = routing.Arcs(s, t, c, np.array([0, 6]))
+        for start in (0, 6):
+            got = {int(v): (float(d), int(b), int(h)) for v, d, b, h in zip(*arcs.walked(start), strict=True)}
+            assert got == routing.shortest(near, start)
