@@ -383,17 +383,58 @@ def active_edges(lines: DataFrame, switches: DataFrame, by: list[str]) -> DataFr
 
 
 # --- feeders -----------------------------------------------------------------------------------
-def _neighbours(e: pd.DataFrame) -> dict[int, list[int]]:
-    out = defaultdict(list)
-    for s, t in zip(e["source"].tolist(), e["target"].tolist(), strict=True):
-        if t not in out[s]:
-            out[s].append(t)
-        if s not in out[t]:
-            out[t].append(s)
-    return out
+class Neighbours:
+    """Distinct neighbours of a group's nodes in the order of its edges, as arrays: ``near[node]`` lists them, ``ends`` counts a node's edges."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray):
+        self.ids, flat = np.unique(np.concatenate([source, target]), return_inverse=True)
+        a, b = np.split(flat, 2)
+        self.degree = np.bincount(flat, minlength=len(self.ids))
+        a, b, edge = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((edge, b, a))
+        first = np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))[: len(order)]
+        order = order[first]  # of parallel edges the first
+        order = order[np.lexsort((edge[order], a[order]))]
+        self.to = b[order]
+        self.first = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+
+    def at(self, node: int) -> int:
+        """Place of a node, or -1."""
+        i = int(np.searchsorted(self.ids, node))
+        return i if i < len(self.ids) and self.ids[i] == node else -1
+
+    def __contains__(self, node: int) -> bool:
+        return self.at(node) >= 0
+
+    def __getitem__(self, node: int) -> list[int]:
+        i = self.at(node)
+        return self.ids[self.to[self.first[i] : self.first[i + 1]]].tolist() if i >= 0 else []
+
+    def ends(self, node: int) -> int:
+        i = self.at(node)
+        return int(self.degree[i]) if i >= 0 else 0
 
+    def tree(self, root: int) -> np.ndarray:
+        """Place of each node's parent in the breadth-first tree, earlier neighbours first; -1 for the root and what it does not reach."""
+        at = self.at(root)
+        parent, seen, layer = np.full(len(self.ids), -1), np.zeros(len(self.ids), bool), np.array([at])
+        seen[at] = True
+        while len(layer):
+            n = self.first[layer + 1] - self.first[layer]
+            of = np.repeat(layer, n)
+            to = self.to[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[layer], n)]
+            of, to = of[~seen[to]], to[~seen[to]]
+            first = np.sort(np.unique(to, return_index=True)[1])
+            layer = to[first]
+            parent[layer], seen[layer] = of[first], True
+        return parent
 
-def count_feeders(near: dict[int, list[int]], degree: dict[int, int], root: int, kinds: dict[int, str], trafo: set, expand: bool = True) -> int:
+
+#: Kinds of buses that count in their own way.
+HOUSE, CABINET = 1, 2
+
+
+def count_feeders(near: Neighbours, root: int, kind_of, trafo: set, expand: bool = True) -> int:
     """Feeders of a grid: walk from the root past stubs to the first branching, then count what hangs on it.
 
     A house alone counts nothing, a distribution cabinet counts its children that are no such houses
@@ -402,78 +443,74 @@ def count_feeders(near: dict[int, list[int]], degree: dict[int, int], root: int,
     if root not in near:
         return 0
     before, now, walked = None, root, set()
-    while degree[now] == 1 and now not in walked:
+    while near.ends(now) == 1 and now not in walked:
         walked.add(now)
         before, now = now, near[now][0]
-    while before is not None and degree[now] == 2:
+    while before is not None and near.ends(now) == 2:
         ahead = [n for n in near[now] if n != before]
         if not ahead or ahead[0] in walked:
             break
         walked.add(now)
         before, now = now, ahead[0]
     below = [n for n in near[now] if (n != before if before is not None else frozenset((now, n)) not in trafo)]
-    alone = lambda node, up: kinds.get(node, "backbone") == "house_connection" and not [x for x in near[node] if x != up]
+    alone = lambda node, up: kind_of(node) == HOUSE and not [x for x in near[node] if x != up]
     found = 0
     for n in below:
         if alone(n, now):
             continue
-        found += max(1, sum(not alone(c, n) for c in near[n] if c != now)) if expand and kinds.get(n) == "kvs" else 1
+        found += max(1, sum(not alone(c, n) for c in near[n] if c != now)) if expand and kind_of(n) == CABINET else 1
     return max(found, 1) if below else 0
 
 
-def count_terminal_feeders(near: dict[int, list[int]], root: int, kinds: dict[int, str], trafo: set, synthetic: bool = True) -> int:
-    """Ends of the backbone's breadth-first tree below the first branching; real grids split only at cabinets."""
+def count_terminal_feeders(near: Neighbours, root: int, kinds: np.ndarray, trafo: set, synthetic: bool = True) -> int:
+    """Ends of the backbone's breadth-first tree below the first branching; real grids split only at cabinets. kinds: of each of the nodes."""
     if root not in near:
         return 0
-    children, seen, layer = defaultdict(list), {root}, [root]
-    while layer:
-        following = []
-        for node in layer:
-            for n in near[node]:
-                if n not in seen:
-                    seen.add(n)
-                    children[node].append(n)
-                    following.append(n)
-        layer = following
-    alone = lambda n: kinds.get(n, "backbone") == "house_connection" and not children[n]
-    now, up = root, None
-    while len(children[now]) == 1:
-        up, now = now, children[now][0]
-    below = [n for n in children[now] if up is not None or frozenset((now, n)) not in trafo]
-    found, todo = 0, [n for n in below if not alone(n)]
-    while todo:
-        node = todo.pop()
-        ahead = [c for c in children[node] if not alone(c)]
-        if not ahead or (not synthetic and kinds.get(node, "backbone") != "kvs" and len(ahead) > 1):
-            found += 1
-        else:
-            todo += ahead
+    parent = near.tree(root)
+    order = np.argsort(parent, kind="stable")
+    order = order[parent[order] >= 0]
+    first = np.searchsorted(parent[order], np.arange(len(parent) + 1))
+    alone = (kinds == HOUSE) & (np.diff(first) == 0)
+    now, up = near.at(root), -1
+    while first[now + 1] - first[now] == 1:
+        up, now = now, int(order[first[now]])
+    below = [n for n in order[first[now] : first[now + 1]].tolist() if up >= 0 or frozenset((int(near.ids[now]), int(near.ids[n]))) not in trafo]
+    held = order[~alone[order]]  # children that go on, by parent
+    start = np.searchsorted(parent[held], np.arange(len(parent) + 1))
+    ahead = np.diff(start)
+    ends = ahead == 0 if synthetic else (ahead == 0) | ((kinds != CABINET) & (ahead > 1))
+    found, todo = 0, np.array([n for n in below if not alone[n]], np.int64)
+    while len(todo):
+        found += int(ends[todo].sum())
+        on = todo[~ends[todo]]
+        n = ahead[on]
+        todo = held[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[on], n)]
     return max(found, 1) if below else found
 
 
 def feeders(edges: DataFrame, buses: DataFrame, roots: DataFrame, trafos: DataFrame, by: list[str], recursive: bool = False, synthetic: bool = True) -> DataFrame:
     """by, feeder_lines. buses: by, bus, bus_type; roots: by, vid; trafos: by, hv_bus, lv_bus."""
-    parts = edges.select(*by, F.lit(0).alias("k"), "source", "target", F.lit("").alias("kind"))
-    parts = parts.unionByName(buses.select(*by, F.lit(1).alias("k"), F.col("bus").cast("long").alias("source"), F.lit(None).cast("long").alias("target"), F.col("bus_type").alias("kind")))
-    parts = parts.unionByName(roots.select(*by, F.lit(2).alias("k"), F.col("vid").cast("long").alias("source"), F.lit(None).cast("long").alias("target"), F.lit("").alias("kind")))
-    parts = parts.unionByName(trafos.select(*by, F.lit(3).alias("k"), F.col("hv_bus").cast("long").alias("source"), F.col("lv_bus").cast("long").alias("target"), F.lit("").alias("kind")))
-
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        e = p[p["k"] == 0].astype({"source": int, "target": int})
-        near = _neighbours(e)
-        degree = defaultdict(int)
-        for s, t in zip(e["source"], e["target"], strict=True):
-            degree[s] += 1
-            degree[t] += 1
-        kinds = dict(zip(p.loc[p["k"] == 1, "source"].astype(int), p.loc[p["k"] == 1, "kind"], strict=True))
-        trafo = {frozenset((int(h), int(l))) for h, l in zip(p.loc[p["k"] == 3, "source"], p.loc[p["k"] == 3, "target"], strict=True)}
-        root = p.loc[p["k"] == 2, "source"]
-        n = 0
+    kind = F.when(F.col("bus_type") == "house_connection", HOUSE).when(F.col("bus_type") == "kvs", CABINET).otherwise(0)
+    row = lambda df, k, a, b, kind=F.lit(0): df.select(*by, F.lit(k).alias("k"), a.cast("long").alias("a"), b.cast("long").alias("b"), kind.alias("kind"))
+    none, c = F.lit(None), F.col
+    parts = row(edges, 0, c("source"), c("target")).unionByName(row(buses, 1, c("bus"), none, kind)).unionByName(row(roots, 2, c("vid"), none)).unionByName(row(trafos, 3, c("hv_bus"), c("lv_bus")))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k = table.column("k").to_numpy()
+        a, b, kind = (pc.fill_null(table.column(x), 0).to_numpy() for x in ("a", "b", "kind"))
+        near = Neighbours(a[k == 0], b[k == 0])
+        kinds, bus = np.zeros(len(near.ids), np.int8), np.flatnonzero(k == 1)
+        at = np.minimum(np.searchsorted(near.ids, a[bus]), max(0, len(near.ids) - 1))
+        known = near.ids[at] == a[bus] if len(near.ids) else np.zeros(len(bus), bool)
+        kinds[at[known]] = kind[bus[known]]
+        trafo = {frozenset(x) for x in zip(a[k == 3].tolist(), b[k == 3].tolist(), strict=True)}
+        root, n = a[k == 2], 0
         if len(root):
-            n = count_terminal_feeders(near, int(root.min()), kinds, trafo, synthetic) if recursive else count_feeders(near, degree, int(root.min()), kinds, trafo)
-        return pd.DataFrame([(*key, n)], columns=[*by, "feeder_lines"])
+            kind_of = lambda node: kinds[near.at(node)]
+            n = count_terminal_feeders(near, int(root.min()), kinds, trafo, synthetic) if recursive else count_feeders(near, int(root.min()), kind_of, trafo)
+        return pa.table({**{name: pa.repeat(value, 1) for name, value in zip(by, key, strict=True)}, "feeder_lines": pa.array([n], pa.int32())})
 
-    return dealt(parts, by).groupBy(*by).applyInPandas(run, f"{_schema(edges, by)}, feeder_lines int")
+    return dealt(parts, by).groupBy(*by).applyInArrow(run, f"{_schema(edges, by)}, feeder_lines int")
 
 
 def root_bus(buses: DataFrame, trafos: DataFrame, grids: DataFrame, by: list[str]) -> DataFrame:

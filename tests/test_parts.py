@@ -1,5 +1,7 @@
 """Groups that share one graph: each part gets what its own points need of it, and the results of a graph for itself."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,3 +47,16 @@ def test_waves_walk_like_a_heap():
         for start in (0, 6):
             got = {int(v): (float(d), int(b), int(h)) for v, d, b, h in zip(*arcs.walked(start), strict=True)}
             assert got == routing.shortest(near, start)
+
+
+def test_feeders_of_a_large_tree_need_no_lists_of_neighbours():
+    e = a_tree(30_000)
+    tracemalloc.start()
+    near = routing.Neighbours(e["source"].to_numpy(), e["target"].to_numpy())
+    kinds = np.zeros(30_000, np.int8)
+    assert routing.count_terminal_feeders(near, 0, kinds, set()) == 15_000
+    assert routing.count_feeders(near, 0, lambda _: 0, set()) == 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(near.ids)
+    assert near[1] == [0, 3, 4] and near[30_000] == [] and near.ends(0) == 2
