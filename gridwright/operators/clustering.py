@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from gridwright.checkpoints import cut
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
 from gridwright.operators import hierarchy
-from gridwright.operators.groups import broadcast_if_small, dealt
+from gridwright.operators.groups import broadcast_if_small, dealt, shared_out
 from gridwright.operators.nearest import nearest
 from gridwright.operators.numbering import numbered
-from gridwright.operators.routing import NO_WAY, metres
+from gridwright.operators.routing import NO_WAY, Arcs, metres
 
 _CATEGORY = {**{t: "Residential" for t in RESIDENTIAL}, "Commercial": "Commercial", "Public": "Public"}
 
@@ -194,30 +195,123 @@ def brownfield(costs: pd.DataFrame, loads: Loads, vids: list[int], trafos: list[
     Pairs come by cost, then consumer and transformer. A transformer is full when a consumer would lift
     its simultaneous load above the largest size; it takes no more then.
     """
-    at = {v: i for i, v in enumerate(vids)}
-    got: dict[int, list[int]] = {t: [] for t in trafos}
-    p, n = {t: np.zeros(loads.p.shape[1]) for t in trafos}, {t: np.zeros(loads.p.shape[1]) for t in trafos}
-    full, placed, top = set(), set(), max(sizes)
-    total = lambda a, b: peak(dict(zip(loads.CATEGORIES, a, strict=True)), dict(zip(loads.CATEGORIES, b, strict=True)))
+    filling = Filling(loads, vids, sizes)
     for consumer, trafo, _ in costs[costs["agg_cost"] < reach].sort_values(["agg_cost", "start_vid", "end_vid"])[["start_vid", "end_vid", "agg_cost"]].itertuples(index=False):
-        if consumer in placed or trafo in full or consumer not in at:
+        if filling.open(consumer, trafo) and not filling.offer(consumer, trafo) and len(filling.full) == len(trafos):
+            break
+    return filling.clusters()
+
+
+class Filling:
+    """Transformers that take one consumer after the other, until one would overload them."""
+
+    def __init__(self, loads: Loads, vids: list[int], sizes: list[int]):
+        self.loads, self.sizes, self.at = loads, sizes, {v: i for i, v in enumerate(vids)}
+        self.got: dict[int, list[int]] = {}
+        self.sums: dict[int, tuple] = {}
+        self.full: set[int] = set()
+        self.placed: set[int] = set()
+
+    def open(self, consumer: int, trafo: int) -> bool:
+        return trafo not in self.full and consumer not in self.placed and consumer in self.at
+
+    def offer(self, consumer: int, trafo: int) -> bool:
+        """Whether the transformer takes the consumer; if not, it is full from now on."""
+        i, (p, n) = self.at[consumer], self.sums.get(trafo, (0.0, 0.0))
+        p, n = p + self.loads.p[i], n + self.loads.n[i]
+        if self.loads.peak(p, n) > max(self.sizes):
+            self.full.add(trafo)
+            return False
+        self.sums[trafo] = p, n
+        self.got.setdefault(trafo, []).append(int(consumer))
+        self.placed.add(consumer)
+        return True
+
+    def clusters(self) -> list[tuple[int, int, list[int], float]]:
+        """(bcid, transformer, consumers, size) by transformers."""
+        load = {t: self.loads.peak(*self.sums[t]) for t in self.got}
+        return [(-k, t, self.got[t], float(min((s for s in self.sizes if s > load[t]), default=max(self.sizes)))) for k, t in enumerate(sorted(self.got), 1)]
+
+
+#: Metres by which sums of the same ways may differ at most, by the order of their parts.
+SLACK = 1e-6
+
+
+def fill(arcs: Arcs, trafos: list[int], filling: Filling, reach: float, inside: set[int] | None = None) -> None:
+    """Fill transformers as the sequence of all pairs below ``reach`` (by cost, consumer, transformer) would, without making all pairs.
+
+    Ways spread from all transformers at once, nearer ones first. A way waits at a node as long as an open transformer is nearer to
+    that node, since all that lies beyond asks that one first; when it is full, what has waited goes on. So work grows with the nodes
+    and with those in reach of a transformer that becomes full. With ``inside`` ways keep to these nodes.
+    """
+    heap = [(0.0, 0, t, t) for t in sorted(trafos)]  # (cost, 0: a way | 1: an offer, node, transformer)
+    held: dict[int, dict[int, float]] = {}  # costs of the open transformers whose ways have passed a node
+    waiting: dict[int, list[tuple[float, int]]] = {}
+    passed: dict[int, list[int]] = {t: [] for t in trafos}
+    while heap and len(filling.placed) < len(filling.at):
+        cost, offer, node, trafo = heapq.heappop(heap)
+        if trafo in filling.full:
             continue
-        i = at[consumer]
-        a, b = p[trafo] + loads.p[i], n[trafo] + loads.n[i]
-        if total(a, b) > top:
-            full.add(trafo)
-            if len(full) == len(trafos):
-                break
+        if offer:
+            if filling.open(node, trafo) and not filling.offer(node, trafo):
+                for u in passed.pop(trafo):
+                    held[u].pop(trafo, None)
+                    for c, t in waiting.pop(u, ()):
+                        heapq.heappush(heap, (c, 0, u, t))
             continue
-        p[trafo], n[trafo] = a, b
-        got[trafo].append(int(consumer))
-        placed.add(consumer)
-    out = []
-    for t in trafos:
-        if got[t]:
-            load = total(p[t], n[t])
-            out.append((-len(out) - 1, t, got[t], float(min((k for k in sizes if k > load), default=top))))
-    return out
+        here = held.setdefault(node, {})
+        if here.get(trafo, np.inf) <= cost:
+            continue
+        if here and min(here.values()) < cost - SLACK:
+            waiting.setdefault(node, []).append((cost, trafo))
+            continue
+        here[trafo] = cost
+        passed[trafo].append(node)
+        if node in filling.at:
+            heapq.heappush(heap, (cost, 1, node, trafo))
+        for other, c in arcs.get(node):
+            if cost + c < reach and (inside is None or other in inside) and held.get(other, {}).get(trafo, np.inf) > cost + c:
+                heapq.heappush(heap, (cost + c, 0, other, trafo))
+
+
+def brownfield_nearest(edges: DataFrame, trafos: DataFrame, buildings: DataFrame, by: list[str], config: Config = DEFAULT, over: list[str] | None = None) -> DataFrame:
+    """``brownfield_clusters`` of all pairs within reach, by ``fill`` instead of a table of pairs: by, bcid, trafo, vid, rated.
+
+    edges: by, source, target, cost; trafos: by, vid; or with ``over`` (some of ``by``) one graph and its transformers for all groups of
+    these keys, each of which fills them for itself. buildings: by, vid, type, kw, homes, settlement_type. A group looks no farther than
+    a part of the reach at first: pairs within it come first in the sequence, so where all are placed then, the rest changes nothing.
+    """
+    over = over or by
+    more = [c for c in by if c not in over]
+    names, reach = [*by, "bcid", "trafo", "vid", "rated"], config.brownfield_reach_m
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        e, t, b = (p[p["k"] == k] for k in range(3))
+        ids, rows = np.unique(t["a"].to_numpy(np.int64)), []
+        arcs = Arcs(e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64), e["x"].to_numpy(float), np.concatenate([ids, b["a"].to_numpy(np.int64)]))
+        for part, own in b.groupby(more) if more and len(b) else [((), b)]:
+            if not len(own):
+                continue
+            own = own.rename(columns={"a": "vid", "x": "kw", "y": "homes", "t": "type"})
+            vids, sizes = np.unique(own["vid"].to_numpy(np.int64)), list(config.capacities[int(own["s"].iloc[0])])
+            loads = Loads(vids.tolist(), own)
+            for far in (reach / 64, reach / 16, reach / 4, reach):
+                near = arcs.within(vids, far + SLACK)
+                filling = Filling(loads, vids.tolist(), sizes)
+                fill(arcs, np.intersect1d(near, ids).tolist(), filling, far, set(near.tolist()))
+                if len(filling.placed) == len(vids):
+                    break
+            rows += [(*key[:-1], *part, k, trafo, v, size) for k, trafo, vs, size in filling.clusters() for v in vs]
+        return pd.DataFrame(rows, columns=[*over, *more, *names[len(by) :]])[names]
+
+    c, none = F.col, F.lit(None)
+    each, put = shared_out(edges.where("source is not null and target is not null and cost is not null").select(*over, F.lit(0).alias("k"), c("source").cast("long").alias("a"), c("target").cast("long").alias("b"), c("cost").cast("double").alias("x")).unionByName(trafos.where("vid is not null").select(*over, F.lit(1).alias("k"), c("vid").cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("x"))), buildings, over, more)
+    alike = [F.lit(0).cast(buildings.schema[m].dataType).alias(m) for m in more]
+    parts = each.select(*over, *alike, "__share", "k", "a", "b", "x", none.cast("double").alias("y"), F.lit("").alias("t"), F.lit(0).alias("s"))
+    parts = parts.unionByName(put(buildings.where("vid is not null")).select(*by, "__share", F.lit(2).alias("k"), c("vid").cast("long").alias("a"), none.cast("long").alias("b"), c("kw").cast("double").alias("x"), c("homes").cast("double").alias("y"), c("type").alias("t"), c("settlement_type").cast("int").alias("s")))
+    kinds = ", ".join(f"{n} {buildings.schema[n].dataType.simpleString()}" for n in by)
+    keys = [*over, "__share"]
+    return dealt(parts, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, bcid int, trafo long, vid long, rated double")
 
 
 #: Pairs of a group up to which one task assigns them.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.checkpoints import cut
+
 
 def dealt(df: DataFrame, by: list[str]) -> DataFrame:
     """``df`` dealt out by its groups to as many partitions as shuffles have.
@@ -14,6 +18,22 @@ def dealt(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Rows of a group's parts that one task works on, about.
+SHARE = 20_000
+
+
+def shared_out(whole: DataFrame, parts: DataFrame, over: list[str], more: list[str], rows: int = SHARE) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``whole`` for each share (__share) of its group, a function that gives rows of the group's parts theirs).
+
+    over: the group's key; more: what tells its parts apart. A group has a share for every ``rows`` rows of ``parts``, and a part is in one of them.
+    """
+    n = F.ceil(F.count("*") / rows).cast("int") if more else F.lit(1)
+    size = cut(parts.groupBy(*over).agg(n.alias("__n")))
+    place = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in more]), F.col("__n")).cast("int") if more else F.lit(0)
+    each = whole.join(size, over).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    return each, lambda df: df.join(size, over).withColumn("__share", place).drop("__n")
+
+
 #: Rows of a small table up to which it is broadcast.
 SMALL = 200_000
 

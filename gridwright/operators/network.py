@@ -14,8 +14,8 @@ from gridwright.functions import electrical as E
 from gridwright.functions.hashing import uniform
 from gridwright.operators.cables import consumer_cable, feeder_cable
 from gridwright.operators.clustering import Loads
-from gridwright.operators.groups import dealt
-from gridwright.operators.routing import Forest, plan_branches, shortest
+from gridwright.operators.groups import dealt, shared_out
+from gridwright.operators.routing import Arcs, Forest, plan_branches, shortest
 
 #: Buses beside connection points, whose number is their vertex (0 and up), and houses, which have -2 - vertex.
 LV_BUS, MV_BUS = -1, -(1 << 52)
@@ -33,28 +33,34 @@ def backend(name: str = "sweep"):
     return getattr(importlib.import_module(module), function)
 
 
-def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT, over: list[str] | None = None) -> DataFrame:
     """by, node, parent, branch, kind ('consumer', 'feeder', 'root_feeder', 'unreached'), metres, load_kw of each cable of a grid.
 
-    edges: by (without the grid's bcid part if edges serve several grids: join before), source, target,
-    cost; buildings: by, vid (the building's vertex), connection_point, type, kw, homes, sim (its
+    edges: by, source, target, cost, or with ``over`` (some of ``by``) one graph for all grids of these keys, which is walked from
+    each transformer until its grid's points are met; buildings: by, vid (the building's vertex), connection_point, type, kw, homes, sim (its
     allocated load); grids: by, ont_vid. Branches are planned first, then every backbone cable gets the
     simultaneous load of all that hangs below it; the short line to a connection point at the transformer's own
     place is sized for all other points. A building that the transformer does not reach gets no
     cable but a row of kind 'unreached', without a parent.
     """
 
+    over = over or by
+    more = [c for c in by if c not in over]
+    names = [*by, "node", "parent", "branch", "kind", "metres", "load_kw"]
+
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "node", "parent", "branch", "kind", "metres", "load_kw"]
-        e, b, g = p[p["k"] == 0], p[p["k"] == 1], p[p["k"] == 2]
-        if b.empty or g.empty:
-            return pd.DataFrame({n: [] for n in names})
-        root = int(g["a"].iloc[0])
-        adjacent = defaultdict(list)
-        for s, t, c in zip(e["a"].astype(int), e["b"].astype(int), e["x"], strict=True):
-            adjacent[s].append((t, c))
-            adjacent[t].append((s, c))
-        best = shortest(adjacent, root)
+        e, b, g = (p[p["k"] == k] for k in range(3))
+        roots = {tuple(k): int(a) for *k, a in g[[*more, "a"]][::-1].itertuples(index=False)}
+        arcs, rows = Arcs(*(e[c].to_numpy(t) for c, t in (("a", np.int64), ("b", np.int64), ("x", float))), np.zeros(0, np.int64)), []
+        for part, own in b.groupby(more) if more else [((), b)]:
+            if part in roots and len(own):
+                rows += planned((*key[:-1], *part), arcs, own, roots[part])
+        out = pd.DataFrame(rows, columns=[*over, *more, *names[len(by) :]])[names]
+        out["parent"] = out["parent"].astype("Int64")
+        return out
+
+    def planned(key: tuple, arcs: Arcs, b: pd.DataFrame, root: int) -> list[tuple]:
+        best = shortest(arcs, root, wanted={*b["a"].astype(int), *b["b"].astype(int)})
         distance, before = {n: v[0] for n, v in best.items()}, {n: v[1] for n, v in best.items()}
         met = b["a"].isin(distance) & b["b"].isin(distance)
         lost, b = b[~met], b[met]
@@ -88,16 +94,18 @@ def branch_tree(edges: DataFrame, buildings: DataFrame, grids: DataFrame, by: li
             rows.append((*key, int(vid), point, branch_of[point], "consumer", max(distance[int(vid)] - distance[point], 0.0), float(group["z"].iloc[0])))
         for vid, group in lost.groupby("a"):
             rows.append((*key, int(vid), None, -1, "unreached", 0.0, float(group["z"].iloc[0])))
-        out = pd.DataFrame(rows, columns=names)
-        out["parent"] = out["parent"].astype("Int64")
-        return out
+        return rows
 
     none = F.lit(None).cast("double")
-    parts = edges.select(*by, F.lit(0).alias("k"), F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"), F.col("cost").cast("double").alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t"))
-    parts = parts.unionByName(buildings.select(*by, F.lit(1).alias("k"), F.col("vid").cast("long").alias("a"), F.col("connection_point").cast("long").alias("b"), F.col("kw").alias("x"), F.col("homes").cast("double").alias("y"), F.col("sim").alias("z"), F.col("type").alias("t")))
-    parts = parts.unionByName(grids.select(*by, F.lit(2).alias("k"), F.col("ont_vid").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), none.alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t")))
-    kinds = ", ".join(f"{n} {edges.schema[n].dataType.simpleString()}" for n in by)
-    return dealt(parts, by).groupBy(*by).applyInPandas(run, f"{kinds}, node long, parent long, branch int, kind string, metres double, load_kw double")
+    each, put = shared_out(edges, buildings, over, more)
+    alike = [F.lit(0).cast(buildings.schema[c].dataType).alias(c) for c in more]
+    by_share, buildings, grids = [*by, "__share"], put(buildings), put(grids)
+    parts = each.where("source is not null and target is not null and cost is not null").select(*over, *alike, "__share", F.lit(0).alias("k"), F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"), F.col("cost").cast("double").alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t"))
+    parts = parts.unionByName(buildings.select(*by_share, F.lit(1).alias("k"), F.col("vid").cast("long").alias("a"), F.col("connection_point").cast("long").alias("b"), F.col("kw").alias("x"), F.col("homes").cast("double").alias("y"), F.col("sim").alias("z"), F.col("type").alias("t")))
+    parts = parts.unionByName(grids.select(*by_share, F.lit(2).alias("k"), F.col("ont_vid").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), none.alias("x"), none.alias("y"), none.alias("z"), F.lit("").alias("t")))
+    kinds = ", ".join(f"{n} {buildings.schema[n].dataType.simpleString()}" for n in by)
+    keys = [*over, "__share"]
+    return dealt(parts, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, node long, parent long, branch int, kind string, metres double, load_kw double")
 
 
 def sized_lines(tree: DataFrame, grids: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:

@@ -46,15 +46,20 @@ def _adjacent(edges: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
     return out
 
 
-def shortest(adjacent: dict, start: int, reach: float = np.inf) -> dict[int, tuple[float, int, int]]:
-    """node -> (cost, node before, hops) of the cheapest path below ``reach``; equal costs go to the smaller node before."""
+def shortest(adjacent: dict | Arcs, start: int, reach: float = np.inf, wanted: set[int] | None = None) -> dict[int, tuple[float, int, int]]:
+    """node -> (cost, node before, hops) of the cheapest path below ``reach``; equal costs go to the smaller node before.
+
+    With ``wanted`` the walk ends when it has met all of these, and only they and what lies on their paths are final.
+    """
     best = {start: (0.0, start, 0)}
-    heap, done = [(0.0, start)], set()
-    while heap:
+    heap, done, left = [(0.0, start)], set(), None if wanted is None else set(wanted)
+    while heap and (left is None or left):
         cost, node = heapq.heappop(heap)
         if node in done:
             continue
         done.add(node)
+        if left is not None:
+            left.discard(node)
         for other, c in adjacent.get(node, ()):
             new = (cost + c, node, best[node][2] + 1)
             old = best.get(other)
@@ -74,6 +79,27 @@ class Arcs:
         order = np.argsort(a, kind="stable")
         self.to, self.cost = b[order], np.concatenate([cost, cost])[order]
         self.first = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+        self._near: dict[int, list[tuple[int, float]]] = {}
+
+    def get(self, node: int, default=()):
+        """(neighbour, cost) of each arc that leaves a node, as ids; lists are made of those that are asked for."""
+        if node not in self._near:
+            i = int(np.searchsorted(self.ids, node))
+            arcs = slice(self.first[i], self.first[i + 1]) if i < len(self.ids) and self.ids[i] == node else slice(0)
+            self._near[node] = list(zip(self.ids[self.to[arcs]].tolist(), self.cost[arcs].tolist(), strict=True))
+        return self._near[node] or default
+
+    def within(self, points: np.ndarray, reach: float) -> np.ndarray:
+        """Nodes nearer than ``reach`` to any of the points, which are among the ids."""
+        best, wave = np.full(len(self.ids), np.inf), np.searchsorted(self.ids, points)
+        best[wave] = 0.0
+        while len(wave):
+            of, arc = self.around(wave)
+            cost, to = best[wave][of] + self.cost[arc], self.to[arc]
+            near = (cost < best[to]) & (cost < reach)
+            np.minimum.at(best, to[near], cost[near])
+            wave = np.unique(to[near])
+        return self.ids[np.isfinite(best)]
 
     def around(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(for each arc that leaves ``nodes`` the place of its node in them, the arc)."""

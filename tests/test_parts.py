@@ -60,3 +60,60 @@ def test_feeders_of_a_large_tree_need_no_lists_of_neighbours():
     tracemalloc.stop()
     assert peak < 200 * len(near.ids)
     assert near[1] == [0, 3, 4] and near[30_000] == [] and near.ends(0) == 2
+
+
+def a_town(seed, n=70):
+    """(edges, transformers, buildings of two parts) of a random network, with ties and what lies apart."""
+    rng = np.random.default_rng(seed)
+    m = n + 15
+    e = pd.DataFrame({"g": 1, "source": rng.integers(0, n, m), "target": rng.integers(0, n, m), "cost": rng.choice([1.0, 2.0, 5.0, 90.0, 1 / 3], m) * rng.integers(1, 9, m)})
+    t = pd.DataFrame({"g": 1, "vid": rng.choice(n + 2, 9, replace=False)})
+    b = pd.DataFrame([(1, i % 2, i, ("SFH", "Public", "Commercial", "MFH", "Other")[i % 5], float(rng.choice([30.0, 90.0, 250.0])), int(rng.integers(1, 4)), 2) for i in range(n) for _ in range(1 + i % 9 // 8)], columns=["g", "part", "vid", "type", "kw", "homes", "settlement_type"])
+    return e, t, b
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_transformers_are_filled_without_all_pairs(spark, seed):
+    from pyspark.sql import functions as F
+
+    from gridwright.config import DEFAULT
+
+    e, t, b = a_town(seed)
+    edges, trafos, buildings = (spark.createDataFrame(x) for x in (e, t, b))
+    parts = buildings.select("g", "part").distinct()
+    reached = routing.costs(edges.join(parts, "g"), trafos.join(parts, "g"), ["g", "part"], buildings, DEFAULT.brownfield_reach_m)
+    pairs = reached.select("g", "part", F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(clustering.brownfield_clusters(pairs, buildings, ["g", "part"]))
+    assert rows(clustering.brownfield_nearest(edges, trafos, buildings, ["g", "part"], over=["g"])) == want
+    assert rows(clustering.brownfield_nearest(edges.join(parts, "g"), trafos.join(parts, "g"), buildings, ["g", "part"])) == want
+    assert want and len(want) < b.groupby(["part", "vid"]).ngroups
+
+
+def test_many_transformers_make_few_ways():
+    n = 20_000
+    e, ids = a_tree(n), np.arange(n)
+    arcs = routing.Arcs(*(e[c].to_numpy() for c in ("source", "target", "cost")), ids)
+    loads = clustering.Loads(ids.tolist(), pd.DataFrame({"vid": ids, "type": "Commercial", "kw": 20.0, "homes": 1}))
+    filling = clustering.Filling(loads, ids.tolist(), [630])
+    clustering.fill(arcs, ids[::7].tolist(), filling, 750.0)
+    assert filling.placed == set(ids.tolist())
+    near = arcs.within(np.array([n - 1]), 200.0)
+    best = {v for v, (d, *_) in routing.shortest(arcs, n - 1, 200.0).items()}
+    assert set(near.tolist()) == best and 1 < len(best) < 200
+
+
+def test_grids_of_one_graph_are_planned_as_with_a_graph_each(spark):
+    from pyspark.sql import functions as F
+
+    from gridwright.operators import network
+
+    e = spark.createDataFrame(a_tree(600).assign(g=1))
+    b = spark.createDataFrame(pd.DataFrame([(1, v // 40 % 3, v // 120 % 2, v, (v - 1) // 2, ("SFH", "Commercial")[v % 2], 20.0, 1, 9.0) for v in range(60, 600)], columns=["g", "part", "bcid", "vid", "connection_point", "type", "kw", "homes", "sim"]))
+    by = ["g", "part", "bcid"]
+    grids = b.groupBy(*by).agg((F.min("vid") % 50).alias("ont_vid"))
+    rows = lambda df: sorted((*tuple(r)[:6], r["kind"], round(r["metres"], 9), round(r["load_kw"], 9)) for r in df.where("kind <> 'unreached'").collect())
+    got = rows(network.branch_tree(e, b, grids, by, over=["g"]))
+    assert len(got) > 540 and got == rows(network.branch_tree(e.join(grids.select(*by), "g"), b, grids, by))
+    arcs = routing.Arcs(*(a_tree(600)[c].to_numpy() for c in ("source", "target", "cost")), np.zeros(0, int))
+    assert len(routing.shortest(arcs, 500, wanted={499, 250, 249})) < 60
