@@ -21,6 +21,8 @@ from gridwright.operators.loads import allocate
 from gridwright.sources.sinks import duplicates
 
 AREA = ["plz", "kcid"]
+#: The part of the network that a cluster lies in, and the cluster with it.
+NET, PART = ["plz", "component"], ["plz", "component", "kcid"]
 GRID = ["plz", "kcid", "bcid"]
 
 
@@ -86,7 +88,7 @@ class Plan(Mapping):
 
     @cached_property
     def _clusters(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(house, edges, known transformers), each with its postcode's cluster (kcid): a component of the network, or a part of it."""
+        """(house, with its postcode's cluster (kcid): a component of the network, or a part of it; edges and known transformers of each component)."""
         edges = self._network[1]
         hook = edges.where("clazz = 110").select(F.col("source").alias("vid"), F.col("target").alias("connection_point")).union(edges.where("clazz = 110").select("target", "source"))
         first = F.row_number().over(Window.partitionBy("osm_id").orderBy("connection_point"))
@@ -94,25 +96,23 @@ class Plan(Mapping):
         comp = cut(connected_components(edges, "source", "target", joined=JOINED))
         rows = house.join(comp.withColumnRenamed("node", "vid"), "vid").select("plz", "component", "vid", "x", "y")
         kcid = cut(clustering.components_to_clusters(rows, ["plz"], self.config).select("plz", "vid", "component", "kcid"))
-        house = cut(house.join(kcid.select("plz", "vid", "kcid"), ["plz", "vid"]).join(self._types, "plz"))
-        groups = kcid.select("plz", "kcid", "component").distinct()
-        e = cut(edges.join(comp.withColumnRenamed("node", "source"), "source").join(groups, "component").select("plz", "kcid", "source", "target", "cost"))
+        house = cut(house.join(kcid.select("plz", "vid", "component", "kcid"), ["plz", "vid"]).join(self._types, "plz"))
+        groups = kcid.select(*NET).distinct()
+        e = cut(edges.join(comp.withColumnRenamed("node", "source"), "source").join(groups, "component").select(*NET, "source", "target", "cost"))
         trafo = self._at(self.inputs[2].select("osm_id", "plz", "x", "y", "transformer_rated_power"))
-        known = cut(trafo.join(comp.withColumnRenamed("node", "vid"), "vid").join(groups, ["plz", "component"]).select("plz", "kcid", "vid", "transformer_rated_power"))
+        known = cut(trafo.join(comp.withColumnRenamed("node", "vid"), "vid").join(groups, NET).select(*NET, "vid", "transformer_rated_power"))
         return house, e, known
 
     @cached_property
     def _members(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(member: plz, vid, kcid, bcid; brown; green): existing transformers take what they can (bcid < 0), the rest is clustered anew (bcid > 0)."""
         house, e, known = self._clusters
-        reached = routing.costs(e, known, AREA, house.select(*AREA, F.col("vid")), self.config.brownfield_reach_m)
-        pairs = reached.select(*AREA, F.col("end_vid").alias("start_vid"), F.col("start_vid").alias("end_vid"), "agg_cost")
-        stock = house.select(*AREA, "vid", "type", "kw", "homes", "settlement_type")
-        brown = cut(clustering.brownfield_clusters(pairs, stock, AREA, self.config))
+        stock = house.select(*PART, "vid", "type", "kw", "homes", "settlement_type")
+        brown = cut(clustering.brownfield_nearest(e, known, stock, PART, self.config, NET).drop("component"))
         left = house.join(brown.select(*AREA, "vid"), [*AREA, "vid"], "left_anti")
-        left = left.withColumn("__n", F.count("*").over(Window.partitionBy(*AREA))).where("__n > 1").drop("__n")
-        by_point = left.select(*AREA, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
-        green = cut(clustering.greenfield_clusters(e, by_point, AREA, self.config))
+        left = cut(left.withColumn("__n", F.count("*").over(Window.partitionBy(*AREA))).where("__n > 1").drop("__n"))
+        by_point = left.select(*PART, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
+        green = cut(clustering.greenfield_clusters(e.join(left.select(*NET).distinct(), NET, "left_semi"), by_point, PART, self.config, NET).drop("component"))
         new = left.select(*AREA, "vid", "connection_point").join(green.select(*AREA, F.col("vid").alias("connection_point"), "bcid"), [*AREA, "connection_point"])
         return cut(brown.select(*AREA, "vid", "bcid").unionByName(new.select(*AREA, "vid", "bcid"))), brown, green
 
@@ -124,7 +124,7 @@ class Plan(Mapping):
         sizes = F.element_at(F.create_map(*[x for k, s in self.config.capacities.items() for x in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("settlement_type"))
         new = new.withColumn("rated", E.grouped_rating(F.col("rated"), sizes).cast("double")).drop("settlement_type")
         old = brown.groupBy(*GRID).agg(F.first("trafo").alias("ont_vid"), F.first("rated").alias("rated"))
-        old = old.join(known.select(*AREA, F.col("vid").alias("ont_vid"), F.col("transformer_rated_power").cast("double").alias("given")).dropDuplicates([*AREA, "ont_vid"]), [*AREA, "ont_vid"], "left").withColumn("rated", F.greatest("rated", F.coalesce("given", F.lit(0.0)))).drop("given")
+        old = old.join(known.select("plz", F.col("vid").alias("ont_vid"), F.col("transformer_rated_power").cast("double").alias("given")).dropDuplicates(["plz", "ont_vid"]), ["plz", "ont_vid"], "left").withColumn("rated", F.greatest("rated", F.coalesce("given", F.lit(0.0)))).drop("given")
         return cut(old.select(*GRID, "ont_vid", "rated").unionByName(new.select(*GRID, "ont_vid", "rated")))
 
     @cached_property
@@ -134,8 +134,9 @@ class Plan(Mapping):
         full = cut(house.join(self._members[0], [*AREA, "vid"]).join(self.grids.select(*GRID), GRID, "left_semi"))
         loads = cut(allocate(full.withColumn("vertice_id", F.col("vid")), GRID))
         served = full.join(loads.select(*GRID, F.col("vertice_id").alias("vid"), "sim"), [*GRID, "vid"])
-        grid_edges = e.join(self.grids.select(*GRID), AREA).select(*GRID, "source", "target", "cost")
-        tree = cut(network.branch_tree(grid_edges, served.select(*GRID, "vid", "connection_point", "type", "kw", "homes", "sim"), self.grids, GRID, self.config))
+        grids = self.grids.join(house.select(*PART).distinct(), AREA)
+        by = [*PART, "bcid"]
+        tree = cut(network.branch_tree(e, served.select(*by, "vid", "connection_point", "type", "kw", "homes", "sim"), grids, by, self.config, NET).drop("component"))
         return full, loads, tree
 
     @property
