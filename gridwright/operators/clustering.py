@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridwright.checkpoints import cut
 from gridwright.config import DEFAULT, RESIDENTIAL, SIM_FACTOR, Config
 from gridwright.operators import hierarchy
+from gridwright.operators.components import _least
 from gridwright.operators.groups import broadcast_if_small, dealt, shared_out
 from gridwright.operators.nearest import nearest
 from gridwright.operators.numbering import numbered
@@ -394,13 +395,70 @@ def brownfield_rounds(costs: DataFrame, buildings: DataFrame, by: list[str], con
     return members.join(grids.select(*by, "end_vid", "rated", "bcid"), [*by, "end_vid"]).select(*by, "bcid", c("end_vid").alias("trafo"), c("start_vid").alias("vid"), "rated")
 
 
+def promising(arcs: Arcs, points: np.ndarray, weight: np.ndarray, reach: float) -> np.ndarray:
+    """Marks of the points that may have the least sum of whole metres times weight, or the least of those within ``reach`` of all others.
+
+    arcs: no loops, each pair of nodes once; points ascending. What hangs as a tree on the rest of the graph is taken off leaf by leaf, which tells how
+    the sum of distances changes along each of its arcs. Cut to metres a sum is less by the weights at most, so of the points of one
+    tree those that are behind its best by more drop out. In a graph that is a forest few are left; where ways are meshed all
+    points on loops stay. Being within reach of all others is held against the two ends of the longest way, which is exact in a tree.
+    """
+    if (weight < 0).any():
+        return np.ones(len(points), bool)
+    n = len(arcs.ids)
+    at, own, label = np.searchsorted(arcs.ids, points), np.zeros(n), np.arange(n)
+    own[at] = weight
+    if len(arcs.to):
+        node, least = _least(np.repeat(np.arange(n), np.diff(arcs.first)), arcs.to)
+        label[node] = least
+    total = np.bincount(label, own, n)[label]
+    below, up, price, left, gone, waves = own.copy(), np.full(n, -1), np.zeros(n), np.diff(arcs.first), np.zeros(n, bool), []
+    wave = np.flatnonzero(left == 1)
+    while len(wave):
+        of, arc = arcs.around(wave)
+        node, to, cost = wave[of], arcs.to[arc], arcs.cost[arc]
+        off = ~gone[to] & ~((left[to] == 1) & (to > node))  # of the last two of a tree the smaller one stays
+        node, to, cost = node[off], to[off], cost[off]
+        gone[node], up[node], price[node] = True, to, cost
+        waves.append(node)
+        np.add.at(below, to, below[node])
+        np.subtract.at(left, to, 1)
+        wave = np.unique(to[left[to] == 1])
+    gain, root = np.zeros(n), np.arange(n)
+    for node in reversed(waves):
+        gain[node], root[node] = gain[up[node]] + price[node] * (total[node] - 2 * below[node]), root[up[node]]
+    g, r, most = gain[at], root[at], total[at]
+    best, slack = np.full(n, np.inf), 1e-3 + 1e-9 * np.abs(gain).max()
+    np.minimum.at(best, r, g)
+    kept = g - most <= best[r] + slack
+    far = lambda i: arcs.nearness(points[i : i + 1])[at]
+    d = far(0)
+    if np.isfinite(d).all():
+        a = far(int(d.argmax()))
+        ends = np.maximum(a, far(int(a.argmax())))
+        near = ends < math.floor(reach) + 1 + SLACK
+        sure = ends < math.floor(reach) + 1 - SLACK
+        if (label[~gone] == label[at[0]]).sum() == 1 and sure.any():
+            near &= g - most <= g[sure].min() + slack
+        kept |= near
+    return kept
+
+
 def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reach: float = DEFAULT.greenfield_reach_m, core: int = hierarchy.CORE, cells: int = hierarchy.CELLS) -> DataFrame:
     """by, ont_vid, moment, feasible: the point with the least sum of distance times load, among those within reach of all others if there are any.
 
     edges: by, source, target, cost; loads: by, vid, kw. Distances are cut to whole metres. Each task weighs some of a
-    group's points against all of them; of a group's tasks only the best point goes on.
+    group's points, those that ``promising`` leaves, against all of them; of a group's tasks only the best point goes on.
     """
 
+    def leave(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        e, at = p[p["k"] == 0], p[p["k"] == 1].groupby("a")["x"].sum()
+        e = e.groupby(["a", "b"], as_index=False)["x"].min()
+        arcs = Arcs(e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64), e["x"].to_numpy(float), at.index.to_numpy(np.int64))
+        vids = at.index.to_numpy(np.int64)
+        kept = vids[promising(arcs, vids, at.to_numpy(float), reach)] if len(vids) else vids
+        return pd.DataFrame({**{n: [v] * len(kept) for n, v in zip(by, key, strict=True)}, "vid": kept})
+
     def run(key: tuple, ends: np.ndarray, starts: np.ndarray, kw: np.ndarray, sweeps: hierarchy.Sweeps) -> Iterator[pa.RecordBatch]:
         at, best = np.searchsorted(sweeps.ids, ends), []
         step = max(1, cells // max(1, len(sweeps.ids)))
@@ -416,7 +474,12 @@ def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reac
             fixed = {name: pa.array([value]) for name, value in zip(by, key, strict=True)}
             yield pa.RecordBatch.from_pydict({**fixed, "ont_vid": pa.array([vid], pa.int64()), "moment": pa.array([moment], pa.float64()), "feasible": pa.array([not far])})
 
-    found = hierarchy.swept(edges, loads.select(*by, "vid", F.col("kw").alias("weight")), by, run, "ont_vid long, moment double, feasible boolean", core, cells)
+    c = F.col
+    both = edges.where("source <> target and cost is not null").select(*by, F.lit(0).alias("k"), F.least("source", "target").cast("long").alias("a"), F.greatest("source", "target").cast("long").alias("b"), c("cost").cast("double").alias("x"))
+    both = both.unionByName(loads.where("vid is not null").select(*by, F.lit(1).alias("k"), c("vid").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.coalesce(c("kw").cast("double"), F.lit(0.0)).alias("x")))
+    kinds = ", ".join(f"{n} {loads.schema[n].dataType.simpleString()}" for n in by)
+    starts = cut(dealt(both, by).groupBy(*by).applyInPandas(leave, f"{kinds}, vid long"))
+    found = hierarchy.swept(edges, loads.select(*by, "vid", c("kw").alias("weight")), by, run, "ont_vid long, moment double, feasible boolean", core, cells, starts)
     first = F.min(F.struct((~F.col("feasible")).alias("far"), F.round("moment", 6).alias("m"), "ont_vid", "moment", "feasible")).alias("z")
     return found.groupBy(*by).agg(first).select(*by, "z.ont_vid", "z.moment", "z.feasible")
 

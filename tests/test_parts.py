@@ -117,3 +117,27 @@ def test_grids_of_one_graph_are_planned_as_with_a_graph_each(spark):
     assert len(got) > 540 and got == rows(network.branch_tree(e.join(grids.select(*by), "g"), b, grids, by))
     arcs = routing.Arcs(*(a_tree(600)[c].to_numpy() for c in ("source", "target", "cost")), np.zeros(0, int))
     assert len(routing.shortest(arcs, 500, wanted={499, 250, 249})) < 60
+
+
+@pytest.mark.parametrize("seed, loops, reach", [(s, k, r) for s in range(6) for k in (0, 0, 4) for r in (25.0, 90.0, 5000.0)])
+def test_few_points_are_promising_and_the_best_is_one_of_them(seed, loops, reach):
+    rng = np.random.default_rng(seed)
+    n = 120
+    s, t = np.arange(1, n), np.array([int(rng.integers(max(0, i - 9), i)) for i in range(1, n)])
+    s, t = np.append(s, np.arange(2, 2 + loops) * 9), np.append(t, np.arange(2, 2 + loops) * 5)
+    keep = np.unique(np.column_stack([np.minimum(s, t), np.maximum(s, t)]), axis=0)
+    e = pd.DataFrame({"source": keep[:, 0], "target": keep[:, 1], "cost": rng.choice([1 / 3, 7.7, 20.0], len(keep))})
+    points = np.unique(rng.integers(0, n, 80))
+    kw = rng.integers(0, 30, len(points)).astype(float)
+    arcs = routing.Arcs(*(e[c].to_numpy() for c in ("source", "target", "cost")), points)
+    kept = clustering.promising(arcs, points, kw, reach)
+    whole = routing.metres(np.floor(routing.distances(e, points))).astype(float)
+    best = clustering.best_place(whole, kw, reach)[0]
+    assert kept[best]
+    assert loops or reach > 25 or kept.mean() < 0.5
+
+
+def test_a_large_tree_leaves_few_starts():
+    e, points = a_tree(30_000), np.arange(30_000)
+    arcs = routing.Arcs(*(e[c].to_numpy() for c in ("source", "target", "cost")), points)
+    assert 1 <= clustering.promising(arcs, points, 5.0 + points % 40, 400.0).sum() < 100
