@@ -96,7 +96,7 @@ class Plan(Mapping):
         comp = cut(connected_components(edges, "source", "target", joined=JOINED))
         rows = house.join(comp.withColumnRenamed("node", "vid"), "vid").select("plz", "component", "vid", "x", "y")
         kcid = cut(clustering.components_to_clusters(rows, ["plz"], self.config).select("plz", "vid", "component", "kcid"))
-        house = cut(house.join(kcid.select("plz", "vid", "component", "kcid"), ["plz", "vid"]).join(self._types, "plz"))
+        house = cut(house.join(kcid.select("plz", "vid", "component", "kcid").distinct(), ["plz", "vid"]).join(self._types, "plz"))
         groups = kcid.select(*NET).distinct()
         e = cut(edges.join(comp.withColumnRenamed("node", "source"), "source").join(groups, "component").select(*NET, "source", "target", "cost"))
         trafo = self._at(self.inputs[2].select("osm_id", "plz", "x", "y", "transformer_rated_power"))
@@ -113,7 +113,7 @@ class Plan(Mapping):
         left = cut(left.withColumn("__n", F.count("*").over(Window.partitionBy(*AREA))).where("__n > 1").drop("__n"))
         by_point = left.select(*PART, F.col("connection_point").alias("vid"), "type", "kw", "homes", "settlement_type")
         green = cut(clustering.greenfield_clusters(e.join(left.select(*NET).distinct(), NET, "left_semi"), by_point, PART, self.config, NET).drop("component"))
-        new = left.select(*AREA, "vid", "connection_point").join(green.select(*AREA, F.col("vid").alias("connection_point"), "bcid"), [*AREA, "connection_point"])
+        new = left.select(*AREA, "vid", "connection_point").distinct().join(green.select(*AREA, F.col("vid").alias("connection_point"), "bcid"), [*AREA, "connection_point"])
         return cut(brown.select(*AREA, "vid", "bcid").unionByName(new.select(*AREA, "vid", "bcid"))), brown, green
 
     @cached_property

@@ -93,3 +93,18 @@ def test_larger_tables_give_whole_grids(spark, monkeypatch):
     assert QUERIES["clustering_metrics"](spark, LARGER).count() == plan["grids"].count()
     layers = QUERIES["gis_layers"](spark, LARGER).where("from_x is not null")
     assert layers.count() == plan["line"].count()
+
+
+def test_buildings_at_one_place_count_once_each(spark):
+    from gridwright import config
+    from gridwright.functions import geometry as G
+    from gridwright.plans.generate import generate
+
+    places = [(1, 10.0, 5.0), (2, 10.0, 5.0), (3, 10.0, 5.0), (4, 60.0, 5.0), (5, 2010.0, 5.0), (6, 2010.0, 5.0), (7, 2050.0, 5.0)]
+    b = spark.createDataFrame([(i, 1, x, y, "SFH", 90.0, 1, 1) for i, x, y in places], "osm_id long, plz int, x double, y double, type string, area double, floors int, households_per_building int")
+    ways = spark.range(1).select(F.lit(1).alias("plz"), F.lit(1).cast("long").alias("way_id"), F.lit(41).alias("clazz"), F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(F.lit(2100.0), F.lit(0.0))).alias("line"))
+    t = spark.createDataFrame([(1, 1, 30.0, 3.0, 250)], "osm_id long, plz int, x double, y double, transformer_rated_power int")
+    plan = generate(b, ways, t, config.categories(spark))
+    full, loads, _ = plan._served
+    assert sorted(r["osm_id"] for r in full.collect()) == [1, 2, 3, 4, 5, 6, 7]  # the last three are clustered anew
+    assert loads.agg(F.sum("installed_kw")).first()[0] == pytest.approx(7 * 17.425)
