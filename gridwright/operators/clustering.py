@@ -464,7 +464,7 @@ def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reac
         step = max(1, cells // max(1, len(sweeps.ids)))
         for low in range(0, len(starts), step):
             some = ends[starts[low : low + step]]
-            cost = sweeps.from_starts(some)[at]
+            cost = sweeps.from_starts(some, at=at)
             cost = np.where(np.isfinite(cost), np.floor(cost), NO_WAY)
             moment, feasible = kw @ cost, cost.max(0) <= reach
             i = int(np.lexsort((some, np.round(moment, 6), ~feasible))[0])
