@@ -484,8 +484,10 @@ def greenfield_positions(edges: DataFrame, loads: DataFrame, by: list[str], reac
     return found.groupBy(*by).agg(first).select(*by, "z.ont_vid", "z.moment", "z.feasible")
 
 
-#: Buildings of a component from which its parts' centres are found, about.
-DRAWN = 50_000
+#: Buildings of a component up to which one task finds the centres of its parts; those of a larger one are found by many.
+TOGETHER = 50_000
+#: Rounds of k-means at most, and metres by which centres still move when it ends.
+ROUNDS, MOVED = 100, 1e-6
 
 
 def _shared(buildings: DataFrame, by: list[str]) -> DataFrame:
@@ -510,12 +512,84 @@ def component_clusters(buildings: DataFrame, by: list[str]) -> DataFrame:
     return _with_kcid(_shared(buildings, by).withColumn("__part", F.lit(0)), by)
 
 
-def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT, drawn: int = DRAWN) -> DataFrame:
+def _starts(places: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, x, y: the middle places of equal shares of a component's places (keys, x, y, k: how many shares) along a curve through its square."""
+    c, bits = F.col, 24
+    box = places.groupBy(*keys).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("__wide"))
+    cell = lambda name: F.coalesce(F.floor(F.try_divide(c(name) - c(f"__{name}"), c("__wide")) * ((1 << bits) - 1)), F.lit(0)).cast("long")
+    bit = lambda name, b, to: F.shiftleft(F.shiftright(c(f"__c{name}"), b).bitwiseAND(F.lit(1)), to)
+    curve = sum((bit("x", b, 2 * b) + bit("y", b, 2 * b + 1) for b in range(bits)), F.lit(0).cast("long"))
+    along = places.join(broadcast_if_small(cut(box)), keys).withColumns({"__cx": cell("x"), "__cy": cell("y")}).select(*keys, "x", "y", "k", curve.alias("__curve"))
+    along = numbered(along, [*keys, "__curve", "x", "y"], "__no")
+    size = cut(along.groupBy(*keys).agg(F.min("__no").alias("__first"), F.count("*").alias("__places")))
+    at, shares = c("__no") - c("__first"), F.least("k", "__places")
+    share = F.floor(at * shares / c("__places")).cast("long")
+    off = F.struct(F.abs(at - (share + 0.5) * c("__places") / shares), at)
+    return along.join(broadcast_if_small(size), keys).groupBy(*keys, share.alias("id")).agg(F.min_by(F.struct("x", "y"), off).alias("z")).select(*keys, "id", "z.x", "z.y")
+
+
+def _centres(buildings: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+    """by, component, id, x, y: centres of the parts of large components (buildings: by, component, __n, x, y), from all their buildings.
+
+    Many tasks add up the buildings nearest to each centre, round by round, until no centre moves. The driver and each task
+    hold the centres, of which there is one for ``component_divider`` buildings.
+    """
+    keys, spark = [*by, "component"], buildings.sparkSession
+    placed = buildings.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).dropna(subset=keys)
+    k = F.greatest(F.lit(1), F.floor(F.first("__n") / config.component_divider)).alias("k")
+    places = cut(placed.groupBy(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("w"), k))
+    kinds = {c: buildings.schema[c].dataType.simpleString() for c in keys}
+    layout = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", id long, x double, y double"
+    first = _starts(places, keys).orderBy(*keys, "id").collect()  # a row for each part
+    names = list(dict.fromkeys(tuple(r[: len(keys)]) for r in first))
+    if not names:
+        return spark.createDataFrame([], layout)
+    at = {name: g for g, name in enumerate(names)}
+    numbers = spark.createDataFrame([(g, *name) for g, name in enumerate(names)], "__g int, " + ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(places.join(broadcast_if_small(cut(numbers)), keys).select("__g", "x", "y", "w").repartition(spread))
+    centres = [[] for _ in names]
+    for r in first:
+        centres[at[tuple(r[: len(keys)])]].append((r["x"], r["y"]))
+    centres = [np.array(c) for c in centres]
+    moving = set(range(len(names)))
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast({g: centres[g] for g in moving})
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                of, x, y, w = (batch.column(c).to_numpy() for c in ("__g", "x", "y", "w"))
+                for g in np.unique(of).tolist():
+                    if (found := shared.value.get(g)) is None:
+                        continue
+                    own = np.flatnonzero(of == g)
+                    label = _nearest_centre(np.column_stack([x[own], y[own]]), found)
+                    part = np.column_stack([np.bincount(label, v, len(found)) for v in (w[own], w[own] * x[own], w[own] * y[own])])
+                    total[g] = total[g] + part if g in total else part
+            for g, part in total.items():
+                some = np.flatnonzero(part[:, 0])
+                yield pa.record_batch([pa.array(np.full(len(some), g, np.int32)), pa.array(some), *(pa.array(v) for v in part[some].T)], names=["g", "id", "n", "x", "y"])
+
+        added = rows.mapInArrow(sums, "g int, id long, n double, x double, y double").groupBy("g", "id").agg(*[F.sum(c).alias(c) for c in "nxy"]).collect()  # a row for each part
+        shared.unpersist()
+        now = {g: centres[g].copy() for g in moving}
+        for r in added:
+            now[r["g"]][r["id"]] = r["x"] / r["n"], r["y"] / r["n"]
+        moving = {g for g, new in now.items() if np.abs(new - centres[g]).max() > MOVED}
+        for g, new in now.items():
+            centres[g] = new
+        if not moving:
+            break
+    return spark.createDataFrame([(*name, i, float(x), float(y)) for name, c in zip(names, centres, strict=True) for i, (x, y) in enumerate(c)], layout)
+
+
+def components_to_clusters(buildings: DataFrame, by: list[str], config: Config = DEFAULT, together: int = TOGETHER) -> DataFrame:
     """Buildings (by, component, vid, x, y) with kcid from 1 in each ``by``; components of one building or none go.
 
     Components at or above the limit are split by k-means into int(n / divider) parts; ids follow the
-    order of components and, inside, of the parts' smallest vertices. The centres of a component come from about
-    ``drawn`` of its buildings, all of them where it has fewer; each building joins the nearest, ties to the first.
+    order of components and, inside, of the parts' smallest vertices. The centres of a component come from all of
+    its buildings, in one task up to ``together`` of them and in rounds beyond; each building joins the nearest, ties to the first.
     """
     sized = _shared(buildings, by)
     small = sized.where(F.col("__n") < config.large_component).withColumn("__part", F.lit(0))
@@ -526,9 +600,11 @@ def components_to_clusters(buildings: DataFrame, by: list[str], config: Config =
         return pd.DataFrame({**dict(zip([*by, "component"], key, strict=True)), "id": np.arange(len(found)), "x": found[:, 0], "y": found[:, 1]})
 
     kinds = ", ".join(f"{c} {large.schema[c].dataType.simpleString()}" for c in [*by, "component"])
-    share = F.lit(float(drawn)) / F.col("__n")
-    some = large.where((F.col("__n") <= drawn) | (F.shiftrightunsigned(F.xxhash64("vid", "x", "y", F.lit("parts")), 11) / float(1 << 53) < share))
-    found = cut(some.select(*by, "component", "__n", "x", "y").groupBy(*by, "component").applyInPandas(centres, f"{kinds}, id long, x double, y double"))
+    of = large.select(*by, "component", "__n", "x", "y")
+    found = cut(of.where(F.col("__n") <= together).groupBy(*by, "component").applyInPandas(centres, f"{kinds}, id long, x double, y double"))
+    beyond = of.where(F.col("__n") > together)
+    if not beyond.isEmpty():
+        found = cut(found.unionByName(_centres(cut(beyond), by, config)))
     places = large.select(*by, "component", "x", "y").distinct().withColumn("id", F.xxhash64("x", "y"))
     near = nearest(places, found, 1, [*by, "component"]).select(*by, "component", "x", "y", F.col("other").cast("int").alias("__part"))
     parts = large.join(near.dropDuplicates([*by, "component", "x", "y"]), [*by, "component", "x", "y"]).select(*large.columns, "__part")
@@ -536,8 +612,9 @@ def components_to_clusters(buildings: DataFrame, by: list[str], config: Config =
 
 
 # --- clusters of grids -------------------------------------------------------------------------
-def _nearest_centre(x: np.ndarray, centres: np.ndarray, rows: int = 1 << 14) -> np.ndarray:
+def _nearest_centre(x: np.ndarray, centres: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
     """The nearest centre of each row, some rows at a time, so that memory does not grow with rows times centres."""
+    rows = max(1, cells // max(1, len(centres)))
     return np.concatenate([((x[a : a + rows, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(x), rows)] or [np.zeros(0, np.int64)])
 
 

@@ -584,3 +584,21 @@ def test_parts_of_a_component_come_from_a_sample(spark):
                 if r["plz"] == p:
                     parts[r["kcid"]].add((round(r["x"] / 9000), round(r["y"] / 9000)))
             assert sorted(parts) == [1, 2, 3, 4] and all(len(x) == 1 for x in parts.values())
+
+
+def test_centres_of_a_large_component_are_means_of_all_its_buildings(spark):
+    from gridwright.config import Config
+
+    config = Config(large_component=100, component_divider=60)
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([rng.normal(c, 300.0, (n, 2)) for c, n in (((0, 0), 700), ((4000, 500), 250), ((1500, 3000), 90))]).round(1)
+    rows = [(7, 1, i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "plz int, component long, vid long, x double, y double").repartition(5)
+    got = clustering.components_to_clusters(df, ["plz"], config, 50).toPandas()
+    found = clustering._centres(df.selectExpr("plz", "component", "1040L AS __n", "x", "y"), ["plz"], config).toPandas()
+    assert sorted(got["vid"]) == list(range(1040)) and found["id"].nunique() == got["kcid"].nunique() == 17
+    means = sorted(map(tuple, got.groupby("kcid")[["x", "y"]].mean().round(3).to_numpy()))
+    assert means == sorted(map(tuple, found[["x", "y"]].round(3).to_numpy()))  # none comes from some of the buildings
+    spread = lambda label, centres: ((xy - centres[label]) ** 2).sum()
+    mine = found[["x", "y"]].to_numpy()
+    assert spread(clustering._nearest_centre(xy, mine), mine) < 1.15 * spread(*clustering.kmeans(xy, 17, config.seed))
