@@ -221,6 +221,17 @@ def test_scores_match_the_plain_tree(spark, monkeypatch, looked):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(plain.score(ts, suffix_tree.DEPTH), rel=1e-9)
 
 
+def test_what_occurs_twice_is_learned(spark):
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rare = "zqa zqb zqc zqd"
+    rows = [(i, rare if i in learned[:2] else f"some words of text {i}", "en", "s", 1) for i in range(60)]
+    got = {r["doc_id"]: r for r in suffix_tree.scores(spark.createDataFrame(rows, DOCS)).collect()}
+    r = got[learned[0]]
+    assert r["n_known"] == 5 and r["score"] > r["base_score"] + 3
+    plain = PlainTree([tokens(t) for i, t, *_ in rows if i in learned], suffix_tree.DEPTH)
+    assert ("zqa", "zqb", "zqc") in plain.states and r["score"] == pytest.approx(plain.score(tokens(rare), suffix_tree.DEPTH), rel=1e-9)
+
+
 def test_states_are_distributions():
     texts = [tokens(t) for t in texts_for_trees()]
     plain = PlainTree(texts, 3)
